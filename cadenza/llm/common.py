@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +43,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows (counted), else as it is: Spark then shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def text_of(name: str) -> Column:
@@ -66,3 +67,29 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
                 start, held = i, 0
             held += int(n)
         yield batch.slice(start)
+
+
+def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """Applies work to the rows of df with all rows of equal keys (whole numbers) together, many groups at a time.
+
+    work gets a table and where its groups begin (one more entry: the end). A task holds one Arrow batch and
+    the group that its end cuts, so the caller bounds its groups.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            table = table if held is None else pa.concat_tables([held, table])
+            columns = [table[k].to_numpy() for k in keys]
+            cuts = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            if len(cuts):
+                yield work(table.slice(0, cuts[-1]).combine_chunks(), np.concatenate([[0], cuts]))
+                table = table.slice(cuts[-1])
+            held = table
+        if held is not None:
+            yield work(held.combine_chunks(), np.array([0, held.num_rows]))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

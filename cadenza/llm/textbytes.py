@@ -62,12 +62,12 @@ def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np
             s, e = starts[i:j] - a, ends[i:j] - a
             out[i:j] = (sums[e] - sums[s]) * _powers(_M_INVERSE)[s]
         else:  # one run longer than a segment
-            total, scale = np.uint64(0), 1
+            total, scale = 0, 1
             for k in range(a, b, SEGMENT):
                 part = data[k : min(b, k + SEGMENT)]
-                total = total + np.sum(codes[part] * _powers(_M)[: len(part)], dtype=np.uint64) * np.uint64(scale)
+                total += int(np.sum(codes[part] * _powers(_M)[: len(part)], dtype=np.uint64)) * scale
                 scale = scale * pow(_M, len(part), 1 << 64) % (1 << 64)
-            out[i] = total
+            out[i] = total % (1 << 64)
         i = j
     return mixed(out + (ends - starts).astype(np.uint64))
 
