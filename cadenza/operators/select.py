@@ -18,49 +18,49 @@ def scored(rated: DataFrame) -> DataFrame:
     return rated.withColumns({"score": scoring.score(v, r, t), "proxy": scoring.proxy(v, r, t), "feasible": scoring.feasible(v, r, t)})
 
 
-def top_trials(rated: DataFrame, k: int = TOP_K) -> DataFrame:
+def top_trials(rated: DataFrame, k: int = TOP_K, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """The k best feasible trials of each segment and target, earlier ones first among equals."""
-    order = W.partitionBy("segment_hash", "target").orderBy(F.desc("score"), *SEQ)
+    order = W.partitionBy("segment_hash", "target").orderBy(F.desc("score"), *seq)
     return scored(rated.where(scoring.feasible(F.col("vmaf"), F.col("rate"), F.col("target")))).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(1, k))
 
 
-def best_or_closest(rated: DataFrame) -> DataFrame:
+def best_or_closest(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """The best feasible trial of each segment and target; where there is none, the one of highest quality."""
-    order = W.partitionBy("segment_hash", "target").orderBy(F.desc("feasible"), F.desc(F.when(F.col("feasible"), F.col("score")).otherwise(F.col("vmaf"))), *SEQ)
+    order = W.partitionBy("segment_hash", "target").orderBy(F.desc("feasible"), F.desc(F.when(F.col("feasible"), F.col("score")).otherwise(F.col("vmaf"))), *seq)
     return scored(rated).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
-def best_per_aq(rated: DataFrame) -> DataFrame:
+def best_per_aq(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """For each segment, target and AQ setting its best trial: feasible ones by score, else by proxy."""
-    order = W.partitionBy("segment_hash", "target", "aq_mode", "aq_strength").orderBy(F.desc("feasible"), F.desc(F.when(F.col("feasible"), F.col("score")).otherwise(F.col("proxy"))), *SEQ)
+    order = W.partitionBy("segment_hash", "target", "aq_mode", "aq_strength").orderBy(F.desc("feasible"), F.desc(F.when(F.col("feasible"), F.col("score")).otherwise(F.col("proxy"))), *seq)
     return scored(rated).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
-def best_aq(rated: DataFrame) -> DataFrame:
+def best_aq(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """The AQ setting whose best trial has the highest proxy; of equals the smaller setting."""
     order = W.partitionBy("segment_hash", "target").orderBy(F.desc("proxy"), "aq_mode", "aq_strength")
-    return best_per_aq(rated).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
+    return best_per_aq(rated, seq).withColumn("rank", F.row_number().over(order)).where("rank = 1").drop("rank")
 
 
-def rank_aq(rated: DataFrame, n: int | None = None) -> DataFrame:
+def rank_aq(rated: DataFrame, n: int | None = None, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """AQ settings by their highest proxy (0 at least), settings met earlier first among equals; the first n."""
-    first = F.min(F.struct(*SEQ)).alias("first")
+    first = F.min(F.struct(*seq)).alias("first")
     groups = scored(rated).groupBy("segment_hash", "target", "aq_mode", "aq_strength").agg(F.greatest(F.lit(0.0), F.max("proxy")).alias("value"), first)
     ranked = groups.withColumn("rank", F.row_number().over(W.partitionBy("segment_hash", "target").orderBy(F.desc("value"), "first"))).drop("first")
     return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
-def crf_samples(rated: DataFrame) -> DataFrame:
+def crf_samples(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """One quality for each crf of a segment, AQ setting and target: the last measured."""
-    order = W.partitionBy("segment_hash", "aq_mode", "aq_strength", "target", "crf").orderBy(*[F.desc(c) for c in SEQ])
+    order = W.partitionBy("segment_hash", "aq_mode", "aq_strength", "target", "crf").orderBy(*[F.desc(c) for c in seq])
     return rated.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def crf_bracket(rated: DataFrame) -> DataFrame:
+def crf_bracket(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """low: the highest crf that meets the target; high: the lowest above it that does not; each with its quality."""
     group = ["segment_hash", "aq_mode", "aq_strength", "target"]
     meets = F.col("vmaf") >= F.col("target")
-    samples = crf_samples(rated).withColumn("low", F.max(F.when(meets, F.col("crf"))).over(W.partitionBy(*group)))
+    samples = crf_samples(rated, seq).withColumn("low", F.max(F.when(meets, F.col("crf"))).over(W.partitionBy(*group)))
     above = ~meets & (F.col("low").isNull() | (F.col("crf") > F.col("low")))
     at = lambda which: F.struct("crf", "vmaf") if which is None else F.when(which, F.struct("crf", "vmaf"))
     return samples.groupBy(*group).agg(F.max(at(meets)).alias("lo"), F.min(at(above)).alias("hi")).select(

@@ -189,3 +189,12 @@ ORACLES |= {
     "tool_listing": "SELECT DISTINCT conv_id AS doc, role || '_' || turn AS name FROM conversations c WHERE turn > 0 AND EXISTS (SELECT 1 FROM conversations f WHERE f.conv_id = c.conv_id AND f.turn = 0)",
     "progress_counts": "SELECT event_type AS event, count(*) AS n, min(epoch_us(ts) / 1000000.0::DOUBLE) AS first_ts, max(epoch_us(ts) / 1000000.0::DOUBLE) AS last_ts FROM events GROUP BY event_type",
 }
+
+ORACLES |= {
+    "bundle_lookup": f"""WITH {TRIALS}, trained AS (SELECT 'lib' || (l_suppkey % 5) AS encoder, CASE WHEN l_linenumber % 4 > 0 THEN 80.0::DOUBLE + l_linenumber * 4 END AS target, min(vmaf) AS low FROM trials GROUP BY ALL),
+      asked AS (SELECT DISTINCT 'lib' || (l_suppkey % 5) AS encoder, unnest([84.0::DOUBLE, 85.0::DOUBLE, 89.0::DOUBLE, 93.0::DOUBLE]) AS target FROM trials)
+      SELECT a.encoder, a.target, coalesce(max(CASE WHEN t.target = a.target THEN 'models/' || t.encoder || '/target_' || format('{{:g}}', t.target) END), max(CASE WHEN t.encoder IS NOT NULL AND t.target IS NULL AND a.target >= low - 0.5::DOUBLE AND a.target <= 92.5::DOUBLE THEN 'models/' || t.encoder || '/all' END)) AS path
+      FROM asked a LEFT JOIN (SELECT * FROM trained WHERE encoder <> 'lib3') t ON a.encoder = t.encoder GROUP BY ALL""",
+    "quality_logs": f"WITH {TRIALS} SELECT segment_hash, count(*) AS n_frames, round(avg(vmaf), 6) AS mean, round(count(*) / sum(1.0::DOUBLE / vmaf), 6) AS harmonic, min(vmaf) AS least, bool_and(vmaf BETWEEN 0 AND 100) AS plausible FROM trials GROUP BY ALL",
+    "result_summary": f"""WITH {BEST} SELECT segment_hash, target, segment_hash || ' target ' || format('{{:g}}', target) || ': crf=' || format('{{:g}}', round_even(crf, 1)) || ',aq_mode=' || aq_mode || ',aq_strength=' || format('{{:g}}', aq_strength) || printf(' vmaf=%.2f out=%.4f MB [', vmaf, out_bytes / 1e6::DOUBLE) || CASE WHEN feasible THEN 'MET' ELSE 'MISSED' END || ']' AS line FROM best""",
+}

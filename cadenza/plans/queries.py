@@ -11,6 +11,7 @@ from cadenza.functions import scoring, text
 from cadenza.operators import features as feat
 from cadenza.operators import modeling, records, segments, select, store
 from cadenza.plans import design
+from cadenza.plans import search as searching
 from cadenza.sources import media, views
 from cadenza.sources.views import SEQ
 from cadenza.streaming import progress as prog
@@ -297,9 +298,46 @@ def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
     return prog.counts(prog.progress(views.table(spark, sf, "events")))
 
 
+def _searched(strategy: str):
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        """Searches every segment on a surface that its own trials shift."""
+        offsets = views.trials(spark, sf).groupBy("segment_hash").agg(F.round((F.avg("vmaf") - 92.0) / 4, 3).alias("offset"))
+        found = views.trials(spark, sf).select("segment_hash", "encoder").distinct()
+        return searching.search(found, views.spaces(spark), views.targets(spark), searching.shifted_surface(offsets), strategy)
+
+    query.__name__ = f"search_{strategy}"
+    return query
+
+
+def bundle_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Bundles as the orders' clerks would have trained them, looked up for every encoder and target that the trials need."""
+    trained = views.trials(spark, sf).groupBy(F.concat(F.lit("lib"), (C("l_suppkey") % 5).cast("string")).alias("encoder"), F.when(C("l_linenumber") % 4 > 0, 80.0 + C("l_linenumber") * 4).alias("target")).agg(F.min("vmaf").alias("low"), F.lit(92.0).alias("high"))
+    path = F.concat_ws("/", F.lit("models"), "encoder", F.coalesce(F.concat(F.lit("target_"), P.short(C("target"))), F.lit("all")))
+    known = media.bundles(trained.withColumn("path", path).withColumn("heads", F.when(C("encoder") == "lib3", F.array(F.lit("crf"))).otherwise(F.array(F.lit("crf"), F.lit("aq_mode"), F.lit("aq_strength")))))
+    asked = views.trials(spark, sf).select(F.concat(F.lit("lib"), (C("l_suppkey") % 5).cast("string")).alias("encoder")).distinct().crossJoin(F.broadcast(views.targets(spark).union(spark.range(1).select(F.lit(84.0)))))
+    return media.find_bundle(asked, known)
+
+
+def quality_logs(spark: SparkSession, sf: str) -> DataFrame:
+    frame = F.struct(C("n").alias("frameNum"), F.struct("vmaf").alias("metrics"))
+    rows = views.trials(spark, sf).withColumn("n", F.row_number().over(W.partitionBy("segment_hash").orderBy(*SEQ)))
+    pooled = F.struct(F.struct(F.avg("vmaf").alias("mean"), (F.count("vmaf") / F.sum(1.0 / C("vmaf"))).alias("harmonic_mean"), F.min("vmaf").alias("min")).alias("vmaf"))
+    logs = rows.groupBy("segment_hash").agg(F.to_json(F.struct(F.array_sort(F.collect_list(frame)).alias("frames"), pooled.alias("pooled_metrics"))).alias("log"))
+    q = media.quality_rows(logs)
+    return q.select("segment_hash", "n_frames", F.round("mean", 6).alias("mean"), F.round("harmonic", 6).alias("harmonic"), "least", "plausible")
+
+
+def result_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """A line of text for each segment's result at each target."""
+    b = select.best_or_closest(views.rated(spark, sf))
+    met = F.when(C("feasible"), "MET").otherwise("MISSED")
+    line = F.concat(C("segment_hash"), F.lit(" target "), P.short(C("target")), F.lit(": "), store.params_key(C("crf"), C("aq_mode"), C("aq_strength")), F.format_string(" vmaf=%.2f out=%.4f MB [", "vmaf", C("out_bytes") / F.lit(1e6)), met, F.lit("]"))
+    return b.select("segment_hash", "target", line.alias("line"))
+
+
 ALL = (
     trial_score, score_reason, feasible_trials, top_trials, best_or_closest, best_aq, rank_aq, refine_aq, crf_bracket, crf_guess, iq_guess, crf_solve, explored_range, tpe_split, clamped_params, unit_cube, trial_keys, aq_grid, aq_neighbors, screen_plan, grid_design,
     *map(_sampled, ("halton", "lhs", "random")), boundary_plan, boundary_pieces, segment_starts, concat_lists, frame_motion, frame_entropy, frame_sample, frame_count_check, pooled_quality, pending_segments, reused_sources, trial_upsert, cache_lookup, training_rows, latest_records, corpus_progress,
-    feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts,
+    feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts, *map(_searched, ("screen", "halton")), bundle_lookup, quality_logs, result_summary,
 )
 QUERIES = {q.__name__: q for q in ALL}

@@ -53,3 +53,29 @@ def frame_count(lines: DataFrame) -> DataFrame:
     """Of each document's lines the first all-digit token."""
     tokens = lines.select("doc", "pos", F.posexplode(F.split("line", r"[,\s]+")).alias("at", "token")).where(F.col("token").rlike(r"^\d+$"))
     return tokens.groupBy("doc").agg(F.min(F.struct("pos", "at", "token"))["token"].cast("bigint").alias("n_frames"))
+
+
+def bundles(metadata: DataFrame) -> DataFrame:
+    """Model bundles (path, encoder, target, low, high, heads) that are complete, each once."""
+    return metadata.where(F.array_contains("heads", "crf") & F.array_contains("heads", "aq_mode") & F.array_contains("heads", "aq_strength")).dropDuplicates(["path"])
+
+
+def find_bundle(asked: DataFrame, known: DataFrame, slack: float = 0.5) -> DataFrame:
+    """For each encoder and target the bundle made for that target, else one for all targets of the encoder whose trained range, with
+    some slack, holds the target. known has a row per bundle, so it is broadcast; the greatest path counts among several."""
+    exact = known.where("target IS NOT NULL").groupBy("encoder", "target").agg(F.max("path").alias("own"))
+    wide = known.where("target IS NULL").select("encoder", F.col("path").alias("shared"), "low", "high")
+    fits = (F.col("target") >= F.col("low") - slack) & (F.col("target") <= F.col("high") + slack)
+    met = asked.join(F.broadcast(exact), ["encoder", "target"], "left").join(F.broadcast(wide), "encoder", "left")
+    return met.groupBy("encoder", "target").agg(F.coalesce(F.max("own"), F.max(F.when(fits, F.col("shared")))).alias("path"))
+
+
+#: The shape of a quality tool's log.
+QUALITY_LOG = "frames array<struct<frameNum:int,metrics:struct<vmaf:double>>>, pooled_metrics struct<vmaf:struct<mean:double,harmonic_mean:double,min:double>>"
+
+
+def quality_rows(logs: DataFrame) -> DataFrame:
+    """A row per log: its pooled numbers, how many frames it lists, and whether all scores are plausible."""
+    parsed = logs.withColumn("q", F.from_json("log", QUALITY_LOG))
+    plausible = F.forall("q.frames", lambda f: f["metrics"]["vmaf"].between(0, 100))
+    return parsed.select("segment_hash", F.size("q.frames").cast("bigint").alias("n_frames"), F.col("q.pooled_metrics.vmaf.mean").alias("mean"), F.col("q.pooled_metrics.vmaf.harmonic_mean").alias("harmonic"), F.col("q.pooled_metrics.vmaf.min").alias("least"), plausible.alias("plausible"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import params, scoring, text
 from cadenza.operators import modeling, records, segments, select, store
-from cadenza.plans import design
+from cadenza.plans import design, search
 from cadenza.sources import media, views
 from cadenza.streaming import progress
 
@@ -161,3 +161,26 @@ def test_progress_stream_counts_new_files(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r.event: r.n for r in spark.table("progress_counts").collect()} == {"start": 3, "done": 1}
+
+
+@pytest.mark.parametrize("strategy", ["screen", "grid", "lhs"])
+def test_search_finds_the_greatest_crf_that_meets_the_target(spark, strategy):
+    segments = spark.createDataFrame([("a", "libsvtav1"), ("b", "libsvtav1"), ("hopeless", "libsvtav1")], "segment_hash string, encoder string")
+    offsets = spark.createDataFrame([("a", 4.0), ("b", 8.0), ("hopeless", -80.0)], "segment_hash string, offset double")
+    measure, spaces, targets = search.shifted_surface(offsets), views.spaces(spark), views.targets(spark)
+    rows = search.search(segments, spaces, targets, measure, strategy).collect()
+    assert len(rows) == 9
+    assert all(r.feasible == (r.segment_hash != "hopeless") and (not r.feasible or r.vmaf >= r.target) for r in rows)
+    solved = search.solve_targets(search.explore(segments, spaces, measure, strategy), spaces, targets, measure).collect()
+    for segment, offset in (("a", 4.0), ("b", 8.0)):
+        for target in views.TARGETS:
+            short = [110 + offset + 0.2 * r.aq_mode * r.aq_strength - target - r.crf for r in solved if r.segment_hash == segment and r.vmaf >= target]
+            assert 0 <= min(short) + 1e-6 and min(short) <= 1.0
+
+
+def test_recorded_measurements_join_exactly(spark, sf_dir):
+    trials = views.trials(spark, sf_dir)
+    some = trials.limit(5).select("segment_hash", "encoder", "crf", "aq_mode", "aq_strength").distinct()
+    odd = some.withColumn("crf", F.col("crf") + 1000)
+    got = search.recorded(trials)(some.unionByName(odd)).collect()
+    assert [r.vmaf is None for r in sorted(got, key=lambda r: r.crf)].count(True) == len(got) // 2
