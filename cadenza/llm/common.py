@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: A table is broadcast only after its rows have been counted and are at most this many.
 BROADCAST_ROWS = 200_000
@@ -46,29 +50,54 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def label_sample(rows: DataFrame, label: str, key: str, each: int) -> DataFrame:
+    """Of each label the rows (at most each) whose keys hash lowest, and no others.
+
+    The labels are counted first, so that only about 1.5 times that many rows of each meet in a task. Keys are distinct.
+    """
+    low = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    counts = F.broadcast(rows.groupBy(label).agg(F.count(F.lit(1)).alias("__cz_rows")))  # a row per label; callers bound the labels
+    near = rows.join(counts, label).where(low <= (1.5 * each + 50) / F.col("__cz_rows"))
+    order = W.partitionBy(label).orderBy(low, key)
+    return near.withColumn("__cz_n", F.row_number().over(order)).where(F.col("__cz_n") <= each).drop("__cz_n", "__cz_rows")
+
+
 def text_of(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose column holds about limit bytes at most (one row at least)."""
+def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of rows rows, whose column holds about limit bytes at most (one row at least)."""
     for batch in batches:
         col = batch.column(batch.schema.get_field_index(column))
         if not len(col):
             continue
-        if col.nbytes <= limit:
+        if col.nbytes <= limit and len(col) <= rows:
             yield batch
             continue
         lengths = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > limit:
+            if held and (held + n > limit or i - start == rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
-            held += int(n)
+            held += int(n) + 1
         yield batch.slice(start)
 
 
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, which hands its memory back to the system when a task ends: workers live on for later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
     """Applies work to the rows of df with all rows of equal keys (whole numbers) together, many groups at a time.
 
@@ -92,4 +121,4 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarr
         if held is not None:
             yield work(held.combine_chunks(), np.array([0, held.num_rows]))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)

@@ -9,7 +9,7 @@ cost, and a pair asks for the smaller of its two.
 Steps, each written to the shared folder:
 
 1. Counts: every task adds up shingle counts in COUNTERS hashed counters; the sums (a fixed size) go to all tasks.
-2. Profiles: per document the digest of its set, its size, m, its prefix, and a parity bitmap of BITMAP_BITS bits.
+2. Profiles: per document the digest of its set, its size, m, its prefix, and a parity bitmap.
    Equal sets become one class, stood for by its smallest id.
 3. Matching: prefix shingles that occur in one class only are dropped. The others form small groups of
    narrow rows; groups over GROUP_ROWS rows are cut into blocks, and pairs of blocks are matched in separate
@@ -38,13 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_groups, small_side, staged, sub_batches
+from cadenza.llm.common import by_groups, lean, small_side, staged, sub_batches
 from cadenza.llm.components import components
 from cadenza.llm.textbytes import column_bytes, run_hashes, shingle_hashes, words
 
-COUNTERS = 1 << 18
-_SLICES = 16
-BITMAP_BITS = 512
+COUNTERS = 1 << 22
+_SLICES = 64
+#: A parity bitmap has about half as many bits as the set has shingles, within these bounds.
+BITMAP_BITS = (256, 1 << 16)
 MOST_MATCHES = 4
 #: Estimated cost of comparing two prefixes, in units of reading one row of a group.
 VERIFY_COST = 8.0
@@ -61,11 +62,14 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, column: str = "text") -> It
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
-    return (h.view(np.uint64) >> np.uint64(46)).astype(np.int64)
+    return (h.view(np.uint64) >> np.uint64(42)).astype(np.int64)
 
 
 def shingle_counts(docs: DataFrame, text_column: str, k: int) -> np.ndarray:
-    """How many documents have shingles of each counter: COUNTERS numbers, whatever the input."""
+    """How many documents have shingles of each counter: COUNTERS numbers, whatever the input.
+
+    A task sends its counts as bytes, and those over 254 as pairs of place and rest.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int64)
@@ -73,21 +77,26 @@ def shingle_counts(docs: DataFrame, text_column: str, k: int) -> np.ndarray:
             total += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
         if total.any():
             parts = total.reshape(_SLICES, -1)
-            yield pa.record_batch({"slice": pa.array(range(_SLICES), pa.int32()), "counts": pa.array([p.tobytes() for p in parts], pa.binary())})
+            over = [np.flatnonzero(p > 254) for p in parts]
+            pairs = [np.stack([o, p[o] - 254]).tobytes() for o, p in zip(over, parts, strict=True)]
+            yield pa.record_batch({"slice": pa.array(range(_SLICES), pa.int32()), "low": pa.array([np.minimum(p, 254).astype(np.uint8).tobytes() for p in parts], pa.binary()), "rest": pa.array(pairs, pa.binary())})
 
     def add(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in tables:
-            for s, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                sums[s] = sums.get(s, 0) + np.frombuffer(c.as_buffer(), dtype=np.int64)
+            for s, low, rest in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                total = sums.setdefault(s, np.zeros(COUNTERS // _SLICES, dtype=np.int64))
+                total += np.frombuffer(low.as_buffer(), dtype=np.uint8)
+                place, more = np.frombuffer(rest.as_py(), dtype=np.int64).reshape(2, -1)
+                total[place] += more
         if sums:
-            yield pa.record_batch({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array([v.tobytes() for v in sums.values()], pa.binary())})
+            counts = [np.minimum(v, (1 << 31) - 1).astype(np.int32).tobytes() for v in sums.values()]
+            yield pa.record_batch({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array(counts, pa.binary())})
 
-    schema = "slice int, counts binary"
-    partial = docs.select(F.col(text_column).alias("text")).mapInArrow(count, schema)
-    out = np.zeros((_SLICES, COUNTERS // _SLICES), dtype=np.int64)
-    for row in partial.repartition(_SLICES, "slice").mapInArrow(add, schema).collect():
-        out[row["slice"]] += np.frombuffer(row["counts"], dtype=np.int64)
+    partial = docs.select(F.col(text_column).alias("text")).mapInArrow(lean(count), "slice int, low binary, rest binary")
+    out = np.zeros((_SLICES, COUNTERS // _SLICES), dtype=np.int32)
+    for row in partial.repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+        out[row["slice"]] = np.frombuffer(row["counts"], dtype=np.int32)
     return out.ravel()
 
 
@@ -96,8 +105,8 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
-def prefix(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.ndarray]:
-    """m and the prefix of a set: its first n - t + m shingles in the common order."""
+def prefix(h: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tuple[int, np.ndarray]:
+    """m and the prefix of a set: its first n - t + m shingles in the common order. usual is the mean count."""
     n = len(h)
     base = n - least_overlap(n, percent) + 1
     most = min(n, base + MOST_MATCHES - 1)
@@ -109,14 +118,15 @@ def prefix(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[int, np.nda
     else:
         near = np.arange(n)
     order = near[np.lexsort((h[near], often[near]))][:most]
-    lists = np.cumsum(np.maximum(often[order] - counts.mean(), 0.0))
+    lists = np.cumsum(np.maximum(often[order] - usual, 0.0))
     m = 1 + int(np.argmin([lists[base + i - 2] * (1 + VERIFY_COST / i) for i in range(1, most - base + 2)]))
     return m, h[order[: base + m - 1]]
 
 
 def parity(h: np.ndarray) -> np.ndarray:
     """Bit b: whether an odd number of the shingles fall on b. Two sets differ in as many shingles at least as bits."""
-    odd = np.bincount((h.view(np.uint64) & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], 1 << (len(h) - 1).bit_length() >> 1 if len(h) else 1))
+    odd = np.bincount((h.view(np.uint64) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8))
 
 
@@ -141,39 +151,68 @@ def _match(percent: int):
 
     def match(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         rep, n, m, side = (table[c].to_numpy() for c in ("rep", "n", "m", "side"))
-        raw, _ = column_bytes(table["bitmap"].chunk(0))
-        bits = raw.view(np.uint64).reshape(len(rep), -1)
+        raw, at = column_bytes(table["bitmap"].chunk(0))
         prefixes = table["prefix"].chunk(0)
 
-        def possible(i, j: np.ndarray) -> np.ndarray:
-            """Which of the pairs i, j may link."""
-            small, large = np.minimum(n[j], n[i]), np.maximum(n[j], n[i])
-            keep = 100 * small >= percent * large
-            both = n[j] + n[i] - np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)  # twice the overlap at most
-            keep &= 100 * both >= percent * (2 * (n[j] + n[i]) - both)
+        def bitmap(i: int, size: int) -> np.ndarray:
+            """Row i's bitmap of size bytes; folding halves together keeps the parity."""
+            out = raw[at[i] : at[i + 1]]
+            while len(out) > size:
+                out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+            return out.view(np.uint64)
+
+        def sharing(i: int, j: np.ndarray) -> np.ndarray:
+            """Those of j that share as many prefix shingles with i as the pair asks for."""
             ask = np.minimum(m[j], m[i])
-            i = np.broadcast_to(i, j.shape)
-            for x in np.flatnonzero(keep & (ask > 1)):
-                keep[x] = len(np.intersect1d(prefixes[int(i[x])].values, prefixes[int(j[x])].values, assume_unique=True)) >= ask[x]
-            return keep
-
-        def rows(a: int, b: int):
-            across = (side[a:b] == 0).any() and (side[a:b] == 1).any()
-            for i in range(a, b - 1):
-                j = np.arange(i + 1, b)
+            keep = [a <= 1 or len(np.intersect1d(prefixes[i].values, prefixes[int(x)].values, assume_unique=True)) >= a for x, a in zip(j, ask, strict=True)]
+            return j[np.array(keep, dtype=bool)]
+
+        def rows(order: np.ndarray, across: bool):
+            """For each row of a group (in the order of n) the later rows that may link with it, as places in the order."""
+            size = n[order]
+            limit = np.searchsorted(size, size * 100 // percent, side="right")
+            width = np.diff(at)[order]
+            stacks: dict[int, tuple[int, int, np.ndarray]] = {}
+            for i in range(len(order) - 1):
+                hi = int(limit[i])
+                if hi <= i + 1:
+                    continue
+                w = int(width[i])
+                top = max(hi, int(np.searchsorted(width, w, side="right")))
+                if w not in stacks or stacks[w][0] < top:
+                    low = int(np.searchsorted(width, w))
+                    stacks = {w: (top, low, np.stack([bitmap(int(x), w) for x in order[low:top]]))}
+                _, low, stack = stacks[w]
+                apart = np.bitwise_count(stack[i + 1 - low : hi - low] ^ stack[i - low]).sum(axis=1, dtype=np.int64)
+                total = size[i + 1 : hi] + size[i]
+                both = total - apart  # twice the overlap at most
+                j = i + 1 + np.flatnonzero(100 * both >= percent * (2 * total - both))
                 if across:
-                    j = j[side[j] != side[i]]
-                yield i - a, j[possible(i, j)] - a
+                    j = j[side[order[j]] != side[order[i]]]
+                if len(j) and m[order[i]] > 1:
+                    j = i + 1 + np.flatnonzero(np.isin(order[i + 1 : hi], sharing(int(order[i]), order[j])))
+                yield i, j
 
+        found_a, found_b = [], []
         sizes = np.diff(cuts)
+        widths = np.diff(at)
         two = cuts[:-1][sizes == 2]
-        two = two[possible(two, two + 1)]
-        left, right = [rep[two]], [rep[two + 1]]
-        for a, b in zip(cuts[:-1][sizes > 2], cuts[1:][sizes > 2], strict=True):
-            edges = np.array(spanning(b - a, rows(a, b)), dtype=np.int64).reshape(-1, 2) + a
-            left.append(rep[edges[:, 0]])
-            right.append(rep[edges[:, 1]])
-        return _edges(np.concatenate(left), np.concatenate(right))
+        plain = two[(widths[two] == widths[two + 1]) & (np.minimum(m[two], m[two + 1]) <= 1) & (widths[two] == BITMAP_BITS[0] // 8)]
+        if len(plain):
+            x, y = (raw[at[plain + d][:, None] + np.arange(BITMAP_BITS[0] // 8)] for d in (0, 1))
+            total = n[plain] + n[plain + 1]
+            both = total - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            plain_ok = plain[(100 * both >= percent * (2 * total - both)) & (100 * np.minimum(n[plain], n[plain + 1]) >= percent * np.maximum(n[plain], n[plain + 1]))]
+            found_a.append(rep[plain_ok])
+            found_b.append(rep[plain_ok + 1])
+        done = np.isin(cuts[:-1], plain)
+        for a, b in zip(cuts[:-1][~done], cuts[1:][~done], strict=True):
+            order = a + np.argsort(n[a:b], kind="stable")
+            across = bool((side[a:b] == 0).any() and (side[a:b] == 1).any())
+            edges = np.array(spanning(b - a, rows(order, across)), dtype=np.int64).reshape(-1, 2)
+            found_a.append(rep[order[edges[:, 0]]])
+            found_b.append(rep[order[edges[:, 1]]])
+        return _edges(np.concatenate([*found_a, np.zeros(0, np.int64)]), np.concatenate([*found_b, np.zeros(0, np.int64)]))
 
     return match
 
@@ -223,15 +262,12 @@ def _verify(percent: int):
     return verify
 
 
-def in_block_pairs(rows: DataFrame, group: list[str], size: int, sizes: DataFrame) -> DataFrame:
-    """rows for grouping by group, x and y: whole small groups, and for larger ones each pair of blocks (x <= y).
-
-    sizes has the columns of group and members, the number of rows. side tells the two blocks of a pair apart.
-    """
-    cut = rows.join(sizes, group).withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+def in_block_pairs(rows: DataFrame, size: int) -> DataFrame:
+    """rows (with members, the size of their group) for grouping by group, x and y: whole small groups, and for larger ones each
+    pair of blocks (x <= y). side tells the two blocks of a pair apart."""
     return (
-        cut.withColumn("own", own)
+        rows.withColumn("blocks", F.ceil(F.col("members") / size).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
         .drop("own", "other", "blocks", "members")
@@ -242,6 +278,8 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, percent: int, id_colum
     """A row for each row of docs: doc_id, n, the digest of the set (d1, d2), m, prefix and bitmap."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
 
+    usual = float(counts.mean())
+
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, k):
             d1, d2, m, tokens, bitmaps = [], [], [], [], []
@@ -249,7 +287,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, percent: int, id_colum
                 digest = xxhash.xxh3_128_digest(h.tobytes())
                 d1.append(int.from_bytes(digest[:8], "little", signed=True))
                 d2.append(int.from_bytes(digest[8:], "little", signed=True))
-                matches, first = prefix(h, shared.value, percent) if len(h) else (0, h)
+                matches, first = prefix(h, shared.value, usual, percent) if len(h) else (0, h)
                 m.append(matches)
                 tokens.append(first)
                 bitmaps.append(parity(h).tobytes())
@@ -260,7 +298,7 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, percent: int, id_colum
             )
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(profile, "doc_id long, n long, d1 long, d2 long, m int, prefix array<long>, bitmap binary")
+    return rows.mapInArrow(lean(profile), "doc_id long, n long, d1 long, d2 long, m int, prefix array<long>, bitmap binary")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -272,12 +310,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "n", "m", "prefix", "bitmap")
     tokens = standing.select("rep", F.explode("prefix").alias("token"))
     groups = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "prefix-groups")
-    met = staged(tokens.join(small_side(groups.select("token")), "token", "left_semi"), "met-tokens")
-    wide = staged(standing.join(small_side(met.select("rep").distinct()), "rep", "left_semi"), "met-profiles")
-    narrow = F.when(F.col("m") > 1, F.col("prefix")).otherwise(F.array().cast("array<long>")).alias("prefix")
-    members = met.join(wide.select("rep", "n", "m", narrow, "bitmap"), "rep")
-    pairs = in_block_pairs(members, ["token"], GROUP_ROWS, groups)
-    candidates = by_groups(pairs, ["token", "x", "y"], _match(percent), "a long, b long")
+    met = staged(tokens.join(groups, "token"), "met-tokens")
+    wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi"), "met-profiles")
+    asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
+    members = in_block_pairs(met, GROUP_ROWS).join(wide.select("rep", "n", "m", asked, "bitmap"), "rep")
+    candidates = by_groups(members, ["token", "x", "y"], _match(percent), "a long, b long")
     clusters = staged(components(candidates, "candidates").withColumnRenamed("node", "rep"), "clusters")
     links = staged(_links(docs, clusters, k, percent, id_column, text_column), "links")
     linked = components(links, "links").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
@@ -296,9 +333,9 @@ def _links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, id_column
 
     own = small_side(clusters.select(F.col("rep").alias("__cz_rep"), F.col("component").alias("__cz_cluster")))
     texts = docs.join(own, F.col(id_column).cast("long") == F.col("__cz_rep")).select(F.col("__cz_rep").alias("rep"), F.col("__cz_cluster").alias("cluster"), F.col(text_column).alias("text"))
-    sets = texts.mapInArrow(hashes, "rep long, cluster long, hashes binary")
+    sets = texts.mapInArrow(lean(hashes), "rep long, cluster long, hashes binary")
     sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("members"))
-    pairs = in_block_pairs(sets, ["cluster"], BLOCK_DOCS, staged(sizes, "cluster-sizes"))
+    pairs = in_block_pairs(sets.join(small_side(staged(sizes, "cluster-sizes")), "cluster"), BLOCK_DOCS)
     return by_groups(pairs, ["cluster", "x", "y"], _verify(percent), "a long, b long")
 
 
