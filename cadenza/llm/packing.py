@@ -17,6 +17,7 @@ repeat a doc_id are packed each; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import deque
 from collections.abc import Iterator
 from zlib import crc32
@@ -24,70 +25,92 @@ from zlib import crc32
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from cadenza.llm.common import sub_batches
+from cadenza.llm.common import lean, sub_batches
 
 SIZE = 2048
 CLOSING_ID = 1
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 SENTENCE_CUT = 4
 HARD_CUT = 64
 #: What a window costs that is short but a power of two, and so needs no padding.
 SHORT_WINDOW = 8
 #: Pieces between spaces whose ids a task remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 250_000
 
 #: A space between white space, or at the end after some: there the ids of pieces cannot be put together.
 _ODD_SPACES = re.compile(r"\s (?:\s|$)")
 
 
+def byte_symbols() -> dict[str, int]:
+    """The characters by which byte-level vocabularies write bytes: printable ones stand for themselves, others follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+class _Remembered(dict):
+    """piece: the ids of the piece with a space before it, as little-endian 32-bit numbers; the first ones met stay."""
+
+    def __init__(self, encode) -> None:
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> bytes:
+        out = array("I", self.encode(" " + piece)).tobytes()
+        if len(self) < REMEMBERED:
+            self[piece] = out
+        return out
+
+
 class PieceTokenizer:
-    """The ids of a tokenizers file, by remembering the ids of the pieces between single spaces.
+    """The ids that a byte-level BPE file of the tokenizers library gives, from the ids of the pieces between single spaces.
 
-    A byte-level BPE of this kind never joins across a space that stands before other characters, so a text's ids are
-    those of its pieces. Texts with special tokens or odd runs of white space are encoded whole.
+    Such a BPE never joins across a space that stands before other characters, so a text's ids are those of its
+    pieces, and most pieces recur. The file's vocabulary, whose ids are in the order of its merges, drives tiktoken's
+    encoder. Texts with special tokens or odd runs of white space are encoded whole by tokenizers itself.
     """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.first: dict[str, bytes] = {}
-        self.after: dict[str, bytes] = {}
-        vocabulary = self.whole.get_vocab_size()
-        self.ends_sentence = np.zeros(vocabulary + 1, dtype=bool)
-        for i in range(vocabulary):
-            token = self.whole.id_to_token(i) or ""
-            self.ends_sentence[i] = token.endswith((".", "!", "?", "Ċ")) or token in (".\"", "!\"", "?\"")  # U+010A stands for a line feed
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        symbols = byte_symbols()
+        ranks = {bytes(symbols[c] for c in token): i for token, i in self.whole.get_vocab(with_added_tokens=False).items() if token not in self.special}
+        self.encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.after = _Remembered(self.encode)
+        self.ends_sentence = np.zeros(max(ranks.values()) + 2, dtype=bool)
+        for token, i in ranks.items():
+            self.ends_sentence[i] = token.endswith((b".", b"!", b"?", b"\n")) or token in (b'."', b'!"', b'?"')
 
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<u4")
         if _ODD_SPACES.search(text) or any(s in text for s in self.special):
-            return np.frombuffer(self._encode([text])[0], dtype="<u4")
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4")
         head, *rest = text.split(" ")
-        after = self.after
-        new = list({p for p in rest if p not in after})
-        if new:
-            if len(after) + len(new) > REMEMBERED:
-                after = {p: after[p] for p in rest if p in after}
-            after.update(zip(new, self._encode([" " + p for p in new]), strict=True))
-        start = self._encode([head])[0] if head else b""
-        return np.frombuffer(start + b"".join([after[p] for p in rest]), dtype="<u4")
+        return np.frombuffer(array("I", self.encode(head)).tobytes() + b"".join(map(self.after.__getitem__, rest)), dtype="<u4")
 
 
 def cuts(positions: np.ndarray, costs: np.ndarray, size: int = SIZE) -> list[int]:
     """Which boundaries to cut at, the last always: positions are ascending, the first 0, gaps at most size."""
     n = len(positions)
+    number = np.full(int(positions[-1]) + 1, -1, dtype=np.int64)
+    number[positions] = np.arange(n)
+    # for each boundary those that lie a smaller power of two before it
+    short_i, short_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for k in range((size - 1).bit_length()):
+        i = np.flatnonzero(positions >= 1 << k)
+        j = number[positions[i] - (1 << k)]
+        short_i.append(i[j >= 0])
+        short_j.append(j[j >= 0])
+    by_i = np.argsort(np.concatenate(short_i), kind="stable")
+    short = np.concatenate(short_j)[by_i].tolist()
+    first = np.searchsorted(np.concatenate(short_i)[by_i], np.arange(n + 1)).tolist()
     p, c = positions.tolist(), costs.tolist()
-    at = {x: i for i, x in enumerate(p)}
-    powers = [1 << k for k in range(size.bit_length()) if 1 << k < size]
     total, back = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque()
     for i in range(1, n):
@@ -99,9 +122,8 @@ def cuts(positions: np.ndarray, costs: np.ndarray, size: int = SIZE) -> list[int
             queue.popleft()
         best, j = queue[0]
         best += size - here
-        for k in powers:
-            o = at.get(here - k)
-            if o is not None and total[o] + SHORT_WINDOW < best:
+        for o in short[first[i] : first[i + 1]]:
+            if total[o] + SHORT_WINDOW < best:
                 best, j = total[o] + SHORT_WINDOW, o
         total[i], back[i] = best + c[i], j
     out, i = [], n - 1
@@ -130,11 +152,8 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _pack(tokenizer_path: str, size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = PieceTokenizer(tokenizer_path)
         sequence = TaskContext.get().partitionId() << 33
         names, held, count = [], [], 0
@@ -178,7 +197,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """A row for each piece of a document: where it starts in the document's ids, and its sequence and place there."""
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(_pack(path, size), _PIECES)
+    return rows.mapInArrow(lean(_pack(path, size)), _PIECES)
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
