@@ -348,3 +348,25 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "d
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, percent=90)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM split
+), sizes AS (
+  SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM sets
+), shingles AS (
+  SELECT doc_id, unnest(s) AS x FROM sets
+), shared AS (
+  SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS both_ FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT i, j FROM shared JOIN sizes p ON p.doc_id = i JOIN sizes q ON q.doc_id = j WHERE 100 * both_ >= 90 * (p.n + q.n - both_)
+), either AS (
+  SELECT i, j FROM links UNION ALL SELECT j, i FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT r.doc_id, e.j FROM reach r JOIN either e ON e.i = r.other
+)
+SELECT s.doc_id, s.n AS n_shingles, m.component_id FROM sizes s JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) m ON m.doc_id = s.doc_id
+"""
