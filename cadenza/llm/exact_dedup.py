@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.llm import golomb
-from cadenza.llm.common import small_side, staged, text_of
+from cadenza.llm.common import lean, small_side, staged, text_of
 
 BITS = 48
 BLOCK_ROWS = 1 << 20
@@ -104,7 +104,7 @@ def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     spark = docs.sparkSession
     owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), fingerprint(text_column, bits).alias("fp"), F.sha2(text_of(text_column), 256).alias("sha"))
-    sent = staged(narrow.mapInArrow(_send(owners, bits), _SENT), "fingerprints")
+    sent = staged(narrow.mapInArrow(lean(_send(owners, bits)), _SENT), "fingerprints")
     rows = sent.where("n IS NULL").select("doc_id", "fp", "sha", "block", "owner", "pos")
     pieces = sent.where("n IS NOT NULL").select("block", "owner", "n", "k", "code")
     bitmaps = staged(pieces.groupBy("owner").applyInPandas(_answer, "block string, owner int, bitmap binary"), "bitmaps")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import sub_batches
+from cadenza.llm.common import lean, sub_batches
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "jwt", "pem")
@@ -111,7 +111,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             yield pa.record_batch({"doc_id": batch.column(0), "spans": pa.array(found, _SPAN_TYPE)})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, spans {_SPANS}")
+    return rows.mapInArrow(lean(run), f"doc_id long, spans {_SPANS}")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
