@@ -23,9 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from cadenza.llm.common import staged, sub_batches
+from cadenza.llm.common import label_sample, lean, staged, sub_batches
 from cadenza.llm.textbytes import column_bytes
 
 DIMENSIONS = 4096
@@ -128,14 +127,13 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_rows: int = MAX_ROWS) -> Model:
-    known = docs.where(F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & ~held_out(id_column)).select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang"))
+    known = docs.where(F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & ~held_out(id_column)).select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang")).distinct()
     languages = known.select("lang").distinct().limit(max_rows).count()
     each = max(1, max_rows // max(1, languages))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each).limit(max_rows)
+    chosen = label_sample(known, "lang", "doc_id", each).limit(max_rows)
     ids = F.broadcast(staged(chosen.select(F.col("doc_id").alias("__cz_id"), F.col("lang").alias("__cz_lang")).distinct(), "language-sample"))  # max_rows at most
-    texts = docs.join(ids, (F.col(id_column) == F.col("__cz_id")) & (F.col(lang_column) == F.col("__cz_lang"))).select(F.col("__cz_lang").alias("lang"), F.col(text_column).alias("text"))
-    rows = texts.where("text RLIKE '\\\\p{L}'").limit(2 * max_rows).mapInArrow(_count, "lang string, x binary").collect()
+    texts = docs.join(ids, (F.col(id_column) == F.col("__cz_id")) & (F.col(lang_column) == F.col("__cz_lang"))).groupBy("__cz_id", F.col("__cz_lang").alias("lang")).agg(F.min(text_column).alias("text"))
+    rows = texts.select("lang", "text").where("text RLIKE '\\\\p{L}'").mapInArrow(lean(_count), "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, dtype=np.float16) for r in rows], dtype=np.float32).reshape(len(rows), DIMENSIONS)
     return fit(x, [r.lang for r in rows])
@@ -169,7 +167,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_column: str = "
     """The columns keep of docs, with lang_pred, score, runner_up (its score) and ambiguous."""
     asked = docs.select(*keep, F.col(text_column).alias("__cz_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keep).schema) + ", lang_pred string, score double, runner_up double"
-    return asked.mapInArrow(_predict(model, len(keep)), schema).withColumn("ambiguous", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") < SURE))
+    return asked.mapInArrow(lean(_predict(model, len(keep))), schema).withColumn("ambiguous", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") < SURE))
 
 
 def keep_identified(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
