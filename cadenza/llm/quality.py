@@ -24,9 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from cadenza.llm.common import lean, staged, sub_batches
+from cadenza.llm.common import label_sample, lean, staged, sub_batches
 from cadenza.llm.textbytes import FOLDED_CODES, IS_SPACE, column_bytes, run_hashes
 
 GRADES = 3
@@ -137,12 +136,9 @@ def learn(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", text_c
     """ratings has the columns of id_column and grade."""
     rated = ratings.where(F.col(id_column).isNotNull() & F.col("grade").isNotNull()).groupBy(F.col(id_column).alias("__cz_id")).agg(F.min("grade").cast("int").alias("grade"))
     there = docs.select(F.col(id_column).alias("__cz_id")).distinct()
-    salted = rated.join(there, "__cz_id").withColumn("salt", F.pmod(F.xxhash64("__cz_id", F.lit(1)), F.lit(64)))
-    each, order = max_rows // GRADES, [F.xxhash64("__cz_id"), F.col("__cz_id")]
-    some = salted.withColumn("n", F.row_number().over(W.partitionBy("grade", "salt").orderBy(*order))).where(F.col("n") <= each)
-    chosen = some.withColumn("n", F.row_number().over(W.partitionBy("grade").orderBy(*order))).where(F.col("n") <= each)
+    chosen = label_sample(rated.join(there, "__cz_id"), "grade", "__cz_id", max_rows // GRADES)
     ids = F.broadcast(staged(chosen.select("__cz_id", "grade"), "rated-sample"))  # max_rows at most
-    texts = docs.join(ids, F.col(id_column) == F.col("__cz_id")).select("grade", F.coalesce(F.col(text_column), F.lit("")).alias("text")).limit(2 * max_rows)
+    texts = docs.join(ids, F.col(id_column) == F.col("__cz_id")).groupBy("__cz_id", "grade").agg(F.min(F.coalesce(F.col(text_column), F.lit(""))).alias("text")).select("grade", "text")
     rows = texts.mapInArrow(lean(_features), "grade int, tokens binary, extra binary").collect()
     rows.sort(key=lambda r: (r.grade, bytes(r.extra), bytes(r.tokens)))
     if not rows:
