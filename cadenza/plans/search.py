@@ -6,19 +6,14 @@ aq_strength): recorded trials by an exact join, or a surface. Every round measur
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.functions import params as P
 from cadenza.operators import select
-from cadenza.plans import design
-
-Measure = Callable[[DataFrame], DataFrame]
-SEQ = ("stage", "seq")
-TRIAL = ["segment_hash", "encoder", "crf", "aq_mode", "aq_strength", "vmaf", "out_bytes", "ref_bytes", *SEQ]
+from cadenza.plans import adaptive, design
+from cadenza.plans.rounds import SEQ, TRIAL, Measure, measured, rated
 
 
 def recorded(trials: DataFrame) -> Measure:
@@ -45,12 +40,6 @@ def shifted_surface(offsets: DataFrame) -> Measure:
     return measure
 
 
-def rated(trials: DataFrame, targets: DataFrame) -> DataFrame:
-    """Measured trials with their rates, against every target (a handful, so they are broadcast)."""
-    rate = F.when(F.col("ref_bytes") > 0, F.col("out_bytes") / F.col("ref_bytes")).otherwise(1.0)
-    return trials.where("vmaf IS NOT NULL").withColumn("rate", rate).crossJoin(F.broadcast(targets))
-
-
 def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, strategy: str = "screen", n: int = 8) -> DataFrame:
     """The shared exploration: an AQ screen, or a design of n points (grid, halton, lhs, random)."""
     if strategy == "screen":
@@ -61,19 +50,25 @@ def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, strategy:
     else:
         points = design.sampled_design(spaces, strategy, n)
     asked = segments.select("segment_hash", "encoder").join(F.broadcast(points), "encoder").withColumn("stage", F.lit(0))
-    return measure(asked).select(*TRIAL)
+    return measured(measure, asked)
 
 
 def solve_targets(explored: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, n_refine: int = 2, method: str = "secant") -> DataFrame:
-    """For each target the highest crf that meets it at each of the n_refine best AQ settings, as trials.
+    """For each target the highest crf that meets it at each of the n_refine best AQ settings, as trials."""
+    best = select.rank_aq(rated(explored, targets), n_refine, SEQ)
+    return solve_settings(explored, best, spaces, targets, measure, method)
+
 
-    Where no explored crf meets the target the least crf is tried, where all do the greatest; then brackets are narrowed.
+def solve_settings(explored: DataFrame, settings: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, method: str = "secant") -> DataFrame:
+    """The highest crf that meets the target at each of settings (segment_hash, target, aq_mode, aq_strength), as trials.
+
+    Where no explored crf meets the target the least crf is tried (and is the answer if even that fails), where all do the greatest;
+    then brackets are narrowed.
     """
     r = rated(explored, targets)
     group = ["segment_hash", "aq_mode", "aq_strength", "target"]
-    best = select.rank_aq(r, n_refine, SEQ).select(*group)
     ends = r.select("segment_hash", "encoder").distinct().join(F.broadcast(spaces.select("encoder", "crf_min", "crf_max")), "encoder")
-    open_ = select.crf_bracket(r, SEQ).join(best, group, "left_semi").join(ends, "segment_hash")
+    open_ = settings.select(*group).join(select.crf_bracket(r, SEQ), group, "left").join(ends, "segment_hash")
     for end, missing, c, v in (("crf_min", "crf_low", "crf_low", "vmaf_low"), ("crf_max", "crf_high", "crf_high", "vmaf_high")):
         probed = measure(open_.withColumn("crf", F.when(F.col(missing).isNull(), F.col(end))))
         meets = (F.col("vmaf") >= F.col("target")) if end == "crf_min" else (F.col("vmaf") < F.col("target"))
@@ -85,12 +80,23 @@ def solve_targets(explored: DataFrame, spaces: DataFrame, targets: DataFrame, me
         open_ = kept.drop("crf", "vmaf", "out_bytes", "ref_bytes")
     solved = design.solve_crf(open_, measure, method, rounds=8)
     order = W.partitionBy("segment_hash").orderBy("target", "aq_mode", "aq_strength")
-    answers = solved.where("crf_low IS NOT NULL").withColumns({"crf": F.col("crf_low"), "stage": F.lit(1), "seq": F.row_number().over(order)})
-    return measure(answers).select(*TRIAL)
+    answers = solved.withColumns({"crf": F.coalesce("crf_low", "crf_min"), "stage": F.lit(1), "seq": F.row_number().over(order)})
+    return measure(answers).where("vmaf IS NOT NULL").select(*TRIAL)
 
 
 def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 8, n_refine: int = 2) -> DataFrame:
-    """The best trial of each segment and target, or the one of highest quality where none is feasible."""
-    explored = explore(segments, spaces, measure, strategy, n)
-    trials = explored.unionByName(solve_targets(explored, spaces, targets, measure, n_refine))
+    """The best trial of each segment and target, or the one of highest quality where none is feasible.
+
+    strategy: screen, grid, halton, lhs, random, bayes, tpe or cmaes, which explore and then solve the n_refine best settings, or
+    coordinate or boundary, which screen and then walk. The models explore for the lowest target.
+    """
+    if strategy in adaptive.WALKS:
+        solve = lambda trials, settings: solve_settings(trials, settings, spaces, targets, measure)
+        trials = adaptive.WALKS[strategy](explore(segments, spaces, measure, "screen", n), spaces, targets, measure, solve)
+    else:
+        if strategy in adaptive.MODELS:
+            explored = adaptive.explore(segments, spaces, measure, strategy, targets.agg(F.min("target")).first()[0], n)
+        else:
+            explored = explore(segments, spaces, measure, strategy, n)
+        trials = explored.unionByName(solve_targets(explored, spaces, targets, measure, n_refine))
     return select.best_or_closest(rated(trials, targets), SEQ).select("segment_hash", "target", "feasible", "crf", "aq_mode", "aq_strength", "vmaf", F.round("score", 6).alias("score"))
