@@ -184,3 +184,14 @@ def test_recorded_measurements_join_exactly(spark, sf_dir):
     odd = some.withColumn("crf", F.col("crf") + 1000)
     got = search.recorded(trials)(some.unionByName(odd)).collect()
     assert [r.vmaf is None for r in sorted(got, key=lambda r: r.crf)].count(True) == len(got) // 2
+
+
+def test_quantile_fit_follows_the_label_from_below(spark):
+    features = [f"cast(id * {i + 1} % 50 as double) AS {name}" for i, name in enumerate(views.FEATURES)]
+    rows = spark.range(400).selectExpr("concat('src_', id % 8) AS source", *features, "cast(30.0 + id % 50 / 5.0 + id * 7 % 11 / 5.0 as double) AS crf")
+    middle, low = (modeling.fit_quantile(rows, "crf", quantile=q, trees=4) for q in (0.5, 0.1))
+    got = modeling.predict(rows, low)
+    assert set(got.columns) == {*rows.columns, "predicted"} and got.count() == 400
+    below = got.agg(F.avg((F.col("predicted") <= F.col("crf") + 1e-9).cast("int"))).first()[0]
+    assert 0.75 <= below <= 1.0 and low[2] < middle[2]
+    assert got.agg(F.corr("predicted", "crf")).first()[0] > 0.9
