@@ -6,8 +6,10 @@ bytes, so a passage that occurs in two texts is cut alike in both (but for its e
 longer than RADIUS bytes, and in long runs without such a place they are cut every MOST bytes.
 
 Chunks are compared by 128-bit digests. Spark counts digests with partial sums, so a passage in any number of documents
-costs one row per task. Chunks in several documents that stand side by side make up a span, and spans of at least
-MIN_BYTES bytes are repeats; the document with the smallest id keeps its copy.
+costs one row per task. Chunks in several documents that stand side by side make up a run, and runs of at least
+MIN_BYTES bytes are repeats. Of each chunk the document with the smallest id keeps its copy, so a run falls into spans by
+keeper. A document also keeps what lies in lesser ids for less than MIN_BYTES bytes on end: a short passage shared with
+another document takes nothing out of it. What is cut is thus always held whole, chunk by chunk, by its keepers.
 
 Defined results: a null text is empty and has no chunks; rows that repeat a doc_id count as one document, and a row without
 doc_id is never a repeat; repeats within one document alone are not reported; an empty table gives an empty result. A
@@ -97,21 +99,34 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """A row for each repeated span: doc_id, start and n_bytes (in UTF-8), keep_id (the smallest id that shares one of its
-    chunks), and copies, how often its most frequent chunk occurs."""
+    """A row for each repeated span: doc_id, start and n_bytes (in UTF-8), keep_id (the document that keeps it: doc_id itself,
+    or the smallest id that shares its chunks), and copies, how often its most frequent chunk occurs. Spans of a run stand
+    side by side and may each be shorter than min_bytes."""
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     chunks = staged(rows.mapInArrow(lean(_chunk), _CHUNKS), "chunks")
     seen = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
     shared = staged(seen.where("keep_id <> last_id").drop("last_id"), "shared-chunks")
     hits = chunks.join(small_side(shared), ["d1", "d2"])
-    by_place = W.partitionBy("doc_id").orderBy("start", "stop")
+    by_place = W.partitionBy("doc_id").orderBy("start", "stop", "keep_id")
     reach = F.max("stop").over(by_place.rowsBetween(W.unboundedPreceding, -1))
-    marked = hits.withColumn("opens", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    spans = marked.withColumn("span", F.sum("opens").over(by_place)).groupBy("doc_id", "span")
+    before = F.lag("keep_id").over(by_place)
+    marked = hits.withColumns({"apart": F.coalesce(reach, F.lit(-1)) < F.col("start"), "before": before})
+    turns = (F.col("before") == F.col("doc_id")) != (F.col("keep_id") == F.col("doc_id"))
+    opens = {"run": F.col("apart"), "part": F.col("apart") | turns, "piece": F.col("apart") | (F.col("before") != F.col("keep_id"))}
+    pieces = (
+        marked.select("doc_id", "start", "stop", "keep_id", "copies", *[F.sum(v.cast("int")).over(by_place).alias(k) for k, v in opens.items()])
+        .groupBy("doc_id", "run", "part", "piece")
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("keep_id").alias("keep_id"), F.max("copies").alias("copies"))
+    )
+    bytes_in = lambda k: F.max("stop").over(W.partitionBy("doc_id", k)) - F.min("start").over(W.partitionBy("doc_id", k))
+    kept = pieces.withColumns({"run_bytes": bytes_in("run"), "part_bytes": bytes_in("part")}).where(F.col("run_bytes") >= min_bytes)
+    kept = kept.withColumn("keep_id", F.when(F.col("part_bytes") < min_bytes, F.col("doc_id")).otherwise(F.col("keep_id")))
+    in_run = W.partitionBy("doc_id", "run").orderBy("piece")
+    fresh = F.coalesce(F.lag("keep_id").over(in_run) != F.col("keep_id"), F.lit(True))
+    spans = kept.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(in_run)).groupBy("doc_id", "run", "span")
     return (
         spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("keep_id").alias("keep_id"), F.max("copies").alias("copies"))
         .withColumn("n_bytes", F.col("stop") - F.col("start"))
-        .where(F.col("n_bytes") >= min_bytes)
         .select("doc_id", "start", "n_bytes", "keep_id", "copies")
     )
 
@@ -124,7 +139,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     cut = F.aggregate(
         places,
         F.struct(F.lit(0).alias("at"), F.lit("").cast("binary").alias("kept")),
-        lambda acc, s: F.struct((s["start"] + s["n_bytes"]).alias("at"), F.concat(acc["kept"], F.substring(F.col(text_column).cast("binary"), acc["at"] + 1, s["start"] - acc["at"])).alias("kept")),
+        lambda acc, s: F.struct(F.greatest(acc["at"], s["start"] + s["n_bytes"]).alias("at"), F.concat(acc["kept"], F.substring(F.col(text_column).cast("binary"), acc["at"] + 1, s["start"] - acc["at"])).alias("kept")),
         lambda acc: F.decode(acc["kept"], "UTF-8"),
     )
     met = docs.join(small_side(spans), F.col(id_column).cast("long") == F.col("__cz_id"), "left")

@@ -69,3 +69,21 @@ def test_odd_rows_and_copies(spark):
     docs = spark.createDataFrame([(i, text) for i in (4, 9, 2)] + [(20, text), (20, text)], "doc_id long, text string")
     got = {r.doc_id: (r.start, r.n_bytes, r.keep_id) for r in substring_dedup.repeats(docs).collect()}
     assert got == dict.fromkeys((2, 4, 9, 20), (0, len(text.encode()), 2))
+
+
+def test_copies_that_share_a_passage_with_an_earlier_document_survive(spark):
+    rng = random.Random(11)
+    text = " ".join(prose(rng, 300))
+    raw = text.encode()
+    ends = substring_dedup.chunk_ends(np.frombuffer(raw, np.uint8)).tolist()
+    a, b = next((a, b) for a, b in zip(ends, ends[1:], strict=False) if a > 600 and b - a < 60)
+    around = lambda passage: f"{' '.join(prose(rng, 150))} {passage} {' '.join(prose(rng, 150))}"
+    short, long = (around(raw[a - 60 : b + n].decode(errors="ignore")) for n in (30, 600))
+    for first, longest in ((short, 0), (long, 760)):
+        docs = spark.createDataFrame([(1, first), (5, text), (9, text)], "doc_id long, text string")
+        spans = [r for r in substring_dedup.repeats(docs).collect() if r.doc_id == 9]
+        assert {r.keep_id for r in spans} == {1, 5} and sum(r.n_bytes for r in spans) == len(raw)
+        after = {r.doc_id: r.text for r in substring_dedup.without_repeats(docs).collect()}
+        assert after[1] == first and after[9] == ""
+        gone = len(raw) - len(after[5].encode())
+        assert (gone == 0) if not longest else (500 < gone < longest)
