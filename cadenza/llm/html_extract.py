@@ -4,20 +4,23 @@ A page is cut into blocks (html_blocks). For every block the network gets the ha
 around it (with the words of their class, id and role), its hashed words, and how long and how linked it is; the two
 directions carry what stands before and after, so that each label hangs on the whole page.
 
-Learning: TRAIN_PAGES pages (those whose ids hash lowest) are labelled by what their mark-up says, where it says
-it plainly: blocks in an article or main element are text, unless they also lie in an element of another kind
-(MARGINS). So that the network also learns other templates, copies of these pages get other containers around the same
+Learning: TRAIN_PAGES pages (of those whose mark-up says plainly what their text is, the ones whose ids hash lowest) are
+labelled by it: blocks in an article or main element are text, unless they also lie in an element of another kind
+(MARGINS). Of a page of more than TRAIN_BYTES characters the blocks nearest to where the label changes are taught. So that
+the network also learns other templates, copies of these pages get other containers around the same
 blocks, and margins of kinds that the page lacks. The driver fits the weights, a fixed number, on these pages only.
+Where no page of a table says plainly what its text is, the query learns from blocks outside of MARGINS that are not mostly links.
 
 Defined results: a null or empty page, or one without text, gives ''; rows that repeat a page_id are read each; if there
-is nothing to learn from, every text is ''; an empty table gives an empty result. A task holds one Arrow batch
+are no weights, every text is ''; an empty table gives an empty result. A task holds one Arrow batch
 of pages, and the blocks of BATCH_BLOCKS places (pages times the longest one's blocks) at once.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -64,6 +67,30 @@ def taught(found: list[Block]) -> np.ndarray | None:
     return np.array([float(any(e[0] in ("article", "main") for e in b.path) and not m) for b, m in zip(found, margin, strict=True)], dtype=np.float32)
 
 
+def guessed(found: list[Block]) -> np.ndarray:
+    """For pages that do not say: 1 for blocks outside of margins that are not mostly links."""
+    margin = [any(e[0] in _MARGIN_NAMES or _MARGIN_WORDS & set(e[1:]) for e in b.path) for b in found]
+    return np.array([float(not m and b.linked < 0.5) for b, m in zip(found, margin, strict=True)], dtype=np.float32)
+
+
+def trimmed(found: list[Block], labels: np.ndarray, most: int = TRAIN_BYTES) -> tuple[list[Block], np.ndarray]:
+    """The page for training: all of it, or of a long one about most characters, in the blocks nearest to a change of label."""
+    if sum(len(b.text) for b in found) <= most:
+        return found, labels
+    places = np.arange(len(found))
+    turns = np.flatnonzero(np.diff(labels))
+    right = np.append(turns, 2 * len(found))[np.searchsorted(turns, places)] - places
+    left = places - 1 - np.insert(turns, 0, -2 * len(found))[np.searchsorted(turns, places)]
+    kept, used = [], 0
+    for i in np.argsort(np.minimum(left, right), kind="stable").tolist():
+        if used >= most and len(kept) > 1:
+            break
+        kept.append(i)
+        used += len(found[i].text)
+    kept.sort()
+    return [Block(found[i].path, found[i].text[:most], found[i].linked) for i in kept], labels[kept]
+
+
 def varied(found: list[Block], labels: np.ndarray, rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
     """The page with other containers, and with more margins before, within and after its text."""
     body = BODIES[rng.integers(len(BODIES))]
@@ -84,7 +111,7 @@ def varied(found: list[Block], labels: np.ndarray, rng: np.random.Generator) ->
     leaves = [("p",), ("h2",), ("li",), ("blockquote",), ("pre",), ("td",)]
     for b, y in zip(found, labels, strict=True):
         if y:
-            leaf = b.path[-1] if rng.random() < 0.8 else leaves[rng.integers(len(leaves))]
+            leaf = b.path[-1] if b.path and rng.random() < 0.8 else leaves[rng.integers(len(leaves))]
             held = [("section",)] if rng.random() < 0.1 else [("ul",)] if leaf == ("li",) else []
             out.append((Block((*wraps, body, *held, leaf), b.text, 0.0), 1.0))
             if rng.random() < 0.05:
@@ -94,19 +121,49 @@ def varied(found: list[Block], labels: np.ndarray, rng: np.random.Generator) ->
     return [b for b, _ in out], np.array([y for _, y in out], dtype=np.float32)
 
 
-def learn(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", most: int = TRAIN_PAGES) -> dict[str, np.ndarray] | None:
-    """The network's weights; None if no page says what its text is."""
-    ids = pages.where(F.col(id_column).isNotNull() & (F.length(html_column) <= TRAIN_BYTES)).select(F.col(id_column).alias("__cz_id")).distinct().orderBy(F.xxhash64("__cz_id"), "__cz_id").limit(most)
-    chosen = pages.join(F.broadcast(staged(ids, "page-sample")), F.col(id_column) == F.col("__cz_id")).groupBy("__cz_id").agg(F.min(html_column).alias("html")).select("html")  # most rows at most
+def sample(pages: DataFrame, id_column: str, html_column: str, most: int, teach: Callable[[list[Block]], np.ndarray | None]) -> list[tuple[list[Block], np.ndarray]]:
+    """The blocks and labels of the pages with text by teach, those (at most most) whose ids hash lowest.
+
+    The share of the ids that is read grows until enough pages are labelled, or all are read.
+    """
+    low = F.pmod(F.xxhash64("__cz_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = pages.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("__cz_id"), F.col(html_column).alias("__cz_html"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sub_batches(batches, "__cz_html"):
+            at, said = [], []
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                found = blocks(page) if page else []
+                labels = teach(found) if found else None
+                if labels is not None and labels.any():
+                    at.append(i)
+                    said.append(json.dumps([(b.path, b.text, b.linked, float(y)) for b, y in zip(*trimmed(found, labels), strict=True)]))
+            yield pa.record_batch({"__cz_id": batch.column(0).take(pa.array(at, pa.int64())), "said": pa.array(said, pa.string())})
+
+    n = rows.count()
+    share = (1.5 * most + 50) / max(1, n)
+    while True:
+        near = rows.where(low <= share).groupBy("__cz_id").agg(F.min("__cz_html").alias("__cz_html"))  # a repeated id once
+        labelled = staged(near.mapInArrow(lean(read), f"__cz_id {rows.schema['__cz_id'].dataType.simpleString()}, said string"), "page-sample")
+        if share >= 1 or labelled.count() >= most:
+            break
+        share *= 4
+    taken = labelled.orderBy(low, "__cz_id").limit(most).collect()  # most rows at most, each trimmed
+    out = []
+    for row in taken:
+        page = json.loads(row.said)
+        out.append(([Block(tuple(map(tuple, path)), text, linked) for path, text, linked, _ in page], np.array([x[3] for x in page], dtype=np.float32)))
+    return out
+
+
+def learn(pages: DataFrame, id_column: str = "page_id", html_column: str = "html", most: int = TRAIN_PAGES, guess: bool = False) -> dict[str, np.ndarray] | None:
+    """The network's weights; None if no page says what its text is. With guess it is guessed from margins and links."""
+    asked = pages if guess else pages.where(F.col(html_column).rlike(r"(?i)<(article|main)[\s/>]"))
+    rows = sample(asked, id_column, html_column, most, guessed if guess else taught)
     taken: list[Sequence] = []
     rng = np.random.default_rng(11)
-    rows = sorted(chosen.collect())
     copies = max(3, 3 * TRAIN_PAGES // max(1, len(rows)))  # few pages are varied more often
-    for row in rows:
-        found = blocks(row.html)
-        labels = taught(found) if found else None
-        if labels is None or not labels.any():
-            continue
+    for found, labels in rows:
         for blocks_now, marks in ((found, labels), *(varied(found, labels, rng) for _ in range(copies))):
             s = sequence(blocks_now)
             s.labels = marks
@@ -147,4 +204,5 @@ def extract(pages: DataFrame, weights: dict[str, np.ndarray] | None, id_column:
 
 def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return extract(pages, learn(pages), keep=("url",))
+    weights = learn(pages)
+    return extract(pages, learn(pages, guess=True) if weights is None else weights, keep=("url",))

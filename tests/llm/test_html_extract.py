@@ -67,3 +67,27 @@ def test_slopes_are_those_of_small_steps():
             losses.append(block_lstm.gradients(w, pages)[0])
         w[k][i] += 1e-3
         assert g[k][i] == pytest.approx((losses[0] - losses[1]) / 2e-3, rel=0.02, abs=1e-6)
+
+
+def _bare(i):
+    said = " ".join(f"word{(i * 7 + k) % 50}" for k in range(30))
+    return f"<html><body><div class='nav'><a href=x>Home {i}</a></div><div><p>Here {said}. And more of it, {said}.</p></div><div class='footer'>(c) {i}</div></body></html>"
+
+
+def test_rare_and_long_plain_pages_are_learned_from(spark):
+    long = "".join(f"<p>Line {k} of the story, which goes on and on. It is long.</p>" for k in range(2500))
+    plain = [(5000 + i, f"<html><body><nav><a href=x>Home</a></nav><main><h1>Story {i}</h1>{long}</main><footer>(c) me</footer></body></html>") for i in range(3)]
+    assert min(len(p[1]) for p in plain) > html_extract.TRAIN_BYTES
+    pages = spark.createDataFrame([(i, _bare(i)) for i in range(1500)] + plain, "page_id long, html string")
+    held = html_extract.sample(pages, "page_id", "html", 240, html_extract.taught)
+    assert len(held) == 3
+    for found, labels in held:
+        assert set(labels.tolist()) == {0.0, 1.0} and found[-1].text == "(c) me"
+        assert html_extract.TRAIN_BYTES // 2 < sum(len(b.text) for b in found) < 2 * html_extract.TRAIN_BYTES
+
+
+def test_a_table_without_plain_pages_has_texts(spark, tmp_path):
+    spark.createDataFrame([(i, "u", _bare(i)) for i in range(60)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = html_extract.op9_html_extract(spark, str(tmp_path)).collect()
+    assert len(rows) == 60
+    assert np.mean([r.text.startswith("Here word") and "Home" not in r.text and "(c)" not in r.text for r in rows]) > 0.95
