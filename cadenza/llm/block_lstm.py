@@ -38,10 +38,20 @@ def new_weights(seed: int = 5) -> dict[str, np.ndarray]:
 
 
 def _means(table: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
+    """The mean row of the table for each list; long lists are counted by bucket first."""
     sizes = np.array([len(x) for x in lists])
+    long = np.flatnonzero(sizes > len(table))
+    if len(long):
+        means = np.zeros((len(lists), table.shape[1]), table.dtype)
+        for i in long:
+            means[i] = np.bincount(lists[i], minlength=len(table)) @ table / sizes[i]
+        short = np.flatnonzero(sizes <= len(table))
+        if len(short):
+            means[short] = _means(table, [lists[i] for i in short])
+        return means
     flat = np.concatenate([*lists, np.zeros(1, np.int64)]).astype(np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    sums = np.add.reduceat(table[flat], starts, axis=0)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    sums = np.add.reduceat(table[flat], starts, axis=0)[:-1]  # without the row that was added
     sums[sizes == 0] = 0
     return sums / np.maximum(sizes, 1)[:, None]
 
@@ -124,8 +134,8 @@ def gradients(w: dict[str, np.ndarray], pages: list[Sequence]) -> tuple[float, d
         lists = [b for page in pages for b in getattr(page, name)]
         sizes = np.array([len(b) for b in lists])
         each = dx[there][:, lo : lo + EMBED] / np.maximum(sizes, 1)[:, None]
-        g[name] = np.zeros_like(w[name])
-        np.add.at(g[name], np.concatenate(lists).astype(np.int64), np.repeat(each, sizes, axis=0))
+        flat, owner = np.concatenate(lists).astype(np.int64), np.repeat(np.arange(len(lists)), sizes)
+        g[name] = np.stack([np.bincount(flat, weights=column[owner], minlength=len(w[name])) for column in each.T], axis=1).astype(w[name].dtype)
     return loss, g
 
 

@@ -1,7 +1,7 @@
 """HTML extraction: a bidirectional LSTM labels every text block of a page as main text or not.
 
 A page is cut into blocks (html_blocks). For every block the network gets the hashed names of the elements
-around it (with the words of their class, id and role), its hashed words, and how long and how linked it is; the two
+around it (with the words of their class, id and role), the mean of all its hashed words, and how long and how linked it is; the two
 directions carry what stands before and after, so that each label hangs on the whole page.
 
 Learning: TRAIN_PAGES pages (of those whose mark-up says plainly what their text is, the ones whose ids hash lowest) are
@@ -52,7 +52,7 @@ def sequence(found: list[Block]) -> Sequence:
     for b in found:
         names = [f"{e[0]}" for e in b.path] + [f".{w}" for e in b.path for w in e[1:]] + ([f"last:{b.path[-1][0]}"] if b.path else [])
         paths.append(np.array([zlib.crc32(n.encode()) % PATH_BUCKETS for n in names], dtype=np.int64))
-        words.append(np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in b.text[:400].lower().split()[:24]], dtype=np.int64))
+        words.append(np.array([zlib.crc32(w.encode()) % WORD_BUCKETS for w in b.text.lower().split()], dtype=np.int64))
     sizes = np.array([len(b.text) for b in found], dtype=np.float32)
     stops = np.array([sum(b.text.count(c) for c in ".!?") for b in found], dtype=np.float32)
     numbers = np.stack([np.log1p(sizes) / 5, np.array([b.linked for b in found], dtype=np.float32), np.minimum(stops, 10) / 10, np.arange(len(found), dtype=np.float32) / max(1, len(found))], axis=1)

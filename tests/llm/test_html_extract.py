@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from cadenza.llm import block_lstm, html_extract
-from cadenza.llm.html_blocks import blocks
+from cadenza.llm.html_blocks import Block, blocks
 
 
 def article(page):
@@ -91,3 +91,13 @@ def test_a_table_without_plain_pages_has_texts(spark, tmp_path):
     rows = html_extract.op9_html_extract(spark, str(tmp_path)).collect()
     assert len(rows) == 60
     assert np.mean([r.text.startswith("Here word") and "Home" not in r.text and "(c)" not in r.text for r in rows]) > 0.95
+
+
+def test_all_words_of_a_block_count():
+    head = " ".join(f"w{k}" for k in range(200))
+    a, b = html_extract.sequence([Block((), f"{head} {tail}", 0.0) for tail in ("subscribe now", "and so they left")]).words
+    assert len(a) == 202 and len(b) == 204 and a[:200].tolist() == b[:200].tolist()
+    table = np.random.default_rng(2).normal(size=(8, 3))
+    lists = [np.arange(40) % 7, np.array([3]), np.array([], dtype=np.int64), np.array([1, 1, 2])]
+    means = block_lstm._means(table, lists)
+    assert np.allclose(means, [table[x].mean(axis=0) if len(x) else np.zeros(3) for x in lists])
