@@ -10,13 +10,19 @@ from dataclasses import dataclass
 INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements without content (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page (fixed values).
-UNREAD = frozenset("script style noscript template textarea iframe object svg math select".split())
+#: Elements whose content is no text of the page: code, and what a reader may fill in (fixed values).
+UNREAD = frozenset("script style template textarea select".split())
+#: Elements of other languages: what lies in them is part of the block around, until an element begins that they cannot hold (fixed values).
+FOREIGN = frozenset(("math", "svg"))
+_APART = frozenset("mi mn mo ms mtext mtd annotation text tspan title desc".split())
 #: Elements that end an open paragraph when they begin (fixed values).
 _ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Elements that end an open element of their own kind when they begin (fixed values).
 _ENDS_OWN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+#: Elements that end open elements of other languages when they begin (fixed values).
+_LEAVES_FOREIGN = _ENDS_P | frozenset("body button caption dd dt head html iframe li noscript object option tbody td tfoot th thead tr".split())
+
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -35,16 +41,23 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     link = [0, 0]  # open links, characters in links
+    open_foreign = 0
+    endless: set[str] = set()  # elements of UNREAD without an end tag from here on
+
+    def inline(name: str) -> bool:
+        return name in INLINE or name[0] == ":"
 
     def close() -> None:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(tuple((n, *w) for n, w in stack if n not in INLINE), text, min(1.0, link[1] / max(1, sum(map(len, parts))))))
+                out.append(Block(tuple((n, *w) for n, w in stack if not inline(n)), text, min(1.0, link[1] / max(1, sum(map(len, parts))))))
             parts.clear()
         link[1] = 0
 
     def pop_to(k: int) -> None:
+        nonlocal open_foreign
+        open_foreign -= sum(n[1:] in FOREIGN for n, _ in stack[k:] if n[0] == ":")
         link[0] = sum(n == "a" for n, _ in stack[:k])
         del stack[k:]
 
@@ -61,25 +74,37 @@ def blocks(page: str) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
+        if name in FOREIGN or (open_foreign and name not in INLINE and name not in UNREAD and (name not in _LEAVES_FOREIGN)):
+            if not m[1] and name in _APART:
+                parts.append(" ")
+            name = f":{name}"
         if m[1]:
             if name == "br":
                 parts.append(" ")
                 continue
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if name not in INLINE:
+            if not inline(name):
                 close()
             # an inline element's end does not reach out of its block
-            if k is not None and (name not in INLINE or all(x in INLINE for x, _ in stack[k:])):
+            if k is not None and (not inline(name) or all(inline(x) for x, _ in stack[k:])):
                 pop_to(k)
             continue
         if name in UNREAD:
-            if not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
-            if name in ("textarea", "select", "iframe", "object"):
+            if not m[0].endswith("/>") and name not in endless:
+                # a select ends where the next one begins
+                end = re.compile(rf"<(/?){name}\b[^>]*>", re.I).search(page, at) if name == "select" else re.compile(rf"</({name})\b[^>]*>", re.I).search(page, at)
+                if end and end[1]:
+                    at = end.end()
+                elif name in ("script", "style"):
+                    at = n
+                elif not end:
+                    endless.add(name)
+            if name in ("textarea", "select"):
                 parts.append(" ")
             continue
-        if name in INLINE:
+        if open_foreign and name in _LEAVES_FOREIGN:
+            pop_to(next(i for i, (x, _) in enumerate(stack) if x[0] == ":"))
+        if inline(name):
             if name in ("br", "img", "wbr"):
                 parts.append(" " if name == "br" else "")
                 continue
@@ -100,5 +125,6 @@ def blocks(page: str) -> list[Block]:
             words = tuple(w for a in _NAMES.finditer(m[3]) for w in _WORDS.findall((a[2] or a[3] or a[4] or "").lower())) if m[3] else ()
             stack.append((name, words))
             link[0] += name == "a"
+            open_foreign += name[0] == ":" and name[1:] in FOREIGN
     close()
     return out

@@ -101,3 +101,15 @@ def test_all_words_of_a_block_count():
     lists = [np.arange(40) % 7, np.array([3]), np.array([], dtype=np.int64), np.array([1, 1, 2])]
     means = block_lstm._means(table, lists)
     assert np.allclose(means, [table[x].mean(axis=0) if len(x) else np.zeros(3) for x in lists])
+
+
+def test_fallback_texts_and_formulas_are_read_and_open_elements_lose_nothing():
+    said = lambda page: [b.text for b in blocks(page)]
+    assert said("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.<p>Next") == ["So x = 2 holds.", "Next"]
+    assert said("<p><a href=x><svg viewBox='0'><title>Home</title><path d=z /></svg>page</a> of us</p><p>b</p>") == ["Homepage of us", "b"]
+    assert said("<div><svg><g><text>one</text><p>two</p></div><p>three</p>") == ["one", "two", "three"]
+    assert said("<object data=x><p>No player: read this.</p></object><noscript>Off</noscript><iframe src=x>Frame</iframe>z") == ["No player: read this.", "Off", "Frame", "z"]
+    for name in ("select", "object", "noscript", "template", "textarea", "iframe", "svg", "math"):
+        assert said(f"<p>a</p><{name} id=x><p>b</p><p>c</p>") == ["a", "b", "c"]
+    assert said("<p>a</p><select><option>x</select><p>b</p><select><p>c</p><select><option>y</select>d") == ["a", "b", "c", "d"]
+    assert said("a<script>b<p>c") == ["a"]
