@@ -14,7 +14,7 @@ queries meets every block of classes in a group of its own; a group sends on the
 Memory: a task holds QUERY_BLOCK queries, CLASS_BLOCK classes and a strip of their estimates.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of
-another length than the most common one (the larger of equally common ones), nor rows without id; if there are fewer
+another length than the table's most common one (the larger of equally common ones; it holds for the queries too), nor rows without id; if there are fewer
 candidates all are returned; rows that repeat a vec_id are candidates of their own, except that none with the query's own
 id is returned for it; a repeated query id is searched once, with its first vector in order. An empty table gives an
 empty result.
@@ -77,12 +77,13 @@ def _vectors(col: pa.Array, dimensions: int) -> np.ndarray:
     return values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dimensions)
 
 
-def usable(vectors: DataFrame, id_column: str, vector_column: str) -> tuple[DataFrame, int]:
-    """vec_id and v of the rows that take part, and their length."""
+def usable(vectors: DataFrame, id_column: str, vector_column: str, d: int | None = None) -> tuple[DataFrame, int]:
+    """vec_id and v of the rows that take part, and their length: d, or else the most common one."""
     ok = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
     rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(ok)
-    most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    d = most[0]["d"] if most else 1
+    if d is None:
+        most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+        d = most[0]["d"] if most else 1
     return rows.where(F.size("v") == d), d
 
 
@@ -114,7 +115,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
                 yield pa.record_batch({"v": batch.column(0), "ids": batch.column(1), "code": pa.array([b.tobytes() for b in bits], pa.binary()), "length": pa.array(length), "offset": pa.array(offset), "along": pa.array(along)})
 
     index = staged(classes.mapInArrow(lean(code), "v array<double>, ids array<long>, code binary, length double, offset double, along double"), "vector-index")
-    asked = usable(queries, id_column, vector_column)[0].where(F.size("v") == d)
+    asked = usable(queries, id_column, vector_column, d)[0]
     asked = staged(asked.groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id"), "queries")
     class_blocks, query_blocks = max(1, -(-index.count() // CLASS_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

@@ -62,3 +62,10 @@ def test_estimates_keep_to_their_bounds():
     centre, turn = x.mean(axis=0), nearest.rotation(64)
     near, error = nearest.estimates(*nearest.encode(x, centre, turn), q, centre, turn)
     assert np.mean(np.abs(near - q @ x.T) <= error) > 0.97
+
+
+def test_queries_go_by_the_length_of_the_table(spark):
+    rows = [(i, [1.0, float(i), 2.0]) for i in range(1, 9)] + [(50, [1.0, 3.1, 2.0])] + [(k, [1.0, 2.0]) for k in (100, 150, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, df.where("vec_id % 50 = 0"), nearest=1).collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(50, 3)]
