@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -14,18 +15,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-#: A table is broadcast only after its rows have been counted and are at most this many.
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only after its bytes have been added up and are at most this many.
+BROADCAST_BYTES = 16 << 20
+#: About how many bytes of rows Spark sends to a Python worker at once (in_arrow).
+ARROW_BYTES = 4 << 20
 
 _test_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a session on one machine gets a new
+    folder (tests), and a cluster's an error, as its executors would each write to a disk of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _test_dirs:
             _test_dirs[app] = tempfile.mkdtemp(prefix="cadenza-")
@@ -45,18 +52,52 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows (counted), else as it is: Spark then shuffles."""
-    return F.broadcast(df) if df.count() <= rows else df
+def clear_staged(spark: SparkSession) -> None:
+    """Removes what this application has staged. For callers, once the results that hang on it are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(value: Column, kind: T.DataType) -> Column:
+    """About how many bytes a value takes."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.ArrayType):
+        if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)):
+            inner = F.aggregate(value, F.lit(0).cast("long"), lambda s, x: s + _width(x, kind.elementType))
+        else:
+            inner = F.size(value).cast("long") * F.lit(8 * max(1, len(getattr(kind.elementType, "fields", [0]))))
+        return F.coalesce(inner, F.lit(0)) + F.lit(16)
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows (added up in one pass) take at most that many bytes, else as it is: Spark then shuffles."""
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)).cast("long")
+    held = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(df) if held <= most else df
+
+
+def in_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with lean workers and small batches.
+
+    A batch of texts is held by the JVM and by the worker at the same time, several times while it is made, and native
+    allocators keep large buffers: so the session's spark.sql.execution.arrow.maxBytesPerBatch is set to ARROW_BYTES.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df.mapInArrow(lean(work), schema)
 
 
 def label_sample(rows: DataFrame, label: str, key: str, each: int) -> DataFrame:
     """Of each label the rows (at most each) whose keys hash lowest, and no others.
 
-    The labels are counted first, so that only about 1.5 times that many rows of each meet in a task. Keys are distinct.
+    The labels are counted first, so that only about 1.5 times that many rows of each meet in a task. Keys are distinct. Callers
+    bound the number of labels.
     """
     low = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    counts = F.broadcast(rows.groupBy(label).agg(F.count(F.lit(1)).alias("__cz_rows")))  # a row per label; callers bound the labels
+    counts = F.broadcast(rows.groupBy(label).agg(F.count(F.lit(1)).alias("__cz_rows")))  # a row per label
     near = rows.join(counts, label).where(low <= (1.5 * each + 50) / F.col("__cz_rows"))
     order = W.partitionBy(label).orderBy(low, key)
     return near.withColumn("__cz_n", F.row_number().over(order)).where(F.col("__cz_n") <= each).drop("__cz_n", "__cz_rows")
@@ -121,4 +162,4 @@ def by_groups(df: DataFrame, keys: list[str], work: Callable[[pa.Table, np.ndarr
         if held is not None:
             yield work(held.combine_chunks(), np.array([0, held.num_rows]))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(lean(run), schema)
+    return in_arrow(df.repartition(*keys).sortWithinPartitions(*keys), run, schema)
