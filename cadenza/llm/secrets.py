@@ -6,10 +6,13 @@ Runs of hexadecimal digits have no keyword: their character class is its own fil
 
 Kinds, in order: assign, access and hex (the base), then github and npm (36 characters after the prefix, the last six
 the base-62 CRC-32 of the others), jwt (its header must decode to an object with "alg") and pem (private key blocks).
-Finds of one kind do not overlap; the leftmost counts. Offsets are code points, end exclusive.
+Finds of one kind do not overlap; the leftmost counts. Offsets are code points, end exclusive. Of a run of base64url
+characters only the first `eyJ` can begin a jwt, and where no end follows a key block's head, none is looked for again
+before the run of characters that may stand in a block is over: so the time grows with the text's length alone.
 
-Defined results: a null text is empty and has no spans; rows that repeat a doc_id are scanned each; an empty table gives
-an empty result. A task holds one Arrow batch of texts.
+Defined results: a null text is empty and has no spans; a head that is no JSON object (or nested too deeply to be read as
+one) makes no jwt; rows that repeat a doc_id are scanned each; an empty table gives an empty result. A task holds one
+Arrow batch of texts.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import lean, sub_batches
+from cadenza.llm.common import in_arrow, sub_batches
 
 BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "github", "npm", "jwt", "pem")
@@ -52,26 +55,62 @@ def _checked(match: re.Match) -> bool:
 def _is_jwt(match: re.Match) -> bool:
     head = match[1]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, TypeError, binascii.Error):
+        said = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, TypeError, binascii.Error, RecursionError):
         return False
+    return isinstance(said, dict) and "alg" in said
 
 
-#: kind: keywords (lower case), expression, what a find must satisfy
+#: kind: keywords (lower case), expression, what a find must satisfy; a failed match costs no more than what it has read
 RULES: dict[str, tuple[tuple[str, ...], re.Pattern, Callable[[re.Match], bool]]] = {
     "assign": (("password", "passwd", "secret", "token", "apikey", "api_key"), re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
     "access": (("akia",), re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _checked),
     "npm": (("npm_",), re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), _checked),
-    "jwt": (("eyj",), re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), _is_jwt),
-    "pem": (("-----begin ",), re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END [A-Z ]*PRIVATE KEY-----"), lambda m: True),
 }
 HEX = re.compile(r"[0-9a-f]{24,}")
+_URL_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
+_PEM_HEAD = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
+_PEM_RUN = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
+_PEM_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+
+
+class _Jwt:
+    """Tokens of three parts; a head reaches to the end of its run, so of each run the first place is tried, and no other."""
+
+    def at(self, text: str, start: int) -> tuple[int | None, int]:
+        """The end of the find that begins at start, or None, and where the next one may begin."""
+        if not text.startswith("eyJ", start):
+            return None, start
+        if m := _JWT.match(text, start):
+            return (m.end() if _is_jwt(m) else None), m.end()
+        return None, _URL_RUN.match(text, start).end()
+
+
+class _Pem:
+    """Key blocks: from a head to the next end mark, with nothing but characters of a block in between."""
+
+    def __init__(self) -> None:
+        self.run_end = -1
+
+    def at(self, text: str, start: int) -> tuple[int | None, int]:
+        head = _PEM_HEAD.match(text, start)
+        if not head:
+            return None, start
+        if head.end() > self.run_end:
+            self.run_end = _PEM_RUN.match(text, head.end()).end()
+        end = _PEM_END.search(text, head.end(), self.run_end)
+        return (end.end(), end.end()) if end else (None, self.run_end)
+
+
+#: Kinds with a rule of their own, and their keywords.
+LONG = {"jwt": (("eyj",), _Jwt), "pem": (("-----begin ",), _Pem)}
 
 
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
-    for kind, (keywords, _, _) in RULES.items():
+    for kind, (keywords, *_) in (RULES | LONG).items():
         for k in keywords:
             out.add_word(k, (kind, len(k)))
     out.make_automaton()
@@ -86,9 +125,15 @@ def find(text: str, keywords: ahocorasick.Automaton) -> list[tuple[int, int, int
     spans = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     hits = sorted((end - n + 1, kind) for end, (kind, n) in keywords.iter(low))
     free: dict[str, int] = {}
+    rules = {kind: rule() for kind, (_, rule) in LONG.items()}
     for start, kind in hits:
         if start < free.get(kind, 0):
             continue
+        if kind in LONG:
+            end, free[kind] = rules[kind].at(text, start)
+            if end is not None:
+                spans.append((start, KINDS.index(kind), end))
+            continue
         _, pattern, valid = RULES[kind]
         if m := pattern.match(text, start):
             free[kind] = m.end()
@@ -111,7 +156,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
             yield pa.record_batch({"doc_id": batch.column(0), "spans": pa.array(found, _SPAN_TYPE)})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(lean(run), f"doc_id long, spans {_SPANS}")
+    return in_arrow(rows, run, f"doc_id long, spans {_SPANS}")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

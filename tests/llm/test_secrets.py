@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import time
 
 from cadenza.llm import secrets
 from tests.llm.helpers import documents, empty, odd
@@ -48,3 +49,28 @@ def test_checksums_and_structure_decide():
 def test_odd_rows(spark):
     assert {r.doc_id: len(r.spans) for r in secrets.scan(odd(spark)).collect()} == dict.fromkeys([1, 2, None, 3, 4, 5, 6, 7, 8, 9], 0)
     assert secrets.scan(empty(spark)).count() == 0
+
+
+def _part(said):
+    return base64.urlsafe_b64encode(said.encode()).decode().rstrip("=")
+
+
+def test_heads_that_are_no_objects_and_deep_ones():
+    keywords = secrets.automaton()
+    tail = "." + _part('{"x":1}') + ".sig"
+    assert secrets.find(_part('{"a":' + "[" * 100_000) + tail, keywords) == []
+    assert secrets.find(_part('["alg"]') + tail, keywords) == [] and secrets.find(_part('"alg"') + tail, keywords) == []
+    token = _part('{"alg":"none"}') + tail
+    assert secrets.find(f"x {token} {token}", keywords) == [(2, 5, 2 + len(token)), (3 + len(token), 5, 3 + 2 * len(token))]
+    key = "-----BEGIN EC PRIVATE KEY-----\nab+/=\n-----END EC PRIVATE KEY-----"
+    assert secrets.find(f"-----BEGIN PRIVATE KEY-----\nab ? {key}", keywords) == [(33, 6, 33 + len(key))]
+
+
+def test_long_texts_take_time_by_their_length():
+    keywords = secrets.automaton()
+    texts = ["eyJ" * 350_000, "eyJ" * 200_000 + ".eyJ" + "eyJ" * 150_000, "eyJa." * 200_000, "-----BEGIN PRIVATE KEY-----\n" * 40_000, "-----BEGIN PRIVATE KEY-----" + "-----END " * 110_000, "-----BEGIN " + "A " * 500_000, "password" + " " * 1_000_000, "password " * 110_000, "token=" * 170_000, "AKIA" * 250_000, "0f" * 500_000]
+    for text in texts:
+        began = time.process_time()
+        found = [s for s in secrets.find(text, keywords) if s[1] < 3]
+        assert time.process_time() - began < 8, text[:40]
+        assert found == base(text)
