@@ -10,9 +10,9 @@ alike) or of other signs; a text's features are which hashed tokens it has, how
 Learning: at most MAX_ROWS rated rows, as many of each grade (those whose ids hash lowest); their features are made
 in tasks, and the driver fits BUCKETS + a few weights. All rows are scored by their whole texts.
 
-Defined results: a null or empty text has no features and is not kept; rows without a rating are scored like others; rated more
-than once, the worst grade counts; with no ratings every text has expected grade 0 and is not kept; an empty table gives an empty
-result.
+Defined results: a null or empty text has no features: its expected grade and tail probability are 0, its toxic probability is
+null (nothing speaks for it), and it is not kept; with no ratings that holds for every text; rows without a rating are scored like
+others; rated more than once, the worst grade counts; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import label_sample, lean, staged, sub_batches
+from cadenza.llm.common import in_arrow, label_sample, staged, sub_batches
 from cadenza.llm.textbytes import FOLDED_CODES, IS_SPACE, column_bytes, run_hashes
 
 GRADES = 3
@@ -139,7 +139,7 @@ def learn(docs: DataFrame, ratings: DataFrame, id_column: str = "doc_id", text_c
     chosen = label_sample(rated.join(there, "__cz_id"), "grade", "__cz_id", max_rows // GRADES)
     ids = F.broadcast(staged(chosen.select("__cz_id", "grade"), "rated-sample"))  # max_rows at most
     texts = docs.join(ids, F.col(id_column) == F.col("__cz_id")).groupBy("__cz_id", "grade").agg(F.min(F.coalesce(F.col(text_column), F.lit(""))).alias("text")).select("grade", "text")
-    rows = texts.mapInArrow(lean(_features), "grade int, tokens binary, extra binary").collect()
+    rows = in_arrow(texts, _features, "grade int, tokens binary, extra binary").collect()
     rows.sort(key=lambda r: (r.grade, bytes(r.extra), bytes(r.tokens)))
     if not rows:
         return None
@@ -155,11 +155,12 @@ def rate(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_c
             data, at = column_bytes(batch.column(1))
             tokens, extra = features(data, at)
             p = model.at_least(model.score(tokens, extra)) if model else np.zeros((len(tokens), GRADES - 1))
-            p[np.diff(at) == 0] = 0
-            yield pa.record_batch({"doc_id": batch.column(0), "expected_grade": pa.array(p.sum(axis=1)), "tail_probability": pa.array(p[:, -1].copy()), "toxic_probability": pa.array(1 - p[:, 0])})
+            unknown = (np.diff(at) == 0) | (model is None)
+            p[unknown] = 0
+            yield pa.record_batch({"doc_id": batch.column(0), "expected_grade": pa.array(p.sum(axis=1)), "tail_probability": pa.array(p[:, -1].copy()), "toxic_probability": pa.array(1 - p[:, 0], mask=unknown)})
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, expected_grade double, tail_probability double, toxic_probability double").withColumn("kept", F.col("tail_probability") >= keep)
+    return in_arrow(rows, run, "doc_id long, expected_grade double, tail_probability double, toxic_probability double").withColumn("kept", F.col("tail_probability") >= keep)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
