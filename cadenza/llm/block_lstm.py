@@ -17,11 +17,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+@dataclass
+class Paths:
+    """Path buckets of a page's blocks as a tree, so that what blocks share is held once: each element's own buckets (sizes of them,
+    end to end) and the element around it (a smaller number, or -1); for each block its element (or -1) and one bucket more."""
+
+    own: np.ndarray
+    sizes: np.ndarray
+    around: np.ndarray
+    node: np.ndarray
+    last: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.node)
+
+
 @dataclass
 class Sequence:
-    """The blocks of one page: for each, its path and word buckets, and numbers."""
+    """The blocks of one page: for each, its path and word buckets, and numbers. Training takes paths as lists."""
 
-    path: list[np.ndarray]
+    path: list[np.ndarray] | Paths
     words: list[np.ndarray]
     numbers: np.ndarray
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -56,6 +71,39 @@ def _means(table: np.ndarray, lists: list[np.ndarray]) -> np.ndarray:
     return sums / np.maximum(sizes, 1)[:, None]
 
 
+def _depths(around: np.ndarray) -> np.ndarray:
+    """How deep each element of a forest lies, by doubling steps."""
+    depth, up = (around >= 0).astype(np.int64), around.copy()
+    while (live := np.flatnonzero(up >= 0)).size:
+        depth[live] += depth[up[live]]
+        up[live] = up[up[live]]
+    return depth
+
+
+def _path_means(table: np.ndarray, trees: list[Paths]) -> np.ndarray:
+    """For each block the mean row of the table over its own bucket and those of all elements around it."""
+    shift = np.cumsum([0, *(len(t.sizes) for t in trees)])
+    flat, sizes = np.concatenate([t.own for t in trees]), np.concatenate([t.sizes for t in trees])
+    around = np.concatenate([np.where(t.around < 0, -1, t.around + s) for t, s in zip(trees, shift[:-1], strict=True)])
+    node = np.concatenate([np.where(t.node < 0, -1, t.node + s) for t, s in zip(trees, shift[:-1], strict=True)])
+    last = np.concatenate([t.last for t in trees])
+    if not len(sizes):
+        return np.zeros((len(node), table.shape[1]), table.dtype)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    rows = table[np.concatenate([flat, np.zeros(1, np.int64)])]
+    sums = np.add.reduceat(rows, starts, axis=0)[:-1]  # every element has a name, so none is empty
+    depth, n = _depths(around), sizes.copy()
+    order = np.argsort(depth, kind="stable")
+    cuts = np.searchsorted(depth[order], np.arange(1, depth.max() + 2))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        level = order[a:b]
+        sums[level] += sums[around[level]]
+        n[level] += n[around[level]]
+    means = (sums[node] + table[last]) / (n[node] + 1)[:, None]
+    means[node < 0] = 0
+    return means
+
+
 def inputs(w: dict[str, np.ndarray], pages: list[Sequence]) -> tuple[np.ndarray, np.ndarray]:
     """pages x blocks x width, and which blocks are there. Shorter pages are filled up at their end."""
     longest = max(len(p.path) for p in pages)
@@ -63,7 +111,10 @@ def inputs(w: dict[str, np.ndarray], pages: list[Sequence]) -> tuple[np.ndarray,
     there = np.zeros((len(pages), longest), dtype=bool)
     for i, p in enumerate(pages):
         there[i, : len(p.path)] = True
-    x[there, :EMBED] = _means(w["path"], [b for p in pages for b in p.path])
+    if isinstance(pages[0].path, Paths):
+        x[there, :EMBED] = _path_means(w["path"], [p.path for p in pages])
+    else:
+        x[there, :EMBED] = _means(w["path"], [b for p in pages for b in p.path])
     x[there, EMBED : 2 * EMBED] = _means(w["words"], [b for p in pages for b in p.words])
     x[there, 2 * EMBED :] = np.concatenate([p.numbers for p in pages])
     return x, there

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import html
 import re
+import time
 
 import numpy as np
 import pytest
@@ -45,6 +46,65 @@ def test_blocks_of_broken_markup():
     assert blocks("") == [] and blocks("<div></div>") == []
 
 
+#: Page layouts that training never sees; %s stand for the body, the comments and a notice. The names of their margins are in no list.
+LAYOUTS = (
+    "<body><div class='masthead'><a href=/>Home</a> <a href=/n>News</a></div><div class='gdpr'><p>%(note)s</p></div><div class='story-column'>%(body)s</div><div class='discussion'>%(said)s</div><div class='legal'>(c) us <a href=/t>Terms</a></div></body>",
+    "<body><div id=top><ul><li><a href=a>One</a><li><a href=b>Two</a><li><a href=c>Three</a></ul></div><div id=page><div class=text>%(body)s</div><div class=responses>%(said)s</div></div><div id=rail><p>%(note)s</p><a href=x>More</a></div></body>",
+    "<body><main><div class='post'>%(body)s</div><div class='replies'>%(said)s</div></main><div class='partner'><a href=x>%(note)s</a></div><div class='imprint'><p>Imprint</p></div></body>",
+    "<table><tr><td class=links><a href=a>Start</a><br><a href=b>Archive</a><td class=copy>%(body)s<td class=extra><p>%(note)s</table><div class=feedback>%(said)s</div>",
+    "<body><section class=lead>%(body)s</section><section class=guestbook>%(said)s</section><section class=hints><p>%(note)s</p></section><section class=bottom><a href=a>About</a> <a href=b>Jobs</a> <a href=c>Press</a></section></body>",
+)
+
+
+def test_layouts_with_unknown_names(spark, sf_dir, weights):
+    """Precision and recall by characters over five held-out layouts, with the margins' names unknown to training."""
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("lang = 'en' AND length(text) BETWEEN 400 AND 4000").orderBy("doc_id").limit(100).collect()]
+    right = wrong = missed = 0
+    for i, text in enumerate(texts):
+        words = text.split()
+        parts = [html.escape(" ".join(words[k : k + 40])) for k in range(0, len(words), 40)]
+        said = [f"Reader {k}: I like it, thanks {i}" for k in range(3)]
+        note = "Subscribe now and save ten percent"
+        page = LAYOUTS[i % 5] % {"body": "<h1>The story</h1>" + "".join(f"<p>{p}</p>" for p in parts), "said": "".join(f"<p>{x}</p>" for x in said), "note": note}
+        found = blocks(page)
+        for b, m in zip(found, html_extract.label(weights, [found])[0], strict=True):
+            own = b.text == "The story" or html.escape(b.text) in parts
+            right += len(b.text) * (own and m)
+            wrong += len(b.text) * (m and not own)
+            missed += len(b.text) * (own and not m)
+    print("precision", right / (right + wrong), "recall", right / (right + missed))
+    assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
+
+
+def test_long_and_deep_pages_take_time_by_their_length(weights):
+    pages = ["<div>" * 200_000, "<div>a" * 60_000, "<a " * 330_000, '<a x="' * 150_000 + ">", '<a =">" ' * 120_000, "</script " * 110_000, "<select " * 120_000 + ">", "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000, "<div>" * 60_000 + "<ul><li></ul><li></li>" * 20_000, "<table>" + "<tr><td>x" * 40_000, "<!" * 500_000, "<svg>" * 60_000 + "<g>x" * 60_000, "<p class=" + '"' * 900_000]
+    for page in pages:
+        began = time.process_time()
+        found = blocks(page)
+        html_extract.label(weights, [found])
+        html_extract.taught(found), html_extract.guessed(found)
+        assert time.process_time() - began < 60, page[:20]
+    deep = blocks("<main>" + "<div>" * 5000 + "text" + "<p>more" * 50)
+    labels = html_extract.taught(deep)
+    assert labels.all() and len(labels) == 51
+    read, marks = html_extract._read(html_extract._written(deep, labels))
+    assert [b.text for b in read] == [b.text for b in deep] and (marks == labels).all()
+    assert all(len(x) == html_extract.TRAIN_DEPTH + 1 for x in html_extract.listed(read))
+
+
+def test_trees_and_lists_of_paths_have_the_same_means():
+    page = "<body><nav class='a b'><a href=x>x</a></nav>bare<main id=m><p class=c>one<p>two<ul><li>three</ul></main>tail"
+    found = blocks("lone " + page)
+    table = np.random.default_rng(3).normal(size=(block_lstm.PATH_BUCKETS, 4))
+    assert np.allclose(block_lstm._path_means(table, [html_extract.paths(found), html_extract.paths(found[:1]), html_extract.paths(found[2:])]), block_lstm._means(table, html_extract.listed([*found, found[0], *found[2:]])))
+
+
+def test_kept_columns_with_the_names_of_the_result(spark, weights):
+    pages = spark.createDataFrame([(1, "<main><p>x</p></main>", "own", 7, "e")], "page_id long, html string, text string, n_chars int, extra string")
+    rows = html_extract.extract(pages, weights, keep=("text", "n_chars", "page_id", "extra"))
+    assert sorted(rows.columns) == ["extra", "n_chars", "page_id", "text"] and rows.count() == 1
+
+
 def test_odd_pages(spark, weights):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x"), (3, "u", "plain"), (3, "u", "plain")], "page_id long, url string, html string")
     rows = html_extract.extract(pages, weights, keep=("url",)).collect()
@@ -95,7 +155,7 @@ def test_a_table_without_plain_pages_has_texts(spark, tmp_path):
 
 def test_all_words_of_a_block_count():
     head = " ".join(f"w{k}" for k in range(200))
-    a, b = html_extract.sequence([Block((), f"{head} {tail}", 0.0) for tail in ("subscribe now", "and so they left")]).words
+    a, b = html_extract.sequence([Block(None, f"{head} {tail}", 0.0) for tail in ("subscribe now", "and so they left")]).words
     assert len(a) == 202 and len(b) == 204 and a[:200].tolist() == b[:200].tolist()
     table = np.random.default_rng(2).normal(size=(8, 3))
     lists = [np.arange(40) % 7, np.array([3]), np.array([], dtype=np.int64), np.array([1, 1, 2])]
