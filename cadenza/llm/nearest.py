@@ -9,9 +9,13 @@ reranked by their original vectors in double precision.
 
 Equal vectors become one class first: of a class only the smallest ids can be among the nearest, so only
 those are carried (nearest + 1, as a query leaves itself out). Queries and classes are dealt into blocks, and every block of
-queries meets every block of classes in a group of its own; a group sends on the nearest of each query.
+queries meets every block of classes in a group of its own; a group sends on the nearest of each query. A block of
+one side is sent once for each block of the other, so blocks are as large as a task can hold.
 
-Memory: a task holds QUERY_BLOCK queries, CLASS_BLOCK classes and a strip of their estimates.
+Memory: a task holds at most QUERY_BLOCK queries, CLASS_BLOCK classes (of BLOCK_BYTES of doubles each) and a strip of their estimates.
+
+Lengths and products are taken of vectors whose largest component was brought near 1 by a power of two: that changes no
+cosine, and vectors of any finite size neither overflow nor vanish.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of
 another length than the table's most common one (the larger of equally common ones; it holds for the queries too), nor rows without id; if there are fewer
@@ -28,15 +32,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from cadenza.llm.common import lean, staged
+from cadenza.llm.common import in_arrow, staged
 
 NEAREST = 5
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16_384
 CLASS_BLOCK = 16_384
+BLOCK_BYTES = 16 << 20
+#: Classes are dealt into as many blocks as there are shuffle partitions, but not into smaller ones than this.
+_LEAST_BLOCK = 2048
 ERROR_SPREAD = 2.4
-_STRIP = 2048
+_STRIP = 64
 
 
 def rotation(dimensions: int, seed: int = 7) -> np.ndarray:
@@ -44,7 +52,13 @@ def rotation(dimensions: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to between 0.5 and 1."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -62,8 +76,16 @@ def estimates(codes: np.ndarray, length: np.ndarray, offset: np.ndarray, along:
 
     With residuals r = x - c and s = q - c the cosine is <r, s> + <r, c> + <c, q>; only <r, s> is estimated.
     """
+    return _estimates(sign_rows(codes, turn.shape[0]), length, offset, along, queries, centre, turn)
+
+
+def sign_rows(codes: np.ndarray, d: int) -> np.ndarray:
+    """The packed signs as rows of length 1."""
+    return (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
+
+
+def _estimates(signs: np.ndarray, length: np.ndarray, offset: np.ndarray, along: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     d = turn.shape[0]
-    signs = (np.unpackbits(codes, axis=1, count=d).astype(np.float32) * 2 - 1) / np.float32(np.sqrt(d))
     residual = queries - centre
     rotated = (residual @ turn).astype(np.float32)
     scale = length / np.maximum(along, 1e-12)
@@ -78,9 +100,10 @@ def _vectors(col: pa.Array, dimensions: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str, d: int | None = None) -> tuple[DataFrame, int]:
-    """vec_id and v of the rows that take part, and their length: d, or else the most common one."""
+    """vec_id and v of the rows that take part, and their length: d, or else the most common one. Floats stay floats."""
+    kind = "float" if isinstance(vectors.schema[vector_column].dataType, T.ArrayType) and isinstance(vectors.schema[vector_column].dataType.elementType, T.FloatType) else "double"
     ok = F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & F.exists("v", lambda e: e != 0)
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(ok)
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).cast(f"array<{kind}>").alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).where(ok)
     if d is None:
         most = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
         d = most[0]["d"] if most else 1
@@ -94,7 +117,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
     members = W.partitionBy("v").orderBy("vec_id")
     # Spark keeps the first of each class before it shuffles, so a class of any size stays small
     kept = rows.withColumn("place", F.row_number().over(members)).where(F.col("place") <= nearest + 1)
-    classes = staged(kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vector-classes")
+    classes = kept.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(d), 0
@@ -105,7 +128,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
         if n:
             yield pa.record_batch({"at": pa.array(range(d), pa.int32()), "total": pa.array(total), "n": pa.array([n] * d, pa.int64())})
 
-    sums = classes.select("v").mapInArrow(lean(add), "at int, total double, n long").groupBy("at").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("at").collect()  # d rows
+    sums = in_arrow(rows.select("v"), add, "at int, total double, n long").groupBy("at").agg((F.sum("total") / F.sum("n")).alias("mean")).orderBy("at").collect()  # d rows
     centre = np.array([r["mean"] for r in sums]) if sums else np.zeros(d)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,10 +137,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
                 bits, length, offset, along = encode(_vectors(batch.column(0), d), centre, turn)
                 yield pa.record_batch({"v": batch.column(0), "ids": batch.column(1), "code": pa.array([b.tobytes() for b in bits], pa.binary()), "length": pa.array(length), "offset": pa.array(offset), "along": pa.array(along)})
 
-    index = staged(classes.mapInArrow(lean(code), "v array<double>, ids array<long>, code binary, length double, offset double, along double"), "vector-index")
-    asked = usable(queries, id_column, vector_column, d)[0]
-    asked = staged(asked.groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id"), "queries")
-    class_blocks, query_blocks = max(1, -(-index.count() // CLASS_BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    kind = rows.schema["v"].dataType.simpleString()
+    index = staged(in_arrow(classes, code, f"v {kind}, ids array<long>, code binary, length double, offset double, along double"), "vector-index")
+    # of a repeated id the first vector in order; partial sums keep one of them, so an id may be repeated at will
+    asked = usable(queries, id_column, vector_column, d)[0].groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = staged(asked.withColumnRenamed("vec_id", "query_id"), "queries")
+    held = max(1, BLOCK_BYTES // (8 * d))
+    n, spread = index.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    class_blocks = max(1, -(-n // min(CLASS_BLOCK, held)), min(spread, -(-n // _LEAST_BLOCK)))
+    query_blocks = max(1, -(-asked.count() // min(QUERY_BLOCK, held)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("c", every(class_blocks))
     right = index.withColumn("c", F.pmod(F.xxhash64("code", "length"), F.lit(class_blocks)).cast("int")).withColumn("q", every(query_blocks))
@@ -130,14 +158,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, id_column: str = "vec_id", v
         vb, ids = _vectors(b["v"].chunk(0), d), b["ids"].chunk(0)
         codes = np.frombuffer(b"".join(b["code"].to_pylist()), dtype=np.uint8).reshape(len(vb), -1)
         length, offset, along = (b[c].to_numpy() for c in ("length", "offset", "along"))
-        norm_q, norm_b = np.linalg.norm(vq, axis=1), np.linalg.norm(vb, axis=1)
-        cosine = lambda q, x: np.einsum("ij,ij->i", vq[q], vb[x]) / (norm_q[q] * norm_b[x])
+        unit_q, scaled_b, signs = unit(vq), scaled(vb), sign_rows(codes, d)
+        vq, norm_q, norm_b = scaled(vq), np.linalg.norm(scaled(vq), axis=1), np.linalg.norm(scaled_b, axis=1)
+        cosine = lambda q, x: np.einsum("ij,ij->i", vq[q], scaled_b[x]) / (norm_q[q] * norm_b[x])
         want = nearest + 1  # a query's own class may be among them
         out_q, out_x, out_s = [], [], []
-        strip = max(1, _STRIP * CLASS_BLOCK // max(CLASS_BLOCK, len(vb)) // 32)
-        for s in range(0, len(vq), strip):
-            q = np.arange(s, min(len(vq), s + strip))
-            near, error = estimates(codes, length, offset, along, vq[q] / norm_q[q, None], centre, turn)
+        for s in range(0, len(vq), _STRIP):
+            q = np.arange(s, min(len(vq), s + _STRIP))
+            near, error = _estimates(signs, length, offset, along, unit_q[q], centre, turn)
             if len(vb) > 4 * want:
                 # the exact cosines of the likeliest rows give the bar that the others' bounds must reach
                 first = np.argpartition(-near, 4 * want - 1, axis=1)[:, : 4 * want]

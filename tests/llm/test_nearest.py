@@ -69,3 +69,27 @@ def test_queries_go_by_the_length_of_the_table(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = nearest.nearest(df, df.where("vec_id % 50 = 0"), nearest=1).collect()
     assert [(r.query_id, r.vec_id) for r in got] == [(50, 3)]
+
+
+def test_vectors_of_any_size_neither_overflow_nor_vanish(spark):
+    rng = np.random.default_rng(4)
+    x = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 24)), start=1)]
+    odd = [(2000, (rng.normal(size=24) * 1e-170).tolist()), (2050, (rng.normal(size=24) * 1e200).tolist()), (2001, [5e-324] + [0.0] * 23), (2002, [1.7e308] * 24)]
+    df = spark.createDataFrame(x + odd, "vec_id long, embedding array<double>")
+    brought = [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in x + odd]
+    rows = nearest.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    want = {(q[0], i): -s for q in brought if q[0] % 50 == 0 for s, i in brute(brought, q, 5)}
+    assert {q for q, _ in want} >= {2000, 2050}
+    assert len({(r.query_id, r.vec_id) for r in rows} & set(want)) / len(want) == 1.0
+    assert all(r.score == pytest.approx(want[r.query_id, r.vec_id], abs=1e-12) for r in rows)
+
+
+def test_floats_clashing_columns_and_many_query_blocks(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(nearest, "_LEAST_BLOCK", 100)
+    rng = np.random.default_rng(6)
+    x = [(i, rng.normal(size=16).astype(np.float32).tolist()) for i in range(900)]
+    df = spark.createDataFrame([(*r, 1, 2.0, "c") for r in x], "vec_id long, embedding array<float>, q int, v double, code string")
+    rows = nearest.nearest(df, df.where("vec_id % 50 = 0")).collect()
+    want = {(q[0], i) for q in x if q[0] % 50 == 0 for _, i in brute(x, q, 5)}
+    assert len(rows) == 90 and len({(r.query_id, r.vec_id) for r in rows} & want) / len(want) > 0.95
