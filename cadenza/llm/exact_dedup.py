@@ -10,8 +10,8 @@
 4. Only suspects' texts are shuffled. They are grouped by the text itself, which compares bytes;
    equal rows are combined before the shuffle, so a group of copies of any size stays small.
 
-Memory: a task holds one block (BLOCK_ROWS fingerprints), an owner its range of fingerprints: rows / owners,
-where owners is the session's number of shuffle partitions unless given.
+Memory: a task holds one block (BLOCK_ROWS fingerprints), an owner its range of fingerprints: about OWNER_ROWS at most, as
+the rows are counted first (a parquet table's footers tell) and the number of owners follows from that.
 
 Defined results: a null text counts as empty, and all such rows are equal; a null doc_id is smaller than any
 other; of rows that repeat text and doc_id exactly one stays; an empty table gives an empty result. Columns
@@ -30,11 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.llm import golomb
-from cadenza.llm.common import lean, small_side, staged, text_of
+from cadenza.llm.common import in_arrow, small_side, staged, text_of
 
 BITS = 48
 BLOCK_ROWS = 1 << 20
-_SENT = "doc_id long, fp long, sha string, block string, owner int, pos int, n int, k int, code binary"
+#: Fingerprints of an owner at most (they spread evenly); small tables have an owner for every LEAST_ROWS, so that all cores work.
+OWNER_ROWS = 1 << 21
+LEAST_ROWS = 1 << 15
+_SENT = "doc_id long, fp long, sha string, block string, row int, owner int, pos int, n int, k int, code binary"
 
 
 def fingerprint(text: str, bits: int = BITS) -> Column:
@@ -59,7 +62,7 @@ def _send(owners: int, bits: int):
             n, name = table.num_rows, f"{part}-{number}"
             own = owner[place].astype(np.int32)
             empty = {"n": pa.nulls(n, pa.int32()), "k": pa.nulls(n, pa.int32()), "code": pa.nulls(n, pa.binary())}
-            columns = {"doc_id": table["doc_id"], "fp": table["fp"], "sha": table["sha"], "block": pa.array([name] * n), "owner": pa.array(own), "pos": pa.array((place - first[own]).astype(np.int32)), **empty}
+            columns = {"doc_id": table["doc_id"], "fp": table["fp"], "sha": table["sha"], "block": pa.array([name] * n), "row": pa.array(np.arange(n, dtype=np.int32)), "owner": pa.array(own), "pos": pa.array((place - first[own]).astype(np.int32)), **empty}
             yield from pa.table(columns).to_batches(max_chunksize=1 << 16)
             sent = [(o, first[o], first[o + 1]) for o in range(owners) if first[o] < first[o + 1]]
             # a code is followed by a bitmap of the values that occur twice within the block
@@ -67,7 +70,7 @@ def _send(owners: int, bits: int):
             m = len(sent)
             yield pa.record_batch(
                 {
-                    "doc_id": pa.nulls(m, pa.int64()), "fp": pa.nulls(m, pa.int64()), "sha": pa.nulls(m, pa.string()), "block": pa.array([name] * m, pa.string()), "owner": pa.array([x[0] for x in sent], pa.int32()),
+                    "doc_id": pa.nulls(m, pa.int64()), "fp": pa.nulls(m, pa.int64()), "sha": pa.nulls(m, pa.string()), "block": pa.array([name] * m, pa.string()), "row": pa.nulls(m, pa.int32()), "owner": pa.array([x[0] for x in sent], pa.int32()),
                     "pos": pa.nulls(m, pa.int32()), "n": pa.array([int(b - a) for _, a, b in sent], pa.int32()), "k": pa.array([c[0][0] for c in coded], pa.int32()), "code": pa.array([c[1] + c[0][1] for c in coded], pa.binary()),
                 }
             )
@@ -102,52 +105,49 @@ def _answer(pieces: pd.DataFrame) -> pd.DataFrame:
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = BITS, owners: int | None = None) -> DataFrame:
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 and fp, the fingerprint."""
     spark = docs.sparkSession
-    owners = owners or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if owners is None:
+        n = docs.count()
+        owners = max(1, -(-n // OWNER_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // LEAST_ROWS)))
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), fingerprint(text_column, bits).alias("fp"), F.sha2(text_of(text_column), 256).alias("sha"))
-    sent = staged(narrow.mapInArrow(lean(_send(owners, bits)), _SENT), "fingerprints")
-    rows = sent.where("n IS NULL").select("doc_id", "fp", "sha", "block", "owner", "pos")
+    sent = staged(in_arrow(narrow, _send(owners, bits), _SENT), "fingerprints")
+    rows = sent.where("n IS NULL").select("doc_id", "fp", "sha", "block", "row", "owner", "pos")
     pieces = sent.where("n IS NOT NULL").select("block", "owner", "n", "k", "code")
     bitmaps = staged(pieces.groupBy("owner").applyInPandas(_answer, "block string, owner int, bitmap binary"), "bitmaps")
     byte = F.conv(F.hex(F.expr("substring(bitmap, pos div 8 + 1, 1)")), 16, 10).cast("int")
     bit = F.expr("7 - pos % 8")
     suspect = F.coalesce(F.getbit(byte, bit) == 1, F.lit(False))
-    flagged = staged(rows.join(small_side(bitmaps, 20_000), ["block", "owner"], "left").select("doc_id", "fp", "sha", suspect.alias("suspect"), F.concat("block", F.lit(":"), "owner", F.lit(":"), "pos").alias("at")), "suspects")
+    flagged = staged(rows.join(small_side(bitmaps), ["block", "owner"], "left").select("doc_id", "fp", "sha", suspect.alias("suspect"), F.concat("block", F.lit(":"), "row").alias("at")), "suspects")
     wanted = staged(flagged.where("suspect").select(F.col("fp").alias("__cz_fp")).distinct(), "suspect-fingerprints")
     texts = docs.select(F.col(id_column).cast("long").alias("__cz_id"), text_of(text_column).alias("__cz_text")).withColumn("__cz_fp", fingerprint("__cz_text", bits))
     verified = (
-        texts.join(small_side(wanted, 2_000_000), "__cz_fp", "left_semi")
+        texts.join(small_side(wanted), "__cz_fp", "left_semi")
         .groupBy("__cz_fp", "__cz_text")
         .agg(F.max("__cz_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select(F.col("__cz_fp").alias("fp"), F.sha2("__cz_text", 256).alias("sha"), "keep_id", "group_size")
     )
     groups = staged(verified, "copy-groups")
-    # rows that repeat text and doc_id: one place for each pair is the one that stays
-    same = flagged.where("suspect").groupBy("fp", "sha", "doc_id").agg(F.count(F.lit(1)).alias("times"))
-    repeated = same.where("times > 1")
-    copies = flagged.where("suspect").join(groups, ["fp", "sha"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    few = small_side(staged(repeated, "repeated-rows"), 100_000).select(F.col("fp").alias("r_fp"), F.col("sha").alias("r_sha"), F.col("doc_id").alias("r_id"))
+    # of rows that repeat text and doc_id the one at the first place stays; partial sums find it, so there may be any number
+    same = flagged.where("suspect").groupBy("fp", "sha", "doc_id").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("r_at"))
+    copies = flagged.where("suspect").join(small_side(groups), ["fp", "sha"]).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    few = small_side(staged(same.where("times > 1"), "repeated-rows").select(F.col("fp").alias("r_fp"), F.col("sha").alias("r_sha"), F.col("doc_id").alias("r_id"), "r_at"))
     match = (F.col("fp") == F.col("r_fp")) & (F.col("sha") == F.col("r_sha")) & F.col("doc_id").eqNullSafe(F.col("r_id"))
-    copies = copies.join(few, match, "left").withColumn("again", F.col("r_fp").isNotNull()).drop("r_fp", "r_sha", "r_id")
-    first = F.row_number().over(W.partitionBy("fp", "sha", "doc_id").orderBy("at")) == 1
+    copies = copies.join(few, match, "left").withColumn("kept", F.col("kept") & (F.col("r_at").isNull() | (F.col("r_at") == F.col("at"))))
     out = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"), "fp"]
     return (
         flagged.where("NOT suspect").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"), "fp")
-        .unionByName(copies.where("NOT again").select(*out))
-        .unionByName(copies.where("again").withColumn("kept", F.col("kept") & first).select(*out))
+        .unionByName(copies.select(*out))
     )
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """docs without the rows that go; of rows that repeat text and doc_id one stays, whichever comes first."""
+    """docs without the rows that go. Of rows that repeat text and doc_id one stays: that whose columns together hash lowest."""
     decided = staged(dedup(docs, id_column, text_column), "dedup")
     marked = docs.withColumn("__cz_sha", F.sha2(text_of(text_column), 256))
-    shas = small_side(decided.where("NOT kept").select(F.col("doc_id").alias("__cz_id"), F.col("text_sha256").alias("__cz_gone"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__cz_again")).distinct(), 1_000_000)
-    met = marked.join(shas, F.col(id_column).eqNullSafe(F.col("__cz_id")) & (F.col("__cz_sha") == F.col("__cz_gone")), "left")
-    one = F.row_number().over(W.partitionBy("__cz_sha", id_column).orderBy("__cz_sha")) == 1
-    return (
-        met.where("__cz_gone IS NULL").select(*docs.columns)
-        .unionByName(met.where("__cz_again").withColumn("__cz_one", one).where("__cz_one").select(*docs.columns))
-    )
+    gone = decided.where("NOT kept").select(F.col("doc_id").alias("__cz_id"), F.col("text_sha256").alias("__cz_gone"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("__cz_again")).distinct()
+    met = marked.join(small_side(staged(gone, "gone")), F.col(id_column).cast("long").eqNullSafe(F.col("__cz_id")) & (F.col("__cz_sha") == F.col("__cz_gone")), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = met.where("__cz_again").groupBy("__cz_sha", "__cz_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__cz_row"))
+    return met.where("__cz_gone IS NULL").select(*docs.columns).unionByName(one.select("__cz_row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
