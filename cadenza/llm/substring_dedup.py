@@ -2,18 +2,20 @@
 
 A gear hash rolls over the bytes of a text: h(i) = 2 h(i-1) + gear[byte i], of which only the last 32 bytes count. Where
 its (mixed) value is the least within RADIUS bytes on either side, a chunk ends. The rule looks at nothing but nearby
-bytes, so a passage that occurs in two texts is cut alike in both (but for its edges), whatever stands before it. Chunks are
+bytes, so a passage that occurs in two texts is cut alike in both (but for its edges), whatever stands before it. (Of what recurs
+within RADIUS bytes only the first place counts, so a short phrase said over and over makes one long chunk.) Chunks are
 longer than RADIUS bytes, and in long runs without such a place they are cut every MOST bytes.
 
 Chunks are compared by 128-bit digests. Spark counts digests with partial sums, so a passage in any number of documents
-costs one row per task. Chunks in several documents that stand side by side make up a run, and runs of at least
-MIN_BYTES bytes are repeats. Of each chunk the document with the smallest id keeps its copy, so a run falls into spans by
-keeper. A document also keeps what lies in lesser ids for less than MIN_BYTES bytes on end: a short passage shared with
-another document takes nothing out of it. What is cut is thus always held whole, chunk by chunk, by its keepers.
+costs one row per task. Chunks that occur at several places and stand side by side make up a run, and runs of at least
+MIN_BYTES bytes are repeats. Of each chunk the first place stays: the least start in the document with the smallest id, which
+keeps it; so a run falls into spans by keeper. A document also keeps what is not its own for less than MIN_BYTES bytes on end: a
+short passage shared with another document takes nothing out of it. What is cut is thus always held whole, chunk by chunk, by its
+keepers. With within, what a document repeats of itself is a repeat too, of which the first place stays; without, only what lies in
+two documents or more.
 
 Defined results: a null text is empty and has no chunks; rows that repeat a doc_id count as one document, and a row without
-doc_id is never a repeat; repeats within one document alone are not reported; an empty table gives an empty result. A
-task holds one Arrow batch of texts.
+doc_id is never a repeat; an empty table gives an empty result. A task holds one Arrow batch of texts.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from cadenza.llm.common import lean, small_side, staged, sub_batches
+from cadenza.llm.common import in_arrow, small_side, staged, sub_batches
 from cadenza.llm.textbytes import column_bytes
 
 RADIUS = 24
@@ -98,42 +100,45 @@ def _chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """A row for each repeated span: doc_id, start and n_bytes (in UTF-8), keep_id (the document that keeps it: doc_id itself,
-    or the smallest id that shares its chunks), and copies, how often its most frequent chunk occurs. Spans of a run stand
-    side by side and may each be shorter than min_bytes."""
+def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES, within: bool = True) -> DataFrame:
+    """A row for each repeated span: doc_id, start and n_bytes (in UTF-8), keep_id (the smallest id that holds it, or doc_id itself
+    if the span stays), kept (whether it stays), and copies, how often its most frequent chunk occurs. Spans of a run stand side by
+    side and may each be shorter than min_bytes."""
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    chunks = staged(rows.mapInArrow(lean(_chunk), _CHUNKS), "chunks")
-    seen = chunks.groupBy("d1", "d2").agg(F.min("doc_id").alias("keep_id"), F.max("doc_id").alias("last_id"), F.count(F.lit(1)).alias("copies"))
-    shared = staged(seen.where("keep_id <> last_id").drop("last_id"), "shared-chunks")
-    hits = chunks.join(small_side(shared), ["d1", "d2"])
-    by_place = W.partitionBy("doc_id").orderBy("start", "stop", "keep_id")
+    chunks = staged(in_arrow(rows, _chunk, _CHUNKS), "chunks")
+    place = F.struct("doc_id", "start")
+    seen = chunks.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("copies"))
+    several = F.col("first") != F.col("last") if within else F.col("first.doc_id") != F.col("last.doc_id")
+    shared = staged(seen.where(several).select("d1", "d2", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "copies"), "shared-chunks")
+    stays = (F.col("doc_id") == F.col("keep_id")) & ((F.col("start") == F.col("keep_start")) | F.lit(not within))
+    hits = chunks.join(small_side(shared), ["d1", "d2"]).withColumn("kept", stays)
+    by_place = W.partitionBy("doc_id").orderBy("start", "stop", "keep_id", "kept")
     reach = F.max("stop").over(by_place.rowsBetween(W.unboundedPreceding, -1))
-    before = F.lag("keep_id").over(by_place)
-    marked = hits.withColumns({"apart": F.coalesce(reach, F.lit(-1)) < F.col("start"), "before": before})
-    turns = (F.col("before") == F.col("doc_id")) != (F.col("keep_id") == F.col("doc_id"))
-    opens = {"run": F.col("apart"), "part": F.col("apart") | turns, "piece": F.col("apart") | (F.col("before") != F.col("keep_id"))}
+    marked = hits.withColumns({"apart": F.coalesce(reach, F.lit(-1)) < F.col("start"), "before": F.lag("keep_id").over(by_place), "stayed": F.lag("kept").over(by_place)})
+    turns = F.col("stayed") != F.col("kept")
+    opens = {"run": F.col("apart"), "part": F.col("apart") | turns, "piece": F.col("apart") | turns | (F.col("before") != F.col("keep_id"))}
     pieces = (
-        marked.select("doc_id", "start", "stop", "keep_id", "copies", *[F.sum(v.cast("int")).over(by_place).alias(k) for k, v in opens.items()])
+        marked.select("doc_id", "start", "stop", "keep_id", "kept", "copies", *[F.sum(v.cast("int")).over(by_place).alias(k) for k, v in opens.items()])
         .groupBy("doc_id", "run", "part", "piece")
-        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("keep_id").alias("keep_id"), F.max("copies").alias("copies"))
+        .agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("keep_id").alias("keep_id"), F.min("kept").alias("kept"), F.max("copies").alias("copies"))
     )
     bytes_in = lambda k: F.max("stop").over(W.partitionBy("doc_id", k)) - F.min("start").over(W.partitionBy("doc_id", k))
-    kept = pieces.withColumns({"run_bytes": bytes_in("run"), "part_bytes": bytes_in("part")}).where(F.col("run_bytes") >= min_bytes)
-    kept = kept.withColumn("keep_id", F.when(F.col("part_bytes") < min_bytes, F.col("doc_id")).otherwise(F.col("keep_id")))
+    held = pieces.withColumns({"run_bytes": bytes_in("run"), "part_bytes": bytes_in("part")}).where(F.col("run_bytes") >= min_bytes)
+    own = F.col("kept") | (F.col("part_bytes") < min_bytes)
+    held = held.withColumns({"kept": own, "keep_id": F.when(own, F.col("doc_id")).otherwise(F.col("keep_id"))})
     in_run = W.partitionBy("doc_id", "run").orderBy("piece")
-    fresh = F.coalesce(F.lag("keep_id").over(in_run) != F.col("keep_id"), F.lit(True))
-    spans = kept.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(in_run)).groupBy("doc_id", "run", "span")
+    fresh = F.coalesce((F.lag("keep_id").over(in_run) != F.col("keep_id")) | (F.lag("kept").over(in_run) != F.col("kept")), F.lit(True))
+    spans = held.withColumn("fresh", fresh.cast("int")).withColumn("span", F.sum("fresh").over(in_run)).groupBy("doc_id", "run", "span")
     return (
-        spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("keep_id").alias("keep_id"), F.max("copies").alias("copies"))
+        spans.agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.min("keep_id").alias("keep_id"), F.min("kept").alias("kept"), F.max("copies").alias("copies"))
         .withColumn("n_bytes", F.col("stop") - F.col("start"))
-        .select("doc_id", "start", "n_bytes", "keep_id", "copies")
+        .select("doc_id", "start", "n_bytes", "keep_id", "kept", "copies")
     )
 
 
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES) -> DataFrame:
-    """docs with the repeated spans taken out of every text but that of the document which keeps them."""
-    gone = repeats(docs, id_column, text_column, min_bytes).where("doc_id <> keep_id")
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_bytes: int = MIN_BYTES, within: bool = True) -> DataFrame:
+    """docs with the repeated spans taken out of every text but for the places that stay."""
+    gone = repeats(docs, id_column, text_column, min_bytes, within).where("NOT kept")
     spans = staged(gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("__cz_spans")).withColumnRenamed("doc_id", "__cz_id"), "repeated-spans")
     places = F.concat(F.col("__cz_spans"), F.array(F.struct(F.octet_length(text_column).alias("start"), F.lit(0).alias("n_bytes"))))
     cut = F.aggregate(

@@ -87,3 +87,64 @@ def test_copies_that_share_a_passage_with_an_earlier_document_survive(spark):
         assert after[1] == first and after[9] == ""
         gone = len(raw) - len(after[5].encode())
         assert (gone == 0) if not longest else (500 < gone < longest)
+
+
+def test_what_a_document_repeats_of_itself_stays_once(spark):
+    rng = random.Random(21)
+    passage, other = " ".join(prose(rng, 90)), lambda: " ".join(prose(rng, 150))
+    text = f"{other()} {passage} {other()} {passage} {other()}"
+    docs = spark.createDataFrame([(3, text), (3, text), (4, other())], "doc_id long, text string")
+    spans = substring_dedup.repeats(docs).orderBy("start").collect()
+    assert [(r.doc_id, r.keep_id, r.kept) for r in spans] == [(3, 3, True), (3, 3, False)]
+    assert all(len(passage) * 0.6 < r.n_bytes <= len(passage) + 2 for r in spans)
+    after = {r.text for r in substring_dedup.without_repeats(docs.dropDuplicates()).collect() if r.doc_id == 3}
+    assert len(after) == 1 and len(after.pop().encode()) == len(text.encode()) - spans[1].n_bytes
+    assert substring_dedup.repeats(docs, within=False).count() == 0
+
+
+def common_runs(a: bytes, b: bytes, least: int):
+    """All maximal common substrings of at least least bytes: where they lie in a and in b, and how long they are."""
+    grams, out = {}, set()
+    for j in range(len(b) - least + 1):
+        grams.setdefault(b[j : j + least], []).append(j)
+    for i in range(len(a) - least + 1):
+        for j in grams.get(a[i : i + least], ()):
+            if not (i and j and a[i - 1] == b[j - 1]):
+                n = least
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                    n += 1
+                out.add((i, j, n))
+    return out
+
+
+def test_spans_are_held_against_all_common_substrings(spark):
+    """Every pair of texts by brute force. Recall: common runs of 300 bytes or more that both texts' spans touch, and how much of
+    them. Precision: bytes of spans that lie in a common run of at least 60 bytes with another text or place."""
+    rng, texts = random.Random(31), {}
+    shared = [" ".join(prose(rng, rng.randrange(25, 120))) for _ in range(12)]
+    for i in range(40):
+        parts = [" ".join(prose(rng, rng.randrange(10, 120))) for _ in range(3)]
+        for _ in range(rng.randrange(0, 3)):
+            parts.insert(rng.randrange(len(parts) + 1), rng.choice(shared))
+        texts[i] = " ".join(parts).encode()
+    docs = spark.createDataFrame([(i, t.decode()) for i, t in texts.items()], "doc_id long, text string")
+    spans = {i: [] for i in texts}
+    for r in substring_dedup.repeats(docs).collect():
+        spans[r.doc_id].append((r.start, r.start + r.n_bytes))
+    true = {i: np.zeros(len(t), bool) for i, t in texts.items()}
+    met = total = covered = bytes_ = 0
+    for i in texts:
+        for j in range(i + 1):
+            for a, b, n in common_runs(texts[i], texts[j], 60):
+                if i == j and a == b:
+                    continue
+                true[i][a : a + n] = True
+                true[j][b : b + n] = True
+                if n >= 300:
+                    for k, at in ((i, a), (j, b)):
+                        over = sum(max(0, min(at + n, e) - max(at, s)) for s, e in spans[k])
+                        met, total, covered, bytes_ = met + (over > 0), total + 1, covered + min(over, n), bytes_ + n
+    said = [true[i][s:e].mean() for i in texts for s, e in spans[i]]
+    print("runs met", met / total, "bytes covered", covered / bytes_, "precision", np.mean(said))
+    assert total > 40 and met == total
+    assert covered / bytes_ > 0.75 and np.mean(said) > 0.99
