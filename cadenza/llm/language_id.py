@@ -5,12 +5,12 @@ character trigrams says which half of the languages a text belongs to. Decoding
 codeword, the logistic losses of the bits, weighted by how well each bit is known, and takes the nearest codeword;
 a text whose two nearest codewords are about as near is flagged as ambiguous.
 
-Learning: Spark draws at most MAX_ROWS rows, the same number of each language (those whose ids hash
-lowest), and computes their features in tasks; the driver fits DIMENSIONS x bits weights. Everything
-else reads all rows and whole texts.
+Learning: Spark counts the languages' rows; the MAX_LANGUAGES most common ones (of equally common ones the first in order) are
+learned. It draws at most MAX_ROWS rows, the same number of each language (those whose ids hash lowest), and computes their features
+in tasks; the driver fits DIMENSIONS x bits weights. Everything else reads all rows and whole texts.
 
 Defined results: a null text, or one without a letter, is 'und' with score 0; rows without a language or
-id are never learned from; with one language only, every text with a letter gets it with score 1; with none to
+id are never learned from, and a language beyond the MAX_LANGUAGES most common ones is never predicted; with one language only, every text with a letter gets it with score 1; with none to
 learn from, every text is 'und'; an empty table gives an empty result.
 """
 
@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import label_sample, lean, staged, sub_batches
+from cadenza.llm.common import in_arrow, label_sample, staged, sub_batches
 from cadenza.llm.textbytes import column_bytes
 
 DIMENSIONS = 4096
 CODE_BITS = 15
 #: Rows that the classifiers are fitted on, of all languages together.
 MAX_ROWS = 2000
+#: Languages that are learned at most: each gets MAX_ROWS / MAX_LANGUAGES rows at least.
+MAX_LANGUAGES = 200
 #: Below this score a text is ambiguous.
 SURE = 0.5
 UNDETERMINED = "und"
@@ -69,7 +71,8 @@ def codewords(languages: int, bits: int = CODE_BITS, seed: int = 3) -> np.ndarra
         code = rng.choice([-1.0, 1.0], size=(languages, bits))
         for j in np.flatnonzero(np.abs(code.sum(axis=0)) == languages):
             code[rng.integers(languages), j] *= -1
-        apart = min((np.sum(code[i] != code[j]) for i in range(languages) for j in range(i)), default=bits)
+        same = (code @ code.T + bits) / 2  # how many bits two words share
+        apart = bits - (same - 2 * bits * np.eye(languages)).max() if languages > 1 else bits
         if apart > at:
             best, at = code, apart
     return best
@@ -128,12 +131,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learn(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", max_rows: int = MAX_ROWS) -> Model:
     known = docs.where(F.col(id_column).isNotNull() & F.col(lang_column).isNotNull() & ~held_out(id_column)).select(F.col(id_column).alias("doc_id"), F.col(lang_column).alias("lang")).distinct()
-    languages = known.select("lang").distinct().limit(max_rows).count()
-    each = max(1, max_rows // max(1, languages))
-    chosen = label_sample(known, "lang", "doc_id", each).limit(max_rows)
+    common = staged(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(min(MAX_LANGUAGES, max_rows)).select("lang"), "languages")
+    each = max(1, max_rows // max(1, common.count()))
+    chosen = label_sample(known.join(F.broadcast(common), "lang"), "lang", "doc_id", each)  # MAX_LANGUAGES rows
     ids = F.broadcast(staged(chosen.select(F.col("doc_id").alias("__cz_id"), F.col("lang").alias("__cz_lang")).distinct(), "language-sample"))  # max_rows at most
     texts = docs.join(ids, (F.col(id_column) == F.col("__cz_id")) & (F.col(lang_column) == F.col("__cz_lang"))).groupBy("__cz_id", F.col("__cz_lang").alias("lang")).agg(F.min(text_column).alias("text"))
-    rows = texts.select("lang", "text").where("text RLIKE '\\\\p{L}'").mapInArrow(lean(_count), "lang string, x binary").collect()
+    rows = in_arrow(texts.select("lang", "text").where("text RLIKE '\\\\p{L}'"), _count, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     x = np.array([np.frombuffer(r.x, dtype=np.float16) for r in rows], dtype=np.float32).reshape(len(rows), DIMENSIONS)
     return fit(x, [r.lang for r in rows])
@@ -167,7 +170,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text_column: str = "
     """The columns keep of docs, with lang_pred, score, runner_up (its score) and ambiguous."""
     asked = docs.select(*keep, F.col(text_column).alias("__cz_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(*keep).schema) + ", lang_pred string, score double, runner_up double"
-    return asked.mapInArrow(lean(_predict(model, len(keep))), schema).withColumn("ambiguous", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") < SURE))
+    return in_arrow(asked, _predict(model, len(keep)), schema).withColumn("ambiguous", (F.col("lang_pred") != UNDETERMINED) & (F.col("score") < SURE))
 
 
 def keep_identified(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:

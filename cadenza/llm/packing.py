@@ -2,7 +2,7 @@
 
 A task reads its documents in the order they are stored, turns each into ids and lays them end to end in
 blocks of about BLOCK_TOKENS. In a block, windows are cut at document ends (free), sentence ends (SENTENCE_CUT)
-or, in a sentence longer than a window, anywhere (HARD_CUT). With f(i) the least cost of all before boundary i,
+or, in stretches of more than a quarter of a window without either, at every 64th token (HARD_CUT). With f(i) the least cost of all before boundary i,
 
     f(i) = cut(i) + min over j of f(j) + padding(p_i - p_j),   0 < p_i - p_j <= size.
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cadenza.llm.common import lean, sub_batches
+from cadenza.llm.common import in_arrow, sub_batches
 
 SIZE = 2048
 CLOSING_ID = 1
@@ -197,7 +197,7 @@ def pack(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """A row for each piece of a document: where it starts in the document's ids, and its sequence and place there."""
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    return rows.mapInArrow(lean(_pack(path, size)), _PIECES)
+    return in_arrow(rows, _pack(path, size), _PIECES)
 
 
 def op3_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

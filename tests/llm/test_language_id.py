@@ -43,3 +43,26 @@ def test_codewords_lie_apart():
         code = language_id.codewords(n)
         assert min((code[i] != code[j]).sum() for i in range(n) for j in range(i)) >= 3
         assert (np.abs(code.sum(axis=0)) < n).all()
+
+
+def test_decoding_is_that_of_the_plain_formula():
+    """Losses, shares and the nearest word by loops over words and bits."""
+    rng = np.random.default_rng(9)
+    code = language_id.codewords(5)
+    model = language_id.Model(tuple("abcde"), code, rng.normal(size=(language_id.DIMENSIONS, code.shape[1])).astype(np.float32), rng.normal(size=code.shape[1]).astype(np.float32), rng.random(code.shape[1]) + 0.5)
+    x = language_id.features(rng.integers(0, 4, (6, language_id.DIMENSIONS)))
+    best, score, second = model.decode(x)
+    for i in range(6):
+        margin = [sum(float(a) * float(b) for a, b in zip(x[i], model.weights[:, j], strict=True)) + model.bias[j] for j in range(code.shape[1])]
+        loss = [sum(model.trust[j] * np.log1p(np.exp(-margin[j] * word[j])) for j in range(code.shape[1])) for word in code]
+        share = sorted((np.exp(min(loss) - v) for v in loss), reverse=True)
+        assert best[i] == int(np.argmin(loss))
+        assert np.allclose([score[i], second[i]], [share[0] / sum(share), share[1] / sum(share)], atol=1e-4)
+
+
+def test_many_languages_are_bounded_and_reruns_agree(spark):
+    rows = [(i, f"wort {i % 700} und mehr davon {i % 7}", f"l{i % 700:03}") for i in range(3000)] + [(10_000 + i, f"some words {i}", "en") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    first, again = language_id.learn(docs, max_rows=600), language_id.learn(docs.repartition(7), max_rows=600)
+    assert len(first.languages) == language_id.MAX_LANGUAGES and "en" in first.languages
+    assert first.languages == again.languages and np.allclose(first.weights, again.weights)
