@@ -11,21 +11,25 @@ Steps, each written to the shared folder:
 1. Counts: every task adds up shingle counts in COUNTERS hashed counters; the sums (a fixed size) go to all tasks.
 2. Profiles: per document the digest of its set, its size, m, its prefix, and a parity bitmap.
    Equal sets become one class, stood for by its smallest id.
-3. Matching: prefix shingles that occur in one class only are dropped. The others form small groups of
-   narrow rows; groups over GROUP_ROWS rows are cut into blocks, and pairs of blocks are matched in separate
-   tasks. A pair becomes a candidate only if its sizes, its parity bitmaps (an upper bound of the overlap) and its
-   shared prefix shingles allow a link. A group sends on a spanning forest of its candidates, not all pairs.
+3. Matching: prefix shingles that occur in one class only are dropped. The others form small groups of narrow rows; groups
+   over GROUP_ROWS rows are dealt into blocks that are matched each for itself. A pair becomes a candidate only if its sizes, its
+   parity bitmaps (an upper bound of the overlap) and its shared prefix shingles allow a link. A group sends on a spanning
+   forest of its candidates, not all pairs.
 4. Verification: candidates that hang together form a cluster; its members' sets are computed again from their texts
-   and compared exactly, in blocks of at most BLOCK_DOCS documents; a block pair sends on a spanning forest of its links.
-5. The links' connected components are found by distributed rounds.
+   and compared exactly, a cluster of more than BLOCK_DOCS members in blocks, each for itself. Of each set of members that links join
+   one stands for all in the next turn, until turns join no more: so a cluster of near copies sends every set about once.
+5. What is left: pairs with different labels (a label: what links have joined so far) in large groups and in large clusters of
+   more than one label. Only these are matched and verified across blocks: the rows of a group's most common label lie in one block each,
+   and the others, mostly few, visit all blocks.
+6. The links' connected components are found by distributed rounds.
 
-No candidate is dropped other than by a bound that proves that it is no link, so the components are those
-of all links. The worst case, a large cluster of texts just under the threshold, costs time in many tasks, but no
-task holds more than two blocks.
+No candidate is dropped other than by a bound that proves that it is no link, or because links join its two already, so the
+components are those of all links. The worst case, a large cluster of texts that are all just under the threshold, costs time in
+many tasks, but no task holds more than two blocks.
 
 Defined results: a null or empty text, or one of white space only, has an empty set and is linked with nothing; a
 text of fewer than k words has one shingle, the whole sequence; rows that repeat a doc_id count as one
-document with the links of all its texts; a row without doc_id is linked with nothing. An empty table gives an empty result. Columns whose names begin with __cz_ are the operator's own.
+document with the links of all its texts, so all of them get one component; a row without doc_id is linked with nothing. An empty table gives an empty result. Columns whose names begin with __cz_ are the operator's own.
 """
 
 from __future__ import annotations
@@ -35,10 +39,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm.common import by_groups, lean, small_side, staged, sub_batches
+from cadenza.llm.common import by_groups, in_arrow, small_side, staged, sub_batches
 from cadenza.llm.components import components
 from cadenza.llm.textbytes import column_bytes, run_hashes, shingle_hashes, words
 
@@ -50,6 +55,8 @@ MOST_MATCHES = 4
 #: Estimated cost of comparing two prefixes, in units of reading one row of a group.
 VERIFY_COST = 8.0
 GROUP_ROWS = 2048
+#: Groups of at most this many rows are matched many at a time.
+SMALL_GROUP = 48
 BLOCK_DOCS = 128
 
 
@@ -72,9 +79,9 @@ def shingle_counts(docs: DataFrame, text_column: str, k: int) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, dtype=np.int64)
+        total = np.zeros(COUNTERS, dtype=np.int32)
         for _, sets in _sets(batches, k):
-            total += np.bincount(_counter(np.concatenate(sets)), minlength=COUNTERS)
+            np.add.at(total, _counter(np.concatenate(sets)), 1)
         if total.any():
             parts = total.reshape(_SLICES, -1)
             over = [np.flatnonzero(p > 254) for p in parts]
@@ -93,9 +100,9 @@ def shingle_counts(docs: DataFrame, text_column: str, k: int) -> np.ndarray:
             counts = [np.minimum(v, (1 << 31) - 1).astype(np.int32).tobytes() for v in sums.values()]
             yield pa.record_batch({"slice": pa.array(list(sums), pa.int32()), "counts": pa.array(counts, pa.binary())})
 
-    partial = docs.select(F.col(text_column).alias("text")).mapInArrow(lean(count), "slice int, low binary, rest binary")
+    partial = in_arrow(docs.select(F.col(text_column).alias("text")), count, "slice int, low binary, rest binary")
     out = np.zeros((_SLICES, COUNTERS // _SLICES), dtype=np.int32)
-    for row in partial.repartition(_SLICES, "slice").mapInArrow(add, "slice int, counts binary").collect():
+    for row in in_arrow(partial.repartition(_SLICES, "slice"), add, "slice int, counts binary").collect():
         out[row["slice"]] = np.frombuffer(row["counts"], dtype=np.int32)
     return out.ravel()
 
@@ -146,26 +153,78 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _folded(raw: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """All rows' bitmaps folded to size bytes (none is shorter); folding halves together keeps the parity."""
+    widths = np.diff(at)
+    out = np.zeros((len(widths), size), dtype=np.uint8)
+    for w in np.unique(widths):
+        rows = np.flatnonzero(widths == w)
+        for some in np.array_split(rows, max(1, len(rows) * int(w) >> 22)):
+            out[some] = np.bitwise_xor.reduce(raw[at[some][:, None] + np.arange(w)].reshape(len(some), -1, size), axis=1)
+    return out
+
+
+def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs within each of the groups."""
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n in np.unique(sizes):
+        i, j = np.triu_indices(int(n), 1)
+        at = starts[sizes == n][:, None]
+        left.append((at + i).ravel())
+        right.append((at + j).ravel())
+    return np.concatenate(left), np.concatenate(right)
+
+
 def _match(percent: int):
-    """Candidates among the rows of each group (or between the two blocks of one), as spanning forests."""
+    """Candidates among the rows of each group (or between the two sides of one) with different labels, as spanning forests."""
 
     def match(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
-        rep, n, m, side = (table[c].to_numpy() for c in ("rep", "n", "m", "side"))
+        rep, n, m, side, label = (table[c].to_numpy() for c in ("rep", "n", "m", "side", "label"))
         raw, at = column_bytes(table["bitmap"].chunk(0))
         prefixes = table["prefix"].chunk(0)
+        least = BITMAP_BITS[0] // 8
 
         def bitmap(i: int, size: int) -> np.ndarray:
-            """Row i's bitmap of size bytes; folding halves together keeps the parity."""
+            """Row i's bitmap of size bytes."""
             out = raw[at[i] : at[i + 1]]
             while len(out) > size:
                 out = out[: len(out) // 2] ^ out[len(out) // 2 :]
             return out.view(np.uint64)
 
-        def sharing(i: int, j: np.ndarray) -> np.ndarray:
-            """Those of j that share as many prefix shingles with i as the pair asks for."""
-            ask = np.minimum(m[j], m[i])
-            keep = [a <= 1 or len(np.intersect1d(prefixes[i].values, prefixes[int(x)].values, assume_unique=True)) >= a for x, a in zip(j, ask, strict=True)]
-            return j[np.array(keep, dtype=bool)]
+        def near(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> np.ndarray:
+            """Whether sets that differ in so many bits may link."""
+            total = n[i] + n[j]
+            both = total - apart  # twice the overlap at most
+            return 100 * both >= percent * (2 * total - both)
+
+        def sharing(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Whether two rows share as many prefix shingles as the pair asks for."""
+            ask = np.minimum(m[i], m[j])
+            out = ask <= 1
+            for some in np.array_split(np.flatnonzero(~out), max(1, int((~out).sum()) >> 11)):
+                held = prefixes.take(pa.array(np.concatenate([i[some], j[some]])))
+                pair = np.repeat(np.tile(np.arange(len(some)), 2), held.value_lengths().to_numpy(zero_copy_only=False))
+                values = held.flatten().to_numpy()
+                order = np.lexsort((values, pair))
+                again = (np.diff(values[order]) == 0) & (np.diff(pair[order]) == 0)
+                out[some] = np.bincount(pair[order[1:][again]], minlength=len(some)) >= ask[some]
+            return out
+
+        def few(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The candidates of small groups, all of them at once."""
+            i, j = _pairs_within(sizes, starts)
+            ok = (label[i] != label[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            ok &= ~crossed[i] | (side[i] != side[j])
+            i, j = i[ok], j[ok]
+            ok = near(i, j, np.bitwise_count(small[i] ^ small[j]).sum(axis=1, dtype=np.int64))
+            i, j = i[ok], j[ok]
+            widths = np.minimum(np.diff(at)[i], np.diff(at)[j])
+            ok = widths <= least
+            wide = np.flatnonzero(~ok)
+            ok[wide] = near(i[wide], j[wide], np.array([np.bitwise_count(bitmap(a, w) ^ bitmap(b, w)).sum(dtype=np.int64) for a, b, w in zip(i[wide].tolist(), j[wide].tolist(), widths[wide].tolist(), strict=True)], dtype=np.int64))
+            i, j = i[ok], j[ok]
+            ok = sharing(i, j)
+            return i[ok], j[ok]
 
         def rows(order: np.ndarray, across: bool):
             """For each row of a group (in the order of n) the later rows that may link with it, as places in the order."""
@@ -183,36 +242,53 @@ def _match(percent: int):
                     low = int(np.searchsorted(width, w))
                     stacks = {w: (top, low, np.stack([bitmap(int(x), w) for x in order[low:top]]))}
                 _, low, stack = stacks[w]
-                apart = np.bitwise_count(stack[i + 1 - low : hi - low] ^ stack[i - low]).sum(axis=1, dtype=np.int64)
-                total = size[i + 1 : hi] + size[i]
-                both = total - apart  # twice the overlap at most
-                j = i + 1 + np.flatnonzero(100 * both >= percent * (2 * total - both))
+                j = np.arange(i + 1, hi)
+                ok = label[order[j]] != label[order[i]]
                 if across:
-                    j = j[side[order[j]] != side[order[i]]]
-                if len(j) and m[order[i]] > 1:
-                    j = i + 1 + np.flatnonzero(np.isin(order[i + 1 : hi], sharing(int(order[i]), order[j])))
+                    ok &= side[order[j]] != side[order[i]]
+                j = j[ok]
+                if not len(j):
+                    continue
+                apart = np.bitwise_count(stack[j - low] ^ stack[i - low]).sum(axis=1, dtype=np.int64)
+                j = j[near(np.full(len(j), order[i]), order[j], apart)]
+                if len(j):
+                    j = j[sharing(np.full(len(j), order[i]), order[j])]
                 yield i, j
 
-        found_a, found_b = [], []
         sizes = np.diff(cuts)
-        widths = np.diff(at)
-        two = cuts[:-1][sizes == 2]
-        plain = two[(widths[two] == widths[two + 1]) & (np.minimum(m[two], m[two + 1]) <= 1) & (widths[two] == BITMAP_BITS[0] // 8)]
-        if len(plain):
-            x, y = (raw[at[plain + d][:, None] + np.arange(BITMAP_BITS[0] // 8)] for d in (0, 1))
-            total = n[plain] + n[plain + 1]
-            both = total - np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            plain_ok = plain[(100 * both >= percent * (2 * total - both)) & (100 * np.minimum(n[plain], n[plain + 1]) >= percent * np.maximum(n[plain], n[plain + 1]))]
-            found_a.append(rep[plain_ok])
-            found_b.append(rep[plain_ok + 1])
-        done = np.isin(cuts[:-1], plain)
-        for a, b in zip(cuts[:-1][~done], cuts[1:][~done], strict=True):
+        second = np.add.reduceat(side, cuts[:-1])
+        crossed = np.repeat((second > 0) & (second < sizes), sizes)  # groups of two sides
+        small_groups = sizes <= SMALL_GROUP
+        found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if small_groups.any():
+            small = _folded(raw, at, least)
+            starts, counts = cuts[:-1][small_groups], sizes[small_groups]
+            for some in np.array_split(np.arange(len(starts)), max(1, int((counts * (counts - 1) // 2).sum()) >> 18)):
+                if not len(some):
+                    continue
+                i, j = few(starts[some], counts[some])
+                group = np.searchsorted(starts, i, side="right")
+                alone = np.bincount(group, minlength=len(starts) + 1)[group] == 1
+                found_a.append(rep[i[alone]])
+                found_b.append(rep[j[alone]])
+                up: dict[int, int] = {}
+                for a, b in zip(i[~alone].tolist(), j[~alone].tolist(), strict=True):
+                    x, y = a, b
+                    while (z := up.get(x, x)) != x:
+                        x = z
+                    while (z := up.get(y, y)) != y:
+                        y = z
+                    if x != y:
+                        up[y] = x
+                        found_a.append(rep[a : a + 1])
+                        found_b.append(rep[b : b + 1])
+        for a, b in zip(cuts[:-1][~small_groups], cuts[1:][~small_groups], strict=True):
             order = a + np.argsort(n[a:b], kind="stable")
-            across = bool((side[a:b] == 0).any() and (side[a:b] == 1).any())
+            across = bool(crossed[a])
             edges = np.array(spanning(b - a, rows(order, across)), dtype=np.int64).reshape(-1, 2)
             found_a.append(rep[order[edges[:, 0]]])
             found_b.append(rep[order[edges[:, 1]]])
-        return _edges(np.concatenate([*found_a, np.zeros(0, np.int64)]), np.concatenate([*found_b, np.zeros(0, np.int64)]))
+        return _edges(np.concatenate(found_a), np.concatenate(found_b))
 
     return match
 
@@ -240,13 +316,13 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, column
 
 
 def _verify(percent: int):
-    """The links among a block of a cluster, or between two blocks, as a spanning forest."""
+    """The links of different labels among a block of a cluster, or between two sides, as a spanning forest."""
 
     def verify(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
-        reps, sides, raw = table["rep"].to_numpy(), table["side"].to_numpy(), table["hashes"].chunk(0)
+        reps, sides, labels, raw = table["rep"].to_numpy(), table["side"].to_numpy(), table["label"].to_numpy(), table["hashes"].chunk(0)
         out: list[tuple[int, int]] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rep, side = reps[a:b], sides[a:b]
+            rep, side, label = reps[a:b], sides[a:b], labels[a:b]
             data, at = column_bytes(raw.slice(a, b - a))
             sets = [data[at[i] : at[i + 1]].view(np.int64) for i in range(b - a)]
             sizes = np.array([len(s) for s in sets])
@@ -254,7 +330,7 @@ def _verify(percent: int):
             left = np.flatnonzero(side == 0) if across else np.arange(len(rep))
             right = np.flatnonzero(side == 1) if across else left
             both = overlaps(sets, left, right)
-            linked = 100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)
+            linked = (100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
             edges = spanning(len(rep), ((int(left[i]), right[linked[i] & (right != left[i])]) for i in range(len(left))))
             out += [(rep[i], rep[j]) for i, j in edges]
         return _edges([a for a, _ in out], [b for _, b in out])
@@ -262,6 +338,12 @@ def _verify(percent: int):
     return verify
 
 
+def in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """rows (with members, the size of their group) for grouping by group, x and y: large groups are dealt into blocks of about size."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("members") / size).cast("int"))
+    return rows.withColumns({"x": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "y": F.lit(0), "side": F.lit(0)}).drop("members")
+
+
 def in_block_pairs(rows: DataFrame, size: int) -> DataFrame:
     """rows (with members, the size of their group) for grouping by group, x and y: whole small groups, and for larger ones each
     pair of blocks (x <= y). side tells the two blocks of a pair apart."""
@@ -274,11 +356,29 @@ def in_block_pairs(rows: DataFrame, size: int) -> DataFrame:
     )
 
 
-def profiles(docs: DataFrame, counts: np.ndarray, k: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    """A row for each row of docs: doc_id, n, the digest of the set (d1, d2), m, prefix and bitmap."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+def across_labels(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows (key, rep, label and more) for grouping by key, x and y, so that any two rows of a key with different labels meet.
 
-    usual = float(counts.mean())
+    Keys of one label go. Of a large key the rows of its most common label are dealt into blocks, which all other rows visit
+    (y = -1, side tells them apart); the others also meet among themselves, by pairs of blocks.
+    """
+    per = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.sum("n").alias("members"), F.max("n").alias("most")).where("members > most")
+    placed = rows.join(small_side(staged(top, "labelled-groups")), key)
+    own = placed.columns[: len(rows.columns)]
+    columns = [*rows.columns, "x", "y", "side"]
+    whole = placed.where(F.col("members") <= size).withColumns({"x": F.lit(0), "y": F.lit(0), "side": F.lit(0)})
+    large = placed.where(F.col("members") > size).withColumn("blocks", F.ceil(F.col("most") / size).cast("int"))
+    common = large.where("label = top").withColumns({"x": F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"), "y": F.lit(-1), "side": F.lit(0)})
+    others = large.where("label <> top")
+    visits = others.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"y": F.lit(-1), "side": F.lit(1)})
+    among = in_block_pairs(others.select(*own, (F.col("members") - F.col("most")).alias("members")), size)
+    return whole.select(*columns).unionByName(common.select(*columns)).unionByName(visits.select(*columns)).unionByName(among.select(*columns))
+
+
+def profiles(docs: DataFrame, shared: Broadcast, k: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """A row for each row of docs: doc_id, n, the digest of the set (d1, d2), m, prefix and bitmap."""
+    usual = float(shared.value.mean())
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, k):
@@ -298,52 +398,120 @@ def profiles(docs: DataFrame, counts: np.ndarray, k: int, percent: int, id_colum
             )
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(lean(profile), "doc_id long, n long, d1 long, d2 long, m int, prefix array<long>, bitmap binary")
+    return in_arrow(rows, profile, "doc_id long, n long, d1 long, d2 long, m int, prefix array<long>, bitmap binary")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
     counts = shingle_counts(docs, text_column, k)
-    made = staged(profiles(docs, counts, k, percent, id_column, text_column), "profiles")
+    shared = docs.sparkSession.sparkContext.broadcast(counts)  # COUNTERS numbers
+    made = staged(profiles(docs, shared, k, percent, id_column, text_column), "profiles")
+    shared.destroy()
     classes = staged(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     several = small_side(classes.where("copies > 1").select("d1", "d2", "rep"))
     standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "n", "m", "prefix", "bitmap")
     tokens = standing.select("rep", F.explode("prefix").alias("token"))
     groups = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "prefix-groups")
     met = staged(tokens.join(groups, "token"), "met-tokens")
-    wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi"), "met-profiles")
     asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
-    members = in_block_pairs(met, GROUP_ROWS).join(wide.select("rep", "n", "m", asked, "bitmap"), "rep")
-    candidates = by_groups(members, ["token", "x", "y"], _match(percent), "a long, b long")
-    clusters = staged(components(candidates, "candidates").withColumnRenamed("node", "rep"), "clusters")
-    links = staged(_links(docs, clusters, k, percent, id_column, text_column), "links")
+    wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "m", asked, "bitmap"), "met-profiles")
+    match = lambda rows: by_groups(rows.join(wide, "rep"), ["token", "x", "y"], _match(percent), "a long, b long")
+    clusters = _clusters(match(in_blocks(met, GROUP_ROWS).withColumn("label", F.col("rep"))), "candidates")
+    sets = _Sets(docs, k, percent, id_column, text_column)
+    links, parted = sets.joined(clusters)
+    # what is left: pairs of different labels in groups and clusters that were dealt into blocks
+    large = groups.where(F.col("members") > GROUP_ROWS).select("token")
+    if parted is not None or large.limit(1).count():
+        rest = met.join(large, "token", "left_semi").select("token", "rep")
+        if parted is not None:
+            rest = rest.unionByName(met.select("token", "rep").join(parted, "rep", "left_semi")).distinct()
+        labels = sets.labels(links)
+        open_rows = staged(rest.join(labels, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label")), "open-tokens")
+        again = _clusters(match(across_labels(open_rows, "token", GROUP_ROWS)), "open-candidates")
+        links = links.unionByName(sets.across(again, labels))
+    repeated = staged(made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("first"), F.max(F.struct("d1", "d2")).alias("last")).where("first <> last").select("doc_id"), "repeated-ids")
+    known = made.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
+    several_texts = repeated.limit(1).count() > 0
+    if several_texts:  # the classes of one document's texts belong together
+        held = known.where("n_shingles > 0").join(small_side(repeated), "doc_id").select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).select("doc_id", "rep")
+        held = staged(held, "texts-of-repeated-ids")
+        links = links.unionByName(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")))
     linked = components(links, "links").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     named = staged(classes.join(linked, "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id")), "class-components")
-    known = made.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     none = known.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return known.where("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id").unionByName(none)
-
+    out = known.where("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id").unionByName(none)
+    if several_texts:  # a document with an empty text and another one has the component of the other
+        own = staged(out.join(small_side(repeated), "doc_id").groupBy("doc_id").agg(F.min("component_id").alias("own")), "components-of-repeated-ids")
+        out = out.join(small_side(own), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("own", "component_id").alias("component_id"))
+    return out
 
-def _links(docs: DataFrame, clusters: DataFrame, k: int, percent: int, id_column: str, text_column: str) -> DataFrame:
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, k):
-            for a in range(0, len(sets), 256):
-                part = sets[a : a + 256]
-                yield pa.record_batch({"rep": batch.column(0).slice(a, len(part)), "cluster": batch.column(1).slice(a, len(part)), "hashes": pa.array([h.tobytes() for h in part], pa.binary())})
 
-    own = small_side(clusters.select(F.col("rep").alias("__cz_rep"), F.col("component").alias("__cz_cluster")))
-    texts = docs.join(own, F.col(id_column).cast("long") == F.col("__cz_rep")).select(F.col("__cz_rep").alias("rep"), F.col("__cz_cluster").alias("cluster"), F.col(text_column).alias("text"))
-    sets = texts.mapInArrow(lean(hashes), "rep long, cluster long, hashes binary")
-    sizes = clusters.groupBy(F.col("component").alias("cluster")).agg(F.count(F.lit(1)).alias("members"))
-    pairs = in_block_pairs(sets.join(small_side(staged(sizes, "cluster-sizes")), "cluster"), BLOCK_DOCS)
-    return by_groups(pairs, ["cluster", "x", "y"], _verify(percent), "a long, b long")
+def _clusters(candidates: DataFrame, name: str) -> DataFrame:
+    """rep and cluster of the candidates, and how many members its cluster has."""
+    nodes = components(candidates, name).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    nodes = staged(nodes, f"{name}-clusters")
+    sizes = staged(nodes.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")), f"{name}-sizes")
+    return nodes.join(small_side(sizes), "cluster")
+
+
+class _Sets:
+    """The exact comparison of documents' shingle sets, computed from their texts."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int, id_column: str, text_column: str) -> None:
+        self.docs, self.k, self.percent, self.id_column, self.text_column = docs, k, percent, id_column, text_column
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rep and hashes, the set of each text of the documents whose ids are rows' reps."""
+        k = self.k
+
+        def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, sets in _sets(batches, k):
+                for a in range(0, len(sets), 256):
+                    part = sets[a : a + 256]
+                    yield pa.record_batch({"rep": batch.column(0).slice(a, len(part)), "hashes": pa.array([h.tobytes() for h in part], pa.binary())})
+
+        own = small_side(rows.select(F.col("rep").alias("__cz_rep")))
+        texts = self.docs.join(own, F.col(self.id_column).cast("long") == F.col("__cz_rep")).select(F.col("__cz_rep").alias("rep"), F.col(self.text_column).alias("text"))
+        return staged(in_arrow(texts, hashes, "rep long, hashes binary"), "sets")
+
+    def compared(self, sets: DataFrame, rows: DataFrame) -> DataFrame:
+        """Links among the rows (rep, label, cluster, x, y, side), whose sets are given."""
+        return staged(by_groups(sets.join(rows, "rep"), ["cluster", "x", "y"], _verify(self.percent), "a long, b long"), "links")
+
+    def joined(self, clusters: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Links within the blocks of clusters and between those members that stand for what links join; and the members of
+        clusters whose links may not be all known, if there are any."""
+        clusters = staged(clusters, "cluster-members")
+        sets = self.of(clusters)
+        links = self.compared(sets, small_side(in_blocks(clusters.withColumn("label", F.col("rep")), BLOCK_DOCS)))
+        large = staged(clusters.where(F.col("members") > BLOCK_DOCS).select("rep", "cluster"), "large-clusters")
+        before, now, heads = large.count(), 0, None
+        while before:
+            named = large.join(self.labels(links), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("label"))
+            per = staged(named.select("cluster", "label").distinct(), "cluster-labels")
+            heads = per.join(per.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "cluster")
+            heads = staged(heads.select(F.col("label").alias("rep"), "cluster", "members"), "cluster-heads")
+            now = heads.count()
+            if now in (0, before):
+                break
+            links = links.unionByName(self.compared(sets, small_side(in_blocks(heads.withColumn("label", F.col("rep")), BLOCK_DOCS))))
+            before = now
+        return links, large.join(heads.select("cluster").distinct(), "cluster", "left_semi").select("rep") if now else None
+
+    def labels(self, links: DataFrame) -> DataFrame:
+        return staged(components(links, "labels").select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+
+    def across(self, clusters: DataFrame, labels: DataFrame) -> DataFrame:
+        """All links between members of a cluster with different labels."""
+        rows = staged(clusters.join(labels, "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("label")), "open-members")
+        return self.compared(self.of(rows.select("rep")), across_labels(rows, "cluster", BLOCK_DOCS))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """docs with one document of each component: the one with the smallest doc_id. Texts without words stay."""
     decided = staged(join(docs, k, percent, id_column, text_column), "near-duplicates")
-    gone = decided.where("doc_id <> component_id").select(F.col("doc_id").alias("__cz_gone")).distinct()
-    return docs.join(small_side(gone, 1_000_000), F.col(id_column).cast("long") == F.col("__cz_gone"), "left_anti")
+    gone = staged(decided.where("doc_id <> component_id").select(F.col("doc_id").alias("__cz_gone")).distinct(), "gone")
+    return docs.join(small_side(gone), F.col(id_column).cast("long") == F.col("__cz_gone"), "left_anti")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,35 @@ def test_blocks_give_the_same_components(spark, monkeypatch):
     assert got == jaccard_components(rows, 3, 80)
 
 
+def test_large_clusters_and_groups_that_link_only_in_part(spark, monkeypatch):
+    """Near copies beside texts just under the threshold, with blocks and groups so small that all parts of the join take part."""
+    monkeypatch.setattr(jaccard_join, "GROUP_ROWS", 5)
+    monkeypatch.setattr(jaccard_join, "SMALL_GROUP", 3)
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 4)
+    rng, rows = random.Random(12), []
+    words = [f"w{i}" for i in range(300)]
+    for g in range(4):
+        base = [rng.choice(words) for _ in range(120)]
+        for i in range(24):
+            w = list(base)
+            for _ in range(rng.choice([0, 1, 2, 3, 6, 7, 8, 20])):
+                w[rng.randrange(len(w))] = rng.choice(words)
+            rows.append((1000 * g + 37 * i % 101, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for k, percent in ((3, 80), (1, 90)):
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, k, percent).collect()}
+        assert got == jaccard_components(rows, k, percent)
+        assert 8 < len({c for _, c in got.values()}) < len(rows)
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = spark.createDataFrame([(3, a), (7, a), (7, b), (9, b), (11, ""), (12, None), (9, ""), (20, "x y z")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs, 3, 90).collect())
+    assert got == [(3, 4, 3), (7, 4, 3), (7, 4, 3), (9, 0, 3), (9, 4, 3), (11, 0, 11), (12, 0, 12), (20, 1, 20)]
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(docs, 3, 90).collect()) == [3, 11, 12, 20]
+
+
 def test_given_documents(spark, sf_dir):
     docs = documents(spark, sf_dir)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(docs, 3, 90).collect()}
