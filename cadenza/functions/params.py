@@ -65,6 +65,32 @@ def from_unit(crf_u: Column, mode_u: Column, strength_u: Column, space: dict[str
     return clamp(crf, mode, strength, space)
 
 
+def midpoint(space: dict[str, Column]) -> dict[str, Column]:
+    """The middle of a space: a guess where nothing is known."""
+    modes = space["aq_modes"]
+    return clamp((space["crf_min"] + space["crf_max"]) / 2.0, F.element_at(modes, F.floor(F.size(modes) / F.lit(2)).cast("int") + 1), (space["strength_min"] + space["strength_max"]) / 2.0, space)
+
+
+def safe(crf: Column, space: dict[str, Column]) -> dict[str, Column]:
+    """What to try again with after a failure: a lower crf, the first mode, the least strength."""
+    return clamp(F.greatest(space["crf_min"], crf - 4.0), F.element_at(space["aq_modes"], 1), space["strength_min"], space)
+
+
+def space_json(space: dict[str, Column]) -> Column:
+    """A space as JSON, its keys in order."""
+    names = {"aq_modes": "aq_modes", "aq_strength_is_integer": "integer_strength", "aq_strength_max": "strength_max", "aq_strength_min": "strength_min", "crf_max": "crf_max", "crf_min": "crf_min"}
+    return F.to_json(F.struct(*[space[v].alias(k) for k, v in names.items()]))
+
+
+#: Levels of compression and the quality that each aims at (fixed values).
+LEVELS = {1: 85.0, 2: 89.0, 3: 93.0}
+
+
+def level_target(level: Column) -> Column:
+    """The target of a level; null for others."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for k, v in LEVELS.items() for x in (k, v)]), level.cast("int"))
+
+
 def strength_grid(space: dict[str, Column], steps: int = 5) -> Column:
     """Every whole strength, or steps (2 at least) even ones."""
     n = max(2, steps)

@@ -6,7 +6,7 @@ a soft zone; at or above it a weighted sum of compression and quality. The order
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the objective.
@@ -48,7 +48,26 @@ def score(vmaf: Column, rate: Column, target: Column, *, compression_weight: flo
     return F.least(F.lit(1.0), raw / F.lit(NORMALIZATION))
 
 
+def with_score(rated: DataFrame, soft_margin: float = SOFT_MARGIN) -> DataFrame:
+    """rated (vmaf, rate, target and more) with compression, quality, score, proxy and feasible, each worked out once per row.
+
+    Every step names what the next ones refer to, so that no part of the formula is repeated in another.
+    """
+    c = F.col
+    room = F.lit(100.0) - c("target")
+    excess = F.when(room > 0, F.least(F.lit(1.0), (c("vmaf") - c("target")) / F.when(room > 0, room))).otherwise(1.0)
+    zone = F.when((c("rate") >= MIN_USEFUL_RATE) | (c("vmaf") < c("target") - soft_margin), 0).when(c("vmaf") < c("target"), 1).otherwise(2)
+    by_zone = lambda soft, met: F.when(c("zone") == 0, 0.0).when(c("zone") == 1, soft).otherwise(met)
+    parts = rated.withColumns({"ratio": compression_ratio(c("rate")), "zone": zone}).withColumns(
+        {"compression": by_zone(soft_component(c("ratio")), above_component(c("ratio"))), "quality": by_zone(0.7 * F.pow((c("vmaf") - (c("target") - soft_margin)) / F.lit(soft_margin), F.lit(2.0)), 0.7 + 0.3 * excess)}
+    )
+    whole = by_zone(c("compression") * c("quality"), COMPRESSION_WEIGHT * c("compression") + QUALITY_WEIGHT * c("quality"))
+    scored = parts.withColumn("score", F.least(F.lit(1.0), whole / F.lit(NORMALIZATION)))
+    return scored.withColumns({"proxy": F.when(c("score") > 0, c("score")).otherwise(1e-6 * F.least("vmaf", "target")), "feasible": feasible(c("vmaf"), c("rate"), c("target"))}).drop("ratio", "zone")
+
+
 def reason(vmaf: Column, rate: Column, target: Column, soft_margin: float = SOFT_MARGIN) -> Column:
+    """Why a trial scores as it does. The texts are fixed values: users search their logs for them."""
     ratio, floor = compression_ratio(rate), target - soft_margin
     _, quality = components(vmaf, rate, target, soft_margin)
     return (

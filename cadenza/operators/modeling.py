@@ -13,6 +13,8 @@ from cadenza.sources.views import FEATURES
 TOLERANCE = 0.15
 QUANTILE = 0.15
 HIT_SLACK = 0.5
+#: Ranges of values that a percentile is looked for in.
+BINS = 1024
 
 
 def long_form(features: DataFrame, columns: tuple[str, ...] = FEATURES) -> DataFrame:
@@ -46,11 +48,35 @@ def grouped_split(rows: DataFrame, share: float = 0.25, seed: int = 0) -> DataFr
 
 
 def regression_metrics(rows: DataFrame, group: str, truth: Column, predicted: Column, slack: float = HIT_SLACK) -> DataFrame:
-    error = predicted - truth
-    squares = F.count(F.lit(1)) * F.var_pop(truth)
-    return rows.groupBy(group).agg(
-        F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias"), F.when(squares > 0, 1.0 - F.sum(error * error) / F.when(squares > 0, squares)).alias("r2"), F.avg((predicted <= truth + slack).cast("double")).alias("hit_rate"), F.percentile(F.greatest(error, F.lit(0.0)), 0.9).alias("overshoot_p90"), F.count(F.lit(1)).alias("n"),
-    )
+    e = F.col("__error")
+    squares = F.count(F.lit(1)) * F.var_pop("__truth")
+    each = rows.select(F.col(group), truth.alias("__truth"), predicted.alias("__predicted")).withColumn("__error", F.col("__predicted") - F.col("__truth"))
+    sums = each.groupBy(group).agg(
+        F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("bias"), F.when(squares > 0, 1.0 - F.sum(e * e) / F.when(squares > 0, squares)).alias("r2"), F.avg((F.col("__predicted") <= F.col("__truth") + slack).cast("double")).alias("hit_rate"), F.count(F.lit(1)).alias("n")
+    )
+    return sums.join(percentile_by_counts(each.select(group, F.greatest(e, F.lit(0.0)).alias("__error")), group, "__error", 0.9).withColumnRenamed("value", "overshoot_p90"), group)
+
+
+def percentile_by_counts(rows: DataFrame, group: str, value: str, share: float, digits: int = 9) -> DataFrame:
+    """group and value: the percentile of each group (between two values in proportion), of values taken to some digits.
+
+    Values are counted first, with partial sums, so tasks hold different values only. Their ranks come from a cumulative count by ranges
+    of values: a first pass counts in BINS even ranges of each group, and only the ranges that hold the wanted ranks are sorted.
+    """
+    counted = rows.groupBy(group, F.round(value, digits).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ends = counted.groupBy(group).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    place = F.col("share") * (F.col("total") - 1)
+    spread = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS).cast("int"))).otherwise(0)
+    binned = counted.join(ends, group).withColumn("bin", spread)
+    bins = binned.groupBy(group, "bin").agg(F.sum("n").alias("held"), F.max("total").alias("total")).withColumn("share", F.lit(share))
+    upto = F.sum("held").over(W.partitionBy(group).orderBy("bin"))  # BINS rows of a group at most
+    marked = bins.withColumns({"after": upto, "first": F.floor(place), "last": F.ceil(place), "at": place}).withColumn("before", F.col("after") - F.col("held"))
+    some = marked.where(((F.col("first") >= F.col("before")) & (F.col("first") < F.col("after"))) | ((F.col("last") >= F.col("before")) & (F.col("last") < F.col("after"))))
+    near = binned.join(some.select(group, "bin", "before", "first", "last", "at"), [group, "bin"])
+    ranked = near.withColumn("stop", F.col("before") + F.sum("n").over(W.partitionBy(group, "bin").orderBy("v"))).withColumn("start", F.col("stop") - F.col("n"))
+    low, high = (F.max(F.when((F.col(k) >= F.col("start")) & (F.col(k) < F.col("stop")), F.col("v"))) for k in ("first", "last"))
+    part = F.max("at") - F.max("first")
+    return ranked.groupBy(group).agg((low + (high - low) * part).alias("value"))
 
 
 def accuracy(rows: DataFrame, group: str, truth: Column, predicted: Column) -> DataFrame:

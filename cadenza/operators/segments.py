@@ -43,8 +43,10 @@ def split_cuts(kept: Column, duration: Column, most: float = MAX_LENGTH) -> Colu
     return F.array_sort(F.array_distinct(F.flatten(F.zip_with(starts, ends, stretch))))
 
 
-def boundary_plan(sources: DataFrame) -> DataFrame:
-    kept = sources.withColumn("kept", kept_cuts(F.col("cuts"), F.col("duration")))
+def boundary_plan(sources: DataFrame, fallback: float = FALLBACK_LENGTH) -> DataFrame:
+    """kept: the cuts that stay (even ones where no scene cut was found at all); boundaries: those and the ones in long stretches."""
+    cuts = fallback_cuts(F.col("cuts"), F.col("duration"), fallback)
+    kept = sources.withColumn("kept", kept_cuts(cuts, F.col("duration")))
     return kept.withColumn("boundaries", split_cuts(F.col("kept"), F.col("duration")))
 
 
@@ -62,6 +64,18 @@ def segment_starts(cut: DataFrame, degenerate: float = DEGENERATE) -> DataFrame:
     return cut.where(F.col("length") > degenerate).select("source", (F.row_number().over(order) - 1).cast("int").alias("idx"), F.round(before, 3).alias("start"), F.col("length").alias("duration"))
 
 
+def side_by_side(cut: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """Segments (source, idx and more) with the columns of the others at the same source and idx. The lists of a source must all be of
+    one length and numbered alike: a place that one of them lacks, or has alone, is an error when it is read."""
+    out = cut.withColumn("__in_cut", F.lit(True))
+    for name, other in others.items():
+        out = out.join(other.withColumn(f"__in_{name}", F.lit(True)), ["source", "idx"], "full")
+    marks = ["__in_cut", *(f"__in_{n}" for n in others)]
+    said = F.concat(F.lit("lists of unequal length at "), F.col("source").cast("string"), F.lit(" "), F.col("idx").cast("string"))
+    whole = F.when(F.array_compact(F.array(*marks)).isNotNull() & (F.size(F.array_compact(F.array(*marks))) == len(marks)), F.col("idx")).otherwise(F.raise_error(said).cast("int"))
+    return out.withColumn("idx", whole).drop(*marks)
+
+
 def concat_list(segments: DataFrame) -> DataFrame:
     """For each source the lines of a concat list in order of the segments."""
     from cadenza.functions.text import concat_line

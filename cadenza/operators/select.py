@@ -14,8 +14,7 @@ GOLDEN = (5**0.5 - 1) / 2
 
 
 def scored(rated: DataFrame) -> DataFrame:
-    v, r, t = F.col("vmaf"), F.col("rate"), F.col("target")
-    return rated.withColumns({"score": scoring.score(v, r, t), "proxy": scoring.proxy(v, r, t), "feasible": scoring.feasible(v, r, t)})
+    return scoring.with_score(rated).drop("compression", "quality")
 
 
 def top_trials(rated: DataFrame, k: int = TOP_K, seq: tuple[str, ...] = SEQ) -> DataFrame:
@@ -82,13 +81,18 @@ def inverse_quadratic(history, target):
     p = F.slice(history, -3, 3)
     x, y = ([F.try_element_at(p, F.lit(i + 1))[f] for i in range(3)] for f in ("crf", "vmaf"))
     term = lambda i, j, k: F.try_divide((target - y[j]) * (target - y[k]), (y[i] - y[j]) * (y[i] - y[k])) * x[i]
-    return F.when(F.size(history) >= 3, term(0, 1, 2) + term(1, 0, 2) + term(2, 0, 1))
+    differ = (y[0] != y[1]) & (y[1] != y[2]) & (y[0] != y[2])
+    return F.when((F.size(history) >= 3) & differ, term(0, 1, 2) + term(1, 0, 2) + term(2, 0, 1))
 
 
 def with_guess(bracket: DataFrame, method: str = "secant") -> DataFrame:
-    """guess: the next crf of each bracket, a fifth of its width from either end at least; null if an end is missing."""
+    """guess: the next crf of each bracket, a fifth of its width from either end at least; null if an end is missing. brent goes by
+    history, an array of points (crf, vmaf) in the order of their measurement."""
     c = F.col
-    guess = crf_guess(method, c("crf_low"), c("vmaf_low"), c("crf_high"), c("vmaf_high"), c("target"))
+    history = c("history") if "history" in bracket.columns else None
+    if method == "brent" and history is None:
+        raise ValueError("brent needs a history of points")
+    guess = crf_guess(method, c("crf_low"), c("vmaf_low"), c("crf_high"), c("vmaf_high"), c("target"), history)
     margin = 0.2 * (c("crf_high") - c("crf_low"))
     return bracket.withColumn("guess", F.when(c("crf_low").isNotNull() & c("crf_high").isNotNull(), F.least(F.greatest(guess, c("crf_low") + margin), c("crf_high") - margin)))
 

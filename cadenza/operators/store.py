@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -54,6 +54,13 @@ def append_records(records: DataFrame, path: str) -> None:
     records.write.mode("append").json(path)
 
 
+def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of a checkpoint's files with their places: pos (file, where its block begins, the line's number in the read) ascends
+    in the order of the files' names and of the lines in each. Files of any size are read in blocks."""
+    rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return rows.select(F.struct("file", "block", F.monotonically_increasing_id().alias("n")).alias("pos"), "line")
+
+
 def checkpoint_lines(df: DataFrame) -> DataFrame:
-    """A whole-text read (value) as lines with their places."""
+    """Small whole texts (value) as lines with their places; read_checkpoint is for files."""
     return df.select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))

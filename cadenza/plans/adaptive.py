@@ -126,11 +126,12 @@ def propose_bayes(at: DataFrame, spaces: DataFrame, target: float, seed: int) ->
 PROPOSE = {"bayes": propose_bayes, "tpe": propose_tpe}
 
 
-def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, model: str, target: float, n: int = 8, seed: int = 0) -> DataFrame:
-    """About n trials of every segment: a design of the first half, then what the model (bayes, tpe or cmaes) proposes."""
+def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, model: str, target: float, n: int = 12, seed: int = 0, n_first: int = 0) -> DataFrame:
+    """About n trials of every segment: a design of the first n_first (half of them where that is 0), then what the model (bayes, tpe or
+    cmaes) proposes."""
     n = max(4, n)
-    first = max(4, n // 2) if model in PROPOSE else 4
-    start = segments.select("segment_hash", "encoder").join(F.broadcast(design.sampled_design(spaces, "halton", first, seed)), "encoder")
+    first = min(n, max(4, n_first or n // 2)) if model in PROPOSE else 4
+    start = segments.select("segment_hash", "encoder").join(F.broadcast(design.sampled_design(spaces, "sobol", first, seed)), "encoder")
     trials = measured(measure, start.withColumn("stage", F.lit(0)))
     if model == "cmaes":
         return _evolve(trials, spaces, measure, target, n, seed)
@@ -185,7 +186,7 @@ def neighbours(current: DataFrame, spaces: DataFrame, steps: int = 5) -> DataFra
     return on_grid.join(F.broadcast(design.aq_neighbours(grid)), ["encoder", *_SETTING]).select(*_AT, "encoder", F.col("next_mode").alias("aq_mode"), F.col("next_strength").alias("aq_strength"), "way")
 
 
-def walk_boundary(trials: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, solve: Solve, rounds: int = 3) -> DataFrame:
+def walk_boundary(trials: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, solve: Solve, rounds: int = 4) -> DataFrame:
     """Solves the crf at the best setting and at all its neighbours, moves to the best of what is known, until nothing moves."""
     visited, before = None, None
     for i in range(1, rounds + 1):
@@ -203,7 +204,7 @@ def walk_boundary(trials: DataFrame, spaces: DataFrame, targets: DataFrame, meas
     return trials
 
 
-def walk_coordinate(trials: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, solve: Solve, rounds: int = 3) -> DataFrame:
+def walk_coordinate(trials: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, solve: Solve, rounds: int = 4) -> DataFrame:
     """Solves the crf at the first setting of the ranking, tries its neighbours at that crf and moves to the best if it is better."""
     first = rated(trials, targets).select("segment_hash", "encoder").distinct()
     current = select.rank_aq(rated(trials, targets), 1, SEQ).select(*_AT, *_SETTING).join(first, "segment_hash")

@@ -30,7 +30,7 @@ def aq_neighbours(grid: DataFrame) -> DataFrame:
     return asked.join(there, ["encoder", "m", "s"]).drop("m", "s")
 
 
-def screen_plan(spaces: DataFrame, n_explore: int = 8, n_crfs: int = 2, steps: int = 5) -> DataFrame:
+def screen_plan(spaces: DataFrame, n_explore: int = 12, n_crfs: int = 2, steps: int = 5) -> DataFrame:
     """AQ settings by crf probes, about 2 max(8, n_explore) of them: first fewer probes, then every so many settings."""
     budget = 2 * max(8, n_explore)
     most = max(1, min(n_crfs, 4))
@@ -66,20 +66,54 @@ def radical_inverse(i: Column, base: int, digits: int = 16) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), F.struct(i.cast("bigint").alias("n"), F.lit(0.0).alias("x"), F.lit(1.0 / base).alias("f")), lambda a, _: F.struct((a["n"] / F.lit(base)).cast("bigint").alias("n"), (a["x"] + a["f"] * (a["n"] % base)).alias("x"), (a["f"] / base).alias("f")), lambda a: a["x"])
 
 
-def sampled_design(spaces: DataFrame, method: str, n: int = 16, seed: int = 0) -> DataFrame:
-    """n points of each space by a low-discrepancy or random method: halton, lhs (one point in each of n strata of every axis) or random."""
+#: Direction numbers of the first three Sobol axes, 30 bits each (fixed values; the first is the van der Corput sequence).
+SOBOL_BITS = 30
+
+
+def sobol_directions() -> list[list[int]]:
+    """For each axis the number that bit j of a point's index adds (by exclusive or), from the primitive polynomials x + 1 and x^2 + x + 1."""
+    axes = [[1 << (SOBOL_BITS - 1 - j) for j in range(SOBOL_BITS)]]
+    for degree, inner, m in ((1, 0, [1]), (2, 1, [1, 3])):
+        while len(m) < SOBOL_BITS:
+            new = m[-degree] ^ (m[-degree] << degree)
+            for i in range(1, degree):
+                new ^= ((inner >> (degree - 1 - i)) & 1) * (m[-i] << i)
+            m.append(new)
+        axes.append([v << (SOBOL_BITS - 1 - j) for j, v in enumerate(m)])
+    return axes
+
+
+def draw(*parts: Column) -> Column:
+    """A number from 0 to 1 that hangs on the parts alone: the first 13 hexadecimal digits of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def sobol(i: Column, axis: int, seed: int) -> Column:
+    """The i-th point (from 0) of a Sobol axis, all its digits shifted by exclusive or with a seeded number."""
+    x = F.floor(draw(F.lit(str(seed)), F.lit(f"sobol{axis}")) * F.lit(float(1 << SOBOL_BITS))).cast("bigint")
+    for j, v in enumerate(sobol_directions()[axis][:16]):
+        x = x.bitwiseXOR(F.shiftright(i, j).bitwiseAND(1).cast("bigint") * F.lit(v))
+    return (x.cast("double") + 0.5) / F.lit(float(1 << SOBOL_BITS))
+
+
+def sampled_design(spaces: DataFrame, method: str = "sobol", n: int = 16, seed: int = 0) -> DataFrame:
+    """n (65,536 at most) points of each space by a low-discrepancy or random method: sobol, halton, lhs (one point in each of n strata
+    of every axis) or random. All draws hang on the seed alone."""
     s = P.space_columns()
     points = spaces.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    draw = lambda axis: F.pmod(F.xxhash64(F.lit(seed), "encoder", "at", F.lit(axis)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    if method == "halton":
-        u = [F.pmod(radical_inverse(F.col("at"), base) + F.pmod(F.xxhash64(F.lit(seed), F.lit(base)), F.lit(1 << 40)) / F.lit(float(1 << 40)), F.lit(1.0)) for base in (2, 3, 5)]
+    said = lambda *parts: draw(F.lit(str(seed)), *parts)
+    each = lambda axis: said(F.col("encoder"), F.col("at").cast("string"), F.lit(str(axis)))
+    if method == "sobol":
+        u = [sobol(F.col("at") - 1, axis, seed) for axis in range(3)]
+    elif method == "halton":
+        u = [F.pmod(radical_inverse(F.col("at"), base) + said(F.lit(f"halton{base}")), F.lit(1.0)) for base in (2, 3, 5)]
     elif method == "lhs":
-        stratum = lambda axis: F.row_number().over(W.partitionBy("encoder").orderBy(F.xxhash64(F.lit(seed), "encoder", "at", F.lit(f"order{axis}")), "at")) - 1
-        u = [(stratum(a) + draw(a)) / F.lit(float(n)) for a in range(3)]
+        stratum = lambda axis: F.row_number().over(W.partitionBy("encoder").orderBy(said(F.col("encoder"), F.col("at").cast("string"), F.lit(f"order{axis}")), "at")) - 1
+        u = [(stratum(a) + each(a)) / F.lit(float(n)) for a in range(3)]
     elif method == "random":
-        u = [draw(a) for a in range(3)]
+        u = [each(a) for a in range(3)]
     else:
-        raise ValueError(f"unknown method {method!r}: halton, lhs or random")
+        raise ValueError(f"unknown method {method!r}: sobol, halton, lhs or random")
     placed = points.withColumns({"u0": u[0], "u1": u[1], "u2": u[2]})
     c = P.from_unit(F.col("u0"), F.col("u1"), F.col("u2"), s)
     return _first_of_each(placed.select("encoder", "at", *[v.alias(k) for k, v in c.items()]), n)
@@ -91,11 +125,15 @@ def synthetic_surface(proposals: DataFrame) -> DataFrame:
 
 
 def solve_crf(brackets: DataFrame, measure=synthetic_surface, method: str = "secant", tolerance: float = 0.5, rounds: int = 6) -> DataFrame:
-    """Narrows every bracket (rows of crf_bracket) at once, a measurement of all open ones per round.
+    """Narrows every bracket (rows of crf_bracket) at once, a measurement of all open ones per round. method: secant, golden or
+    brent, which carries the points of each bracket along.
 
     A bracket is settled when it is no wider than the tolerance. Rows with only one end come back as they are.
     """
-    names, now = brackets.columns, brackets
+    point = F.struct(F.col("crf").alias("crf"), F.col("vmaf").alias("vmaf"))
+    ends_of = lambda end: F.struct(F.col(f"crf_{end}").alias("crf"), F.col(f"vmaf_{end}").alias("vmaf"))
+    now = brackets.withColumn("history", F.array(ends_of("low"), ends_of("high"))) if method == "brent" else brackets
+    names = now.columns
     wide = F.col("crf_high") - F.col("crf_low") > tolerance
     for _ in range(rounds):
         asked = select.with_guess(now, method).withColumn("crf", F.when(wide, P.rounded_crf(F.col("guess"))))
@@ -103,5 +141,8 @@ def solve_crf(brackets: DataFrame, measure=synthetic_surface, method: str = "sec
         useful = wide & (F.col("crf") > F.col("crf_low")) & (F.col("crf") < F.col("crf_high"))
         up, down = (useful & side for side in (F.col("vmaf") >= F.col("target"), F.col("vmaf") < F.col("target")))
         ends = {"crf_low": ("crf", up), "vmaf_low": ("vmaf", up), "crf_high": ("crf", down), "vmaf_high": ("vmaf", down)}
-        now = probed.select(*[F.when(ends[c][1], F.col(ends[c][0])).otherwise(F.col(c)).alias(c) if c in ends else c for c in names])
-    return now
+        new = {c: F.when(side, F.col(v)).otherwise(F.col(c)) for c, (v, side) in ends.items()}
+        if method == "brent":
+            new["history"] = F.when(wide & F.col("crf").isNotNull(), F.concat("history", F.array(point))).otherwise(F.col("history"))
+        now = probed.select(*[new[c].alias(c) if c in new else c for c in names])
+    return now.select(*brackets.columns)

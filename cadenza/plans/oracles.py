@@ -108,7 +108,8 @@ PROBE = """probed AS (
 
 ORACLES = {
     "trial_score": f"WITH {SCORED} SELECT segment_hash, {SEQ}, target, round(score, 6) AS score, round(proxy, 9) AS proxy, round(compression, 6) AS compression, round(quality, 6) AS quality FROM scored",
-    "score_reason": f"WITH {SCORED} SELECT target, CASE WHEN rate >= 0.8::DOUBLE THEN 'rate' WHEN vmaf < target - 5 THEN 'floor' WHEN vmaf < target THEN 'soft' ELSE 'met' END AS \"case\", count(*) AS n FROM scored GROUP BY ALL",
+    "score_reason": f"""WITH {SCORED} SELECT target, CASE zone WHEN 'none' THEN CASE WHEN rate >= 0.8::DOUBLE THEN printf('no meaningful compression (ratio %.2fx, rate %.3f); at least 1.25x required', round(ratio, 2), round(rate, 3)) ELSE printf('VMAF %.2f below hard cutoff %.2f', vmaf, target - 5) END
+      WHEN 'soft' THEN printf('VMAF %.2f in soft zone (quality factor %.2f)', vmaf, round(quality, 2)) ELSE CASE WHEN ratio < 10 THEN 'success' ELSE 'success (excellent compression)' END END AS reason, count(*) AS n FROM scored GROUP BY ALL""",
     "feasible_trials": f"WITH {SCORED} SELECT segment_hash, target, {SEQ}, vmaf, round(rate, 9) AS rate FROM scored WHERE feasible",
     "top_trials": f"WITH {TOP} SELECT segment_hash, target, rank, crf, aq_mode, aq_strength, vmaf, round(score, 6) AS score FROM top",
     "best_or_closest": f"WITH {BEST} SELECT segment_hash, target, feasible, crf, aq_mode, aq_strength, vmaf, round(score, 6) AS score FROM best",
@@ -119,8 +120,8 @@ ORACLES = {
     "crf_guess": f"""WITH {BRACKET}, guessed AS (SELECT *, crf_high - crf_low AS span, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END AS s,
       crf_low + (1.0::DOUBLE - (sqrt(5.0::DOUBLE) - 1) / 2) * (crf_high - crf_low) AS g FROM bracket WHERE crf_low IS NOT NULL AND crf_high IS NOT NULL)
       SELECT segment_hash, aq_mode, aq_strength, target, round(least(greatest(s, crf_low + 0.2::DOUBLE * span), crf_high - 0.2::DOUBLE * span), 6) AS secant, round(least(greatest(g, crf_low + 0.2::DOUBLE * span), crf_high - 0.2::DOUBLE * span), 6) AS golden FROM guessed""",
-    "iq_guess": f"""WITH {SCORED}, three AS (SELECT segment_hash, target, crf, vmaf, row_number() OVER (PARTITION BY segment_hash, target ORDER BY {SEQ}) AS n FROM scored QUALIFY n <= 3),
-      p AS (SELECT segment_hash, target, count(*) AS k, max(CASE n WHEN 1 THEN crf END) AS x0, max(CASE n WHEN 2 THEN crf END) AS x1, max(CASE n WHEN 3 THEN crf END) AS x2, max(CASE n WHEN 1 THEN vmaf END) AS y0, max(CASE n WHEN 2 THEN vmaf END) AS y1, max(CASE n WHEN 3 THEN vmaf END) AS y2 FROM three GROUP BY ALL)
+    "iq_guess": f"""WITH {SCORED}, three AS (SELECT segment_hash, target, crf, vmaf, row_number() OVER (PARTITION BY segment_hash, target ORDER BY {SEQ_DESC}) AS n FROM scored QUALIFY n <= 3),
+      p AS (SELECT segment_hash, target, count(*) AS k, max(CASE n WHEN 3 THEN crf END) AS x0, max(CASE n WHEN 2 THEN crf END) AS x1, max(CASE n WHEN 1 THEN crf END) AS x2, max(CASE n WHEN 3 THEN vmaf END) AS y0, max(CASE n WHEN 2 THEN vmaf END) AS y1, max(CASE n WHEN 1 THEN vmaf END) AS y2 FROM three GROUP BY ALL)
       SELECT segment_hash, target, CASE WHEN k = 3 AND y0 <> y1 AND y0 <> y2 AND y1 <> y2 THEN round((target - y1) * (target - y2) / ((y0 - y1) * (y0 - y2)) * x0 + (target - y0) * (target - y2) / ((y1 - y0) * (y1 - y2)) * x1 + (target - y0) * (target - y1) / ((y2 - y0) * (y2 - y1)) * x2, 4) END AS guess FROM p""",
     "explored_range": f"WITH {SCORED} SELECT segment_hash, target, min(vmaf) AS vmaf_min, max(vmaf) AS vmaf_max, count(*) AS n_trials FROM scored GROUP BY ALL",
     "tpe_split": f"""WITH {SCORED}, placed AS (SELECT segment_hash, target, (crf - 20.0::DOUBLE) / 35.0::DOUBLE AS u, row_number() OVER (PARTITION BY segment_hash, target ORDER BY proxy DESC, {SEQ}) AS place, count(*) OVER (PARTITION BY segment_hash, target) AS n FROM scored),
@@ -128,8 +129,9 @@ ORACLES = {
       SELECT segment_hash, target, count(*) FILTER (place <= g) AS n_good, round(avg(u) FILTER (place <= g), 6) AS good_mean, round(greatest(stddev_pop(u) FILTER (place <= g), 0.08::DOUBLE), 6) AS good_std,
         round(avg(u) FILTER (CASE WHEN n > g THEN place > g ELSE place > n - 2 END), 6) AS bad_mean, round(greatest(stddev_pop(u) FILTER (CASE WHEN n > g THEN place > g ELSE place > n - 2 END), 0.08::DOUBLE), 6) AS bad_std FROM cut GROUP BY ALL""",
     "clamped_params": f"WITH {CLAMPED} SELECT encoder, {SEQ}, crf, aq_mode, aq_strength FROM clamped",
-    "unit_cube": f"""WITH {CLAMPED} SELECT encoder, {SEQ}, round((crf - crf_min) / (crf_max - crf_min), 9) AS crf_u, round((list_position(aq_modes, aq_mode) - 0.5::DOUBLE) / len(aq_modes), 9) AS mode_u, round((aq_strength - strength_min) / (strength_max - strength_min), 9) AS strength_u,
-      true AS same_mode, true AS near_crf FROM clamped""",
+    "unit_cube": f"""WITH {CLAMPED}, placed AS (SELECT *, round((crf - crf_min) / (crf_max - crf_min), 9) AS crf_u, round((list_position(aq_modes, aq_mode) - 0.5::DOUBLE) / len(aq_modes), 9) AS mode_u, round((aq_strength - strength_min) / (strength_max - strength_min), 9) AS strength_u FROM clamped),
+      back AS (SELECT *, strength_min + least(greatest(strength_u, 0), 0.999999::DOUBLE) * (strength_max - strength_min) AS s FROM placed)
+      SELECT encoder, {SEQ}, crf_u, mode_u, strength_u, round_even(crf_min + least(greatest(crf_u, 0), 0.999999::DOUBLE) * (crf_max - crf_min), 1) AS crf, aq_modes[CAST(floor(least(greatest(mode_u, 0), 0.999999::DOUBLE) * len(aq_modes)) AS INT) + 1] AS aq_mode, round_even(CASE WHEN whole THEN round_even(s, 0) ELSE s END, 2) AS aq_strength FROM back""",
     "trial_keys": f"WITH {TRIALS} SELECT {SEQ}, segment_hash || '|' || encoder || '|crf=' || format('{{:g}}', round_even(crf, 1)) || ',aq_mode=' || aq_mode || ',aq_strength=' || format('{{:g}}', round_even(aq_strength, 2)) || '|' || vmaf_model || '|' || n_subsample AS key FROM trials",
     "aq_grid": f"WITH {TRIALS}, {GRID}, used AS (SELECT aq_mode, aq_strength, count(*) AS n FROM trials GROUP BY ALL) SELECT encoder, seq, g.aq_mode, g.aq_strength, coalesce(n, 0) AS n_trials FROM grid g LEFT JOIN used u ON g.aq_mode = u.aq_mode AND g.aq_strength = u.aq_strength",
     "aq_neighbors": f"""WITH {PER_AQ}, {GRID}, near AS (SELECT a.aq_mode, a.aq_strength, CAST(CASE WHEN b.mode_at < a.mode_at THEN 0 WHEN b.mode_at > a.mode_at THEN 1 WHEN b.strength_at < a.strength_at THEN 2 ELSE 3 END AS INT) AS way, b.aq_mode AS next_mode, b.aq_strength AS next_strength
@@ -163,10 +165,6 @@ ORACLES |= {
     "trial_upsert": f"WITH {TRIALS}, {_UPSERT} SELECT key, {SEQ}, vmaf, out_bytes FROM keyed QUALIFY row_number() OVER (PARTITION BY key ORDER BY {SEQ_DESC}) = 1",
     "cache_lookup": f"""WITH {TRIALS}, {_UPSERT}, stored AS (SELECT key, vmaf FROM keyed WHERE l_orderkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY {SEQ_DESC}) = 1)
       SELECT segment_hash, count(s.vmaf) AS hits, count(*) - count(s.vmaf) AS misses, max(s.vmaf) AS best_stored FROM keyed k LEFT JOIN stored s ON k.key = s.key GROUP BY ALL""",
-    "training_rows": f"""WITH {TOP}, counted AS (SELECT segment_hash, target, count(*) AS n_trials FROM scored GROUP BY ALL)
-      SELECT source, t.segment_hash, t.target, rank, round_even(vmaf, 3) AS vmaf, round_even(rate, 6) AS rate, round_even(ratio, 3) AS ratio, round_even(score, 5) AS score, encoder, n_trials, crf, aq_mode, aq_strength FROM top t JOIN counted c ON t.segment_hash = c.segment_hash AND t.target = c.target""",
-    "latest_records": f"""WITH {TOP}, full_ AS (SELECT segment_hash, source, CAST(substr(segment_hash, 5) AS BIGINT) AS k FROM top GROUP BY ALL HAVING count(DISTINCT target) = 3)
-      SELECT 2 * k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS pos, segment_hash, CASE WHEN k % 2 = 0 THEN replace(source, 'src_', 'again_') ELSE source END AS source, CAST(3 AS BIGINT) AS n_targets FROM full_ WHERE k % 2 = 0 OR k % 5 <> 0""",
     "corpus_progress": f"""WITH {SCORED}, per AS (SELECT source, segment_hash, target, bool_or(feasible) AS ok FROM scored GROUP BY ALL)
       SELECT source, count(DISTINCT segment_hash) AS n_segments, count(*) AS n_rows, count(*) FILTER (NOT ok) AS n_infeasible, round(100.0::DOUBLE * count(*) FILTER (NOT ok) / greatest(1, count(*)), 6) AS percent FROM per GROUP BY source""",
     "feature_ranges": f"WITH {FEATURES} SELECT feature, min(value) AS low, max(value) AS high FROM long_form GROUP BY feature",
@@ -192,9 +190,172 @@ ORACLES |= {
 
 ORACLES |= {
     "bundle_lookup": f"""WITH {TRIALS}, trained AS (SELECT 'lib' || (l_suppkey % 5) AS encoder, CASE WHEN l_linenumber % 4 > 0 THEN 80.0::DOUBLE + l_linenumber * 4 END AS target, min(vmaf) AS low FROM trials GROUP BY ALL),
-      asked AS (SELECT DISTINCT 'lib' || (l_suppkey % 5) AS encoder, unnest([84.0::DOUBLE, 85.0::DOUBLE, 89.0::DOUBLE, 93.0::DOUBLE]) AS target FROM trials)
-      SELECT a.encoder, a.target, coalesce(max(CASE WHEN t.target = a.target THEN 'models/' || t.encoder || '/target_' || format('{{:g}}', t.target) END), max(CASE WHEN t.encoder IS NOT NULL AND t.target IS NULL AND a.target >= low - 0.5::DOUBLE AND a.target <= 92.5::DOUBLE THEN 'models/' || t.encoder || '/all' END)) AS path
-      FROM asked a LEFT JOIN (SELECT * FROM trained WHERE encoder <> 'lib3') t ON a.encoder = t.encoder GROUP BY ALL""",
+      asked AS (SELECT DISTINCT 'lib' || (l_suppkey % 5) AS encoder, unnest([84.0::DOUBLE, 85.0::DOUBLE, 89.0::DOUBLE, 93.0::DOUBLE]) AS target FROM trials),
+      own AS (SELECT encoder, target, 'models/' || encoder || '/target_' || format('{{:g}}', target) AS path FROM trained WHERE target IS NOT NULL),
+      shared AS (SELECT encoder, low, 'models/' || encoder || '/all' AS path FROM trained WHERE target IS NULL AND encoder <> 'lib3')
+      SELECT a.encoder, a.target, coalesce(o.path, s.path) AS path, o.path IS NOT NULL OR (s.path IS NOT NULL AND a.target >= s.low - 0.5::DOUBLE AND a.target <= 92.5::DOUBLE) AS fits
+      FROM asked a LEFT JOIN own o ON a.encoder = o.encoder AND a.target = o.target LEFT JOIN shared s ON a.encoder = s.encoder""",
     "quality_logs": f"WITH {TRIALS} SELECT segment_hash, count(*) AS n_frames, round(avg(vmaf), 6) AS mean, round(count(*) / sum(1.0::DOUBLE / vmaf), 6) AS harmonic, min(vmaf) AS least, bool_and(vmaf BETWEEN 0 AND 100) AS plausible FROM trials GROUP BY ALL",
     "result_summary": f"""WITH {BEST} SELECT segment_hash, target, segment_hash || ' target ' || format('{{:g}}', target) || ': crf=' || format('{{:g}}', round_even(crf, 1)) || ',aq_mode=' || aq_mode || ',aq_strength=' || format('{{:g}}', aq_strength) || printf(' vmaf=%.2f out=%.4f MB [', vmaf, out_bytes / 1e6::DOUBLE) || CASE WHEN feasible THEN 'MET' ELSE 'MISSED' END || ']' AS line FROM best""",
 }
+
+RESULTS = f"""{BEST}, counted AS (
+  SELECT segment_hash, target, count(*) AS n_trials FROM scored GROUP BY ALL
+), top AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY segment_hash, target ORDER BY score DESC, {SEQ}) AS INT) AS rank FROM scored WHERE feasible QUALIFY rank <= 5
+), features AS (
+  SELECT segment_hash, round(avg(vmaf), 6) AS spatial_information, round(stddev_pop(vmaf), 6) AS temporal_information, round(max(crf), 6) AS motion_p95, CAST(count(*) AS DOUBLE) AS duration, round(avg(out_bytes / 10000.0::DOUBLE), 6) AS luma_mean,
+    round(min(vmaf), 6) AS luma_std, round(avg(aq_strength), 6) AS color_complexity, round(avg(CAST(l_suppkey AS DOUBLE)), 6) AS log_pixels FROM trials GROUP BY ALL
+), dataset AS (
+  SELECT source, 'segments/' || t.segment_hash || '.mkv' AS segment, t.segment_hash, t.target, true AS feasible, round_even(vmaf, 3) AS vmaf, round_even(rate, 6) AS rate, round_even(ratio, 3) AS ratio, round_even(score, 5) AS score, encoder, n_trials, {", ".join(f"f.{c}" for c in FEATURE_LIST)}, crf, aq_mode, aq_strength, rank
+  FROM top t JOIN counted c ON t.segment_hash = c.segment_hash AND t.target = c.target JOIN features f ON f.segment_hash = t.segment_hash
+)"""
+_CELLS = (*FEATURE_LIST, "crf", "aq_mode", "aq_strength")
+MANIFEST = f"""{TRIALS}, per AS (
+  SELECT DISTINCT source, l_partkey AS k FROM trials
+), items AS (
+  SELECT source, 'cut/' || k AS path, CAST(k AS INT) AS index, k * 0.5::DOUBLE AS start, 6.25::DOUBLE AS duration FROM per WHERE k % 11 <> 0 AND k % 7 > 0 AND source <> 'src_9'
+), files AS (
+  SELECT 'cut/' || k AS path FROM per WHERE k % 5 > 0 OR source IN ('src_1', 'src_2')
+)"""
+PICTURES = f"""{FRAMES}, levels AS (
+  SELECT clip, place, frame, CASE WHEN frame % 13 > 0 THEN list_transform(pixels, lambda p: floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, 128.0::DOUBLE + p * 200.0::DOUBLE)))) END AS pixels FROM frames
+)"""
+
+
+def _at(y: str, x: str) -> str:
+    mirrored = lambda v: f"(CASE WHEN {v} < 0 THEN -({v}) WHEN {v} > 7 THEN 14 - ({v}) ELSE {v} END)"
+    return f"pixels[{mirrored(y)} * 8 + {mirrored(x)} + 1]"
+
+
+def _gradient(weights: list[tuple[int, int, int]]) -> str:
+    return " + ".join(f"{w} * {_at(f'(i // 8 + {dy})', f'(i % 8 + {dx})')}" for dy, dx, w in weights)
+
+
+_GX = _gradient([(-1, 1, 1), (0, 1, 2), (1, 1, 1), (-1, -1, -1), (0, -1, -2), (1, -1, -1)])
+_GY = _gradient([(1, -1, 1), (1, 0, 2), (1, 1, 1), (-1, -1, -1), (-1, 0, -2), (-1, 1, -1)])
+
+SOLVE = """solve AS (
+  SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high, [crf_low, crf_high] AS hx, [vmaf_low, vmaf_high] AS hy, 0 AS i FROM bracket
+  UNION ALL
+  SELECT segment_hash, aq_mode, aq_strength, target, CASE WHEN useful AND m >= target THEN c ELSE crf_low END, CASE WHEN useful AND m >= target THEN m ELSE vmaf_low END, CASE WHEN useful AND m < target THEN c ELSE crf_high END, CASE WHEN useful AND m < target THEN m ELSE vmaf_high END,
+    CASE WHEN c IS NOT NULL THEN list_append(hx, c) ELSE hx END, CASE WHEN c IS NOT NULL THEN list_append(hy, m) ELSE hy END, i + 1
+  FROM (
+    SELECT *, greatest(0.0::DOUBLE, 110.0::DOUBLE - c) AS m, coalesce(c > crf_low AND c < crf_high, false) AS useful FROM (
+      SELECT *, CASE WHEN crf_high - crf_low > 0.5::DOUBLE THEN round_even(least(greatest(guess, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low)), 1) END AS c FROM (
+        SELECT *, coalesce(GUESS, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END) AS guess FROM solve WHERE i < 6
+      )
+    )
+  )
+)"""
+_X = [f"hx[{k}]" for k in (-3, -2, -1)]
+_Y = [f"hy[{k}]" for k in (-3, -2, -1)]
+IQ = f"""CASE WHEN len(hx) >= 3 AND {_Y[0]} <> {_Y[1]} AND {_Y[1]} <> {_Y[2]} AND {_Y[0]} <> {_Y[2]} THEN (target - {_Y[1]}) * (target - {_Y[2]}) / (({_Y[0]} - {_Y[1]}) * ({_Y[0]} - {_Y[2]})) * {_X[0]}
+  + (target - {_Y[0]}) * (target - {_Y[2]}) / (({_Y[1]} - {_Y[0]}) * ({_Y[1]} - {_Y[2]})) * {_X[1]} + (target - {_Y[0]}) * (target - {_Y[1]}) / (({_Y[2]} - {_Y[0]}) * ({_Y[2]} - {_Y[1]})) * {_X[2]} END"""
+_SOLVED = "SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high FROM solve WHERE i = 6"
+
+#: The points 1 to n of the sampled designs, from the definitions of the sequences.
+_DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+
+def _radical(base: int) -> str:
+    return " + ".join(f"(nr // {base**j}) % {base} * {1.0 / base**(j + 1)!r}::DOUBLE" for j in range(5))
+
+
+def _sobol(axis: int) -> str:
+    """Bits of the index pick direction numbers: those of the van der Corput sequence, and of the polynomials x + 1 and x^2 + x + 1."""
+    m = [[1] * 5, [1, 3, 5, 15, 17], [1, 3, 3, 9, 29]][axis]  # initial numbers m_k of the axes (fixed values)
+    bits = " ".join(f"WHEN {j} THEN {v << (29 - j)}" for j, v in enumerate(m))
+    picked = f"list_transform(range(0, 5), lambda j: CASE WHEN ((nr - 1) >> j) & 1 = 1 THEN CASE j {bits} END ELSE 0 END)"
+    shift = f"CAST(floor({_DRAW.format(f"'0:sobol{axis}'")} * 1073741824.0::DOUBLE) AS BIGINT)"
+    return f"(list_reduce(list_prepend({shift}, {picked}), lambda a, b: xor(a, CAST(b AS BIGINT))) + 0.5::DOUBLE) / 1073741824.0::DOUBLE"
+
+
+def sampled(method: str, n: int = 16) -> str:
+    """CTEs up to points (encoder, crf, aq_mode, aq_strength, seq)."""
+    each = lambda a: _DRAW.format(f"'0:' || encoder || ':' || nr || ':{a}'")
+    if method == "sobol":
+        u = [_sobol(a) for a in range(3)]
+    elif method == "halton":
+        u = [f"fmod({_radical(b)} + {_DRAW.format(f"'0:halton{b}'")}, 1.0::DOUBLE)" for b in (2, 3, 5)]
+    elif method == "lhs":
+        u = [f"(row_number() OVER (PARTITION BY encoder ORDER BY {_DRAW.format(f"'0:' || encoder || ':' || nr || ':order{a}'")}, nr) - 1 + {each(a)}) / {n}.0::DOUBLE" for a in range(3)]
+    else:
+        u = [each(a) for a in range(3)]
+    inside = lambda v: f"least(greatest({v}, 0.0::DOUBLE), 0.999999::DOUBLE)"
+    return f"""{SPACES}, drawn AS (
+  SELECT *, {u[0]} AS u0, {u[1]} AS u1, {u[2]} AS u2 FROM (SELECT *, unnest(range(1, {n} + 1)) AS nr FROM spaces)
+), moved AS (
+  SELECT encoder, nr, round_even(crf_min + {inside("u0")} * (crf_max - crf_min), 1) AS crf, aq_modes[CAST(least(len(aq_modes), floor({inside("u1")} * len(aq_modes)) + 1) AS INT)] AS aq_mode, strength_min + {inside("u2")} * (strength_max - strength_min) AS s, whole FROM drawn
+), rounded AS (
+  SELECT encoder, nr, crf, aq_mode, round_even(CASE WHEN whole THEN round_even(s, 0) ELSE s END, 2) AS aq_strength FROM moved
+), points AS (
+  SELECT encoder, crf, aq_mode, aq_strength, row_number() OVER (PARTITION BY encoder ORDER BY nr) AS seq FROM (SELECT * FROM rounded QUALIFY row_number() OVER (PARTITION BY encoder, crf, aq_mode, aq_strength ORDER BY nr) = 1) QUALIFY seq <= {n}
+)"""
+
+
+def _sampler(method: str) -> str:
+    return f"WITH {TRIALS}, {sampled(method)} SELECT segment_hash, p.*, greatest(0.0::DOUBLE, 110.0::DOUBLE - crf) AS vmaf, CAST(greatest(1000, floor(400000 - 2000 * crf)) AS BIGINT) AS out_bytes, CAST(1000000 AS BIGINT) AS ref_bytes FROM (SELECT DISTINCT segment_hash, encoder FROM trials) s JOIN points p ON s.encoder = p.encoder"
+
+
+_PARAMS = "'crf=' || format('{{:g}}', {0}) || ',aq_mode=' || {1} || ',aq_strength=' || format('{{:g}}', {2})"
+_CLAMP_STRENGTH = "round_even(CASE WHEN whole THEN round_even({0}, 0) ELSE {0} END, 2)"
+_ARGV = f"""{PROBE}, {SPACES}, asked AS (
+  SELECT p.*, s.*, CASE WHEN page_id % 12 < 6 THEN 'slow' ELSE 'fast' END AS preset, 'keyint' AS k, CAST(greatest(1, round_even(fps * 2, 0)) AS INT) AS key, round_even(least(greatest(15.0::DOUBLE + page_id % 50, crf_min), crf_max), 1) AS crf, least(page_id % 3, list_max(aq_modes)) AS aq,
+    {_CLAMP_STRENGTH.format("least(greatest((page_id % 9) * 0.25::DOUBLE, strength_min), strength_max)")} AS strength, CASE WHEN page_id % 5 > 0 THEN ' -threads ' || page_id % 5 ELSE '' END AS threads
+  FROM probed p JOIN spaces s ON s.encoder = ['libx265', 'libx264', 'libsvtav1', 'hevc_nvenc', 'av1_nvenc', 'h264_nvenc'][page_id % 6 + 1]
+)"""
+
+ORACLES |= {
+    "dataset_rows": f"WITH {RESULTS} SELECT * EXCLUDE (rank) FROM dataset",
+    "training_rows": f"WITH {RESULTS} SELECT source, segment_hash, target, rank, vmaf, rate, ratio, score, encoder, n_trials, crf, aq_mode, aq_strength FROM dataset",
+    "infeasible_share": f"WITH {RESULTS}, n AS (SELECT count(*) AS n_rows FROM dataset) SELECT encoder, count(*) AS n_results, count(*) FILTER (NOT feasible) AS n_infeasible, any_value(n_rows) AS n_rows, round(100.0::DOUBLE * count(*) FILTER (NOT feasible) / greatest(1, any_value(n_rows)), 6) AS percent FROM best, n GROUP BY encoder",
+    "latest_records": f"""WITH {TRIALS}, segments AS (SELECT DISTINCT segment_hash, source, l_partkey AS k FROM trials)
+      SELECT 2 * k + CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END AS pos, segment_hash, CASE WHEN k % 2 = 0 THEN replace(source, 'src_', 'again_') ELSE source END AS source, CAST(3 AS BIGINT) AS n_targets, CAST(8 AS BIGINT) AS n_features FROM segments WHERE k % 2 = 0 OR k % 5 <> 0""",
+    "design_matrix": f"""WITH {RESULTS} SELECT source, count(*) AS n, {", ".join(f"round(sum({c}), 2) AS {c}" for c in _CELLS)}, 0.0::DOUBLE AS vmaf_target, 'target_89' AS model FROM dataset WHERE target = 89 GROUP BY source
+      UNION ALL BY NAME SELECT source, count(*) AS n, {", ".join(f"round(sum({c}), 2) AS {c}" for c in _CELLS)}, round(sum(target), 4) AS vmaf_target, 'all' AS model FROM dataset GROUP BY source""",
+    "training_groups": f"WITH {RESULTS} SELECT target, count(*) AS n_rows, count(DISTINCT segment_hash) AS n_segments, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources FROM dataset GROUP BY target",
+    "completeness": f"WITH {TRIALS}, s AS (SELECT DISTINCT source, segment_hash, l_partkey AS k FROM trials) SELECT source, count(*) AS expected, count(*) FILTER (k % 3 > 0 OR k % 20 < 5) AS searched, bool_and(k % 3 > 0 OR k % 20 < 5) AS complete FROM s GROUP BY source",
+    "metadata_ranges": f"WITH {RESULTS} SELECT target, n_train, CAST(8 AS INT) AS n_features, feature, low, high FROM ({' UNION ALL '.join(f"SELECT target, count(*) AS n_train, '{c}' AS feature, min({c}) AS low, max({c}) AS high FROM dataset GROUP BY target" for c in FEATURE_LIST)})",
+    "package_manifest": f"""WITH {BEST}, rates AS (SELECT encoder, target, round(avg(CASE WHEN feasible THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit, encoder || '/target_' || format('{{:g}}', target) AS path FROM best GROUP BY ALL)
+      SELECT encoder, '{{"package":"compress","models":[' || string_agg('{{"path":"' || path || '","encoder":"' || encoder || '","target":' || CAST(target AS VARCHAR) || ',"hit_rate":' || CAST(hit AS VARCHAR) || '}}', ',' ORDER BY path) || ']}}' AS manifest FROM rates GROUP BY encoder""",
+    "run_summary": f"""WITH {RESULTS}, n AS (SELECT count(*) AS n_rows FROM dataset)
+      SELECT encoder, '{{"sources":' || count(DISTINCT source) || ',"segments":' || count(DISTINCT segment_hash) || ',"rows":' || any_value(n_rows) || ',"infeasible":' || count(*) FILTER (NOT feasible) || ',"encoder":"' || encoder || '","targets":[85.0,89.0,93.0]}}' AS summary FROM best, n GROUP BY encoder""",
+    "segment_manifest": f"""WITH {MANIFEST}, reused AS (SELECT source, path, index, start FROM items SEMI JOIN files USING (path) WHERE source <> 'src_3')
+      SELECT * FROM reused UNION ALL SELECT DISTINCT source, CAST(NULL AS VARCHAR), CAST(NULL AS INT), CAST(NULL AS DOUBLE) FROM trials WHERE source <> 'src_3' AND source NOT IN (SELECT source FROM reused)""",
+    "complete_manifests": f"WITH {MANIFEST} SELECT source, path, index, duration FROM items WHERE source NOT IN (SELECT source FROM items WHERE path NOT IN (SELECT path FROM files))",
+    "frame_counts": "SELECT page_id AS doc, CASE WHEN page_id % 5 > 0 THEN page_id + 7 END AS n_frames FROM pages",
+    "listed_formats": f"""WITH {PROBE}, l AS (SELECT page_id AS doc, pix_fmt, ['yuv420p yuv420p10le', 'gray nv12', '', ''][page_id % 4 + 1] AS formats FROM probed)
+      SELECT doc, formats, CASE WHEN pix_fmt = 'unknown' THEN 'yuv420p' WHEN formats = '' THEN pix_fmt WHEN formats = 'gray nv12' THEN 'gray' WHEN pix_fmt IN ('yuv420p', 'yuv420p10le') THEN pix_fmt WHEN pix_fmt = 'yuv444p12le' THEN 'yuv420p10le' ELSE 'yuv420p' END AS chosen FROM l""",
+    "encode_argv": f"""WITH {_ARGV}, named AS (SELECT *, CASE WHEN preset = 'slow' THEN 4 ELSE 8 END AS number, format('{{:g}}', crf) AS c, format('{{:g}}', strength) AS s FROM asked)
+      SELECT page_id, encoder, 'ffmpeg -hide_banner -nostdin -y -loglevel error -i in/' || page_id || ' -map 0:v:0 -an -sn -dn' || CASE WHEN encoder = 'libsvtav1' THEN ' -fps_mode passthrough' ELSE '' END || ' -c:v ' || encoder || ' -pix_fmt ' || pix_fmt || ' -preset ' || CASE WHEN encoder = 'libsvtav1' THEN CAST(number AS VARCHAR) ELSE preset END ||
+        CASE WHEN encoder IN ('libx264', 'libx265') THEN ' -crf ' || c || ' -' || substr(encoder, 4) || '-params aq-mode=' || aq || ':aq-strength=' || s || ':keyint=' || key || ':min-keyint=' || key || ':scenecut=0' || CASE WHEN encoder = 'libx265' THEN ':log-level=error' ELSE '' END
+        WHEN encoder = 'libsvtav1' THEN ' -crf ' || c || ' -svtav1-params enable-variance-boost=' || aq || ':variance-boost-strength=' || CAST(strength AS INT) || ':keyint=' || key || ':scd=0'
+        ELSE ' -rc vbr -cq ' || c || ' -b:v 0 -spatial-aq ' || CASE WHEN aq > 0 THEN '1 -aq-strength ' || CAST(strength AS INT) ELSE '0' END || ' -g ' || key || ' -keyint_min ' || key || ' -sc_threshold 0' END || threads || ' out.mkv' AS argv FROM named""",
+    "space_guesses": f"""WITH {TRIALS}, {SPACES}, crfs AS (SELECT floor(crf / 5) * 5.0::DOUBLE AS failed, count(*) AS n_trials FROM trials GROUP BY ALL)
+      SELECT encoder, failed, n_trials, '{{"aq_modes":' || replace(CAST(aq_modes AS VARCHAR), ' ', '') || ',"aq_strength_is_integer":' || whole || ',"aq_strength_max":' || strength_max || ',"aq_strength_min":' || strength_min || ',"crf_max":' || crf_max || ',"crf_min":' || crf_min || '}}' AS space,
+        {_PARAMS.format("round_even((crf_min + crf_max) / 2, 1)", "aq_modes[len(aq_modes) // 2 + 1]", _CLAMP_STRENGTH.format("((strength_min + strength_max) / 2)"))} AS middle, {_PARAMS.format("round_even(least(greatest(failed - 4, crf_min), crf_max), 1)", "aq_modes[1]", "strength_min")} AS again,
+        CASE CAST(floor(failed / 10) AS INT) WHEN 1 THEN 85.0::DOUBLE WHEN 2 THEN 89.0::DOUBLE WHEN 3 THEN 93.0::DOUBLE END AS level_target FROM crfs CROSS JOIN spaces""",
+    "video_plan": f"""WITH {PIECES}, guessed AS (SELECT *, 24.0::DOUBLE + idx % 3 * 3 AS fps, round_even(least(greatest(10.0::DOUBLE + fmod(idx * 1.37::DOUBLE, 60), 20), 55), 1) AS crf, least(idx % 4, 1) AS aq_mode, round_even(least(greatest(idx % 7 * 0.8::DOUBLE, 1), 4), 0) AS aq_strength FROM starts)
+      SELECT source, idx, start, duration, fps, crf, aq_mode, aq_strength, round_even(least(greatest(crf - 4, 20), 55), 1) AS retry_crf FROM guessed""",
+    "fallback_pieces": f"""WITH {PIECES.replace("FROM cuts\n), edges", "FROM (SELECT source, duration, CASE WHEN source % 3 = 0 THEN list_transform(range(1, CAST(ceil(duration / 6.0::DOUBLE) AS BIGINT)), lambda i: i * 6.0::DOUBLE) ELSE cuts END AS cuts FROM cuts)\n), edges")} SELECT * FROM pieces""",
+    "record_lines": f"""WITH {RESULTS}, guessed AS (SELECT *, crf + (l_suppkey % 9 - 5) / 4.0::DOUBLE AS guess FROM best)
+      SELECT segment_hash, string_agg('t' || format('{{:g}}', target) || CASE WHEN feasible THEN ' ok' ELSE ' infeasible' END || printf(' vmaf=%.2f', vmaf) || ' crf=' || format('{{:g}}', crf) || ' aq=' || aq_mode || '/' || format('{{:g}}', aq_strength) || ' trials=' || n_trials, '; ' ORDER BY target) AS line FROM best JOIN counted USING (segment_hash, target) GROUP BY segment_hash
+      UNION ALL SELECT 'report ' || format('{{:g}}', target), 'target ' || format('{{:g}}', target) || ' train=' || count(*) || printf(' crf MAE=%.2f', round(avg(abs(guess - crf)), 2)) || ' hit-rate=' || CAST(round_even(avg(CASE WHEN guess <= crf + 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) * 100, 0) AS INT) || '%' FROM guessed GROUP BY target""",
+    "scene_features": f"""WITH {PICTURES}, read AS (SELECT *, lag(pixels) OVER (PARTITION BY clip ORDER BY place) AS before FROM levels WHERE pixels IS NOT NULL),
+      steps AS (SELECT *, list_transform(range(0, 64), lambda i: sqrt(power({_GX}, 2) + power({_GY}, 2))) AS edges, list_transform(list_zip(pixels, before), lambda p: abs(p[1] - p[2])) AS apart FROM read),
+      bytes AS (SELECT clip, place, c, v, count(*) AS n FROM (SELECT clip, place, c, unnest(list_transform(pixels, lambda p: CAST(floor(p / c) AS INT))) AS v FROM read, (SELECT unnest([1, 4, 16]) AS c)) GROUP BY ALL),
+      colour AS (SELECT clip, place, avg(e) AS e FROM (SELECT clip, place, c, 6 - sum(n * log2(n)) / 64 AS e FROM bytes GROUP BY ALL) GROUP BY ALL),
+      shown AS (SELECT clip, count(*) / 24.0::DOUBLE AS duration, log10(CAST(640 * 360 * (1 + clip % 4) AS DOUBLE)) AS log_pixels FROM levels GROUP BY clip)
+      SELECT s.clip, count(*) AS n_frames, round(avg(list_stddev_pop(edges)), 6) AS spatial_information, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN list_stddev_pop(apart) END), 0), 6) AS temporal_information, round(coalesce(quantile_cont(CASE WHEN before IS NOT NULL THEN list_avg(apart) / 255 END, 0.95), 0), 6) AS motion_p95,
+        round(any_value(duration), 6) AS duration, round(avg(list_avg(pixels)), 6) AS luma_mean, round(avg(list_stddev_pop(pixels)), 6) AS luma_std, round(avg(e), 6) AS color_complexity, round(any_value(log_pixels), 6) AS log_pixels FROM steps s JOIN colour USING (clip, place) JOIN shown USING (clip) GROUP BY s.clip""",
+    "frame_pairs": f"""WITH {FRAMES}, a AS (SELECT clip, frame, pixels[1] AS v, row_number() OVER (PARTITION BY clip ORDER BY frame) AS n FROM frames), b AS (SELECT clip, frame, pixels[1] AS v, row_number() OVER (PARTITION BY clip ORDER BY frame) AS n FROM frames WHERE frame % 7 > 0)
+      SELECT a.clip, count(*) AS n_pairs, count(*) FILTER (a.frame = b.frame) AS n_same, round(avg(abs(a.v - b.v)), 9) AS apart FROM a JOIN b ON a.clip = b.clip AND a.n = b.n GROUP BY a.clip""",
+    "crf_solve": f"WITH RECURSIVE {BRACKET}, {SOLVE.replace('coalesce(GUESS, ', 'coalesce(NULL, ')} {_SOLVED}",
+    "crf_solve_brent": f"WITH RECURSIVE {BRACKET}, {SOLVE.replace('GUESS', IQ)} {_SOLVED}",
+    "brent_guess": f"""WITH {BRACKET}, last AS (SELECT *, row_number() OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target ORDER BY {SEQ_DESC}) AS n FROM samples QUALIFY n <= 3),
+      h AS (SELECT segment_hash, aq_mode, aq_strength, target, list(crf ORDER BY n DESC) AS hx, list(vmaf ORDER BY n DESC) AS hy FROM last GROUP BY ALL),
+      g AS (SELECT *, coalesce({IQ}, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END) AS q FROM bracket JOIN h USING (segment_hash, aq_mode, aq_strength, target) WHERE crf_low IS NOT NULL AND crf_high IS NOT NULL)
+      SELECT segment_hash, aq_mode, aq_strength, target, round(least(greatest(q, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low)), 6) AS guess FROM g""",
+    **{f"sampler_{m}": _sampler(m) for m in ("sobol", "halton", "lhs", "random")},
+}

@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from cadenza.functions import params as P
 from cadenza.functions import scoring, text
 from cadenza.operators import features as feat
-from cadenza.operators import modeling, records, segments, select, store
-from cadenza.plans import design
+from cadenza.operators import modeling, segments, select, store
+from cadenza.plans import design, workflow
 from cadenza.plans import search as searching
 from cadenza.sources import media, views
 from cadenza.sources.views import SEQ
@@ -20,15 +20,13 @@ C = F.col
 
 
 def trial_score(spark: SparkSession, sf: str) -> DataFrame:
-    r = views.rated(spark, sf)
-    v, x, t = C("vmaf"), C("rate"), C("target")
-    compression, quality = scoring.components(v, x, t)
-    return r.select("segment_hash", *SEQ, "target", F.round(scoring.score(v, x, t), 6).alias("score"), F.round(scoring.proxy(v, x, t), 9).alias("proxy"), F.round(compression, 6).alias("compression"), F.round(quality, 6).alias("quality"))
+    r = scoring.with_score(views.rated(spark, sf))
+    return r.select("segment_hash", *SEQ, "target", F.round("score", 6).alias("score"), F.round("proxy", 9).alias("proxy"), F.round("compression", 6).alias("compression"), F.round("quality", 6).alias("quality"))
 
 
 def score_reason(spark: SparkSession, sf: str) -> DataFrame:
-    r = views.rated(spark, sf).withColumn("reason", F.regexp_extract(scoring.reason(C("vmaf"), C("rate"), C("target")), "^([A-Za-z ]*[a-z])", 1))
-    return r.groupBy("target", F.when(C("rate") >= 0.8, "rate").when(C("vmaf") < C("target") - 5, "floor").when(C("vmaf") < C("target"), "soft").otherwise("met").alias("case")).agg(F.count(F.lit(1)).alias("n"))
+    """Each trial's reason, and how many trials of the target have the same."""
+    return views.rated(spark, sf).select("target", scoring.reason(C("vmaf"), C("rate"), C("target")).alias("reason")).groupBy("target", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def feasible_trials(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,9 +64,10 @@ def crf_guess(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def iq_guess(spark: SparkSession, sf: str) -> DataFrame:
-    order = W.partitionBy("segment_hash", "target").orderBy(*SEQ)
+    """A crf from the last three trials of every segment."""
+    order = W.partitionBy("segment_hash", "target").orderBy(*[F.desc(c) for c in SEQ])
     r = views.rated(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 3")
-    h = r.groupBy("segment_hash", "target").agg(F.array_sort(F.collect_list(F.struct("n", "crf", "vmaf"))).alias("h"))
+    h = r.groupBy("segment_hash", "target").agg(F.array_sort(F.collect_list(F.struct((-C("n")).alias("n"), "crf", "vmaf"))).alias("h"))
     return h.select("segment_hash", "target", F.round(select.inverse_quadratic(C("h"), C("target")), 4).alias("guess"))
 
 
@@ -100,7 +99,7 @@ def unit_cube(spark: SparkSession, sf: str) -> DataFrame:
     u = P.to_unit(C("c_crf"), C("c_aq_mode"), C("c_aq_strength"), s)
     placed = c.select("*", *[F.round(v, 9).alias(k) for k, v in u.items()])
     back = P.from_unit(C("crf_u"), C("mode_u"), C("strength_u"), s)
-    return placed.select("encoder", *SEQ, "crf_u", "mode_u", "strength_u", (back["aq_mode"] == C("c_aq_mode")).alias("same_mode"), (F.abs(back["crf"] - C("c_crf")) < 0.6).alias("near_crf"))
+    return placed.select("encoder", *SEQ, "crf_u", "mode_u", "strength_u", *[v.alias(k) for k, v in back.items()])
 
 
 def trial_keys(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,24 +208,6 @@ def cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return store.lookup(views.trials(spark, sf), known).groupBy("segment_hash").agg(F.count_if("hit").alias("hits"), F.count_if(~C("hit")).alias("misses"), F.max("stored_vmaf").alias("best_stored"))
 
 
-def _records(spark: SparkSession, sf: str) -> DataFrame:
-    r = views.rated(spark, sf)
-    return records.nested(select.top_trials(r), r.groupBy("segment_hash", "target").agg(F.count(F.lit(1)).alias("n_trials")))
-
-
-def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return records.training_rows(_records(spark, sf))
-
-
-def latest_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoint lines: every segment's record twice (the second with another source), every fifth first one cut off."""
-    lines = records.to_lines(_records(spark, sf)).withColumn("n", F.expr("cast(get_json_object(line, '$.segment_hash') as string)"))
-    first = lines.select((2 * F.substring("n", 5, 20).cast("bigint")).alias("pos"), F.when(F.substring("n", 5, 20).cast("bigint") % 5 == 0, F.substring("line", 1, 60)).otherwise(C("line")).alias("line"))
-    second = lines.where(F.substring("n", 5, 20).cast("bigint") % 2 == 0).select((2 * F.substring("n", 5, 20).cast("bigint") + 1).alias("pos"), F.replace("line", F.lit('"source":"src_'), F.lit('"source":"again_')).alias("line"))
-    full = store.latest_records(first.unionByName(second), "libsvtav1", list(views.TARGETS))
-    return full.select("pos", "segment_hash", "source", F.size(F.map_keys("results")).cast("bigint").alias("n_targets"))
-
-
 def corpus_progress(spark: SparkSession, sf: str) -> DataFrame:
     r = views.rated(spark, sf).withColumn("ok", scoring.feasible(C("vmaf"), C("rate"), C("target")))
     per = r.groupBy("source", "segment_hash", "target").agg(F.max("ok").alias("ok"))
@@ -337,7 +318,7 @@ def result_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 ALL = (
     trial_score, score_reason, feasible_trials, top_trials, best_or_closest, best_aq, rank_aq, refine_aq, crf_bracket, crf_guess, iq_guess, crf_solve, explored_range, tpe_split, clamped_params, unit_cube, trial_keys, aq_grid, aq_neighbors, screen_plan, grid_design,
-    *map(_sampled, ("halton", "lhs", "random")), boundary_plan, boundary_pieces, segment_starts, concat_lists, frame_motion, frame_entropy, frame_sample, frame_count_check, pooled_quality, pending_segments, reused_sources, trial_upsert, cache_lookup, training_rows, latest_records, corpus_progress,
-    feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts, *map(_searched, ("screen", "halton", "coordinate", "boundary", "bayes", "tpe", "cmaes")), bundle_lookup, quality_logs, result_summary,
+    *map(_sampled, ("sobol", "halton", "lhs", "random")), boundary_plan, boundary_pieces, segment_starts, concat_lists, frame_motion, frame_entropy, frame_sample, frame_count_check, pooled_quality, pending_segments, reused_sources, trial_upsert, cache_lookup, corpus_progress,
+    feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts, *map(_searched, ("screen", "halton", "coordinate", "boundary", "bayes", "tpe", "cmaes")), bundle_lookup, quality_logs, result_summary, *workflow.ALL,
 )
 QUERIES = {q.__name__: q for q in ALL}

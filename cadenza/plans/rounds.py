@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -14,11 +15,14 @@ TRIAL = ["segment_hash", "encoder", "crf", "aq_mode", "aq_strength", "vmaf", "ou
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir (a new one where it is unset, as in tests): a later round, or a task that is
-    run again, measures nothing twice."""
+    """df written to the folder of spark.checkpoint.dir: a later round, or a task that is run again, measures nothing twice. Where
+    that is unset a session on one machine gets a new folder (tests), and a cluster's an error."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cadenza-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cadenza-"))
     return df.checkpoint()
 
 

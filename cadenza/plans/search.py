@@ -40,8 +40,8 @@ def shifted_surface(offsets: DataFrame) -> Measure:
     return measure
 
 
-def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, strategy: str = "screen", n: int = 8) -> DataFrame:
-    """The shared exploration: an AQ screen, or a design of n points (grid, halton, lhs, random)."""
+def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12) -> DataFrame:
+    """The shared exploration: an AQ screen, or a design of n points (grid, sobol, halton, lhs, random)."""
     if strategy == "screen":
         order = W.partitionBy("encoder").orderBy("aq_mode", "aq_strength", "crf")
         points = design.screen_plan(spaces, n).withColumn("crf", P.rounded_crf(F.col("crf"))).withColumn("seq", F.row_number().over(order))
@@ -78,16 +78,16 @@ def solve_settings(explored: DataFrame, settings: DataFrame, spaces: DataFrame,
         if reached is not None:  # even the greatest crf meets the target: it is the answer
             kept = kept.withColumns({"crf_low": F.coalesce(F.when(reached.isNotNull(), F.col("crf")), F.col("crf_low")), "vmaf_low": F.coalesce(F.when(reached.isNotNull(), F.col("vmaf")), F.col("vmaf_low"))})
         open_ = kept.drop("crf", "vmaf", "out_bytes", "ref_bytes")
-    solved = design.solve_crf(open_, measure, method, rounds=8)
+    solved = design.solve_crf(open_, measure, method)
     order = W.partitionBy("segment_hash").orderBy("target", "aq_mode", "aq_strength")
     answers = solved.withColumns({"crf": F.coalesce("crf_low", "crf_min"), "stage": F.lit(1), "seq": F.row_number().over(order)})
     return measure(answers).where("vmaf IS NOT NULL").select(*TRIAL)
 
 
-def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 8, n_refine: int = 2) -> DataFrame:
+def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2) -> DataFrame:
     """The best trial of each segment and target, or the one of highest quality where none is feasible.
 
-    strategy: screen, grid, halton, lhs, random, bayes, tpe or cmaes, which explore and then solve the n_refine best settings, or
+    strategy: screen, grid, sobol, halton, lhs, random, bayes, tpe or cmaes, which explore and then solve the n_refine best settings, or
     coordinate or boundary, which screen and then walk. The models explore for the lowest target.
     """
     if strategy in adaptive.WALKS:

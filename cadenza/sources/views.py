@@ -74,7 +74,8 @@ def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight numbers per segment, from the aggregates of its trials."""
+    """A fixture: eight numbers per segment under the features' names, from the aggregates of its trials, as the given tables hold no frames
+    of segments. operators.features.scene computes the features from frames."""
     t = trials(spark, sf_dir)
     return t.groupBy("segment_hash", "source").agg(
         F.round(F.avg("vmaf"), 6).alias("spatial_information"),
@@ -112,6 +113,15 @@ def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(F.col("page_id"), F.col("url").alias("path"), F.to_json(F.struct(form.alias("format"), streams.alias("streams"))).alias("probe"))
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """clip, place, pixels (luma of 8 x 8, 0 to 255, null for every 13th frame) and channels (three, of 8 bits): frames as pictures."""
+    f = frames(spark, sf_dir)
+    level = F.transform("pixels", lambda p: F.floor(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128.0 + p * 200.0))))
+    shown = f.withColumn("pixels", F.when(F.col("frame") % 13 > 0, F.transform(level, lambda p: p.cast("double"))))
+    channels = F.transform(F.array(F.lit(1), F.lit(4), F.lit(16)), lambda k: F.transform("pixels", lambda p: F.floor(p / k).cast("int")))
+    return shown.withColumn("channels", channels)
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """clip, place, pixels: a clip's frames in order."""
     rows = table(spark, sf_dir, "embeddings")
