@@ -21,7 +21,7 @@ from pyspark.sql import Window as W
 #: A table is broadcast only after its bytes have been added up and are at most this many.
 BROADCAST_BYTES = 16 << 20
 #: About how many bytes of rows Spark sends to a Python worker at once (in_arrow).
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
 
 _test_dirs: dict[str, str] = {}
 

@@ -263,7 +263,7 @@ def _match(percent: int):
         if small_groups.any():
             small = _folded(raw, at, least)
             starts, counts = cuts[:-1][small_groups], sizes[small_groups]
-            for some in np.array_split(np.arange(len(starts)), max(1, int((counts * (counts - 1) // 2).sum()) >> 18)):
+            for some in np.array_split(np.arange(len(starts)), max(1, int((counts * (counts - 1) // 2).sum()) >> 16)):
                 if not len(some):
                     continue
                 i, j = few(starts[some], counts[some])
@@ -315,8 +315,29 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, column
     return out.astype(np.int64)
 
 
-def _verify(percent: int):
-    """The links of different labels among a block of a cluster, or between two sides, as a spanning forest."""
+def stars(rep: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the nodes that edges (pairs of places) join, each with the smallest of them; places of one rep are one node."""
+    up = list(range(len(rep)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    order = np.argsort(rep, kind="stable")
+    same = np.flatnonzero(rep[order[1:]] == rep[order[:-1]])
+    for i, j in [*edges, *zip(order[same].tolist(), order[same + 1].tolist(), strict=True)]:
+        x, y = top(i), top(j)
+        if x != y:
+            x, y = (x, y) if rep[x] <= rep[y] else (y, x)
+            up[y] = x
+    return [(int(rep[i]), int(rep[t])) for i in range(len(rep)) if rep[i] != rep[t := top(i)]]
+
+
+def _verify(percent: int, whole: bool):
+    """The links of different labels among a block of a cluster, or between two sides, as a spanning forest; or, where blocks do not
+    overlap (whole), each member with the smallest one that links lead to."""
 
     def verify(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         reps, sides, labels, raw = table["rep"].to_numpy(), table["side"].to_numpy(), table["label"].to_numpy(), table["hashes"].chunk(0)
@@ -332,7 +353,7 @@ def _verify(percent: int):
             both = overlaps(sets, left, right)
             linked = (100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both)) & (label[left][:, None] != label[right][None, :])
             edges = spanning(len(rep), ((int(left[i]), right[linked[i] & (right != left[i])]) for i in range(len(left))))
-            out += [(rep[i], rep[j]) for i, j in edges]
+            out += stars(rep, edges) if whole else [(rep[i], rep[j]) for i, j in edges]
         return _edges([a for a, _ in out], [b for _, b in out])
 
     return verify
@@ -418,25 +439,30 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     match = lambda rows: by_groups(rows.join(wide, "rep"), ["token", "x", "y"], _match(percent), "a long, b long")
     clusters = _clusters(match(in_blocks(met, GROUP_ROWS).withColumn("label", F.col("rep"))), "candidates")
     sets = _Sets(docs, k, percent, id_column, text_column)
-    links, parted = sets.joined(clusters)
+    labels, parted = sets.joined(clusters)
+    links = None  # what joins labels, if anything does
     # what is left: pairs of different labels in groups and clusters that were dealt into blocks
     large = groups.where(F.col("members") > GROUP_ROWS).select("token")
     if parted is not None or large.limit(1).count():
         rest = met.join(large, "token", "left_semi").select("token", "rep")
         if parted is not None:
             rest = rest.unionByName(met.select("token", "rep").join(parted, "rep", "left_semi")).distinct()
-        labels = sets.labels(links)
         open_rows = staged(rest.join(labels, "rep", "left").select("token", "rep", F.coalesce("label", "rep").alias("label")), "open-tokens")
         again = _clusters(match(across_labels(open_rows, "token", GROUP_ROWS)), "open-candidates")
-        links = links.unionByName(sets.across(again, labels))
+        links = sets.across(again, labels)
     repeated = staged(made.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("first"), F.max(F.struct("d1", "d2")).alias("last")).where("first <> last").select("doc_id"), "repeated-ids")
     known = made.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2")
     several_texts = repeated.limit(1).count() > 0
     if several_texts:  # the classes of one document's texts belong together
         held = known.where("n_shingles > 0").join(small_side(repeated), "doc_id").select("doc_id", "d1", "d2").distinct().join(classes, ["d1", "d2"]).select("doc_id", "rep")
         held = staged(held, "texts-of-repeated-ids")
-        links = links.unionByName(held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")))
-    linked = components(links, "links").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+        own = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b"))
+        links = own if links is None else links.unionByName(own)
+    if links is None or links.limit(1).count() == 0:
+        linked = labels.select("rep", F.col("label").alias("component_id"))
+    else:
+        edges = labels.select(F.col("rep").alias("a"), F.col("label").alias("b")).unionByName(links)
+        linked = components(edges, "links").select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
     named = staged(classes.join(linked, "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component_id")), "class-components")
     none = known.where("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = known.where("n_shingles > 0 AND doc_id IS NOT NULL").join(named, ["d1", "d2"]).select("doc_id", "n_shingles", "component_id").unionByName(none)
@@ -474,37 +500,38 @@ class _Sets:
         texts = self.docs.join(own, F.col(self.id_column).cast("long") == F.col("__cz_rep")).select(F.col("__cz_rep").alias("rep"), F.col(self.text_column).alias("text"))
         return staged(in_arrow(texts, hashes, "rep long, hashes binary"), "sets")
 
-    def compared(self, sets: DataFrame, rows: DataFrame) -> DataFrame:
-        """Links among the rows (rep, label, cluster, x, y, side), whose sets are given."""
-        return staged(by_groups(sets.join(rows, "rep"), ["cluster", "x", "y"], _verify(self.percent), "a long, b long"), "links")
+    def compared(self, sets: DataFrame, rows: DataFrame, whole: bool) -> DataFrame:
+        """Links among the rows (rep, label, cluster, x, y, side), whose sets are given; with whole, labels that blocks give."""
+        return staged(by_groups(sets.join(rows, "rep"), ["cluster", "x", "y"], _verify(self.percent, whole), "a long, b long"), "links")
 
     def joined(self, clusters: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Links within the blocks of clusters and between those members that stand for what links join; and the members of
-        clusters whose links may not be all known, if there are any."""
+        """Labels (rep, label: the smallest rep that links lead to; those of no link have no row) by links within the blocks of
+        clusters, and between those members that stand for what links join; and the members of clusters of which more than one label
+        is left, if there are any."""
         clusters = staged(clusters, "cluster-members")
         sets = self.of(clusters)
-        links = self.compared(sets, small_side(in_blocks(clusters.withColumn("label", F.col("rep")), BLOCK_DOCS)))
+        blocks = lambda rows: small_side(in_blocks(rows.withColumn("label", F.col("rep")), BLOCK_DOCS))
+        named = lambda df: df.select(F.col("a").alias("rep"), F.col("b").alias("label"))
+        labels = named(self.compared(sets, blocks(clusters), True))
         large = staged(clusters.where(F.col("members") > BLOCK_DOCS).select("rep", "cluster"), "large-clusters")
         before, now, heads = large.count(), 0, None
         while before:
-            named = large.join(self.labels(links), "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("label"))
-            per = staged(named.select("cluster", "label").distinct(), "cluster-labels")
+            per = large.join(labels, "rep", "left").select("cluster", F.coalesce("label", "rep").alias("label")).distinct()
+            per = staged(per, "cluster-labels")
             heads = per.join(per.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "cluster")
             heads = staged(heads.select(F.col("label").alias("rep"), "cluster", "members"), "cluster-heads")
             now = heads.count()
             if now in (0, before):
                 break
-            links = links.unionByName(self.compared(sets, small_side(in_blocks(heads.withColumn("label", F.col("rep")), BLOCK_DOCS))))
-            before = now
-        return links, large.join(heads.select("cluster").distinct(), "cluster", "left_semi").select("rep") if now else None
-
-    def labels(self, links: DataFrame) -> DataFrame:
-        return staged(components(links, "labels").select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+            new = named(self.compared(sets, blocks(heads), True))
+            moved = labels.join(small_side(new.select(F.col("rep").alias("label"), F.col("label").alias("next"))), "label", "left")
+            labels, before = staged(moved.select("rep", F.coalesce("next", "label").alias("label")).unionByName(new), "labels"), now
+        return labels, large.join(heads.select("cluster").distinct(), "cluster", "left_semi").select("rep") if now else None
 
     def across(self, clusters: DataFrame, labels: DataFrame) -> DataFrame:
         """All links between members of a cluster with different labels."""
         rows = staged(clusters.join(labels, "rep", "left").select("rep", "cluster", F.coalesce("label", "rep").alias("label")), "open-members")
-        return self.compared(self.of(rows.select("rep")), across_labels(rows, "cluster", BLOCK_DOCS))
+        return self.compared(self.of(rows.select("rep")), across_labels(rows, "cluster", BLOCK_DOCS), False)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
