@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 SEQ_DESC = ", ".join(f"{c} DESC" for c in SEQ.split(", "))
 
@@ -359,3 +361,59 @@ ORACLES |= {
       SELECT segment_hash, aq_mode, aq_strength, target, round(least(greatest(q, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low)), 6) AS guess FROM g""",
     **{f"sampler_{m}": _sampler(m) for m in ("sobol", "halton", "lhs", "random")},
 }
+
+
+def _scored_from(rated: str, suffix: str) -> str:
+    """CTEs from rated (vmaf, rate, target and more) to scored, their names with a suffix."""
+    text = SCORED[SCORED.index("), parts AS (") + 3 :].replace("FROM rated", f"FROM {rated}")
+    return re.sub(r"\b(parts|components|raw|scored) AS \(", rf"\g<1>{suffix} AS (", re.sub(r"FROM (parts|components|raw)\b", rf"FROM \g<1>{suffix}", text))
+
+
+def _measured(crf: str) -> str:
+    return f"round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 110.0::DOUBLE - {crf} + shift + 0.2::DOUBLE * aq_mode * aq_strength)), 4)"
+
+
+def search(points: str) -> str:
+    """The search over all segments: points (CTEs up to points: encoder, crf, aq_mode, aq_strength, seq) for all targets, then the crf
+    solve at the two best settings of each, and the best trial of all."""
+    order = "stage, seq"
+    solve = SOLVE.replace("coalesce(GUESS, ", "coalesce(NULL, ").replace("SELECT segment_hash, aq_mode, aq_strength, target,", "SELECT segment_hash, shift, aq_mode, aq_strength, target,").replace("greatest(0.0::DOUBLE, 110.0::DOUBLE - c) AS m", f"{_measured('c')} AS m").replace("FROM bracket", "FROM ends2")
+    return f"""WITH RECURSIVE {TRIALS}, {TARGETS}, {points}, found AS (
+  SELECT segment_hash, encoder, round((avg(vmaf) - 92.0::DOUBLE) / 4, 3) AS shift FROM trials GROUP BY ALL
+), explored AS (
+  SELECT segment_hash, shift, encoder, p.crf, p.aq_mode, p.aq_strength, {_measured("p.crf")} AS vmaf, CAST(greatest(1000, floor(900000 - 15000 * p.crf)) AS BIGINT) AS out_bytes, 0 AS stage, p.seq FROM found JOIN points p USING (encoder)
+), rated1 AS (
+  SELECT *, out_bytes / 1000000.0::DOUBLE AS rate FROM explored CROSS JOIN targets
+), {_scored_from("rated1", "1")}, grouped AS (
+  SELECT segment_hash, target, aq_mode, aq_strength, greatest(0.0::DOUBLE, max(proxy)) AS value, min(({order})) AS first FROM scored1 GROUP BY ALL
+), settings AS (
+  SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY segment_hash, target ORDER BY value DESC, first) <= 2
+), samples AS (
+  SELECT * FROM rated1 QUALIFY row_number() OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target, crf ORDER BY stage DESC, seq DESC) = 1
+), lows AS (
+  SELECT *, max(CASE WHEN vmaf >= target THEN crf END) OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target) AS low FROM samples
+), bracket AS (
+  SELECT segment_hash, aq_mode, aq_strength, target, max(CASE WHEN vmaf >= target THEN crf END) AS crf_low, arg_max(vmaf, crf) FILTER (vmaf >= target) AS vmaf_low,
+    min(CASE WHEN vmaf < target AND (low IS NULL OR crf > low) THEN crf END) AS crf_high, arg_min(vmaf, crf) FILTER (vmaf < target AND (low IS NULL OR crf > low)) AS vmaf_high FROM lows GROUP BY ALL
+), opened AS (
+  SELECT s.segment_hash, f.shift, s.aq_mode, s.aq_strength, s.target, crf_low, vmaf_low, crf_high, vmaf_high FROM settings s JOIN found f USING (segment_hash) LEFT JOIN bracket b ON s.segment_hash = b.segment_hash AND s.aq_mode = b.aq_mode AND s.aq_strength = b.aq_strength AND s.target = b.target
+), ends1 AS (
+  SELECT * REPLACE (CASE WHEN crf_low IS NULL AND m >= target THEN 20.0::DOUBLE ELSE crf_low END AS crf_low, CASE WHEN crf_low IS NULL AND m >= target THEN m ELSE vmaf_low END AS vmaf_low) FROM (SELECT *, {_measured("20.0::DOUBLE")} AS m FROM opened)
+), ends2 AS (
+  SELECT segment_hash, shift, aq_mode, aq_strength, target, CASE WHEN crf_high IS NULL AND h >= target THEN 55.0::DOUBLE ELSE crf_low END AS crf_low, CASE WHEN crf_high IS NULL AND h >= target THEN h ELSE vmaf_low END AS vmaf_low,
+    CASE WHEN crf_high IS NULL AND h < target THEN 55.0::DOUBLE ELSE crf_high END AS crf_high, CASE WHEN crf_high IS NULL AND h < target THEN h ELSE vmaf_high END AS vmaf_high FROM (SELECT *, {_measured("55.0::DOUBLE")} AS h FROM ends1)
+), {solve}, answers AS (
+  SELECT segment_hash, shift, 'libsvtav1' AS encoder, coalesce(crf_low, 20.0::DOUBLE) AS crf, aq_mode, aq_strength, 1 AS stage, row_number() OVER (PARTITION BY segment_hash ORDER BY target, aq_mode, aq_strength) AS seq FROM solve WHERE i = 6
+), everything AS (
+  SELECT * FROM explored UNION ALL BY NAME SELECT *, {_measured("crf")} AS vmaf, CAST(greatest(1000, floor(900000 - 15000 * crf)) AS BIGINT) AS out_bytes FROM answers
+), rated2 AS (
+  SELECT *, out_bytes / 1000000.0::DOUBLE AS rate FROM everything CROSS JOIN targets
+), {_scored_from("rated2", "2")}
+SELECT segment_hash, target, feasible, crf, aq_mode, aq_strength, vmaf, round(score, 6) AS score FROM scored2 QUALIFY row_number() OVER (PARTITION BY segment_hash, target ORDER BY feasible DESC, CASE WHEN feasible THEN score ELSE vmaf END DESC, {order}) = 1"""
+
+
+#: The screen of the one encoder that the trials have: eight settings by two inner crfs.
+_SCREEN = """points AS (
+  SELECT 'libsvtav1' AS encoder, crf, aq_mode, aq_strength, row_number() OVER (ORDER BY aq_mode, aq_strength, crf) AS seq FROM (SELECT unnest([31.7::DOUBLE, 43.3::DOUBLE]) AS crf), (SELECT unnest([0, 1]) AS aq_mode), (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE]) AS aq_strength)
+)"""
+ORACLES |= {"search_screen": search(_SCREEN), **{f"search_{m}": search(sampled(m, 12)) for m in ("halton", "sobol")}}

@@ -319,6 +319,6 @@ def result_summary(spark: SparkSession, sf: str) -> DataFrame:
 ALL = (
     trial_score, score_reason, feasible_trials, top_trials, best_or_closest, best_aq, rank_aq, refine_aq, crf_bracket, crf_guess, iq_guess, crf_solve, explored_range, tpe_split, clamped_params, unit_cube, trial_keys, aq_grid, aq_neighbors, screen_plan, grid_design,
     *map(_sampled, ("sobol", "halton", "lhs", "random")), boundary_plan, boundary_pieces, segment_starts, concat_lists, frame_motion, frame_entropy, frame_sample, frame_count_check, pooled_quality, pending_segments, reused_sources, trial_upsert, cache_lookup, corpus_progress,
-    feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts, *map(_searched, ("screen", "halton", "coordinate", "boundary", "bayes", "tpe", "cmaes")), bundle_lookup, quality_logs, result_summary, *workflow.ALL,
+    feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts, *map(_searched, ("screen", "halton", "sobol", "coordinate", "boundary", "bayes", "tpe", "cmaes")), bundle_lookup, quality_logs, result_summary, *workflow.ALL,
 )
 QUERIES = {q.__name__: q for q in ALL}

@@ -1,7 +1,12 @@
 """The corpus pipeline: language ID, exact dedup, near-duplicate removal, mixing, packing.
 
 Each stage gets the session, its predecessor's rows and the folder of tables. All but the last return the
-columns of documents; every decision takes effect, so a row that a stage drops is not seen again.
+columns of documents (and whatever other columns there are); every decision takes effect, so a row that a stage drops is not seen again.
+
+Defined results: null and empty texts and texts without a letter go in the first stage, as their language is undetermined; where there is
+no language to learn from, all rows go there. Rows without doc_id are kept like others: of equal texts one with an id stays before one
+without, they are no near duplicates of anything, and the mix draws for them by their texts. Of rows that repeat text and doc_id one
+stays. An empty table stays empty. Staged tables lie in the shared folder until clear_staged (cadenza.llm.common) is called.
 """
 
 from __future__ import annotations
