@@ -65,6 +65,13 @@ def from_unit(crf_u: Column, mode_u: Column, strength_u: Column, space: dict[str
     return clamp(crf, mode, strength, space)
 
 
+def even_subsample(items: Column, keep: int) -> Column:
+    """keep items at even distances, the first and the last among them; all if there are no more than that, the first if keep is 1."""
+    places = F.sequence(F.lit(0), F.lit(max(1, keep) - 1))
+    picked = F.transform(places, lambda i: F.get(items, F.bround(i * (F.size(items) - 1) / F.lit(float(max(1, keep - 1))), 0).cast("int")))
+    return F.when(F.size(items) <= max(1, keep), items).otherwise(picked)
+
+
 def midpoint(space: dict[str, Column]) -> dict[str, Column]:
     """The middle of a space: a guess where nothing is known."""
     modes = space["aq_modes"]

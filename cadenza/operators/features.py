@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from cadenza.operators.modeling import percentile_by_counts
+
 SHORT_FRAMES = 4
 
 
@@ -96,13 +98,10 @@ def motion(frames: DataFrame) -> DataFrame:
     apart = F.aggregate(F.zip_with("pixels", "before", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, x: acc + x) / F.size("pixels")
     moved = frames.withColumn("before", before).withColumn("apart", F.when(F.size("pixels") == F.size("before"), apart))
     level = F.aggregate("pixels", F.lit(0.0), lambda acc, x: acc + x) / F.size("pixels")
-    return moved.withColumn("level", level).groupBy("clip").agg(
-        F.count(F.lit(1)).alias("n_frames"),
-        F.coalesce(F.avg("apart"), F.lit(0.0)).alias("motion_mean"),
-        F.coalesce(F.percentile("apart", 0.95), F.lit(0.0)).alias("motion_p95"),
-        F.avg("level").alias("luma_mean"),
-        F.stddev_pop("level").alias("luma_std"),
-    )
+    steps = moved.withColumn("level", level)
+    sums = steps.groupBy("clip").agg(F.count(F.lit(1)).alias("n_frames"), F.coalesce(F.avg("apart"), F.lit(0.0)).alias("motion_mean"), F.avg("level").alias("luma_mean"), F.stddev_pop("level").alias("luma_std"))
+    high = percentile_by_counts(steps.where("apart IS NOT NULL").select("clip", "apart"), "clip", "apart", 0.95, 12)
+    return sums.join(high, "clip", "left").withColumn("motion_p95", F.coalesce("value", F.lit(0.0))).drop("value")
 
 
 def entropy(rows: DataFrame, group: str, value: str) -> DataFrame:

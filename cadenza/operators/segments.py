@@ -76,6 +76,13 @@ def side_by_side(cut: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
     return out.withColumn("idx", whole).drop(*marks)
 
 
+def all_there(segments: DataFrame, files: DataFrame) -> DataFrame:
+    """segments (path and more); reading one whose file (path, length) does not exist or is empty is an error."""
+    met = segments.join(files.where("length > 0").select("path", F.lit(True).alias("__there")).distinct(), "path", "left")
+    said = F.concat(F.lit("missing or empty: "), F.col("path"))
+    return met.withColumn("path", F.when(F.col("__there"), F.col("path")).otherwise(F.raise_error(said).cast("string"))).drop("__there").select(*segments.columns)
+
+
 def concat_list(segments: DataFrame) -> DataFrame:
     """For each source the lines of a concat list in order of the segments."""
     from cadenza.functions.text import concat_line

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.functions import params as P
-from cadenza.operators import select
+from cadenza.operators import records, select
 from cadenza.plans import adaptive, design
 from cadenza.plans.rounds import SEQ, TRIAL, Measure, measured, rated
 
@@ -22,6 +22,18 @@ def recorded(trials: DataFrame) -> Measure:
     return lambda proposals: proposals.join(known, ["segment_hash", "encoder", "crf", "aq_mode", "aq_strength"], "left")
 
 
+def stored_first(trials: DataFrame, measure: Measure) -> Measure:
+    """What is stored under the same parameters, and only where nothing is a new measurement. The new ones have stored = false: put
+    them back with store.upsert."""
+
+    def run(proposals: DataFrame) -> DataFrame:
+        met = recorded(trials)(proposals)
+        asked = met.where("vmaf IS NULL").select(*proposals.columns)
+        return met.where("vmaf IS NOT NULL").withColumn("stored", F.lit(True)).unionByName(measure(asked).select(*met.columns).withColumn("stored", F.lit(False)))
+
+    return run
+
+
 def select_last(trials: DataFrame) -> DataFrame:
     from cadenza.sources.views import SEQ as order
 
@@ -84,8 +96,8 @@ def solve_settings(explored: DataFrame, settings: DataFrame, spaces: DataFrame,
     return measure(answers).where("vmaf IS NOT NULL").select(*TRIAL)
 
 
-def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2) -> DataFrame:
-    """The best trial of each segment and target, or the one of highest quality where none is feasible.
+def trials_of(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2) -> DataFrame:
+    """All trials of a search, in the order of stage and seq.
 
     strategy: screen, grid, sobol, halton, lhs, random, bayes, tpe or cmaes, which explore and then solve the n_refine best settings, or
     coordinate or boundary, which screen and then walk. The models explore for the lowest target.
@@ -99,4 +111,17 @@ def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure:
         else:
             explored = explore(segments, spaces, measure, strategy, n)
         trials = explored.unionByName(solve_targets(explored, spaces, targets, measure, n_refine))
+    return trials
+
+
+def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2) -> DataFrame:
+    """The best trial of each segment and target, or the one of highest quality where none is feasible, of trials_of."""
+    trials = trials_of(segments, spaces, targets, measure, strategy, n, n_refine)
     return select.best_or_closest(rated(trials, targets), SEQ).select("segment_hash", "target", "feasible", "crf", "aq_mode", "aq_strength", "vmaf", F.round("score", 6).alias("score"))
+
+
+def results(trials: DataFrame, targets: DataFrame, k: int = select.TOP_K) -> DataFrame:
+    """A row per segment and target: the best trial, the k best feasible ones, how many trials there were and how many of them differ."""
+    found = records.results(rated(trials, targets).withColumn("source", F.lit(None).cast("string")), k, SEQ).drop("source")
+    encodes = trials.groupBy("segment_hash").agg(F.countDistinct("crf", "aq_mode", "aq_strength").alias("n_encodes"))
+    return found.join(encodes, "segment_hash")

@@ -12,6 +12,7 @@ from cadenza.functions.text import pixel_format
 from cadenza.operators import features as feat
 from cadenza.operators import modeling, records, segments, select, store, training
 from cadenza.plans import design
+from cadenza.plans import search as searching
 from cadenza.sources import manifests, media, views
 from cadenza.sources.views import FEATURES, SEQ
 
@@ -225,6 +226,36 @@ def frame_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy("clip").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(C("reference_frame") == C("distorted_frame")).alias("n_same"), F.round(F.avg(F.abs(C("reference") - C("distorted"))), 9).alias("apart"))
 
 
+def trial_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many trials a store holds per encoder, written and distinct."""
+    t = views.trials(spark, sf).withColumn("key", store.key())
+    return t.groupBy("encoder").agg(F.count(F.lit(1)).alias("written"), F.countDistinct("key").alias("stored"))
+
+
+def even_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Four of each segment's crfs, evenly."""
+    per = views.trials(spark, sf).groupBy("segment_hash").agg(F.array_sort(F.collect_set("crf")).alias("crfs"))
+    return per.select("segment_hash", F.array_join(F.transform(P.even_subsample(C("crfs"), 4), P.short), ",").alias("crfs"))
+
+
+def stored_trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Proposals of every segment: the settings of its trials, every third a little off. What is stored is taken, the rest measured."""
+    t = views.trials(spark, sf)
+    asked = t.select("segment_hash", "encoder", (C("crf") + F.when(C("l_orderkey") % 3 == 0, 0.05).otherwise(0.0)).alias("crf"), "aq_mode", "aq_strength").distinct()
+    known = t.where("l_suppkey % 2 = 0")
+    found = searching.stored_first(known, design.synthetic_surface)(asked)
+    return found.groupBy("segment_hash").agg(F.count_if("stored").alias("n_stored"), F.count_if(~C("stored")).alias("n_measured"), F.round(F.sum("vmaf"), 4).alias("vmaf"))
+
+
+def search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every segment's results of a search by the screen: counts, and the score of the best and of the last of the top candidates."""
+    t = views.trials(spark, sf)
+    offsets = t.groupBy("segment_hash").agg(F.round((F.avg("vmaf") - 92.0) / 4, 3).alias("offset"))
+    trials = searching.trials_of(t.select("segment_hash", "encoder").distinct(), views.spaces(spark), views.targets(spark), searching.shifted_surface(offsets))
+    r = searching.results(trials, views.targets(spark))
+    return r.select("segment_hash", "target", C("best.feasible").alias("feasible"), "n_trials", "n_encodes", F.size("top").cast("bigint").alias("n_top"), F.round("best.score", 6).alias("score"), F.round(F.try_element_at(F.transform("top", lambda c: c["score"]), F.lit(-1)), 6).alias("last_score"))
+
+
 def crf_solve_brent(spark: SparkSession, sf: str) -> DataFrame:
     return design.solve_crf(select.crf_bracket(views.rated(spark, sf)), method="brent")
 
@@ -240,4 +271,4 @@ def brent_guess(spark: SparkSession, sf: str) -> DataFrame:
     return select.clamped_guess(b, "brent").select(*group, F.round("guess", 6).alias("guess"))
 
 
-ALL = (dataset_rows, training_rows, infeasible_share, latest_records, design_matrix, training_groups, completeness, train_models, metadata_ranges, package_manifest, run_summary, segment_manifest, complete_manifests, frame_counts, listed_formats, encode_argv, space_guesses, video_plan, fallback_pieces, record_lines, scene_features, frame_pairs, crf_solve_brent, brent_guess)
+ALL = (dataset_rows, training_rows, infeasible_share, latest_records, design_matrix, training_groups, completeness, train_models, metadata_ranges, package_manifest, run_summary, segment_manifest, complete_manifests, frame_counts, listed_formats, encode_argv, space_guesses, video_plan, fallback_pieces, record_lines, scene_features, frame_pairs, trial_counts, even_trials, stored_trials, search_results, crf_solve_brent, brent_guess)

@@ -133,6 +133,12 @@ def must_find(found: DataFrame) -> DataFrame:
     return found.select("encoder", "target", F.when(F.col("path").isNotNull() & F.col("fits"), F.col("path")).otherwise(F.raise_error(F.concat(why, F.col("encoder"), F.lit(" "), F.col("target").cast("string"))).cast("string")).alias("path"))
 
 
+def must_be_plausible(rows: DataFrame) -> DataFrame:
+    """rows of quality_rows; reading one with a score outside of 0 to 100, or without scores, is an error."""
+    said = F.concat(F.lit("implausible scores of "), F.col("segment_hash"))
+    return rows.withColumn("mean", F.when(F.col("plausible") & F.col("mean").between(0, 100), F.col("mean")).otherwise(F.raise_error(said).cast("double")))
+
+
 #: The shape of a quality tool's log.
 QUALITY_LOG = "frames array<struct<frameNum:int,metrics:struct<vmaf:double>>>, pooled_metrics struct<vmaf:struct<mean:double,harmonic_mean:double,min:double>>"
 

@@ -213,3 +213,21 @@ def test_escapes_and_formats(spark):
     lines = spark.createDataFrame([("a", 1, "  Supported pixel formats: x  y x"), ("a", 2, "Supported pixel formats: z"), ("b", 0, "none")], "doc string, pos int, line string")
     assert {r.doc: r.formats for r in media.supported_formats(lines).collect()} == {"a": ["x", "y"], "b": []}
     assert one(spark.range(1).select(text.escape_filter_path(F.lit("C:/a'b[1]")))) == "C\\\\:/a\\'b\\[1\\]"
+
+
+def test_implausible_scores_and_missing_inputs_are_errors(spark):
+    logs = spark.createDataFrame([("a", '{"frames":[{"frameNum":0,"metrics":{"vmaf":90}}],"pooled_metrics":{"vmaf":{"mean":90}}}'), ("b", '{"frames":[{"frameNum":0,"metrics":{"vmaf":190}}],"pooled_metrics":{"vmaf":{"mean":190}}}')], "segment_hash string, log string")
+    rows = media.quality_rows(logs)
+    assert media.must_be_plausible(rows.where("segment_hash = 'a'")).first()["mean"] == 90.0
+    with pytest.raises(Exception, match="implausible"):
+        media.must_be_plausible(rows).collect()
+    cut, files = spark.createDataFrame([("p", 0), ("q", 1)], "path string, idx int"), spark.createDataFrame([("p", 5), ("q", 0)], "path string, length bigint")
+    assert segments.all_there(cut.where("idx = 0"), files).first().path == "p"
+    with pytest.raises(Exception, match="missing or empty: q"):
+        segments.all_there(cut, files).collect()
+
+
+def test_even_subsample(spark):
+    row = spark.createDataFrame([(list(range(10)), [1, 2])], "a array<int>, b array<int>")
+    got = row.select(params.even_subsample(F.col("a"), 4), params.even_subsample(F.col("b"), 4), params.even_subsample(F.col("a"), 1)).first()
+    assert [list(x) for x in got] == [[0, 3, 6, 9], [1, 2], [0]]
