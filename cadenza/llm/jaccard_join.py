@@ -81,7 +81,8 @@ def shingle_counts(docs: DataFrame, text_column: str, k: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, dtype=np.int32)
         for _, sets in _sets(batches, k):
-            np.add.at(total, _counter(np.concatenate(sets)), 1)
+            place, times = np.unique(_counter(np.concatenate(sets)), return_counts=True)
+            total[place] += times.astype(np.int32)
         if total.any():
             parts = total.reshape(_SLICES, -1)
             over = [np.flatnonzero(p > 254) for p in parts]
