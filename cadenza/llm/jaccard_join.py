@@ -150,6 +150,32 @@ def spanning(n: int, rows: Iterator[tuple[int, np.ndarray]]) -> list[tuple[int,
     return out
 
 
+def tops(rep: np.ndarray, edges: list[tuple[int, int]]) -> np.ndarray:
+    """For each place that of the smallest rep among those that edges (pairs of places) join it to."""
+    up = list(range(len(rep)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for i, j in edges:
+        x, y = top(i), top(j)
+        if x != y:
+            x, y = (x, y) if rep[x] <= rep[y] else (y, x)
+            up[y] = x
+    return np.array([top(i) for i in range(len(rep))], dtype=np.int64)
+
+
+def stars(rep: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of the nodes that edges (pairs of places) join, each with the smallest of them; places of one rep are one node."""
+    order = np.argsort(rep, kind="stable")
+    same = np.flatnonzero(rep[order[1:]] == rep[order[:-1]])
+    held = tops(rep, [*edges, *zip(order[same].tolist(), order[same + 1].tolist(), strict=True)])
+    return [(int(a), int(b)) for a, b in zip(rep, rep[held], strict=True) if a != b]
+
+
 def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -177,7 +203,8 @@ def _pairs_within(sizes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _match(percent: int):
-    """Candidates among the rows of each group (or between the two sides of one) with different labels, as spanning forests."""
+    """Candidates among the rows of each group (or between the two sides of one) with different labels: each row with the smallest one
+    that candidates join it to."""
 
     def match(table: pa.Table, cuts: np.ndarray) -> pa.RecordBatch:
         rep, n, m, side, label = (table[c].to_numpy() for c in ("rep", "n", "m", "side", "label"))
@@ -272,24 +299,19 @@ def _match(percent: int):
                 alone = np.bincount(group, minlength=len(starts) + 1)[group] == 1
                 found_a.append(rep[i[alone]])
                 found_b.append(rep[j[alone]])
-                up: dict[int, int] = {}
-                for a, b in zip(i[~alone].tolist(), j[~alone].tolist(), strict=True):
-                    x, y = a, b
-                    while (z := up.get(x, x)) != x:
-                        x = z
-                    while (z := up.get(y, y)) != y:
-                        y = z
-                    if x != y:
-                        up[y] = x
-                        found_a.append(rep[a : a + 1])
-                        found_b.append(rep[b : b + 1])
+                nodes, places = np.unique(np.concatenate([i[~alone], j[~alone]]), return_inverse=True)
+                # places of one row, so that a repeated rep in two groups does not join them here
+                held = tops(rep[nodes], places.reshape(2, -1).T.tolist())
+                found_a.append(rep[nodes])
+                found_b.append(rep[nodes[held]])
         for a, b in zip(cuts[:-1][~small_groups], cuts[1:][~small_groups], strict=True):
             order = a + np.argsort(n[a:b], kind="stable")
             across = bool(crossed[a])
-            edges = np.array(spanning(b - a, rows(order, across)), dtype=np.int64).reshape(-1, 2)
-            found_a.append(rep[order[edges[:, 0]]])
-            found_b.append(rep[order[edges[:, 1]]])
-        return _edges(np.concatenate(found_a), np.concatenate(found_b))
+            held = tops(rep[order], spanning(b - a, rows(order, across)))
+            found_a.append(rep[order])
+            found_b.append(rep[order[held]])
+        left, right = np.concatenate(found_a), np.concatenate(found_b)
+        return _edges(left[left != right], right[left != right])
 
     return match
 
@@ -316,26 +338,6 @@ def overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, column
     return out.astype(np.int64)
 
 
-def stars(rep: np.ndarray, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Of the nodes that edges (pairs of places) join, each with the smallest of them; places of one rep are one node."""
-    up = list(range(len(rep)))
-
-    def top(i: int) -> int:
-        while up[i] != i:
-            up[i] = up[up[i]]
-            i = up[i]
-        return i
-
-    order = np.argsort(rep, kind="stable")
-    same = np.flatnonzero(rep[order[1:]] == rep[order[:-1]])
-    for i, j in [*edges, *zip(order[same].tolist(), order[same + 1].tolist(), strict=True)]:
-        x, y = top(i), top(j)
-        if x != y:
-            x, y = (x, y) if rep[x] <= rep[y] else (y, x)
-            up[y] = x
-    return [(int(rep[i]), int(rep[t])) for i in range(len(rep)) if rep[i] != rep[t := top(i)]]
-
-
 def _verify(percent: int, whole: bool):
     """The links of different labels among a block of a cluster, or between two sides, as a spanning forest; or, where blocks do not
     overlap (whole), each member with the smallest one that links lead to."""
