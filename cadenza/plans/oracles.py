@@ -237,6 +237,8 @@ def _gradient(weights: list[tuple[int, int, int]]) -> str:
 _GX = _gradient([(-1, 1, 1), (0, 1, 2), (1, 1, 1), (-1, -1, -1), (0, -1, -2), (1, -1, -1)])
 _GY = _gradient([(1, -1, 1), (1, 0, 2), (1, 1, 1), (-1, -1, -1), (-1, 0, -2), (-1, 1, -1)])
 
+#: A number in tenths, half-even by its decimal digits: a tie is one only if the shortest decimal that means the number is one.
+_TENTHS = "CAST(list_transform([CAST(CAST({0} AS VARCHAR) AS DECIMAL(25, 17)) * 10], lambda d: CASE WHEN d - floor(d) > 0.5 OR (d - floor(d) = 0.5 AND CAST(floor(d) AS BIGINT) % 2 = 1) THEN CAST(floor(d) AS BIGINT) + 1 ELSE CAST(floor(d) AS BIGINT) END)[1] AS DOUBLE) / 10.0::DOUBLE"
 SOLVE = """solve AS (
   SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high, [crf_low, crf_high] AS hx, [vmaf_low, vmaf_high] AS hy, 0 AS i FROM bracket
   UNION ALL
@@ -244,12 +246,13 @@ SOLVE = """solve AS (
     CASE WHEN c IS NOT NULL THEN list_append(hx, c) ELSE hx END, CASE WHEN c IS NOT NULL THEN list_append(hy, m) ELSE hy END, i + 1
   FROM (
     SELECT *, greatest(0.0::DOUBLE, 110.0::DOUBLE - c) AS m, coalesce(c > crf_low AND c < crf_high, false) AS useful FROM (
-      SELECT *, CASE WHEN crf_high - crf_low > 0.5::DOUBLE THEN round_even(least(greatest(guess, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low)), 1) END AS c FROM (
+      SELECT *, CASE WHEN crf_high - crf_low > 0.5::DOUBLE THEN TENTHS END AS c FROM (
         SELECT *, coalesce(GUESS, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END) AS guess FROM solve WHERE i < 6
       )
     )
   )
 )"""
+SOLVE = SOLVE.replace("TENTHS", _TENTHS.format("least(greatest(guess, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low))"))
 _X = [f"hx[{k}]" for k in (-3, -2, -1)]
 _Y = [f"hy[{k}]" for k in (-3, -2, -1)]
 IQ = f"""CASE WHEN len(hx) >= 3 AND {_Y[0]} <> {_Y[1]} AND {_Y[1]} <> {_Y[2]} AND {_Y[0]} <> {_Y[2]} THEN (target - {_Y[1]}) * (target - {_Y[2]}) / (({_Y[0]} - {_Y[1]}) * ({_Y[0]} - {_Y[2]})) * {_X[0]}
