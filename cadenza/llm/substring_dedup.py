@@ -111,7 +111,7 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     several = F.col("first") != F.col("last") if within else F.col("first.doc_id") != F.col("last.doc_id")
     shared = staged(seen.where(several).select("d1", "d2", F.col("first.doc_id").alias("keep_id"), F.col("first.start").alias("keep_start"), "copies"), "shared-chunks")
     stays = (F.col("doc_id") == F.col("keep_id")) & ((F.col("start") == F.col("keep_start")) | F.lit(not within))
-    hits = chunks.join(small_side(shared), ["d1", "d2"]).withColumn("kept", stays)
+    hits = chunks.join(shared, ["d1", "d2"]).withColumn("kept", stays)  # shared chunks grow with the corpus, so both sides are shuffled
     by_place = W.partitionBy("doc_id").orderBy("start", "stop", "keep_id", "kept")
     reach = F.max("stop").over(by_place.rowsBetween(W.unboundedPreceding, -1))
     marked = hits.withColumns({"apart": F.coalesce(reach, F.lit(-1)) < F.col("start"), "before": F.lag("keep_id").over(by_place), "stayed": F.lag("kept").over(by_place)})
