@@ -11,8 +11,9 @@ Steps, each written to the shared folder:
 1. Counts: every task adds up shingle counts in COUNTERS hashed counters; the sums (a fixed size) go to all tasks.
 2. Profiles: per document the digest of its set, its size, m, its prefix, and a parity bitmap.
    Equal sets become one class, stood for by its smallest id.
-3. Matching: prefix shingles that occur in one class only are dropped. The others form small groups of narrow rows; groups
-   over GROUP_ROWS rows are dealt into blocks that are matched each for itself. A pair becomes a candidate only if its sizes, its
+3. Matching: prefix shingles that occur in one class only are dropped, and of shingles that occur in the same classes (told by their number, least and
+   largest id and a 64-bit sum of hashes) all but one. The others form small groups of narrow rows: a bitmap of 512 bytes at most, and a prefix of
+   LONG_PREFIX shingles and a few, if any (longer ones ask for one match). Groups over GROUP_ROWS rows are dealt into blocks that are matched each for itself. A pair becomes a candidate only if its sizes, its
    parity bitmaps (an upper bound of the overlap) and its shared prefix shingles allow a link. A group sends on a spanning
    forest of its candidates, not all pairs.
 4. Verification: candidates that hang together form a cluster; its members' sets are computed again from their texts
@@ -49,9 +50,11 @@ from cadenza.llm.textbytes import column_bytes, run_hashes, shingle_hashes, word
 
 COUNTERS = 1 << 22
 _SLICES = 64
-#: A parity bitmap has about half as many bits as the set has shingles, within these bounds.
-BITMAP_BITS = (256, 1 << 16)
+#: A parity bitmap has about half as many bits as the set has shingles, within these bounds: one travels with each group that a set is in.
+BITMAP_BITS = (256, 1 << 12)
 MOST_MATCHES = 4
+#: A longer prefix would cost more to send along (once for each group) than asking for several matches can save.
+LONG_PREFIX = 128
 #: Estimated cost of comparing two prefixes, in units of reading one row of a group.
 VERIFY_COST = 8.0
 GROUP_ROWS = 2048
@@ -127,7 +130,7 @@ def prefix(h: np.ndarray, counts: np.ndarray, usual: float, percent: int) -> tup
         near = np.arange(n)
     order = near[np.lexsort((h[near], often[near]))][:most]
     lists = np.cumsum(np.maximum(often[order] - usual, 0.0))
-    m = 1 + int(np.argmin([lists[base + i - 2] * (1 + VERIFY_COST / i) for i in range(1, most - base + 2)]))
+    m = 1 if base > LONG_PREFIX else 1 + int(np.argmin([lists[base + i - 2] * (1 + VERIFY_COST / i) for i in range(1, most - base + 2)]))
     return m, h[order[: base + m - 1]]
 
 
@@ -433,10 +436,12 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     shared.destroy()
     classes = staged(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     several = small_side(classes.where("copies > 1").select("d1", "d2", "rep"))
-    standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "n", "m", "prefix", "bitmap")
-    tokens = standing.select("rep", F.explode("prefix").alias("token"))
-    groups = staged(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "prefix-groups")
-    met = staged(tokens.join(groups, "token"), "met-tokens")
+    standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "d1", "n", "m", "prefix", "bitmap")
+    tokens = standing.select("rep", "d1", F.explode("prefix").alias("token"))
+    # shingles of the same members tell the same: one of them stands for all, so long near copies meet a few times and not at every shingle
+    members = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("d1", "rep")).alias("who")).where("members > 1")
+    groups = staged(members.groupBy("members", "low", "high", "who").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
+    met = staged(tokens.drop("d1").join(groups, "token"), "met-tokens")
     asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
     wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "m", asked, "bitmap"), "met-profiles")
     match = lambda rows: by_groups(rows.join(wide, "rep"), ["token", "x", "y"], _match(percent), "a long, b long")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -121,3 +122,29 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components.components(edges).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_long_near_copies_send_little(spark):
+    """What is shuffled grows with the text, not with its square: shingles of the same documents stand for each other."""
+    rng = random.Random(4)
+
+    def moved():
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    def shuffled(n):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        texts = []
+        for _ in range(4):
+            t = list(base)
+            for _ in range(n // 200):
+                t[rng.randrange(n)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(t))
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        time.sleep(0.5)
+        before = moved()
+        assert {r.component_id for r in jaccard_join.join(df, k=3, percent=90).collect()} == {0}
+        time.sleep(0.5)
+        return moved() - before, sum(map(len, texts))
+
+    sent, size = shuffled(20_000)
+    assert sent < 5 * size
