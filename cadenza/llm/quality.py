@@ -10,7 +10,7 @@ alike) or of other signs; a text's features are which hashed tokens it has, how
 Learning: at most MAX_ROWS rated rows, as many of each grade (those whose ids hash lowest); their features are made
 in tasks, and the driver fits BUCKETS + a few weights. All rows are scored by their whole texts.
 
-Defined results: a null or empty text has no features: its expected grade and tail probability are 0, its toxic probability is
+Defined results: a text without tokens (null, empty, white space only) has no features: its expected grade and tail probability are 0, its toxic probability is
 null (nothing speaks for it), and it is not kept; with no ratings that holds for every text; rows without a rating are scored like
 others; rated more than once, the worst grade counts; an empty table gives an empty result.
 """
@@ -155,7 +155,7 @@ def rate(docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_c
             data, at = column_bytes(batch.column(1))
             tokens, extra = features(data, at)
             p = model.at_least(model.score(tokens, extra)) if model else np.zeros((len(tokens), GRADES - 1))
-            unknown = (np.diff(at) == 0) | (model is None)
+            unknown = np.array([not len(t) for t in tokens]) | (model is None)
             p[unknown] = 0
             yield pa.record_batch({"doc_id": batch.column(0), "expected_grade": pa.array(p.sum(axis=1)), "tail_probability": pa.array(p[:, -1].copy()), "toxic_probability": pa.array(1 - p[:, 0], mask=unknown)})
 

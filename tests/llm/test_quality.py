@@ -28,10 +28,10 @@ def test_odd_rows_and_no_ratings(spark, sf_dir):
     model = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", quality.grade().alias("grade")))
     rows = quality.rate(odd(spark), model).collect()
     assert len(rows) == 11
-    assert not any(r.kept for r in rows if r.doc_id in (2, 3))
+    assert not any(r.kept for r in rows if r.doc_id in (2, 3, 4))
     assert all(0 <= r.tail_probability <= 1 and 0 <= r.expected_grade <= 2 for r in rows)
-    assert all(r.toxic_probability is None and r.tail_probability == 0 for r in rows if r.doc_id in (2, 3))
-    assert all(0 <= r.toxic_probability <= 1 for r in rows if r.doc_id not in (2, 3))
+    assert all(r.toxic_probability is None and r.tail_probability == 0 for r in rows if r.doc_id in (2, 3, 4))
+    assert all(0 <= r.toxic_probability <= 1 for r in rows if r.doc_id not in (2, 3, 4))
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert quality.learn(docs, none) is None
     assert quality.rate(odd(spark), None).where("kept OR expected_grade > 0").count() == 0

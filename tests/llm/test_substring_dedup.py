@@ -148,3 +148,20 @@ def test_spans_are_held_against_all_common_substrings(spark):
     print("runs met", met / total, "bytes covered", covered / bytes_, "precision", np.mean(said))
     assert total > 40 and met == total
     assert covered / bytes_ > 0.75 and np.mean(said) > 0.99
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    """No text is cut for the spans of another one of the same id; each is a document of its own."""
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage, other, unrelated = prose(120), prose(80), prose(200)
+    rows = [(1, passage), (2, other + " " + passage), (2, unrelated), (2, unrelated), (3, prose(100))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    after = sorted((r.doc_id, r.text) for r in substring_dedup.without_repeats(docs).collect())
+    assert [t for i, t in after if i in (1, 3)] == [passage, rows[4][1]]
+    texts = [t for i, t in after if i == 2]
+    assert texts.count(unrelated) == 2 and any(t.startswith(other[:-40]) and len(t) < len(other) + 120 for t in texts)
+    # what two texts of one id share stays in one of them
+    twice = spark.createDataFrame([(5, prose(60) + " " + passage), (5, passage + " " + prose(60))], "doc_id long, text string")
+    spans = substring_dedup.repeats(twice).collect()
+    assert sorted(r.kept for r in spans) == [False, True] and len({r.text_key for r in spans}) == 2
