@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.functions.params import params_key, trial_key
+from cadenza.sources import commitlog
 
 #: A search record's JSON, whose results have a key for each target.
 RECORD = (
@@ -49,18 +50,26 @@ def latest_records(lines: DataFrame, encoder: str, targets: list[float]) -> Data
     return full.withColumn("n", F.row_number().over(last)).where("n = 1").select("pos", "r.*")
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """Adds records to a checkpoint folder as JSON lines."""
-    records.write.mode("append").json(path)
+def append_records(records: DataFrame, path: str) -> int:
+    """Adds records to a checkpoint folder as one batch of JSON lines, and returns the batch's number."""
+    return commitlog.append(records.select(F.to_json(F.struct(*records.columns)).alias("value")), path)
 
 
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a checkpoint's files with their places: pos (file, where its block begins, the line's number in the read) ascends
-    in the order of the files' names and of the lines in each. Files of any size are read in blocks."""
+    """The lines of a checkpoint with their places: of append_records' batches in the order of their commits, so that the last line written
+    has the largest pos; of other folders of files in the order of the files' names and of the lines in each. Files of any size are read in blocks."""
+    if commitlog.exists(spark, path):
+        return commitlog.lines(spark, path)
     rows = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     return rows.select(F.struct("file", "block", F.monotonically_increasing_id().alias("n")).alias("pos"), "line")
 
 
+def compact_checkpoint(spark: SparkSession, path: str, encoder: str, targets: list[float]) -> int:
+    """Replaces a checkpoint's batches by one that holds the last complete record of each segment; the number of that batch."""
+    last = latest_records(commitlog.lines(spark, path), encoder, targets).drop("pos")
+    return commitlog.append(last.select(F.to_json(F.struct(*last.columns)).alias("value")), path, replaces=True)
+
+
 def checkpoint_lines(df: DataFrame) -> DataFrame:
     """Small whole texts (value) as lines with their places; read_checkpoint is for files."""
     return df.select(F.posexplode(F.split("value", "\n")).alias("pos", "line"))

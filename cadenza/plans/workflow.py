@@ -13,7 +13,7 @@ from cadenza.operators import features as feat
 from cadenza.operators import modeling, records, segments, select, store, training
 from cadenza.plans import design
 from cadenza.plans import search as searching
-from cadenza.sources import manifests, media, views
+from cadenza.sources import commitlog, manifests, media, views
 from cadenza.sources.views import FEATURES, SEQ
 
 C = F.col
@@ -41,14 +41,18 @@ def infeasible_share(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def latest_records(spark: SparkSession, sf: str) -> DataFrame:
-    """Checkpoint lines: every segment's record, cut off for every fifth; for every second segment once more, with another source."""
+    """A checkpoint of files: a batch with every segment's record, cut off for every fifth, then one with those of every second segment
+    once more, with another source; the files of a third append, which died before its commit, do not count."""
     r = search_records(spark, sf)
-    lines = r.select(F.substring("segment_hash", 5, 20).cast("bigint").alias("k"), F.to_json(F.struct(*r.columns)).alias("line"))
-    first = F.struct((2 * C("k")).alias("pos"), F.when(C("k") % 5 == 0, F.substring("line", 1, 60)).otherwise(C("line")).alias("line"))
-    second = F.when(C("k") % 2 == 0, F.struct((2 * C("k") + 1).alias("pos"), F.replace("line", F.lit('"source":"src_'), F.lit('"source":"again_')).alias("line")))
-    written = lines.select(F.explode(F.array(first, second)).alias("l")).where("l IS NOT NULL").select("l.*")
-    full = store.latest_records(written, "libsvtav1", list(TARGETS))
-    return full.select("pos", "segment_hash", "source", F.size(F.map_keys("results")).cast("bigint").alias("n_targets"), F.size(F.map_keys("features")).cast("bigint").alias("n_features"))
+    lines = r.select(F.substring("segment_hash", 5, 20).cast("bigint").alias("k"), F.to_json(F.struct(*r.columns)).alias("value"))
+    path = commitlog.scratch(spark, "checkpoint")
+    commitlog.append(lines.select(F.when(C("k") % 5 == 0, F.substring("value", 1, 60)).otherwise(C("value")).alias("value")), path)
+    again = lambda name: lines.where("k % 2 = 0").select(F.replace("value", F.lit('"source":"src_'), F.lit(f'"source":"{name}_')).alias("value"))
+    commitlog.append(again("again"), path)
+    commitlog.written(again("lost"), path)
+    full = store.latest_records(store.read_checkpoint(spark, path), "libsvtav1", list(TARGETS))
+    pos = 2 * F.substring("segment_hash", 5, 20).cast("bigint") + C("pos.batch")
+    return full.select(pos.alias("pos"), "segment_hash", "source", F.size(F.map_keys("results")).cast("bigint").alias("n_targets"), F.size(F.map_keys("features")).cast("bigint").alias("n_features"))
 
 
 def design_matrix(spark: SparkSession, sf: str) -> DataFrame:
