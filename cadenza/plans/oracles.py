@@ -425,9 +425,15 @@ _FINAL = search(_SCREEN).rsplit("\nSELECT segment_hash, target, feasible", 1)[0]
 ORACLES |= {
     "trial_counts": f"WITH {TRIALS} SELECT encoder, count(*) AS written, count(DISTINCT (segment_hash, round_even(crf, 1), aq_mode, round_even(aq_strength, 2))) AS stored FROM trials GROUP BY encoder",
     "even_trials": f"WITH {TRIALS}, per AS (SELECT segment_hash, list_sort(list(DISTINCT crf)) AS c FROM trials GROUP BY ALL) SELECT segment_hash, array_to_string(list_transform(CASE WHEN len(c) <= 4 THEN c ELSE list_transform(range(0, 4), lambda i: c[CAST(round_even(i * (len(c) - 1) / 3.0::DOUBLE, 0) AS INT) + 1]) END, lambda x: format('{{:g}}', x)), ',') AS crfs FROM per",
-    "stored_trials": f"""WITH {TRIALS}, asked AS (SELECT DISTINCT segment_hash, crf + CASE WHEN l_orderkey % 3 = 0 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS crf, aq_mode, aq_strength FROM trials),
-      known AS (SELECT segment_hash, crf, aq_mode, aq_strength, vmaf FROM trials WHERE l_suppkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY segment_hash, crf, aq_mode, aq_strength ORDER BY {SEQ_DESC}) = 1)
-      SELECT segment_hash, count(k.vmaf) AS n_stored, count(*) - count(k.vmaf) AS n_measured, round(sum(coalesce(k.vmaf, greatest(0.0::DOUBLE, 110.0::DOUBLE - crf))), 4) AS vmaf FROM asked a LEFT JOIN known k USING (segment_hash, crf, aq_mode, aq_strength) GROUP BY segment_hash""",
+    "trial_store": f"""WITH {TRIALS}, {_UPSERT}, put AS (SELECT * FROM keyed WHERE l_suppkey % 3 < 2 OR l_partkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY l_suppkey % 3 DESC, {SEQ_DESC}) = 1)
+      SELECT segment_hash, count(*) AS n_stored, round(sum(vmaf), 4) AS vmaf, CAST(sum(out_bytes) AS BIGINT) AS out_bytes FROM put GROUP BY segment_hash""",
+    "stored_trials": f"""WITH {TRIALS}, last AS (SELECT segment_hash, crf, aq_mode, aq_strength, vmaf, l_suppkey FROM trials QUALIFY row_number() OVER (PARTITION BY segment_hash, crf, aq_mode, aq_strength ORDER BY {SEQ_DESC}) = 1),
+      off AS (SELECT DISTINCT segment_hash, crf + CASE WHEN l_orderkey % 3 = 0 THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END AS crf, aq_mode, aq_strength FROM trials),
+      asked AS (SELECT segment_hash, {_TENTHS.format("least(greatest(crf, 20.0::DOUBLE), 55.0::DOUBLE)")} AS crf, aq_mode, aq_strength FROM off),
+      known AS (SELECT segment_hash, crf, aq_mode, aq_strength, vmaf FROM trials WHERE l_suppkey % 2 = 0 QUALIFY row_number() OVER (PARTITION BY segment_hash, crf, aq_mode, aq_strength ORDER BY {SEQ_DESC}) = 1),
+      points AS (SELECT segment_hash, aq_mode, aq_strength, list({{'c': crf, 'v': vmaf}}) AS p FROM last GROUP BY ALL),
+      met AS (SELECT a.*, k.vmaf AS known, list_min(list_transform(p, lambda x: {{'apart': abs(x.c - a.crf), 'c': x.c, 'v': x.v}})).v AS near FROM asked a LEFT JOIN known k USING (segment_hash, crf, aq_mode, aq_strength) JOIN points USING (segment_hash, aq_mode, aq_strength))
+      SELECT segment_hash, count(known) AS n_stored, count(*) - count(known) AS n_measured, round(sum(coalesce(known, near)), 4) AS vmaf, CAST(0 AS BIGINT) AS n_again, round(sum(coalesce(known, near)), 4) AS vmaf_again FROM met GROUP BY segment_hash""",
     "search_results": f"""{_FINAL}, counted AS (SELECT segment_hash, target, bool_or(feasible) AS feasible, count(*) AS n_trials, count(DISTINCT (crf, aq_mode, aq_strength)) AS n_encodes, least(5, count(*) FILTER (feasible)) AS n_top FROM scored2 GROUP BY ALL),
       ranked AS (SELECT segment_hash, target, score, row_number() OVER (PARTITION BY segment_hash, target ORDER BY feasible DESC, CASE WHEN feasible THEN score ELSE vmaf END DESC, stage, seq) AS n FROM scored2)
       SELECT c.segment_hash, c.target, c.feasible, n_trials, n_encodes, n_top, round(b.score, 6) AS score, round(l.score, 6) AS last_score FROM counted c JOIN ranked b ON b.segment_hash = c.segment_hash AND b.target = c.target AND b.n = 1 LEFT JOIN ranked l ON l.segment_hash = c.segment_hash AND l.target = c.target AND l.n = c.n_top AND c.n_top > 0""",

@@ -22,16 +22,20 @@ def recorded(trials: DataFrame) -> Measure:
     return lambda proposals: proposals.join(known, ["segment_hash", "encoder", "crf", "aq_mode", "aq_strength"], "left")
 
 
-def stored_first(trials: DataFrame, measure: Measure) -> Measure:
-    """What is stored under the same parameters, and only where nothing is a new measurement. The new ones have stored = false: put
-    them back with store.upsert."""
+def nearest_recorded(trials: DataFrame) -> Measure:
+    """What was measured of the segment at the same AQ setting and the nearest crf (of two as near the lower); nulls where nothing was.
 
-    def run(proposals: DataFrame) -> DataFrame:
-        met = recorded(trials)(proposals)
-        asked = met.where("vmaf IS NULL").select(*proposals.columns)
-        return met.where("vmaf IS NOT NULL").withColumn("stored", F.lit(True)).unionByName(measure(asked).select(*met.columns).withColumn("stored", F.lit(False)))
+    A setting's points are an array: crf has one digit after the point, so a space holds a few hundred of them at most."""
+    setting = ["segment_hash", "encoder", "aq_mode", "aq_strength"]
+    point = F.struct("crf", "vmaf", "out_bytes", "ref_bytes")
+    known = select_last(trials).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points"))
 
-    return run
+    def measure(proposals: DataFrame) -> DataFrame:
+        near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(p["crf"] - F.col("crf")).alias("apart"), p.alias("p"))))["p"]
+        met = proposals.join(known, setting, "left").withColumn("__near", F.when(F.col("crf").isNotNull(), near))
+        return met.select(*proposals.columns, *[F.col(f"__near.{c}").alias(c) for c in ("vmaf", "out_bytes", "ref_bytes")])
+
+    return measure
 
 
 def select_last(trials: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from cadenza.functions import arguments
 from cadenza.functions import params as P
 from cadenza.functions.text import pixel_format
 from cadenza.operators import features as feat
-from cadenza.operators import modeling, records, segments, select, store, training
+from cadenza.operators import modeling, records, segments, select, store, training, trialstore
 from cadenza.plans import design
 from cadenza.plans import search as searching
 from cadenza.sources import commitlog, manifests, media, views
@@ -242,13 +242,30 @@ def even_trials(spark: SparkSession, sf: str) -> DataFrame:
     return per.select("segment_hash", F.array_join(F.transform(P.even_subsample(C("crfs"), 4), P.short), ",").alias("crfs"))
 
 
+def trial_store(spark: SparkSession, sf: str) -> DataFrame:
+    """A store of every segment's trials, put in three batches, compacted after two, of which a fourth died before its commit: what counts."""
+    t = views.trials(spark, sf)
+    stored = trialstore.TrialStore(spark, commitlog.scratch(spark, "trials"))
+    stored.put(t.where("l_suppkey % 3 = 0"), SEQ)
+    stored.put(t.where("l_suppkey % 3 = 1"), SEQ)
+    stored.compact()
+    stored.put(t.where("l_suppkey % 3 = 2 AND l_partkey % 2 = 0"), SEQ)
+    stored._written(t.where("l_suppkey % 3 = 2").withColumn("vmaf", F.lit(0.0)).withColumn("key", store.key()), stored.generation())
+    return stored.current().groupBy("segment_hash").agg(F.count(F.lit(1)).alias("n_stored"), F.round(F.sum("vmaf"), 4).alias("vmaf"), F.sum("out_bytes").alias("out_bytes"))
+
+
 def stored_trials(spark: SparkSession, sf: str) -> DataFrame:
-    """Proposals of every segment: the settings of its trials, every third a little off. What is stored is taken, the rest measured."""
+    """Proposals of every segment (the settings of its trials, every third a little off, which rounding takes back for some) against a store of
+    half of its trials: what is stored is taken, the rest measured (by the nearest recorded trial) and put; asked again, nothing is measured."""
     t = views.trials(spark, sf)
     asked = t.select("segment_hash", "encoder", (C("crf") + F.when(C("l_orderkey") % 3 == 0, 0.05).otherwise(0.0)).alias("crf"), "aq_mode", "aq_strength").distinct()
-    known = t.where("l_suppkey % 2 = 0")
-    found = searching.stored_first(known, design.synthetic_surface)(asked)
-    return found.groupBy("segment_hash").agg(F.count_if("stored").alias("n_stored"), F.count_if(~C("stored")).alias("n_measured"), F.round(F.sum("vmaf"), 4).alias("vmaf"))
+    stored = trialstore.TrialStore(spark, commitlog.scratch(spark, "trials"))
+    stored.put(t.where("l_suppkey % 2 = 0"), SEQ)
+    measure = searching.nearest_recorded(t)
+    evaluated = lambda: stored.evaluated(asked, views.spaces(spark), measure, "vmaf_v0.6.1neg", 2)
+    first = evaluated().groupBy("segment_hash").agg(F.count_if("stored").alias("n_stored"), F.count_if(~C("stored")).alias("n_measured"), F.round(F.sum("vmaf"), 4).alias("vmaf"))
+    again = evaluated().groupBy("segment_hash").agg(F.count_if(~C("stored")).alias("n_again"), F.round(F.sum("vmaf"), 4).alias("vmaf_again"))
+    return first.join(again, "segment_hash")
 
 
 def search_results(spark: SparkSession, sf: str) -> DataFrame:
@@ -275,4 +292,4 @@ def brent_guess(spark: SparkSession, sf: str) -> DataFrame:
     return select.clamped_guess(b, "brent").select(*group, F.round("guess", 6).alias("guess"))
 
 
-ALL = (dataset_rows, training_rows, infeasible_share, latest_records, design_matrix, training_groups, completeness, train_models, metadata_ranges, package_manifest, run_summary, segment_manifest, complete_manifests, frame_counts, listed_formats, encode_argv, space_guesses, video_plan, fallback_pieces, record_lines, scene_features, frame_pairs, trial_counts, even_trials, stored_trials, search_results, crf_solve_brent, brent_guess)
+ALL = (dataset_rows, training_rows, infeasible_share, latest_records, design_matrix, training_groups, completeness, train_models, metadata_ranges, package_manifest, run_summary, segment_manifest, complete_manifests, frame_counts, listed_formats, encode_argv, space_guesses, video_plan, fallback_pieces, record_lines, scene_features, frame_pairs, trial_counts, even_trials, trial_store, stored_trials, search_results, crf_solve_brent, brent_guess)

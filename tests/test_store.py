@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 
-from cadenza.operators import store
-from cadenza.sources import commitlog
+from pyspark.sql import functions as F
+
+from cadenza.operators import store, trialstore
+from cadenza.sources import commitlog, views
 
 SCHEMA = "segment_hash string, encoder string, source string, results map<string,struct<feasible:boolean>>"
 
@@ -76,3 +78,62 @@ def test_empty_logs_and_batches(spark, tmp_path):
     store.append_records(spark.createDataFrame([], SCHEMA), path)
     assert latest(spark, path) == {}
 
+
+
+TRIAL = "segment_hash string, encoder string, crf double, aq_mode int, aq_strength double, vmaf_model string, n_subsample int, ref_bytes bigint, out_bytes bigint, vmaf double"
+
+
+def trial(segment="s", crf=30.0, mode=1, strength=2.0, vmaf=90.0, model="m", subsample=2):
+    return (segment, "libsvtav1", crf, mode, strength, model, subsample, 1000, 500, vmaf)
+
+
+def test_the_last_put_counts_and_others_are_kept(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trialstore, "COMPACT_AFTER", 3)
+    stored = trialstore.TrialStore(spark, str(tmp_path / "store"), 4)
+    put = lambda *rows: stored.put(spark.createDataFrame(list(rows), TRIAL))
+    assert stored.current().count() == 0
+    put(trial(vmaf=80.0), trial("t", vmaf=70.0), trial(model="other", vmaf=1.0), trial(subsample=1, vmaf=2.0))
+    put(trial(crf=30.04, vmaf=81.0))  # rounds to the same key
+    held = lambda: sorted((r.segment_hash, r.vmaf) for r in stored.current().collect())
+    assert held() == [("s", 1.0), ("s", 2.0), ("s", 81.0), ("t", 70.0)]
+    for i in range(6):
+        put(trial(f"u{i}", vmaf=float(i)), trial(vmaf=82.0 + i))
+    assert stored.generation() > 0 and len(held()) == 10 and ("s", 87.0) in held()
+    # another session's view of the same folder, and one put that died before its commit
+    again = trialstore.TrialStore(spark, str(tmp_path / "store"), 4)
+    again._written(spark.createDataFrame([trial(vmaf=0.0)], TRIAL).withColumn("key", store.key()), again.generation())
+    assert sorted((r.segment_hash, r.vmaf) for r in again.current().collect()) == held()
+
+
+def test_lookups_do_not_move_what_is_stored(spark, tmp_path):
+    stored = trialstore.TrialStore(spark, str(tmp_path / "store"), 4)
+    stored.put(spark.createDataFrame([trial(f"s{i}", vmaf=float(i)) for i in range(50)], TRIAL))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([trial(f"s{i}") for i in range(0, 100, 10)], TRIAL).drop("vmaf", "out_bytes", "ref_bytes").withColumn("key", store.key())
+        found = stored.lookup(asked)
+        assert {r.segment_hash: r.vmaf for r in found.collect() if r.hit} == {f"s{i}": float(i) for i in range(0, 50, 10)}
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    final = plan.split("== Initial Plan ==")[0]
+    above = final.split("FileScan parquet")[0].split("SortMergeJoin")[1]  # what happens to the stored side, and the proposals'
+    assert above.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_NUM" in above and "SelectedBucketsCount: 4" in final
+
+
+def test_evaluated_measures_each_key_once(spark, tmp_path):
+    stored = trialstore.TrialStore(spark, str(tmp_path / "store"), 4)
+    stored.put(spark.createDataFrame([trial(crf=30.2, vmaf=91.0), trial(crf=55.0, vmaf=50.0)], TRIAL))
+    seen = []
+
+    def measure(asked):
+        seen.append(sorted((r.crf, r.aq_mode, r.aq_strength) for r in asked.collect()))
+        return asked.withColumns({"vmaf": F.when(F.col("crf") < 50, 100 - F.col("crf")), "out_bytes": F.lit(1).cast("long"), "ref_bytes": F.lit(2).cast("long")})
+
+    proposals = [(30.25, 1, 2.0), (90.0, 1, 2.0), (33.0, 7, 2.4), (33.04, 1, 2.0), (52.0, 0, 1.0)]
+    asked = spark.createDataFrame([("s", "libsvtav1", *p, i) for i, p in enumerate(proposals)], "segment_hash string, encoder string, crf double, aq_mode int, aq_strength double, seq int")
+    run = lambda: {r.seq: (r.crf, r.aq_mode, r.aq_strength, r.vmaf, r.stored) for r in stored.evaluated(asked, views.spaces(spark), measure, "m", 2).collect()}
+    assert run() == {0: (30.2, 1, 2.0, 91.0, True), 1: (55.0, 1, 2.0, 50.0, True), 2: (33.0, 1, 2.0, 67.0, False), 3: (33.0, 1, 2.0, 67.0, False), 4: (52.0, 0, 1.0, None, False)}
+    assert run()[3] == (33.0, 1, 2.0, 67.0, True) and run()[4][3] is None  # what can't be measured is asked for again
+    assert seen == [[(33.0, 1, 2.0), (52.0, 0, 1.0)], *2 * [[(52.0, 0, 1.0)]]]
