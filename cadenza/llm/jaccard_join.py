@@ -11,8 +11,8 @@ Steps, each written to the shared folder:
 1. Counts: every task adds up shingle counts in COUNTERS hashed counters; the sums (a fixed size) go to all tasks.
 2. Profiles: per document the digest of its set, its size, m, its prefix, and a parity bitmap.
    Equal sets become one class, stood for by its smallest id.
-3. Matching: prefix shingles that occur in one class only are dropped, and of shingles that occur in the same classes (told by their number, least and
-   largest id and a 64-bit sum of hashes) all but one. The others form small groups of narrow rows: a bitmap of 512 bytes at most, and a prefix of
+3. Matching: prefix shingles that occur in one class only are dropped, and of shingles that occur in the same classes (told by their number, their least
+   id and the sum of their sets' digests) all but one. The others form small groups of narrow rows: a bitmap of 512 bytes at most, and a prefix of
    LONG_PREFIX shingles and a few, if any (longer ones ask for one match). Groups over GROUP_ROWS rows are dealt into blocks that are matched each for itself. A pair becomes a candidate only if its sizes, its
    parity bitmaps (an upper bound of the overlap) and its shared prefix shingles allow a link. A group sends on a spanning
    forest of its candidates, not all pairs.
@@ -439,8 +439,8 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "d1", "n", "m", "prefix", "bitmap")
     tokens = standing.select("rep", "d1", F.explode("prefix").alias("token"))
     # shingles of the same members tell the same: one of them stands for all, so long near copies meet a few times and not at every shingle
-    members = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), F.max("rep").alias("high"), F.bit_xor(F.xxhash64("d1", "rep")).alias("who")).where("members > 1")
-    groups = staged(members.groupBy("members", "low", "high", "who").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
+    members = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), F.bit_xor("d1").alias("who")).where("members > 1")
+    groups = staged(members.groupBy("members", "low", "who").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
     met = staged(tokens.drop("d1").join(groups, "token"), "met-tokens")
     asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
     wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "m", asked, "bitmap"), "met-profiles")
