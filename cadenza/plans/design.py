@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.functions import params as P
 from cadenza.operators import select
+from cadenza.plans.rounds import settled
 
 
 def aq_grid(spaces: DataFrame, steps: int = 5) -> DataFrame:
@@ -124,25 +127,40 @@ def synthetic_surface(proposals: DataFrame) -> DataFrame:
     return proposals.withColumns({"vmaf": F.greatest(F.lit(0.0), 110.0 - F.col("crf")), "out_bytes": F.greatest(F.lit(1000), F.floor(400_000 - 2000 * F.col("crf"))).cast("bigint"), "ref_bytes": F.lit(1_000_000).cast("bigint")})
 
 
-def solve_crf(brackets: DataFrame, measure=synthetic_surface, method: str = "secant", tolerance: float = 0.5, rounds: int = 6) -> DataFrame:
-    """Narrows every bracket (rows of crf_bracket) at once, a measurement of all open ones per round. method: secant, golden or
-    brent, which carries the points of each bracket along.
+def narrow(brackets: DataFrame, measure=synthetic_surface, method: str = "secant", tolerance: float = 0.5, rounds: int = 6) -> tuple[DataFrame, list[DataFrame]]:
+    """Narrows every bracket (rows of crf_bracket, and what else the source needs) at once, and returns the brackets as they end, and what was
+    probed, a table for each round: the bracket's columns, crf and what was measured. method: secant, golden or brent, which carries
+    the points of each bracket along.
 
-    A bracket is settled when it is no wider than the tolerance. Rows with only one end come back as they are.
+    A round is about open brackets only: those with two ends farther apart than the tolerance. One is given up when its probe does not lie
+    between its ends or can't be measured. Rounds are settled, so nothing is measured twice, and what is closed is not read again.
     """
     point = F.struct(F.col("crf").alias("crf"), F.col("vmaf").alias("vmaf"))
     ends_of = lambda end: F.struct(F.col(f"crf_{end}").alias("crf"), F.col(f"vmaf_{end}").alias("vmaf"))
     now = brackets.withColumn("history", F.array(ends_of("low"), ends_of("high"))) if method == "brent" else brackets
-    names = now.columns
-    wide = F.col("crf_high") - F.col("crf_low") > tolerance
-    for _ in range(rounds):
-        asked = select.with_guess(now, method).withColumn("crf", F.when(wide, P.rounded_crf(F.col("guess"))))
-        probed = measure(asked)
-        useful = wide & (F.col("crf") > F.col("crf_low")) & (F.col("crf") < F.col("crf_high"))
-        up, down = (useful & side for side in (F.col("vmaf") >= F.col("target"), F.col("vmaf") < F.col("target")))
-        ends = {"crf_low": ("crf", up), "vmaf_low": ("vmaf", up), "crf_high": ("crf", down), "vmaf_high": ("vmaf", down)}
-        new = {c: F.when(side, F.col(v)).otherwise(F.col(c)) for c, (v, side) in ends.items()}
+    names, wide = now.columns, F.coalesce(F.col("crf_high") - F.col("crf_low") > tolerance, F.lit(False))
+    now = settled(now)
+    closed, probes = [now.where(~wide).select(*brackets.columns)], []
+    now = now.where(wide)
+    for i in range(rounds):
+        if i and now.isEmpty():
+            break
+        probed = settled(measure(select.with_guess(now, method).withColumn("crf", P.rounded_crf(F.col("guess"))).drop("guess")))
+        probes.append(probed)
+        useful = F.coalesce(F.col("vmaf").isNotNull() & (F.col("crf") > F.col("crf_low")) & (F.col("crf") < F.col("crf_high")), F.lit(False))
+        closed.append(probed.where(~useful).select(*brackets.columns))
+        meets = F.col("vmaf") >= F.col("target")
+        new = {"crf_low": (meets, "crf"), "vmaf_low": (meets, "vmaf"), "crf_high": (~meets, "crf"), "vmaf_high": (~meets, "vmaf")}
+        moved = {c: F.when(side, F.col(v)).otherwise(F.col(c)) for c, (side, v) in new.items()}
         if method == "brent":
-            new["history"] = F.when(wide & F.col("crf").isNotNull(), F.concat("history", F.array(point))).otherwise(F.col("history"))
-        now = probed.select(*[new[c].alias(c) if c in new else c for c in names])
-    return now.select(*brackets.columns)
+            moved["history"] = F.concat("history", F.array(point))
+        now = probed.where(useful).select(*[moved[c].alias(c) if c in moved else c for c in names])
+        closed.append(now.where(~wide).select(*brackets.columns))
+        now = now.where(wide)
+    closed.append(now.select(*brackets.columns))
+    return reduce(DataFrame.unionAll, closed), probes
+
+
+def solve_crf(brackets: DataFrame, measure=synthetic_surface, method: str = "secant", tolerance: float = 0.5, rounds: int = 6) -> DataFrame:
+    """The brackets as narrow leaves them. Rows with only one end come back as they are."""
+    return narrow(brackets, measure, method, tolerance, rounds)[0]

@@ -239,25 +239,34 @@ _GY = _gradient([(1, -1, 1), (1, 0, 2), (1, 1, 1), (-1, -1, -1), (-1, 0, -2), (-
 
 #: A number in tenths, half-even by its decimal digits: a tie is one only if the shortest decimal that means the number is one.
 _TENTHS = "CAST(list_transform([CAST(CAST({0} AS VARCHAR) AS DECIMAL(25, 17)) * 10], lambda d: CASE WHEN d - floor(d) > 0.5 OR (d - floor(d) = 0.5 AND CAST(floor(d) AS BIGINT) % 2 = 1) THEN CAST(floor(d) AS BIGINT) + 1 ELSE CAST(floor(d) AS BIGINT) END)[1] AS DOUBLE) / 10.0::DOUBLE"
+#: The recorded trials of each segment's setting, the last at each crf; NEAREST: the one of the nearest crf, of two as near the lower.
+POINTS = f"""points AS MATERIALIZED (
+  SELECT segment_hash, aq_mode, aq_strength, list({{'c': crf, 'v': vmaf, 'o': out_bytes}}) AS p
+  FROM (SELECT * FROM trials QUALIFY row_number() OVER (PARTITION BY segment_hash, crf, aq_mode, aq_strength ORDER BY {SEQ_DESC}) = 1) GROUP BY ALL
+)"""
+NEAREST = "list_min(list_transform(p, lambda x: {{'apart': abs(x.c - {0}), 'c': x.c, 'v': x.v, 'o': x.o}}))"
+#: Brackets (FROM, with KEYS) narrowed while they are wide and probes lie between their ends: a row for each probe, i from 1.
 SOLVE = """solve AS (
-  SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high, [crf_low, crf_high] AS hx, [vmaf_low, vmaf_high] AS hy, 0 AS i FROM bracket
+  SELECT KEYS, crf_low, vmaf_low, crf_high, vmaf_high, [crf_low, crf_high] AS hx, [vmaf_low, vmaf_high] AS hy, 0 AS i, CAST(NULL AS DOUBLE) AS c, CAST(NULL AS DOUBLE) AS v, CAST(NULL AS BIGINT) AS o, false AS stuck FROM BRACKETS
   UNION ALL
-  SELECT segment_hash, aq_mode, aq_strength, target, CASE WHEN useful AND m >= target THEN c ELSE crf_low END, CASE WHEN useful AND m >= target THEN m ELSE vmaf_low END, CASE WHEN useful AND m < target THEN c ELSE crf_high END, CASE WHEN useful AND m < target THEN m ELSE vmaf_high END,
-    CASE WHEN c IS NOT NULL THEN list_append(hx, c) ELSE hx END, CASE WHEN c IS NOT NULL THEN list_append(hy, m) ELSE hy END, i + 1
+  SELECT KEYS, CASE WHEN ok AND m.v >= target THEN c ELSE crf_low END, CASE WHEN ok AND m.v >= target THEN m.v ELSE vmaf_low END, CASE WHEN ok AND m.v < target THEN c ELSE crf_high END, CASE WHEN ok AND m.v < target THEN m.v ELSE vmaf_high END,
+    list_append(hx, c), list_append(hy, m.v), i + 1, c, m.v, m.o, NOT ok
   FROM (
-    SELECT *, greatest(0.0::DOUBLE, 110.0::DOUBLE - c) AS m, coalesce(c > crf_low AND c < crf_high, false) AS useful FROM (
-      SELECT *, CASE WHEN crf_high - crf_low > 0.5::DOUBLE THEN TENTHS END AS c FROM (
-        SELECT *, coalesce(GUESS, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END) AS guess FROM solve WHERE i < 6
+    SELECT g.* EXCLUDE (c, v, o), g.nextc AS c, MEASURE AS m, coalesce(g.nextc > crf_low AND g.nextc < crf_high, false) AS ok FROM (
+      SELECT *, TENTHS AS nextc FROM (
+        SELECT *, coalesce(GUESS, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END) AS guess
+        FROM solve WHERE i < 6 AND NOT stuck AND crf_high - crf_low > 0.5::DOUBLE
       )
-    )
+    ) g JOIN points r ON g.segment_hash = r.segment_hash AND g.aq_mode = r.aq_mode AND g.aq_strength = r.aq_strength
   )
 )"""
-SOLVE = SOLVE.replace("TENTHS", _TENTHS.format("least(greatest(guess, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low))"))
+SOLVE = SOLVE.replace("TENTHS", _TENTHS.format("least(greatest(guess, crf_low + 0.2::DOUBLE * (crf_high - crf_low)), crf_high - 0.2::DOUBLE * (crf_high - crf_low))")).replace("MEASURE", NEAREST.format("g.nextc"))
+_BRACKETS = SOLVE.replace("KEYS", "segment_hash, aq_mode, aq_strength, target").replace("BRACKETS", "bracket")
 _X = [f"hx[{k}]" for k in (-3, -2, -1)]
 _Y = [f"hy[{k}]" for k in (-3, -2, -1)]
 IQ = f"""CASE WHEN len(hx) >= 3 AND {_Y[0]} <> {_Y[1]} AND {_Y[1]} <> {_Y[2]} AND {_Y[0]} <> {_Y[2]} THEN (target - {_Y[1]}) * (target - {_Y[2]}) / (({_Y[0]} - {_Y[1]}) * ({_Y[0]} - {_Y[2]})) * {_X[0]}
   + (target - {_Y[0]}) * (target - {_Y[2]}) / (({_Y[1]} - {_Y[0]}) * ({_Y[1]} - {_Y[2]})) * {_X[1]} + (target - {_Y[0]}) * (target - {_Y[1]}) / (({_Y[2]} - {_Y[0]}) * ({_Y[2]} - {_Y[1]})) * {_X[2]} END"""
-_SOLVED = "SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high FROM solve WHERE i = 6"
+_SOLVED = "SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high FROM solve QUALIFY row_number() OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target ORDER BY i DESC) = 1"
 
 #: The points 1 to n of the sampled designs, from the definitions of the sequences.
 _DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
@@ -300,7 +309,11 @@ def sampled(method: str, n: int = 16) -> str:
 
 
 def _sampler(method: str) -> str:
-    return f"WITH {TRIALS}, {sampled(method)} SELECT segment_hash, p.*, greatest(0.0::DOUBLE, 110.0::DOUBLE - crf) AS vmaf, CAST(greatest(1000, floor(400000 - 2000 * crf)) AS BIGINT) AS out_bytes, CAST(1000000 AS BIGINT) AS ref_bytes FROM (SELECT DISTINCT segment_hash, encoder FROM trials) s JOIN points p ON s.encoder = p.encoder"
+    design = sampled(method).replace("points AS (", "design AS (")
+    return f"""WITH {TRIALS}, {POINTS}, {design}, met AS (
+  SELECT s.segment_hash, d.*, {NEAREST.format("d.crf")} AS m FROM (SELECT DISTINCT segment_hash, encoder FROM trials) s JOIN design d ON s.encoder = d.encoder
+  LEFT JOIN points r ON r.segment_hash = s.segment_hash AND r.aq_mode = d.aq_mode AND r.aq_strength = d.aq_strength
+) SELECT * EXCLUDE (m), m.v AS vmaf, m.o AS out_bytes, CASE WHEN m IS NOT NULL THEN CAST(1000000 AS BIGINT) END AS ref_bytes FROM met"""
 
 
 _PARAMS = "'crf=' || format('{{:g}}', {0}) || ',aq_mode=' || {1} || ',aq_strength=' || format('{{:g}}', {2})"
@@ -356,8 +369,8 @@ ORACLES |= {
         round(any_value(duration), 6) AS duration, round(avg(list_avg(pixels)), 6) AS luma_mean, round(avg(list_stddev_pop(pixels)), 6) AS luma_std, round(avg(e), 6) AS color_complexity, round(any_value(log_pixels), 6) AS log_pixels FROM steps s JOIN colour USING (clip, place) JOIN shown USING (clip) GROUP BY s.clip""",
     "frame_pairs": f"""WITH {FRAMES}, a AS (SELECT clip, frame, pixels[1] AS v, row_number() OVER (PARTITION BY clip ORDER BY frame) AS n FROM frames), b AS (SELECT clip, frame, pixels[1] AS v, row_number() OVER (PARTITION BY clip ORDER BY frame) AS n FROM frames WHERE frame % 7 > 0)
       SELECT a.clip, count(*) AS n_pairs, count(*) FILTER (a.frame = b.frame) AS n_same, round(avg(abs(a.v - b.v)), 9) AS apart FROM a JOIN b ON a.clip = b.clip AND a.n = b.n GROUP BY a.clip""",
-    "crf_solve": f"WITH RECURSIVE {BRACKET}, {SOLVE.replace('coalesce(GUESS, ', 'coalesce(NULL, ')} {_SOLVED}",
-    "crf_solve_brent": f"WITH RECURSIVE {BRACKET}, {SOLVE.replace('GUESS', IQ)} {_SOLVED}",
+    "crf_solve": f"WITH RECURSIVE {BRACKET}, {POINTS}, {_BRACKETS.replace('coalesce(GUESS, ', 'coalesce(NULL, ')} {_SOLVED}",
+    "crf_solve_brent": f"WITH RECURSIVE {BRACKET}, {POINTS}, {_BRACKETS.replace('GUESS', IQ)} {_SOLVED}",
     "brent_guess": f"""WITH {BRACKET}, last AS (SELECT *, row_number() OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target ORDER BY {SEQ_DESC}) AS n FROM samples QUALIFY n <= 3),
       h AS (SELECT segment_hash, aq_mode, aq_strength, target, list(crf ORDER BY n DESC) AS hx, list(vmaf ORDER BY n DESC) AS hy FROM last GROUP BY ALL),
       g AS (SELECT *, coalesce({IQ}, CASE WHEN vmaf_low > vmaf_high THEN crf_low + (vmaf_low - target) * (crf_high - crf_low) / (vmaf_low - vmaf_high) ELSE 0.5::DOUBLE * (crf_low + crf_high) END) AS q FROM bracket JOIN h USING (segment_hash, aq_mode, aq_strength, target) WHERE crf_low IS NOT NULL AND crf_high IS NOT NULL)
@@ -372,54 +385,54 @@ def _scored_from(rated: str, suffix: str) -> str:
     return re.sub(r"\b(parts|components|raw|scored) AS \(", rf"\g<1>{suffix} AS (", re.sub(r"FROM (parts|components|raw)\b", rf"FROM \g<1>{suffix}", text))
 
 
-def _measured(crf: str) -> str:
-    return f"round(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 110.0::DOUBLE - {crf} + shift + 0.2::DOUBLE * aq_mode * aq_strength)), 4)"
-
-
-def search(points: str) -> str:
-    """The search over all segments: points (CTEs up to points: encoder, crf, aq_mode, aq_strength, seq) for all targets, then the crf
-    solve at the two best settings of each, and the best trial of all."""
-    order = "stage, seq"
-    solve = SOLVE.replace("coalesce(GUESS, ", "coalesce(NULL, ").replace("SELECT segment_hash, aq_mode, aq_strength, target,", "SELECT segment_hash, shift, aq_mode, aq_strength, target,").replace("greatest(0.0::DOUBLE, 110.0::DOUBLE - c) AS m", f"{_measured('c')} AS m").replace("FROM bracket", "FROM ends2")
-    return f"""WITH RECURSIVE {TRIALS}, {TARGETS}, {points}, found AS (
-  SELECT segment_hash, encoder, round((avg(vmaf) - 92.0::DOUBLE) / 4, 3) AS shift FROM trials GROUP BY ALL
-), explored AS (
-  SELECT segment_hash, shift, encoder, p.crf, p.aq_mode, p.aq_strength, {_measured("p.crf")} AS vmaf, CAST(greatest(1000, floor(900000 - 15000 * p.crf)) AS BIGINT) AS out_bytes, 0 AS stage, p.seq FROM found JOIN points p USING (encoder)
-), rated1 AS (
-  SELECT *, out_bytes / 1000000.0::DOUBLE AS rate FROM explored CROSS JOIN targets
-), {_scored_from("rated1", "1")}, grouped AS (
-  SELECT segment_hash, target, aq_mode, aq_strength, greatest(0.0::DOUBLE, max(proxy)) AS value, min(({order})) AS first FROM scored1 GROUP BY ALL
-), settings AS (
-  SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY segment_hash, target ORDER BY value DESC, first) <= 2
-), samples AS (
-  SELECT * FROM rated1 QUALIFY row_number() OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target, crf ORDER BY stage DESC, seq DESC) = 1
-), lows AS (
-  SELECT *, max(CASE WHEN vmaf >= target THEN crf END) OVER (PARTITION BY segment_hash, aq_mode, aq_strength, target) AS low FROM samples
-), bracket AS (
-  SELECT segment_hash, aq_mode, aq_strength, target, max(CASE WHEN vmaf >= target THEN crf END) AS crf_low, arg_max(vmaf, crf) FILTER (vmaf >= target) AS vmaf_low,
-    min(CASE WHEN vmaf < target AND (low IS NULL OR crf > low) THEN crf END) AS crf_high, arg_min(vmaf, crf) FILTER (vmaf < target AND (low IS NULL OR crf > low)) AS vmaf_high FROM lows GROUP BY ALL
-), opened AS (
-  SELECT s.segment_hash, f.shift, s.aq_mode, s.aq_strength, s.target, crf_low, vmaf_low, crf_high, vmaf_high FROM settings s JOIN found f USING (segment_hash) LEFT JOIN bracket b ON s.segment_hash = b.segment_hash AND s.aq_mode = b.aq_mode AND s.aq_strength = b.aq_strength AND s.target = b.target
-), ends1 AS (
-  SELECT * REPLACE (CASE WHEN crf_low IS NULL AND m >= target THEN 20.0::DOUBLE ELSE crf_low END AS crf_low, CASE WHEN crf_low IS NULL AND m >= target THEN m ELSE vmaf_low END AS vmaf_low) FROM (SELECT *, {_measured("20.0::DOUBLE")} AS m FROM opened)
-), ends2 AS (
-  SELECT segment_hash, shift, aq_mode, aq_strength, target, CASE WHEN crf_high IS NULL AND h >= target THEN 55.0::DOUBLE ELSE crf_low END AS crf_low, CASE WHEN crf_high IS NULL AND h >= target THEN h ELSE vmaf_low END AS vmaf_low,
-    CASE WHEN crf_high IS NULL AND h < target THEN 55.0::DOUBLE ELSE crf_high END AS crf_high, CASE WHEN crf_high IS NULL AND h < target THEN h ELSE vmaf_high END AS vmaf_high FROM (SELECT *, {_measured("55.0::DOUBLE")} AS h FROM ends1)
-), {solve}, answers AS (
-  SELECT segment_hash, shift, 'libsvtav1' AS encoder, coalesce(crf_low, 20.0::DOUBLE) AS crf, aq_mode, aq_strength, 1 AS stage, row_number() OVER (PARTITION BY segment_hash ORDER BY target, aq_mode, aq_strength) AS seq FROM solve WHERE i = 6
-), everything AS (
-  SELECT * FROM explored UNION ALL BY NAME SELECT *, {_measured("crf")} AS vmaf, CAST(greatest(1000, floor(900000 - 15000 * crf)) AS BIGINT) AS out_bytes FROM answers
-), rated2 AS (
-  SELECT *, out_bytes / 1000000.0::DOUBLE AS rate FROM everything CROSS JOIN targets
+def _turn(i: int, target: float) -> str:
+    """CTEs of a target's turn: from all trials so far (so_far{i - 1}) the two best settings, their brackets, ends and probes, to so_far{i}."""
+    solve = SOLVE.replace("coalesce(GUESS, ", "coalesce(NULL, ").replace("KEYS", "segment_hash, place, aq_mode, aq_strength, target").replace("BRACKETS", f"ends{i}").replace("FROM solve ", f"FROM solve{i} ").replace("solve AS (", f"solve{i} AS (", 1)
+    end = lambda source, crf: f"SELECT b.*, {NEAREST.format(crf)} AS m FROM {source} b JOIN points r USING (segment_hash, aq_mode, aq_strength)"
+    probe = lambda source, crf, m, seq: f"SELECT segment_hash, 'libsvtav1' AS encoder, {crf} AS crf, aq_mode, aq_strength, {m}.v AS vmaf, {m}.o AS out_bytes, {i} AS stage, {seq} AS seq FROM {source}"
+    return f"""rated_{i} AS MATERIALIZED (
+  SELECT *, out_bytes / 1000000.0::DOUBLE AS rate, {target}::DOUBLE AS target FROM so_far{i - 1}
+), {_scored_from(f"rated_{i}", f"_{i}")}, settings{i} AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY segment_hash ORDER BY value DESC, first) AS place FROM (SELECT segment_hash, target, aq_mode, aq_strength, greatest(0.0::DOUBLE, max(proxy)) AS value, min((stage, seq)) AS first FROM scored_{i} GROUP BY ALL) QUALIFY place <= 2
+), samples{i} AS (
+  SELECT * FROM rated_{i} QUALIFY row_number() OVER (PARTITION BY segment_hash, aq_mode, aq_strength, crf ORDER BY stage DESC, seq DESC) = 1
+), lows{i} AS (
+  SELECT *, max(CASE WHEN vmaf >= target THEN crf END) OVER (PARTITION BY segment_hash, aq_mode, aq_strength) AS low FROM samples{i}
+), bracket{i} AS (
+  SELECT segment_hash, aq_mode, aq_strength, max(CASE WHEN vmaf >= target THEN crf END) AS crf_low, arg_max(vmaf, crf) FILTER (vmaf >= target) AS vmaf_low,
+    min(CASE WHEN vmaf < target AND (low IS NULL OR crf > low) THEN crf END) AS crf_high, arg_min(vmaf, crf) FILTER (vmaf < target AND (low IS NULL OR crf > low)) AS vmaf_high FROM lows{i} GROUP BY ALL
+), opened{i} AS MATERIALIZED (
+  SELECT segment_hash, place, aq_mode, aq_strength, target, crf_low, vmaf_low, crf_high, vmaf_high FROM settings{i} JOIN bracket{i} USING (segment_hash, aq_mode, aq_strength)
+), least{i} AS MATERIALIZED ({end(f"(SELECT * FROM opened{i} WHERE crf_low IS NULL)", "20.0::DOUBLE")}
+), with_low{i} AS MATERIALIZED (
+  SELECT * FROM opened{i} WHERE crf_low IS NOT NULL UNION ALL SELECT * EXCLUDE (m) REPLACE (20.0::DOUBLE AS crf_low, m.v AS vmaf_low) FROM least{i} WHERE m.v >= target
+), greatest{i} AS MATERIALIZED ({end(f"(SELECT * FROM with_low{i} WHERE crf_high IS NULL)", "55.0::DOUBLE")}
+), ends{i} AS MATERIALIZED (
+  SELECT * FROM with_low{i} WHERE crf_high IS NOT NULL UNION ALL SELECT * EXCLUDE (m) REPLACE (55.0::DOUBLE AS crf_high, m.v AS vmaf_high) FROM greatest{i} WHERE m.v < target
+), {solve}, so_far{i} AS MATERIALIZED (
+  SELECT * FROM so_far{i - 1} UNION ALL BY NAME {probe(f"least{i}", "20.0::DOUBLE", "m", "place * 10")} UNION ALL BY NAME {probe(f"greatest{i}", "55.0::DOUBLE", "m", "place * 10 + 1")}
+  UNION ALL BY NAME SELECT segment_hash, 'libsvtav1' AS encoder, c AS crf, aq_mode, aq_strength, v AS vmaf, o AS out_bytes, {i} AS stage, place * 10 + 1 + i AS seq FROM solve{i} WHERE i > 0
+)"""
+
+
+def search(design: str) -> str:
+    """The search over all segments: design (CTEs up to design: encoder, crf, aq_mode, aq_strength, seq) for all targets, then target by
+    target the crf solve at the two best settings by all trials so far, and the best trial of those that there were by then."""
+    return f"""WITH RECURSIVE {TRIALS}, {TARGETS}, {POINTS}, {design}, so_far0 AS MATERIALIZED (
+  SELECT * EXCLUDE (m), m.v AS vmaf, m.o AS out_bytes, 0 AS stage FROM (
+    SELECT s.segment_hash, d.encoder, d.crf, d.aq_mode, d.aq_strength, d.seq, {NEAREST.format("d.crf")} AS m FROM (SELECT DISTINCT segment_hash, encoder FROM trials) s JOIN design d ON s.encoder = d.encoder
+    JOIN points r ON r.segment_hash = s.segment_hash AND r.aq_mode = d.aq_mode AND r.aq_strength = d.aq_strength)
+), {", ".join(_turn(i, t) for i, t in enumerate((85.0, 89.0, 93.0), start=1))}, rated2 AS MATERIALIZED (
+  SELECT *, out_bytes / 1000000.0::DOUBLE AS rate FROM so_far3 JOIN (SELECT target, row_number() OVER (ORDER BY target) AS turn FROM targets) ON stage <= turn
 ), {_scored_from("rated2", "2")}
-SELECT segment_hash, target, feasible, crf, aq_mode, aq_strength, vmaf, round(score, 6) AS score FROM scored2 QUALIFY row_number() OVER (PARTITION BY segment_hash, target ORDER BY feasible DESC, CASE WHEN feasible THEN score ELSE vmaf END DESC, {order}) = 1"""
+SELECT segment_hash, target, feasible, crf, aq_mode, aq_strength, vmaf, round(score, 6) AS score FROM scored2 QUALIFY row_number() OVER (PARTITION BY segment_hash, target ORDER BY feasible DESC, CASE WHEN feasible THEN score ELSE vmaf END DESC, stage, seq) = 1"""
 
 
 #: The screen of the one encoder that the trials have: eight settings by two inner crfs.
-_SCREEN = """points AS (
+_SCREEN = """design AS (
   SELECT 'libsvtav1' AS encoder, crf, aq_mode, aq_strength, row_number() OVER (ORDER BY aq_mode, aq_strength, crf) AS seq FROM (SELECT unnest([31.7::DOUBLE, 43.3::DOUBLE]) AS crf), (SELECT unnest([0, 1]) AS aq_mode), (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE, 4.0::DOUBLE]) AS aq_strength)
 )"""
-ORACLES |= {"search_screen": search(_SCREEN), **{f"search_{m}": search(sampled(m, 12)) for m in ("halton", "sobol")}}
+ORACLES |= {"search_screen": search(_SCREEN), **{f"search_{m}": search(sampled(m, 12).replace("points AS (", "design AS (")) for m in ("halton", "sobol")}}
 
 _FINAL = search(_SCREEN).rsplit("\nSELECT segment_hash, target, feasible", 1)[0]
 ORACLES |= {

@@ -72,7 +72,8 @@ def iq_guess(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def crf_solve(spark: SparkSession, sf: str) -> DataFrame:
-    return design.solve_crf(select.crf_bracket(views.rated(spark, sf)))
+    """Every bracket narrowed by the segment's recorded trials."""
+    return workflow.solved(spark, sf, "secant")
 
 
 def explored_range(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,7 +138,7 @@ def _sampled(method: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
         points = design.sampled_design(views.spaces(spark), method, 16)
         found = views.trials(spark, sf).select("segment_hash", "encoder").distinct().join(F.broadcast(points), "encoder")
-        return design.synthetic_surface(found)
+        return searching.nearest_recorded(views.trials(spark, sf))(found)
 
     query.__name__ = f"sampler_{method}"
     return query
@@ -281,10 +282,9 @@ def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _searched(strategy: str):
     def query(spark: SparkSession, sf: str) -> DataFrame:
-        """Searches every segment on a surface that its own trials shift."""
-        offsets = views.trials(spark, sf).groupBy("segment_hash").agg(F.round((F.avg("vmaf") - 92.0) / 4, 3).alias("offset"))
-        found = views.trials(spark, sf).select("segment_hash", "encoder").distinct()
-        return searching.search(found, views.spaces(spark), views.targets(spark), searching.shifted_surface(offsets), strategy)
+        """Searches every segment; what is proposed is measured by the segment's recorded trials."""
+        t = views.trials(spark, sf)
+        return searching.search(t.select("segment_hash", "encoder").distinct(), views.spaces(spark), views.targets(spark), searching.nearest_recorded(t), strategy)
 
     query.__name__ = f"search_{strategy}"
     return query

@@ -6,6 +6,8 @@ aq_strength): recorded trials by an exact join, or a surface. Every round measur
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -13,7 +15,7 @@ from pyspark.sql import Window as W
 from cadenza.functions import params as P
 from cadenza.operators import records, select
 from cadenza.plans import adaptive, design
-from cadenza.plans.rounds import SEQ, TRIAL, Measure, measured, rated
+from cadenza.plans.rounds import SEQ, TRIAL, Measure, measured, rated, settled
 
 
 def recorded(trials: DataFrame) -> Measure:
@@ -28,7 +30,7 @@ def nearest_recorded(trials: DataFrame) -> Measure:
     A setting's points are an array: crf has one digit after the point, so a space holds a few hundred of them at most."""
     setting = ["segment_hash", "encoder", "aq_mode", "aq_strength"]
     point = F.struct("crf", "vmaf", "out_bytes", "ref_bytes")
-    known = select_last(trials).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points"))
+    known = settled(select_last(trials).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points")))
 
     def measure(proposals: DataFrame) -> DataFrame:
         near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(p["crf"] - F.col("crf")).alias("apart"), p.alias("p"))))["p"]
@@ -69,63 +71,78 @@ def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, strategy:
     return measured(measure, asked)
 
 
-def solve_targets(explored: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, n_refine: int = 2, method: str = "secant") -> DataFrame:
-    """For each target the highest crf that meets it at each of the n_refine best AQ settings, as trials."""
-    best = select.rank_aq(rated(explored, targets), n_refine, SEQ)
-    return solve_settings(explored, best, spaces, targets, measure, method)
-
-
-def solve_settings(explored: DataFrame, settings: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, method: str = "secant") -> DataFrame:
-    """The highest crf that meets the target at each of settings (segment_hash, target, aq_mode, aq_strength), as trials.
+def solve_settings(known: DataFrame, settings: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, method: str = "secant") -> DataFrame:
+    """What is probed in search of the highest crf that meets the target at each of settings (segment_hash, target, aq_mode, aq_strength,
+    and place, their order within a segment), as trials, in the order of place and probe.
 
-    Where no explored crf meets the target the least crf is tried (and is the answer if even that fails), where all do the greatest;
-    then brackets are narrowed.
+    Where no known crf meets the target the least crf is probed, and that is all if even that fails; where all do, the greatest, and that
+    is all if even that meets it. Then brackets are narrowed.
     """
-    r = rated(explored, targets)
     group = ["segment_hash", "aq_mode", "aq_strength", "target"]
-    ends = r.select("segment_hash", "encoder").distinct().join(F.broadcast(spaces.select("encoder", "crf_min", "crf_max")), "encoder")
-    open_ = settings.select(*group).join(select.crf_bracket(r, SEQ), group, "left").join(ends, "segment_hash")
-    for end, missing, c, v in (("crf_min", "crf_low", "crf_low", "vmaf_low"), ("crf_max", "crf_high", "crf_high", "vmaf_high")):
-        probed = measure(open_.withColumn("crf", F.when(F.col(missing).isNull(), F.col(end))))
-        meets = (F.col("vmaf") >= F.col("target")) if end == "crf_min" else (F.col("vmaf") < F.col("target"))
-        take = F.col(missing).isNull() & meets
-        reached = F.when(F.col("crf_high").isNull() & (F.col("vmaf") >= F.col("target")), F.struct("crf", "vmaf")) if end == "crf_max" else None
-        kept = probed.withColumns({c: F.when(take, F.col("crf")).otherwise(F.col(c)), v: F.when(take, F.col("vmaf")).otherwise(F.col(v))})
-        if reached is not None:  # even the greatest crf meets the target: it is the answer
-            kept = kept.withColumns({"crf_low": F.coalesce(F.when(reached.isNotNull(), F.col("crf")), F.col("crf_low")), "vmaf_low": F.coalesce(F.when(reached.isNotNull(), F.col("vmaf")), F.col("vmaf_low"))})
-        open_ = kept.drop("crf", "vmaf", "out_bytes", "ref_bytes")
-    solved = design.solve_crf(open_, measure, method)
-    order = W.partitionBy("segment_hash").orderBy("target", "aq_mode", "aq_strength")
-    answers = solved.withColumns({"crf": F.coalesce("crf_low", "crf_min"), "stage": F.lit(1), "seq": F.row_number().over(order)})
-    return measure(answers).where("vmaf IS NOT NULL").select(*TRIAL)
-
-
-def trials_of(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2) -> DataFrame:
+    settings = settings if "place" in settings.columns else settings.withColumn("place", F.row_number().over(W.partitionBy("segment_hash").orderBy("target", "aq_mode", "aq_strength")))
+    ends = known.select("segment_hash", "encoder").distinct().join(F.broadcast(spaces.select("encoder", "crf_min", "crf_max")), "encoder")
+    brackets = select.crf_bracket(rated(known, targets).join(settings.select(*group), group, "left_semi"), SEQ)
+    opened = settled(settings.select(*group, "place").join(brackets, group, "left").join(ends, "segment_hash"))
+    names, probes = opened.columns, []
+    low, high = F.col("crf_low").isNull(), F.col("crf_high").isNull()
+    meets = F.col("vmaf") >= F.col("target")
+    first = settled(measure(opened.where(low).withColumn("crf", P.rounded_crf(F.col("crf_min")))))
+    took = first.where(meets).withColumns({"crf_low": F.col("crf"), "vmaf_low": F.col("vmaf")}).select(*names)
+    opened = opened.where(~low).unionByName(took)
+    last = settled(measure(opened.where(high).withColumn("crf", P.rounded_crf(F.col("crf_max")))))
+    took = last.where(~meets).withColumns({"crf_high": F.col("crf"), "vmaf_high": F.col("vmaf")}).select(*names)
+    probes = design.narrow(opened.where(~high).unionByName(took), measure, method)[1]
+    each = [p.where("vmaf IS NOT NULL").withColumns({"stage": F.lit(1), "seq": F.col("place") * 10 + i}).select(*TRIAL) for i, p in enumerate([first, last, *probes])]
+    return reduce(DataFrame.unionAll, each)
+
+
+def solve_targets(explored: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, n_refine: int = 2, method: str = "secant") -> DataFrame:
+    """For each target, in order, the crf solve at the n_refine AQ settings that rank best by all trials so far: explored with the probes of
+    target i as stage i (from 1), so that a later target goes on from what was probed for an earlier one."""
+    trials = explored
+    for i, row in enumerate(targets.orderBy("target").collect(), start=1):  # a handful
+        one = targets.where(F.col("target") == row["target"])
+        best = select.rank_aq(rated(trials, one), n_refine, SEQ).withColumnRenamed("rank", "place")
+        trials = trials.unionByName(solve_settings(trials, best, spaces, one, measure, method).withColumn("stage", F.lit(i)))
+    return trials
+
+
+def trials_of(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2, method: str = "secant") -> DataFrame:
     """All trials of a search, in the order of stage and seq.
 
     strategy: screen, grid, sobol, halton, lhs, random, bayes, tpe or cmaes, which explore and then solve the n_refine best settings, or
     coordinate or boundary, which screen and then walk. The models explore for the lowest target.
     """
     if strategy in adaptive.WALKS:
-        solve = lambda trials, settings: solve_settings(trials, settings, spaces, targets, measure)
-        trials = adaptive.WALKS[strategy](explore(segments, spaces, measure, "screen", n), spaces, targets, measure, solve)
+        solve = lambda trials, settings: solve_settings(trials, settings, spaces, targets, measure, method)
+        return adaptive.WALKS[strategy](explore(segments, spaces, measure, "screen", n), spaces, targets, measure, solve)
+    if strategy in adaptive.MODELS:
+        explored = adaptive.explore(segments, spaces, measure, strategy, targets.agg(F.min("target")).first()[0], n)
     else:
-        if strategy in adaptive.MODELS:
-            explored = adaptive.explore(segments, spaces, measure, strategy, targets.agg(F.min("target")).first()[0], n)
-        else:
-            explored = explore(segments, spaces, measure, strategy, n)
-        trials = explored.unionByName(solve_targets(explored, spaces, targets, measure, n_refine))
-    return trials
+        explored = explore(segments, spaces, measure, strategy, n)
+    return solve_targets(explored, spaces, targets, measure, n_refine, method)
+
+
+def at_target(trials: DataFrame, targets: DataFrame, in_turn: bool = True) -> DataFrame:
+    """Rated trials against every target. in_turn: those that there were when the target's turn was over (stage i is the i-th target's)."""
+    r = rated(trials, targets)
+    if not in_turn:
+        return r
+    turns = F.broadcast(targets.select("target", F.row_number().over(W.orderBy("target")).alias("turn")))  # a handful
+    return r.join(turns, "target").where("stage <= turn").drop("turn")
 
 
 def search(segments: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, strategy: str = "screen", n: int = 12, n_refine: int = 2) -> DataFrame:
     """The best trial of each segment and target, or the one of highest quality where none is feasible, of trials_of."""
     trials = trials_of(segments, spaces, targets, measure, strategy, n, n_refine)
-    return select.best_or_closest(rated(trials, targets), SEQ).select("segment_hash", "target", "feasible", "crf", "aq_mode", "aq_strength", "vmaf", F.round("score", 6).alias("score"))
+    r = at_target(trials, targets, strategy not in adaptive.WALKS)
+    return select.best_or_closest(r, SEQ).select("segment_hash", "target", "feasible", "crf", "aq_mode", "aq_strength", "vmaf", F.round("score", 6).alias("score"))
 
 
-def results(trials: DataFrame, targets: DataFrame, k: int = select.TOP_K) -> DataFrame:
-    """A row per segment and target: the best trial, the k best feasible ones, how many trials there were and how many of them differ."""
-    found = records.results(rated(trials, targets).withColumn("source", F.lit(None).cast("string")), k, SEQ).drop("source")
-    encodes = trials.groupBy("segment_hash").agg(F.countDistinct("crf", "aq_mode", "aq_strength").alias("n_encodes"))
-    return found.join(encodes, "segment_hash")
+def results(trials: DataFrame, targets: DataFrame, k: int = select.TOP_K, in_turn: bool = True) -> DataFrame:
+    """A row per segment and target: the best trial, the k best feasible ones, how many trials there were by then (probes of every solve
+    among them) and how many of them differ, each of which was measured once."""
+    r = at_target(trials, targets, in_turn).withColumn("source", F.lit(None).cast("string"))
+    found = records.results(r, k, SEQ).drop("source")
+    encodes = r.groupBy("segment_hash", "target").agg(F.countDistinct("crf", "aq_mode", "aq_strength").alias("n_encodes"))
+    return found.join(encodes, ["segment_hash", "target"])

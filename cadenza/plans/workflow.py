@@ -271,14 +271,18 @@ def stored_trials(spark: SparkSession, sf: str) -> DataFrame:
 def search_results(spark: SparkSession, sf: str) -> DataFrame:
     """Every segment's results of a search by the screen: counts, and the score of the best and of the last of the top candidates."""
     t = views.trials(spark, sf)
-    offsets = t.groupBy("segment_hash").agg(F.round((F.avg("vmaf") - 92.0) / 4, 3).alias("offset"))
-    trials = searching.trials_of(t.select("segment_hash", "encoder").distinct(), views.spaces(spark), views.targets(spark), searching.shifted_surface(offsets))
+    trials = searching.trials_of(t.select("segment_hash", "encoder").distinct(), views.spaces(spark), views.targets(spark), searching.nearest_recorded(t))
     r = searching.results(trials, views.targets(spark))
     return r.select("segment_hash", "target", C("best.feasible").alias("feasible"), "n_trials", "n_encodes", F.size("top").cast("bigint").alias("n_top"), F.round("best.score", 6).alias("score"), F.round(F.try_element_at(F.transform("top", lambda c: c["score"]), F.lit(-1)), 6).alias("last_score"))
 
 
+def solved(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    b = select.crf_bracket(views.rated(spark, sf)).withColumn("encoder", F.lit("libsvtav1"))
+    return design.solve_crf(b, searching.nearest_recorded(views.trials(spark, sf)), method).drop("encoder")
+
+
 def crf_solve_brent(spark: SparkSession, sf: str) -> DataFrame:
-    return design.solve_crf(select.crf_bracket(views.rated(spark, sf)), method="brent")
+    return solved(spark, sf, "brent")
 
 
 def brent_guess(spark: SparkSession, sf: str) -> DataFrame:
