@@ -20,7 +20,7 @@ def _list(*parts: Column | str) -> Column:
 
 def argv(encoder: str, request: dict[str, Column], space: dict[str, Column]) -> Column:
     """The arguments of one encode. request: program, input, output, pix_fmt, preset, crf, aq_mode, aq_strength, fps, seconds (between
-    key frames), threads and loglevel. The parameters are moved into the space first."""
+    key frames), threads and loglevel, and extra, if any: an array of arguments that go before the output. The parameters are moved into the space first."""
     p = clamp(request["crf"], request["aq_mode"], request["aq_strength"], space)
     crf, mode, strength = short(p["crf"]), p["aq_mode"].cast("string"), short(p["aq_strength"])
     key = keyint(request["fps"], request["seconds"]).cast("string")
@@ -44,4 +44,5 @@ def argv(encoder: str, request: dict[str, Column], space: dict[str, Column]) ->
             quality = _list("-crf", crf)
         middle = F.concat(codec, preset(request["preset"]), quality, _list("-g", key, "-keyint_min", key, "-sc_threshold", "0"))
     threads = F.when(request["threads"] > 0, _list("-threads", request["threads"].cast("string"))).otherwise(some)
-    return F.concat(head, middle, threads, _list(request["output"]))
+    extra = F.coalesce(request.get("extra", some), some)
+    return F.concat(head, middle, threads, extra, _list(request["output"]))

@@ -1,9 +1,7 @@
-"""Models over training rows: ranges, out-of-domain features, splits by source, metrics, fitting and prediction."""
+"""Models over training rows: ranges, out-of-domain features, splits by source, metrics."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +9,6 @@ from pyspark.sql import Window as W
 from cadenza.sources.views import FEATURES
 
 TOLERANCE = 0.15
-QUANTILE = 0.15
 HIT_SLACK = 0.5
 #: Ranges of values that a percentile is looked for in.
 BINS = 1024
@@ -81,20 +78,3 @@ def percentile_by_counts(rows: DataFrame, group: str, value: str, share: float,
 
 def accuracy(rows: DataFrame, group: str, truth: Column, predicted: Column) -> DataFrame:
     return rows.groupBy(group).agg(F.avg((truth == predicted).cast("double")).alias("accuracy"))
-
-
-def fit_quantile(rows: DataFrame, label: str, features: tuple[str, ...] = FEATURES, quantile: float = QUANTILE, depth: int = 3, trees: int = 10, seed: int = 0):
-    """A boosted-tree regressor with a shift to a low quantile of its residuals on the sources held out: MLlib trees have
-    no quantile loss, so this stands for it. The result is the fitted model and the shift; a constant label needs no trees."""
-    split = grouped_split(rows, seed=seed)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="vector", handleInvalid="skip")
-    trainer = GBTRegressor(featuresCol="vector", labelCol=label, maxDepth=depth, maxIter=trees, seed=seed)
-    first = trainer.fit(assembler.transform(split.where("NOT validation")))
-    residuals = first.transform(assembler.transform(split.where("validation"))).select((F.col(label) - F.col("prediction")).alias("residual"))
-    shift = residuals.agg(F.percentile("residual", quantile)).first()[0] or 0.0
-    return assembler, trainer.fit(assembler.transform(rows)), shift
-
-
-def predict(rows: DataFrame, fitted) -> DataFrame:
-    assembler, model, shift = fitted
-    return model.transform(assembler.transform(rows)).withColumn("predicted", F.col("prediction") + F.lit(float(shift))).drop("vector", "prediction")

@@ -4,28 +4,30 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadenza.functions import params as P
-from cadenza.operators import modeling
+from cadenza.operators import boosting, modeling
 from cadenza.sources.manifests import FOR_TARGET, METADATA, UNIFIED
 from cadenza.sources.views import FEATURES
 
 LABELS = ("crf", "aq_mode", "aq_strength")
 TARGET_FEATURE = "vmaf_target"
-_KINDS = {"gbt": GBTRegressionModel, "forest": RandomForestRegressionModel, "classes": RandomForestClassificationModel}
+_FORESTS = {"forest": RandomForestRegressionModel, "forest_classes": RandomForestClassificationModel}
 
 
 @dataclass(frozen=True)
 class Settings:
     """The least rows to fit on, the trees' number, depth, leaf size and step, the quantile of the crf, the share and seed of the split.
-    estimator: gbt, or forest (half as many trees, 50 at least, and no shift of the crf)."""
+    estimator: gbt, or forest (half as many trees, 50 at least, squared loss for the crf too)."""
 
     estimator: str = "gbt"
     trees: int = 300
@@ -40,9 +42,9 @@ class Settings:
 
 @dataclass
 class Bundle:
-    """Per label its head (kind, model or value, shift), and what is known of the training."""
+    """Per label its head (kind, model or value), and what is known of the training."""
 
-    heads: dict[str, tuple[str, Any, float]]
+    heads: dict[str, tuple[str, Any]]
     metadata: dict[str, Any] = field(default_factory=dict)
 
     @property
@@ -68,73 +70,94 @@ def _assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="__vector", handleInvalid="skip").transform(rows)
 
 
-def _fit_head(rows: DataFrame, label: str, features: list[str], s: Settings, shift: float) -> tuple[str, Any, float]:
-    """A constant where the label has one value, a forest of classes for modes, else a regressor."""
-    ends = rows.agg(F.min(label).alias("lo"), F.max(label).alias("hi")).first()
-    if ends.lo == ends.hi:
-        return "constant", float(ends.lo), 0.0
-    same = {"featuresCol": "__vector", "labelCol": label, "maxDepth": s.depth, "minInstancesPerNode": s.leaf, "seed": s.seed}
-    vectors = _assembled(rows, features)
-    if label == "aq_mode":
-        return "classes", RandomForestClassifier(numTrees=max(10, min(50, s.trees // 2)), **same).fit(vectors), 0.0
-    if s.estimator == "forest":
-        return "forest", RandomForestRegressor(numTrees=max(50, s.trees // 2), **same).fit(vectors), 0.0
-    return "gbt", GBTRegressor(maxIter=s.trees, stepSize=s.step, **same).fit(vectors), shift
+def _forest(rows: DataFrame, label: str, features: list[str], s: Settings) -> Any:
+    kind = RandomForestClassifier if label == "aq_mode" else RandomForestRegressor
+    made = kind(featuresCol="__vector", labelCol=label, maxDepth=s.depth, minInstancesPerNode=s.leaf, seed=s.seed, numTrees=max(50, s.trees // 2))
+    return made.fit(_assembled(rows, features))
 
 
-def _predicted(rows: DataFrame, heads: dict[str, tuple[str, Any, float]], features: list[str]) -> DataFrame:
-    """rows with raw predictions of all heads, in columns of the labels' names with _predicted."""
-    out = _assembled(rows, features)
-    for label, (kind, model, shift) in heads.items():
-        if kind == "constant":
-            out = out.withColumn(f"{label}_predicted", F.lit(model))
+def _fit_heads(matrix: DataFrame, features: list[str], s: Settings) -> dict[Any, dict[str, tuple[str, Any]]]:
+    """Per model (column model, a handful) and label its head: a constant where the label has one value, else boosted trees, of all models
+    and heads at once, or a forest."""
+    ends = {r["model"]: r for r in matrix.groupBy("model").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in LABELS for f in (F.min, F.max)]).collect()}
+    out = {m: {label: ("constant", float(r[f"min_{label}"])) for label in LABELS if r[f"min_{label}"] == r[f"max_{label}"]} for m, r in ends.items()}
+    open_ = [label for label in LABELS if any(label not in heads for heads in out.values())]
+    if s.estimator == "forest":
+        for m, heads in out.items():
+            for label in [label for label in open_ if label not in heads]:
+                heads[label] = ("forest_classes" if label == "aq_mode" else "forest", _forest(matrix.where(F.col("model") == F.lit(m)), label, features, s))
+    elif open_:
+        losses = {"crf": boosting.Head("crf", "quantile", s.quantile), "aq_mode": boosting.Head("aq_mode", "classes"), "aq_strength": boosting.Head("aq_strength")}
+        fitted = boosting.fit(matrix, "model", features, [losses[label] for label in open_], s.trees, s.depth, s.leaf, s.step)
+        for m, heads in out.items():
+            for label in [label for label in open_ if label not in heads]:
+                heads[label] = ("classes" if label == "aq_mode" else "gbt", fitted[m][label])
+    return out
+
+
+def _predicted(rows: DataFrame, heads: dict[str, tuple[str, Any]], features: list[str]) -> DataFrame:
+    """rows with raw predictions of all heads, in columns of the labels' names with _predicted. Forests pass over rows with missing features."""
+    forests = any(kind.startswith("forest") for kind, _ in heads.values())
+    out = _assembled(rows, features) if forests else rows
+    for label, (kind, model) in heads.items():
+        if kind.startswith("forest"):
+            out = model.setPredictionCol("__prediction").transform(out).withColumnRenamed("__prediction", f"{label}_predicted").drop("rawPrediction", "probability")
         else:
-            out = model.setPredictionCol("__prediction").transform(out).withColumn(f"{label}_predicted", F.col("__prediction") + F.lit(float(shift)))
-            out = out.drop("__prediction", "rawPrediction", "probability")
+            out = out.withColumn(f"{label}_predicted", F.lit(model) if kind == "constant" else model.column())
     return out.drop("__vector")
 
 
-def _metrics(held: DataFrame, s: Settings) -> dict[str, float]:
-    """What the heads do on rows held out: crf_mae, crf_bias, crf_r2, crf_hit_rate, crf_overshoot_p90, aq_mode_accuracy, aq_strength_mae."""
-    one = held.withColumn("all", F.lit(1))
-    r = modeling.regression_metrics(one, "all", F.col("crf"), F.col("crf_predicted")).first()
-    if r is None:
-        return {}
-    more = held.agg(F.avg((F.bround("aq_mode_predicted", 0).cast("int") == F.col("aq_mode")).cast("double")).alias("a"), F.avg(F.abs(F.col("aq_strength_predicted") - F.col("aq_strength"))).alias("m")).first()
-    return {"crf_mae": r.mae, "crf_bias": r.bias, "crf_r2": r.r2, "crf_hit_rate": r.hit_rate, "crf_overshoot_p90": r.overshoot_p90, "aq_mode_accuracy": more.a, "aq_strength_mae": more.m}
+def _metrics(held: DataFrame) -> dict[Any, dict[str, float]]:
+    """Per model what the heads do on rows held out: crf_mae, crf_bias, crf_r2, crf_hit_rate, crf_overshoot_p90, aq_mode_accuracy, aq_strength_mae."""
+    r = modeling.regression_metrics(held, "model", F.col("crf"), F.col("crf_predicted"))
+    same = (F.bround("aq_mode_predicted", 0).cast("int") == F.col("aq_mode")).cast("double")
+    more = held.groupBy("model").agg(F.avg(same).alias("aq_mode_accuracy"), F.avg(F.abs(F.col("aq_strength_predicted") - F.col("aq_strength"))).alias("aq_strength_mae"))
+    names = {"mae": "crf_mae", "bias": "crf_bias", "r2": "crf_r2", "hit_rate": "crf_hit_rate", "overshoot_p90": "crf_overshoot_p90"}
+    rows = r.withColumnsRenamed(names).join(more, "model").collect()  # a row per model
+    return {row["model"]: {k: row[k] for k in (*names.values(), "aq_mode_accuracy", "aq_strength_mae") if row[k] is not None} for row in rows}
 
 
-def train(rows: DataFrame, encoder: str, target: float | None, settings: Settings = Settings()) -> Bundle:
-    """One bundle: for a target, or with target None for all of them, the target being a feature. The heads are fitted on some sources
-    and measured on the others; then fitted again on all rows. An error if there are fewer than least_rows."""
-    s = settings
-    features = [*FEATURES, *([TARGET_FEATURE] if target is None else [])]
-    matrix = design_matrix(rows, target, with_target=target is None).cache()
+def _trained(rows: DataFrame, encoder: str, targets: list[float | None], s: Settings) -> dict[float | None, Bundle]:
+    """A bundle for each target, all of which grow at once; or for [None] one of all targets, the target being a feature."""
+    whole = targets == [None]
+    features = [*FEATURES, *([TARGET_FEATURE] if whole else [])]
+    near = F.lit(-1.0) if whole else F.coalesce(*[F.when(F.abs(F.col(TARGET_FEATURE) - t) < 1e-6, F.lit(float(t))) for t in targets])
+    matrix = design_matrix(rows, with_target=True).withColumn("model", near).where("model IS NOT NULL").persist()
+    key = lambda target: -1.0 if whole else float(target)
     try:
-        n = matrix.count()
-        if n < s.least_rows:
-            raise ValueError(f"{n} usable rows for target {target}; at least {s.least_rows} are needed")
-        split = modeling.grouped_split(matrix, s.share, s.seed)
-        fit_on, held = split.where("NOT validation"), split.where("validation")
-        shift, known = 0.0, {}
-        first = {label: _fit_head(fit_on, label, features, s, 0.0) for label in LABELS}
-        n_held = held.count()
-        if n_held:
-            residuals = _predicted(held, first, features).select((F.col("crf") - F.col("crf_predicted")).alias("residual"))
-            shift = residuals.agg(F.percentile_approx("residual", s.quantile, 10_000)).first()[0] or 0.0
-            known = _metrics(_predicted(held, first, features), s)
-        heads = {label: _fit_head(matrix, label, features, s, float(shift)) for label in LABELS}
-        bounds = matrix.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in features for f in (F.min, F.max)]).first()
-        targets = [target] if target is not None else sorted(r[0] for r in matrix.select(TARGET_FEATURE).distinct().collect())  # a handful
-        sources = [r[0] for r in matrix.select("source").distinct().orderBy("source").limit(1000).collect()]
+        counts = {r["model"]: r["count"] for r in matrix.groupBy("model").count().collect()}
+        for t in targets:
+            if counts.get(key(t), 0) < s.least_rows:
+                raise ValueError(f"{counts.get(key(t), 0)} usable rows for target {t}; at least {s.least_rows} are needed")
+        # all rows of a source are on one side, by the sources of each model
+        split = reduce(DataFrame.unionByName, [modeling.grouped_split(matrix.where(F.col("model") == key(t)), s.share, s.seed) for t in targets])
+        first = _fit_heads(split.where("NOT validation"), features, s)
+        held = split.where("validation")
+        n_held = {r["model"]: r["count"] for r in held.groupBy("model").count().collect()}
+        judged = [_predicted(held.where(F.col("model") == key(t)), first[key(t)], features) for t in targets if key(t) in first]
+        known = _metrics(reduce(DataFrame.unionByName, judged)) if judged and n_held else {}
+        heads = _fit_heads(matrix, features, s)
+        bounds = {r["model"]: r for r in matrix.groupBy("model").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in features for f in (F.min, F.max)]).collect()}
+        sources = {r["model"]: sorted(r["s"]) for r in matrix.groupBy("model").agg(F.collect_set("source").alias("s")).collect()}  # names go into the metadata
+        seen = targets_of(rows) if whole else None
     finally:
         matrix.unpersist()
-    metadata = {
-        "schema_version": FOR_TARGET if target is not None else UNIFIED, "encoder": encoder, "feature_names": features, "label_names": list(LABELS), "n_train": n, "n_val": n_held, "training_targets": targets,
-        "metrics": {k: v for k, v in known.items() if v is not None} | {"crf_quantile": s.quantile, "crf_shift": float(shift)}, "feature_ranges": {c: [bounds[f"min_{c}"], bounds[f"max_{c}"]] for c in features}, "training_sources": sources,
-        "config": {"estimator": s.estimator, "trees": str(s.trees), "step": str(s.step), "depth": str(s.depth)},
-    }
-    return Bundle(heads, metadata | ({"target": target} if target is not None else {}))
+    out = {}
+    for t in targets:
+        m, b = key(t), bounds[key(t)]
+        metadata = {
+            "schema_version": UNIFIED if whole else FOR_TARGET, "encoder": encoder, "feature_names": features, "label_names": list(LABELS), "n_train": counts[m], "n_val": n_held.get(m, 0), "training_targets": seen or [t],
+            "metrics": known.get(m, {}) | {"crf_quantile": s.quantile}, "feature_ranges": {c: [b[f"min_{c}"], b[f"max_{c}"]] for c in features}, "training_sources": sources[m],
+            "config": {"estimator": s.estimator, "trees": str(s.trees), "step": str(s.step), "depth": str(s.depth)},
+        }
+        out[t] = Bundle(heads[m], metadata | ({} if whole else {"target": t}))
+    return out
+
+
+def train(rows: DataFrame, encoder: str, target: float | None, settings: Settings = Settings()) -> Bundle:
+    """One bundle: for a target, or with target None for all of them, the target being a feature. The heads are fitted on some sources
+    and measured on the others; then fitted again on all rows. An error if there are fewer than least_rows."""
+    return _trained(rows, encoder, [target], settings)[target]
 
 
 def targets_of(rows: DataFrame) -> list[float]:
@@ -143,19 +166,26 @@ def targets_of(rows: DataFrame) -> list[float]:
 
 
 def train_all(rows: DataFrame, encoder: str, settings: Settings = Settings()) -> dict[float, Bundle]:
-    return {t: train(rows, encoder, t, settings) for t in targets_of(rows)}
+    """A bundle for each target of rows."""
+    return _trained(rows, encoder, targets_of(rows), settings)
 
 
 def bundle_path(root: str, encoder: str, target: float | None) -> str:
     return f"{root}/{encoder}" if target is None else f"{root}/{encoder}/target_{target:g}"
 
 
+_TREES = "label string, loss string, features array<string>, edges array<array<double>>, base array<double>, trees int, feature array<int>, cut array<int>, leaf array<double>, classes array<double>"
+
+
 def save(spark: SparkSession, bundle: Bundle, path: str) -> None:
-    """The heads' models in folders of their labels, and the metadata (with the constants) as one line of JSON."""
-    for label, (kind, model, _) in bundle.heads.items():
-        if kind != "constant":
+    """Boosted heads as rows of a table, forests in folders of their labels, and the metadata (with the constants) as one line of JSON."""
+    boosted = {label: m for label, (kind, m) in bundle.heads.items() if isinstance(m, boosting.Model)}
+    rows = [(label, m.loss, m.features, m.edges, m.base.tolist(), len(m.feature), m.feature.ravel().tolist(), m.cut.ravel().tolist(), m.leaf.ravel().tolist(), [float(c) for c in m.classes]) for label, m in boosted.items()]
+    spark.createDataFrame(rows, _TREES).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    for label, (kind, model) in bundle.heads.items():
+        if kind.startswith("forest"):
             model.write().overwrite().save(f"{path}/{label}")
-    heads = {k: f"{kind}:{model if kind == 'constant' else ''}:{shift}" for k, (kind, model, shift) in bundle.heads.items()}
+    heads = {k: f"{kind}:{model if kind == 'constant' else ''}" for k, (kind, model) in bundle.heads.items()}
     document = bundle.metadata | {"config": bundle.metadata["config"] | {f"head_{k}": v for k, v in heads.items()}}
     spark.createDataFrame([(json.dumps(document, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metadata")
 
@@ -169,10 +199,14 @@ def load(spark: SparkSession, path: str) -> Bundle:
     wanted = [*FEATURES, *([TARGET_FEATURE] if m["schema_version"] == UNIFIED else [])]
     if m["feature_names"] != wanted:
         raise ValueError(f"{path}: made for other features: {m['feature_names']}")
+    trees = {}
+    for r in spark.read.schema(_TREES).parquet(f"{path}/trees").collect():  # a row per head
+        shaped = [np.array(v).reshape(r.trees, len(r.base), -1) for v in (r.feature, r.cut, r.leaf)]
+        trees[r.label] = boosting.Model(r.loss, list(r.features), [list(e) for e in r.edges], np.array(r.base), *shaped, list(r.classes))
     heads = {}
     for label in LABELS:
-        kind, value, shift = m["config"][f"head_{label}"].split(":")
-        heads[label] = (kind, float(value) if kind == "constant" else _KINDS[kind].load(f"{path}/{label}"), float(shift))
+        kind, value = m["config"][f"head_{label}"].split(":")
+        heads[label] = (kind, float(value) if kind == "constant" else _FORESTS[kind].load(f"{path}/{label}") if kind in _FORESTS else trees[label])
     return Bundle(heads, {k: v for k, v in m.items() if v is not None})
 
 

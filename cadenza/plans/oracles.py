@@ -99,8 +99,11 @@ FEATURES = f"""{TRIALS}, features AS (
   SELECT segment_hash, source, round(avg(vmaf), 6) AS spatial_information, round(stddev_pop(vmaf), 6) AS temporal_information, round(max(crf), 6) AS motion_p95, CAST(count(*) AS DOUBLE) AS duration, round(avg(out_bytes / 10000.0::DOUBLE), 6) AS luma_mean,
     round(min(vmaf), 6) AS luma_std, round(avg(aq_strength), 6) AS color_complexity, round(avg(CAST(l_suppkey AS DOUBLE)), 6) AS log_pixels FROM trials GROUP BY ALL
 ), long_form AS (UNPIVOT features ON {", ".join(FEATURE_LIST)} INTO NAME feature VALUE value)"""
+#: What the other segments of a source say: their mean crf (in whole tenths, so that sums are exact), and their commoner mode.
+_LEFT_OUT = """SELECT *, coalesce((sum(tenths) OVER w - tenths) / nullif(10.0::DOUBLE * (count(*) OVER w - 1), 0), crf) AS guess, CASE WHEN 2 * (sum(aq_mode) OVER w - aq_mode) > count(*) OVER w - 1 THEN 1 ELSE 0 END AS mode_guess
+  FROM (SELECT *, CAST(round(crf * 10) AS BIGINT) AS tenths FROM best) WINDOW w AS (PARTITION BY source, target)"""
 PREDICTED = f"""{BEST}, predicted AS (
-  SELECT *, crf + (l_suppkey % 9 - 5) / 4.0::DOUBLE AS guess, CAST(l_partkey % 2 AS INT) AS mode_guess FROM best
+  {_LEFT_OUT}
 )"""
 PROBE = """probed AS (
   SELECT page_id, CAST(640 + page_id % 5 * 320 AS INT) AS width, CAST(360 + page_id % 5 * 180 AS INT) AS height, [30000 / 1001.0::DOUBLE, 25.0::DOUBLE, 30.0::DOUBLE, 24000 / 1001.0::DOUBLE, 60.0::DOUBLE][page_id % 5 + 1] AS fps,
@@ -147,6 +150,8 @@ ORACLES = {
     "boundary_plan": f"WITH {CUTS} SELECT source, len(kept) AS n_kept, array_to_string(list_transform(kept, lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',') AS kept FROM plan",
     "boundary_pieces": f"WITH {PIECES} SELECT * FROM pieces",
     "segment_starts": f"WITH {PIECES} SELECT * FROM starts",
+    "boundary_rows": f"WITH {PIECES} SELECT DISTINCT source, t AS boundary FROM inner_cuts",
+    "segment_rows": f"WITH {PIECES} SELECT * FROM starts",
     "concat_lists": f"""WITH {PIECES} SELECT source, string_agg('file ''/work/src''\\''''' || source || '_' || lpad(CAST(idx AS VARCHAR), 4, '0') || '.mkv''', chr(10) ORDER BY idx) AS listing, round(sum(duration), 3) AS total FROM starts GROUP BY source""",
     "frame_motion": f"""WITH {FRAMES}, moved AS (SELECT clip, list_avg(pixels) AS level, list_avg(list_transform(list_zip(pixels, lag(pixels) OVER (PARTITION BY clip ORDER BY place)), lambda p: abs(p[1] - p[2]))) AS apart FROM frames)
       SELECT clip, count(*) AS n_frames, round(coalesce(avg(apart), 0), 9) AS motion_mean, round(coalesce(quantile_cont(apart, 0.95), 0), 9) AS motion_p95, round(avg(level), 9) AS luma_mean, round(stddev_pop(level), 9) AS luma_std FROM moved GROUP BY clip""",
@@ -349,7 +354,7 @@ ORACLES |= {
       SELECT page_id, encoder, 'ffmpeg -hide_banner -nostdin -y -loglevel error -i in/' || page_id || ' -map 0:v:0 -an -sn -dn' || CASE WHEN encoder = 'libsvtav1' THEN ' -fps_mode passthrough' ELSE '' END || ' -c:v ' || encoder || ' -pix_fmt ' || pix_fmt || ' -preset ' || CASE WHEN encoder = 'libsvtav1' THEN CAST(number AS VARCHAR) ELSE preset END ||
         CASE WHEN encoder IN ('libx264', 'libx265') THEN ' -crf ' || c || ' -' || substr(encoder, 4) || '-params aq-mode=' || aq || ':aq-strength=' || s || ':keyint=' || key || ':min-keyint=' || key || ':scenecut=0' || CASE WHEN encoder = 'libx265' THEN ':log-level=error' ELSE '' END
         WHEN encoder = 'libsvtav1' THEN ' -crf ' || c || ' -svtav1-params enable-variance-boost=' || aq || ':variance-boost-strength=' || CAST(strength AS INT) || ':keyint=' || key || ':scd=0'
-        ELSE ' -rc vbr -cq ' || c || ' -b:v 0 -spatial-aq ' || CASE WHEN aq > 0 THEN '1 -aq-strength ' || CAST(strength AS INT) ELSE '0' END || ' -g ' || key || ' -keyint_min ' || key || ' -sc_threshold 0' END || threads || ' out.mkv' AS argv FROM named""",
+        ELSE ' -rc vbr -cq ' || c || ' -b:v 0 -spatial-aq ' || CASE WHEN aq > 0 THEN '1 -aq-strength ' || CAST(strength AS INT) ELSE '0' END || ' -g ' || key || ' -keyint_min ' || key || ' -sc_threshold 0' END || threads || CASE WHEN page_id % 4 = 0 THEN ' -tag:v t' || page_id ELSE '' END || ' out.mkv' AS argv FROM named""",
     "space_guesses": f"""WITH {TRIALS}, {SPACES}, crfs AS (SELECT floor(crf / 5) * 5.0::DOUBLE AS failed, count(*) AS n_trials FROM trials GROUP BY ALL)
       SELECT encoder, failed, n_trials, '{{"aq_modes":' || replace(CAST(aq_modes AS VARCHAR), ' ', '') || ',"aq_strength_is_integer":' || whole || ',"aq_strength_max":' || strength_max || ',"aq_strength_min":' || strength_min || ',"crf_max":' || crf_max || ',"crf_min":' || crf_min || '}}' AS space,
         {_PARAMS.format("round_even((crf_min + crf_max) / 2, 1)", "aq_modes[len(aq_modes) // 2 + 1]", _CLAMP_STRENGTH.format("((strength_min + strength_max) / 2)"))} AS middle, {_PARAMS.format("round_even(least(greatest(failed - 4, crf_min), crf_max), 1)", "aq_modes[1]", "strength_min")} AS again,
@@ -357,7 +362,7 @@ ORACLES |= {
     "video_plan": f"""WITH {PIECES}, guessed AS (SELECT *, 24.0::DOUBLE + idx % 3 * 3 AS fps, round_even(least(greatest(10.0::DOUBLE + fmod(idx * 1.37::DOUBLE, 60), 20), 55), 1) AS crf, least(idx % 4, 1) AS aq_mode, round_even(least(greatest(idx % 7 * 0.8::DOUBLE, 1), 4), 0) AS aq_strength FROM starts)
       SELECT source, idx, start, duration, fps, crf, aq_mode, aq_strength, round_even(least(greatest(crf - 4, 20), 55), 1) AS retry_crf FROM guessed""",
     "fallback_pieces": f"""WITH {PIECES.replace("FROM cuts\n), edges", "FROM (SELECT source, duration, CASE WHEN source % 3 = 0 THEN list_transform(range(1, CAST(ceil(duration / 6.0::DOUBLE) AS BIGINT)), lambda i: i * 6.0::DOUBLE) ELSE cuts END AS cuts FROM cuts)\n), edges")} SELECT * FROM pieces""",
-    "record_lines": f"""WITH {RESULTS}, guessed AS (SELECT *, crf + (l_suppkey % 9 - 5) / 4.0::DOUBLE AS guess FROM best)
+    "record_lines": f"""WITH {RESULTS}, guessed AS ({_LEFT_OUT})
       SELECT segment_hash, string_agg('t' || format('{{:g}}', target) || CASE WHEN feasible THEN ' ok' ELSE ' infeasible' END || printf(' vmaf=%.2f', vmaf) || ' crf=' || format('{{:g}}', crf) || ' aq=' || aq_mode || '/' || format('{{:g}}', aq_strength) || ' trials=' || n_trials, '; ' ORDER BY target) AS line FROM best JOIN counted USING (segment_hash, target) GROUP BY segment_hash
       UNION ALL SELECT 'report ' || format('{{:g}}', target), 'target ' || format('{{:g}}', target) || ' train=' || count(*) || printf(' crf MAE=%.2f', round(avg(abs(guess - crf)), 2)) || ' hit-rate=' || CAST(round_even(avg(CASE WHEN guess <= crf + 0.5::DOUBLE THEN 1.0::DOUBLE ELSE 0 END) * 100, 0) AS INT) || '%' FROM guessed GROUP BY target""",
     "scene_features": f"""WITH {PICTURES}, read AS (SELECT *, lag(pixels) OVER (PARTITION BY clip ORDER BY place) AS before FROM levels WHERE pixels IS NOT NULL),
@@ -367,6 +372,14 @@ ORACLES |= {
       shown AS (SELECT clip, count(*) / 24.0::DOUBLE AS duration, log10(CAST(640 * 360 * (1 + clip % 4) AS DOUBLE)) AS log_pixels FROM levels GROUP BY clip)
       SELECT s.clip, count(*) AS n_frames, round(avg(list_stddev_pop(edges)), 6) AS spatial_information, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN list_stddev_pop(apart) END), 0), 6) AS temporal_information, round(coalesce(quantile_cont(CASE WHEN before IS NOT NULL THEN list_avg(apart) / 255 END, 0.95), 0), 6) AS motion_p95,
         round(any_value(duration), 6) AS duration, round(avg(list_avg(pixels)), 6) AS luma_mean, round(avg(list_stddev_pop(pixels)), 6) AS luma_std, round(avg(e), 6) AS color_complexity, round(any_value(log_pixels), 6) AS log_pixels FROM steps s JOIN colour USING (clip, place) JOIN shown USING (clip) GROUP BY s.clip""",
+    "picture_features": f"""WITH {PICTURES}, grey AS (SELECT clip, place, list_transform(pixels, lambda p: CAST((CAST(floor(p) AS BIGINT) * 1868 + CAST(floor(p / 4) AS BIGINT) * 9617 + CAST(floor(p / 16) AS BIGINT) * 4899 + 8192) // 16384 AS DOUBLE)) AS pixels, pixels AS levels FROM levels WHERE pixels IS NOT NULL),
+      read AS (SELECT *, lag(pixels) OVER (PARTITION BY clip ORDER BY place) AS before FROM grey),
+      steps AS (SELECT *, list_transform(range(0, 64), lambda i: sqrt(power({_GX}, 2) + power({_GY}, 2))) AS edges, list_transform(list_zip(pixels, before), lambda p: abs(p[1] - p[2])) AS apart FROM read),
+      bytes AS (SELECT clip, place, c, v, count(*) AS n FROM (SELECT clip, place, c, unnest(list_transform(levels, lambda p: CAST(floor(p / c) AS INT))) AS v FROM grey, (SELECT unnest([1, 4, 16]) AS c)) GROUP BY ALL),
+      colour AS (SELECT clip, place, avg(e) AS e FROM (SELECT clip, place, c, 6 - sum(n * log2(n)) / 64 AS e FROM bytes GROUP BY ALL) GROUP BY ALL),
+      shown AS (SELECT clip, count(*) / 24.0::DOUBLE AS duration, log10(CAST(640 * 360 * (1 + clip % 4) AS DOUBLE)) AS log_pixels FROM levels GROUP BY clip)
+      SELECT s.clip, count(*) AS n_frames, round(avg(list_stddev_pop(edges)), 5) AS spatial_information, round(coalesce(avg(CASE WHEN before IS NOT NULL THEN list_stddev_pop(apart) END), 0), 5) AS temporal_information, round(coalesce(quantile_cont(CASE WHEN before IS NOT NULL THEN list_avg(apart) / 255 END, 0.95), 0), 5) AS motion_p95,
+        round(any_value(duration), 5) AS duration, round(avg(list_avg(pixels)), 5) AS luma_mean, round(avg(list_stddev_pop(pixels)), 5) AS luma_std, round(avg(e), 5) AS color_complexity, round(any_value(log_pixels), 5) AS log_pixels FROM steps s JOIN colour USING (clip, place) JOIN shown USING (clip) GROUP BY s.clip""",
     "frame_pairs": f"""WITH {FRAMES}, a AS (SELECT clip, frame, pixels[1] AS v, row_number() OVER (PARTITION BY clip ORDER BY frame) AS n FROM frames), b AS (SELECT clip, frame, pixels[1] AS v, row_number() OVER (PARTITION BY clip ORDER BY frame) AS n FROM frames WHERE frame % 7 > 0)
       SELECT a.clip, count(*) AS n_pairs, count(*) FILTER (a.frame = b.frame) AS n_same, round(avg(abs(a.v - b.v)), 9) AS apart FROM a JOIN b ON a.clip = b.clip AND a.n = b.n GROUP BY a.clip""",
     "crf_solve": f"WITH RECURSIVE {BRACKET}, {POINTS}, {_BRACKETS.replace('coalesce(GUESS, ', 'coalesce(NULL, ')} {_SOLVED}",

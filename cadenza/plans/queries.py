@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -9,7 +11,7 @@ from pyspark.sql import Window as W
 from cadenza.functions import params as P
 from cadenza.functions import scoring, text
 from cadenza.operators import features as feat
-from cadenza.operators import modeling, segments, select, store
+from cadenza.operators import modeling, segments, select, store, training
 from cadenza.plans import design, workflow
 from cadenza.plans import search as searching
 from cadenza.sources import media, views
@@ -157,6 +159,17 @@ def segment_starts(spark: SparkSession, sf: str) -> DataFrame:
     return segments.segment_starts(segments.pieces(segments.boundary_plan(views.cuts(spark, sf))))
 
 
+def boundary_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The boundaries of every source by blocks of its time, a row each."""
+    return segments.boundary_rows(*views.cut_rows(spark, sf), width=96.0)
+
+
+def segment_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The segments of every source by blocks of its time."""
+    sources = views.cut_rows(spark, sf)[1]
+    return segments.segment_rows(boundary_rows(spark, sf), sources, width=96.0)
+
+
 def concat_lists(spark: SparkSession, sf: str) -> DataFrame:
     return segments.concat_list(segment_starts(spark, sf))
 
@@ -225,18 +238,13 @@ def domain_violations(spark: SparkSession, sf: str) -> DataFrame:
     return modeling.violations(f, modeling.ranges(f.where("source IN ('src_1', 'src_2', 'src_3')")))
 
 
-def _predicted(spark: SparkSession, sf: str) -> DataFrame:
-    best = select.best_or_closest(views.rated(spark, sf))
-    return best.withColumns({"predicted": C("crf") + (C("l_suppkey") % 9 - 5) / F.lit(4.0), "mode_predicted": (C("l_partkey") % 2).cast("int")})
-
-
 def regression_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    m = modeling.regression_metrics(_predicted(spark, sf), "target", C("crf"), C("predicted"))
+    m = modeling.regression_metrics(workflow.left_out(spark, sf), "target", C("crf"), C("predicted"))
     return m.select("target", "n", *[F.round(c, 6).alias(c) for c in ("mae", "bias", "r2", "hit_rate", "overshoot_p90")])
 
 
 def mode_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return modeling.accuracy(_predicted(spark, sf), "target", C("aq_mode"), C("mode_predicted")).select("target", F.round("accuracy", 6).alias("accuracy"))
+    return modeling.accuracy(workflow.left_out(spark, sf), "target", C("aq_mode"), C("mode_predicted")).select("target", F.round("accuracy", 6).alias("accuracy"))
 
 
 def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,11 +252,11 @@ def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_predict(spark: SparkSession, sf: str) -> DataFrame:
-    """Fits the crf of the best trials at target 89 and predicts it for every segment, within the encoder's space."""
-    f = views.features(spark, sf)
-    best = select.best_or_closest(views.rated(spark, sf)).where("target = 89 AND feasible").select("segment_hash", "crf")
-    fitted = modeling.fit_quantile(f.join(best, "segment_hash"), "crf")
-    return modeling.predict(f, fitted).select("segment_hash", P.rounded_crf(F.least(F.greatest("predicted", F.lit(20.0)), F.lit(55.0))).alias("crf"))
+    """What the bundle of each target says for every segment."""
+    bundles = training.train_all(workflow.dataset_rows(spark, sf), "libsvtav1", workflow.FITTED)
+    asked = views.features(spark, sf).crossJoin(F.broadcast(views.spaces(spark).where("encoder = 'libsvtav1'")))  # one row
+    said = [training.predict(asked, b, P.space_columns()).select("segment_hash", F.lit(t).alias("target"), "crf", "aq_mode", "aq_strength") for t, b in bundles.items()]
+    return reduce(DataFrame.unionAll, said)
 
 
 def probe_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,7 +326,7 @@ def result_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 ALL = (
     trial_score, score_reason, feasible_trials, top_trials, best_or_closest, best_aq, rank_aq, refine_aq, crf_bracket, crf_guess, iq_guess, crf_solve, explored_range, tpe_split, clamped_params, unit_cube, trial_keys, aq_grid, aq_neighbors, screen_plan, grid_design,
-    *map(_sampled, ("sobol", "halton", "lhs", "random")), boundary_plan, boundary_pieces, segment_starts, concat_lists, frame_motion, frame_entropy, frame_sample, frame_count_check, pooled_quality, pending_segments, reused_sources, trial_upsert, cache_lookup, corpus_progress,
+    *map(_sampled, ("sobol", "halton", "lhs", "random")), boundary_plan, boundary_pieces, segment_starts, boundary_rows, segment_rows, concat_lists, frame_motion, frame_entropy, frame_sample, frame_count_check, pooled_quality, pending_segments, reused_sources, trial_upsert, cache_lookup, corpus_progress,
     feature_ranges, domain_violations, regression_metrics, mode_accuracy, grouped_split, model_predict, probe_rows, pixfmt_resolve, encode_arguments, tool_listing, progress_counts, *map(_searched, ("screen", "halton", "sobol", "coordinate", "boundary", "bayes", "tpe", "cmaes")), bundle_lookup, quality_logs, result_summary, *workflow.ALL,
 )
 QUERIES = {q.__name__: q for q in ALL}

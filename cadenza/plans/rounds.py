@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Measure = Callable[[DataFrame], DataFrame]
@@ -14,15 +14,19 @@ SEQ = ("stage", "seq")
 TRIAL = ["segment_hash", "encoder", "crf", "aq_mode", "aq_strength", "vmaf", "out_bytes", "ref_bytes", *SEQ]
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir: a later round, or a task that is run again, measures nothing twice. Where
-    that is unset a session on one machine gets a new folder (tests), and a cluster's an error."""
-    spark = df.sparkSession
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Checkpoints go to the folder of spark.checkpoint.dir. Where that is unset a session on one machine gets a new folder (tests), and a
+    cluster's an error."""
     if not spark.sparkContext.getCheckpointDir():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cadenza-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder: a later round, or a task that is run again, measures nothing twice."""
+    shared_checkpoints(df.sparkSession)
     return df.checkpoint()
 
 

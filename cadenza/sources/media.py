@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from cadenza.functions.text import positive, rational
+from cadenza.sources import manifests
 
 log = logging.getLogger(__name__)
 
@@ -115,6 +116,17 @@ def bundles(metadata: DataFrame) -> DataFrame:
     return metadata.where(F.col("target").isNotNull() | whole).dropDuplicates(["path"])
 
 
+def scan_bundles(spark: SparkSession, root: str) -> DataFrame:
+    """The bundles that training.save put below root (at any depth): path, encoder, target, low and high (of the targets that it was trained
+    on), heads. Folders whose metadata do not parse, or are of another version, are passed over."""
+    files = spark.read.option("recursiveFileLookup", True).option("wholetext", True).text(root)
+    at = F.regexp_extract(F.col("_metadata.file_path"), r"^(.*)/metadata/part-[^/]*$", 1)
+    said = files.select(at.alias("path"), F.col("value").alias("document")).where("path <> ''")
+    m = manifests.metadata(said)
+    heads = F.filter(F.array(*[F.lit(h) for h in ("crf", "aq_mode", "aq_strength")]), lambda h: F.map_contains_key("config", F.concat(F.lit("head_"), h)))
+    return bundles(m.select("path", "encoder", "target", F.array_min("training_targets").alias("low"), F.array_max("training_targets").alias("high"), heads.alias("heads")))
+
+
 def find_bundle(asked: DataFrame, known: DataFrame, slack: float = 0.5) -> DataFrame:
     """For each encoder and target the bundle made for that target, else one for all targets of the encoder: path, and fits, whether the
     target lies in the range that it was trained on (with some slack; a bundle without a recorded range fits always). No path: there

@@ -66,11 +66,20 @@ def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_rate.crossJoin(F.broadcast(targets(spark)))
 
 
+def _cut_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hour = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 3600000000").cast("double")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), hour.alias("t"))
+
+
 def cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, its ascending distinct cut times (whole hours) and its duration."""
-    hour = F.expr("(unix_micros(cast(ts as timestamp)) - 1704067200000000) div 3600000000").cast("double")
-    per_source = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), hour.alias("t")).groupBy("source")
-    return per_source.agg(F.sort_array(F.collect_set("t")).alias("cuts"), (F.max("t") + 1.0).alias("duration"))
+    return _cut_times(spark, sf_dir).groupBy("source").agg(F.sort_array(F.collect_set("t")).alias("cuts"), (F.max("t") + 1.0).alias("duration"))
+
+
+def cut_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same as rows: source and t, distinct; source and duration."""
+    times = _cut_times(spark, sf_dir)
+    return times.distinct(), times.groupBy("source").agg((F.max("t") + 1.0).alias("duration"))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,12 +188,20 @@ def test_recorded_measurements_join_exactly(spark, sf_dir):
     assert [r.vmaf is None for r in sorted(got, key=lambda r: r.crf)].count(True) == len(got) // 2
 
 
-def test_quantile_fit_follows_the_label_from_below(spark):
-    features = [f"cast(id * {i + 1} % 50 as double) AS {name}" for i, name in enumerate(views.FEATURES)]
-    rows = spark.range(400).selectExpr("concat('src_', id % 8) AS source", *features, "cast(30.0 + id % 50 / 5.0 + id * 7 % 11 / 5.0 as double) AS crf")
-    middle, low = (modeling.fit_quantile(rows, "crf", quantile=q, trees=4) for q in (0.5, 0.1))
-    got = modeling.predict(rows, low)
-    assert set(got.columns) == {*rows.columns, "predicted"} and got.count() == 400
-    below = got.agg(F.avg((F.col("predicted") <= F.col("crf") + 1e-9).cast("int"))).first()[0]
-    assert 0.75 <= below <= 1.0 and low[2] < middle[2]
-    assert got.agg(F.corr("predicted", "crf")).first()[0] > 0.9
+@pytest.mark.parametrize("width", [5.0, 37.0, 4096.0])
+def test_blocks_of_cuts_give_the_segments_of_the_whole_fold(spark, width):
+    rng = np.random.default_rng(int(width))
+    made = {}
+    for i in range(12):
+        gaps = rng.choice([0.04, 0.5, 2.0, 3.999, 4.0, 7.5, 30.0, 90.0], size=rng.integers(0, 120))
+        t = np.round(np.cumsum(gaps), 3)
+        made[f"s{i}"] = (sorted({float(v) for v in t}), float(np.round((t[-1] if len(t) else 0) + rng.choice([0.02, 3.0, 11.0, 60.0]), 3)))
+    whole = spark.createDataFrame([(k, c, d) for k, (c, d) in made.items()], "source string, cuts array<double>, duration double")
+    cuts = spark.createDataFrame([(k, v) for k, (c, _) in made.items() for v in c], "source string, t double")
+    sources = whole.select("source", "duration")
+    plan = segments.boundary_plan(whole)
+    want = {(r.source, b) for r in plan.collect() for b in r.boundaries}
+    got = segments.boundary_rows(cuts, sources, width=width)
+    assert sorted(want) == sorted((r.source, r.boundary) for r in got.collect())
+    starts = lambda df: sorted((r.source, r.idx, round(r.start, 3), r.duration) for r in df.collect())
+    assert starts(segments.segment_rows(got, sources, width=width)) == starts(segments.segment_starts(segments.pieces(plan)))

@@ -96,9 +96,9 @@ def test_dataset_round_trip_and_design_matrix(spark, tmp_path):
 
 def test_training_saving_loading_and_prediction(spark, tmp_path):
     rows = _dataset(spark, 120, "id % 2").cache()
-    quick = training.Settings(trees=4, depth=4, least_rows=20, quantile=0.2)
+    quick = training.Settings(trees=4, depth=4, step=0.5, least_rows=20, quantile=0.2)  # the first tree weighs no more than others
     bundle = training.train(rows, "libsvtav1", 85.0, quick)
-    assert bundle.heads["aq_strength"][:2] == ("constant", 2.0) and bundle.heads["aq_mode"][0] == "classes" and bundle.heads["crf"][0] == "gbt"
+    assert bundle.heads["aq_strength"] == ("constant", 2.0) and bundle.heads["aq_mode"][0] == "classes" and bundle.heads["crf"][0] == "gbt"
     assert bundle.metadata["n_train"] == 108 and bundle.metadata["training_targets"] == [85.0] and bundle.metadata["metrics"]["crf_mae"] < 4
     with pytest.raises(ValueError, match="at least"):
         training.train(rows.limit(10), "libsvtav1", 85.0, quick)
@@ -121,9 +121,9 @@ def test_training_saving_loading_and_prediction(spark, tmp_path):
         training.load(spark, f"{tmp_path}/odd")
 
 
-def test_forests_have_no_shift(spark):
+def test_forests(spark):
     bundle = training.train(_dataset(spark, 60, "1"), "libsvtav1", 85.0, training.Settings(estimator="forest", trees=4, depth=2, least_rows=5))
-    assert bundle.heads["crf"][0] == "forest" and bundle.heads["crf"][2] == 0.0 and bundle.heads["aq_mode"][:2] == ("constant", 1.0)
+    assert bundle.heads["crf"][0] == "forest" and bundle.heads["aq_mode"] == ("constant", 1.0)
 
 
 def test_percentiles_by_counts(spark):
@@ -231,3 +231,20 @@ def test_even_subsample(spark):
     row = spark.createDataFrame([(list(range(10)), [1, 2])], "a array<int>, b array<int>")
     got = row.select(params.even_subsample(F.col("a"), 4), params.even_subsample(F.col("b"), 4), params.even_subsample(F.col("a"), 1)).first()
     assert [list(x) for x in got] == [[0, 3, 6, 9], [1, 2], [0]]
+
+
+def test_saved_bundles_are_found_by_a_scan(spark, tmp_path):
+    rows = _dataset(spark, 60, "id % 2").cache()
+    quick = training.Settings(trees=2, depth=2, step=0.5, least_rows=5)
+    root = str(tmp_path / "models")
+    for t, b in (training.train_all(rows, "libsvtav1", quick) | {None: training.train(rows, "libsvtav1", None, quick)}).items():
+        training.save(spark, b, training.bundle_path(root, "libsvtav1", t))
+    spark.createDataFrame([('{"schema_version": 9, "encoder": "x"}',)], "value string").write.text(f"{root}/x/metadata")
+    spark.createDataFrame([("no json",)], "value string").write.text(f"{root}/y/target_3/metadata")
+    known = media.scan_bundles(spark, root)
+    assert [(r.path.rsplit("/models/")[1], r.encoder, r.target, r.low, r.high) for r in known.orderBy("path").collect()] == [("libsvtav1", "libsvtav1", None, 85.0, 89.0), ("libsvtav1/target_85", "libsvtav1", 85.0, 85.0, 85.0), ("libsvtav1/target_89", "libsvtav1", 89.0, 89.0, 89.0)]
+    asked = spark.createDataFrame([("libsvtav1", 85.0), ("libsvtav1", 87.0), ("libsvtav1", 99.0), ("other", 85.0)], "encoder string, target double")
+    found = {(r.encoder, r.target): (r.path and r.path.rsplit("/models/")[1], r.fits) for r in media.find_bundle(asked, known).collect()}
+    assert found == {("libsvtav1", 85.0): ("libsvtav1/target_85", True), ("libsvtav1", 87.0): ("libsvtav1", True), ("libsvtav1", 99.0): ("libsvtav1", False), ("other", 85.0): (None, False)}
+    path = known.where("target = 85").first().path
+    assert training.load(spark, path).metadata["target"] == 85.0
