@@ -441,7 +441,7 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     # shingles of the same members tell the same: one of them stands for all, so long near copies meet a few times and not at every shingle
     members = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), F.bit_xor("d1").alias("who")).where("members > 1")
     groups = staged(members.groupBy("members", "low", "who").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
-    met = staged(tokens.drop("d1").join(groups, "token"), "met-tokens")
+    met = staged(tokens.drop("d1").join(groups.hint("merge"), "token"), "met-tokens")  # both sides grow with the corpus, so both are shuffled at every size
     asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
     wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "m", asked, "bitmap"), "met-profiles")
     match = lambda rows: by_groups(rows.join(wide, "rep"), ["token", "x", "y"], _match(percent), "a long, b long")
