@@ -18,7 +18,7 @@ from cadenza.sources.views import FEATURES, SEQ
 
 C = F.col
 TARGETS = views.TARGETS
-FITTED = training.Settings(least_rows=8)  # 300 trees of depth 4
+FITTED = training.Settings(trees=20, step=0.3, least_rows=8)  # what the queries fit; the library's own settings are 300 trees and steps of 0.06
 
 
 def search_records(spark: SparkSession, sf: str) -> DataFrame:
