@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cadenza.functions import params as P
 from cadenza.operators import boosting, modeling
+from cadenza.plans.rounds import settled
 from cadenza.sources.manifests import FOR_TARGET, METADATA, UNIFIED
 from cadenza.sources.views import FEATURES
 
@@ -130,12 +131,12 @@ def _trained(rows: DataFrame, encoder: str, targets: list[float | None], s: Sett
             if counts.get(key(t), 0) < s.least_rows:
                 raise ValueError(f"{counts.get(key(t), 0)} usable rows for target {t}; at least {s.least_rows} are needed")
         # all rows of a source are on one side, by the sources of each model
-        split = reduce(DataFrame.unionByName, [modeling.grouped_split(matrix.where(F.col("model") == key(t)), s.share, s.seed) for t in targets])
+        split = settled(reduce(DataFrame.unionByName, [modeling.grouped_split(matrix.where(F.col("model") == key(t)), s.share, s.seed) for t in targets]))
         first = _fit_heads(split.where("NOT validation"), features, s)
         held = split.where("validation")
         n_held = {r["model"]: r["count"] for r in held.groupBy("model").count().collect()}
         judged = [_predicted(held.where(F.col("model") == key(t)), first[key(t)], features) for t in targets if key(t) in first]
-        known = _metrics(reduce(DataFrame.unionByName, judged)) if judged and n_held else {}
+        known = _metrics(settled(reduce(DataFrame.unionByName, judged))) if judged and n_held else {}
         heads = _fit_heads(matrix, features, s)
         bounds = {r["model"]: r for r in matrix.groupBy("model").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in features for f in (F.min, F.max)]).collect()}
         sources = {r["model"]: sorted(r["s"]) for r in matrix.groupBy("model").agg(F.collect_set("source").alias("s")).collect()}  # names go into the metadata
