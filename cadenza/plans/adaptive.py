@@ -29,6 +29,8 @@ GAMMA, SPREAD = 0.25, 0.08
 CURIOSITY = 0.15
 #: Length scales and noise levels among which a Gaussian process chooses by its evidence.
 LENGTHS, NOISES = (0.15, 0.3, 0.6, 1.2), (1e-4, 1e-2, 0.1, 0.5)
+#: Segments whose processes are factored together.
+BATCH = 256
 #: Offspring of a generation, parents kept, tries for each offspring.
 OFFSPRING, PARENTS, TRIES = 4, 2, 4
 
@@ -47,18 +49,20 @@ def placed(trials: DataFrame, spaces: DataFrame, target: float) -> DataFrame:
     return inside.select("segment_hash", "encoder", *SEQ, "vmaf", *[u[a].alias(a) for a in AXES], scoring.proxy(F.col("vmaf"), rate(), F.lit(float(target))).alias("fitness"), _key().alias("key"))
 
 
-def candidates(spaces: DataFrame, seed: int, n: int = 96) -> DataFrame:
-    """pool: per encoder n evenly spread points and half as many random ones."""
-    both = design.sampled_design(spaces, "halton", n, seed).unionByName(design.sampled_design(spaces, "random", n // 2, seed).withColumn("seq", F.col("seq") + n))
+def candidates(spaces: DataFrame, seed: int, n: int = 96, sampler: str = "halton") -> DataFrame:
+    """pool: per encoder n points of the sampler and half as many random ones, each with its key; a point that both have is there once."""
+    both = design.sampled_design(spaces, sampler, n, seed).unionByName(design.sampled_design(spaces, "random", n // 2, seed).withColumn("seq", F.col("seq") + n))
+    first = W.partitionBy("encoder", "key").orderBy("seq")
+    once = both.withColumn("key", _key()).withColumn("nth", F.row_number().over(first)).where("nth = 1")
     u = P.to_unit(F.col("crf"), F.col("aq_mode"), F.col("aq_strength"), P.space_columns())
-    point = F.struct("seq", *[u[a].alias(a) for a in AXES], "crf", "aq_mode", "aq_strength")
-    return both.join(F.broadcast(spaces), "encoder").groupBy("encoder").agg(F.array_sort(F.collect_list(point)).alias("pool"))
+    point = F.struct("seq", *[u[a].alias(a) for a in AXES], "crf", "aq_mode", "aq_strength", "key")
+    return once.join(F.broadcast(spaces), "encoder").groupBy("encoder").agg(F.array_sort(F.collect_list(point)).alias("pool"))
 
 
-def _offered(history: DataFrame, spaces: DataFrame, seed: int) -> DataFrame:
+def _offered(history: DataFrame, spaces: DataFrame, seed: int, sampler: str = "halton") -> DataFrame:
     """history (a row per segment, with the keys it has seen) with the candidates that are new to it."""
-    pools = history.join(F.broadcast(candidates(spaces, seed)), "encoder")
-    return pools.withColumn("pool", F.filter("pool", lambda c: ~F.array_contains(F.col("seen"), _key(c)))).where(F.size("pool") > 0)
+    pools = history.join(F.broadcast(settled(candidates(spaces, seed, sampler=sampler))), "encoder")  # a row per encoder
+    return pools.withColumn("pool", F.filter("pool", lambda c: ~F.array_contains(F.col("seen"), c["key"]))).where(F.size("pool") > 0)
 
 
 def _log_density(c: Column, side: str) -> Column:
@@ -66,7 +70,7 @@ def _log_density(c: Column, side: str) -> Column:
     return -0.5 * sum(x * x + 2.0 * F.log(F.col(f"{side}_std_{a}")) for x, a in zip(z, AXES, strict=True))
 
 
-def propose_tpe(at: DataFrame, spaces: DataFrame, target: float, seed: int) -> DataFrame:
+def propose_tpe(at: DataFrame, spaces: DataFrame, target: float, seed: int, sampler: str = "halton") -> DataFrame:
     """The candidate that is likeliest among the good trials against the bad ones, each a Gaussian without correlations."""
     part = W.partitionBy("segment_hash")
     n_good = F.greatest(F.lit(2), F.ceil(GAMMA * F.col("n")).cast("int"))
@@ -76,7 +80,7 @@ def propose_tpe(at: DataFrame, spaces: DataFrame, target: float, seed: int) -> D
     stats = [f for side, name in ((good, "good"), (bad, "bad")) for a in AXES for f in (F.avg(F.when(side, F.col(a))).alias(f"{name}_mean_{a}"), F.greatest(F.stddev_pop(F.when(side, F.col(a))), F.lit(SPREAD)).alias(f"{name}_std_{a}"))]
     history = ranked.groupBy("segment_hash", "encoder").agg(F.collect_set("key").alias("seen"), *stats)
     better = lambda c: F.struct((_log_density(c, "good") - _log_density(c, "bad")).alias("ratio"), (-c["seq"]).alias("first"), c.alias("point"))
-    return _offered(history, spaces, seed).select("segment_hash", "encoder", F.array_max(F.transform("pool", better))["point"].alias("point"))
+    return _offered(history, spaces, seed, sampler).select("segment_hash", "encoder", F.array_max(F.transform("pool", better))["point"].alias("point"))
 
 
 def matern(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
@@ -110,33 +114,78 @@ def acquisition(x: np.ndarray, y: np.ndarray, at: np.ndarray, target: float) ->
     return chance * at[:, 0] + CURIOSITY * spread / (spread.max() + 1e-6)
 
 
-def propose_bayes(at: DataFrame, spaces: DataFrame, target: float, seed: int) -> DataFrame:
+def batch_acquisition(x: np.ndarray, y: np.ndarray, at: np.ndarray, target: float) -> np.ndarray:
+    """acquisition for many segments with as many trials each: x (segments, trials, 3), y (segments, trials), at (segments, points, 3). All
+    factors of a scale are found in one call, and each segment keeps the scales of its highest evidence."""
+    apart = lambda a, b: np.sqrt(np.maximum(((a[:, :, None] - b[:, None]) ** 2).sum(axis=3), 0.0))
+    kernel = lambda d, length: (lambda r: (1 + r + r * r / 3) * np.exp(-r))(math.sqrt(5.0) * d / length)
+    middle, unit = y.mean(axis=1, keepdims=True), y.std(axis=1, keepdims=True)
+    unit = np.where(unit > 0, unit, 1.0)
+    z, own = ((y - middle) / unit)[:, :, None], apart(x, x)
+    best, scale = np.full(len(x), -np.inf), np.ones(len(x))
+    root, half = np.empty_like(own), np.empty_like(z)
+    for length in LENGTHS:
+        k = kernel(own, length)
+        for noise in NOISES:
+            r = np.linalg.cholesky(k + (noise + 1e-8) * np.eye(x.shape[1]))
+            h = np.linalg.solve(r, z)
+            evidence = -0.5 * (h**2).sum(axis=(1, 2)) - np.log(np.diagonal(r, axis1=1, axis2=2)).sum(axis=1)
+            better = evidence > best
+            best[better], scale[better], root[better], half[better] = evidence[better], length, r[better], h[better]
+    across = np.linalg.solve(root, kernel(apart(x, at), scale[:, None, None]))
+    mean = middle + unit * (across * half).sum(axis=1)
+    spread = np.maximum(unit * np.sqrt(np.maximum(1.0 - (across**2).sum(axis=1), 1e-12)), 1e-6)
+    chance = 0.5 * (1.0 + _erf((mean - target) / spread / math.sqrt(2.0)).astype(float))
+    return chance * at[:, :, 0] + CURIOSITY * spread / (spread.max(axis=1, keepdims=True) + 1e-6)
+
+
+_erf = np.frompyfunc(math.erf, 1, 1)
+
+
+def batch_picks(xs: list[np.ndarray], ys: list[np.ndarray], pools: list[np.ndarray], target: float) -> np.ndarray:
+    """For each segment the place in its pool with the highest acquisition (of equals the first), by batches of segments with as many
+    trials. Pools are made as long as the longest of a batch by their last points, which never come before themselves."""
+    out = np.zeros(len(xs), dtype=np.int32)
+    groups: dict[int, list[int]] = {}
+    for i, x in enumerate(xs):
+        groups.setdefault(len(x), []).append(i)
+    for members in groups.values():
+        for s in range(0, len(members), BATCH):
+            some = members[s : s + BATCH]
+            longest = max(len(pools[i]) for i in some)
+            at = np.stack([np.concatenate([pools[i], np.repeat(pools[i][-1:], longest - len(pools[i]), axis=0)]) for i in some])
+            out[some] = batch_acquisition(np.stack([xs[i] for i in some]), np.stack([ys[i] for i in some]), at, target).argmax(axis=1)
+    return out
+
+
+def propose_bayes(at: DataFrame, spaces: DataFrame, target: float, seed: int, sampler: str = "halton") -> DataFrame:
     """The candidate with the highest acquisition by a Gaussian process over the segment's trials."""
 
     @F.pandas_udf("int")
     def pick(x: pd.Series, y: pd.Series, pool: pd.Series) -> pd.Series:
-        return pd.Series([int(np.argmax(acquisition(np.reshape(a, (-1, 3)), np.asarray(b), np.reshape(c, (-1, 3)), target))) for a, b, c in zip(x, y, pool, strict=True)], dtype="int32")
+        cube = lambda values: [np.reshape(v, (-1, 3)).astype(float) for v in values]
+        return pd.Series(batch_picks(cube(x), [np.asarray(v, dtype=float) for v in y], cube(pool), target))
 
     flat = lambda points: F.flatten(F.transform(points, lambda p: F.array(*[p[a] for a in AXES])))
     history = at.groupBy("segment_hash", "encoder").agg(F.collect_set("key").alias("seen"), F.array_sort(F.collect_list(F.struct(*SEQ, *AXES, "vmaf"))).alias("points"))
-    chosen = _offered(history, spaces, seed).withColumn("i", pick(flat("points"), F.transform("points", lambda p: p["vmaf"]), flat("pool")))
+    chosen = _offered(history, spaces, seed, sampler).withColumn("i", pick(flat("points"), F.transform("points", lambda p: p["vmaf"]), flat("pool")))
     return chosen.select("segment_hash", "encoder", F.element_at("pool", F.col("i") + 1).alias("point"))
 
 
 PROPOSE = {"bayes": propose_bayes, "tpe": propose_tpe}
 
 
-def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, model: str, target: float, n: int = 12, seed: int = 0, n_first: int = 0) -> DataFrame:
+def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, model: str, target: float, n: int = 12, seed: int = 0, n_first: int = 0, sampler: str = "sobol") -> DataFrame:
     """About n trials of every segment: a design of the first n_first (half of them where that is 0), then what the model (bayes, tpe or
-    cmaes) proposes."""
+    cmaes) proposes. The sampler draws the first trials and the pools of candidates."""
     n = max(4, n)
     first = min(n, max(4, n_first or n // 2)) if model in PROPOSE else 4
-    start = segments.select("segment_hash", "encoder").join(F.broadcast(design.sampled_design(spaces, "sobol", first, seed)), "encoder")
+    start = segments.select("segment_hash", "encoder").join(F.broadcast(design.sampled_design(spaces, sampler, first, seed)), "encoder")
     trials = measured(measure, start.withColumn("stage", F.lit(0)))
     if model == "cmaes":
         return _evolve(trials, spaces, measure, target, n, seed)
     for i in range(1, n - first + 1):
-        proposed = PROPOSE[model](placed(trials, spaces, target), spaces, target, seed + i)
+        proposed = PROPOSE[model](placed(trials, spaces, target), spaces, target, seed + i, sampler)
         asked = proposed.select("segment_hash", "encoder", *[F.col(f"point.{c}").alias(c) for c in ("crf", "aq_mode", "aq_strength")], F.lit(0).alias("stage"), F.lit(1000 + i).alias("seq"))
         trials = trials.unionByName(measured(measure, asked))
     return trials

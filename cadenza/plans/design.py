@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -64,9 +65,29 @@ def _first_of_each(points: DataFrame, n: int) -> DataFrame:
     return first.withColumn("seq", F.row_number().over(W.partitionBy("encoder").orderBy("at"))).where(F.col("seq") <= n).drop("at", "d")
 
 
-def radical_inverse(i: Column, base: int, digits: int = 16) -> Column:
-    """The digits of i in a base, mirrored at the point: the van der Corput sequence."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), F.struct(i.cast("bigint").alias("n"), F.lit(0.0).alias("x"), F.lit(1.0 / base).alias("f")), lambda a, _: F.struct((a["n"] / F.lit(base)).cast("bigint").alias("n"), (a["x"] + a["f"] * (a["n"] % base)).alias("x"), (a["f"] / base).alias("f")), lambda a: a["x"])
+#: Digits of a Halton point in each base: as many as make up about SOBOL_BITS bits.
+HALTON_DIGITS = {2: 30, 3: 19, 5: 13}
+
+
+def digit_orders(base: int, seed: int) -> list[list[int]]:
+    """For each place after the point a permutation of the base's digits: their order by the MD5 of seed, base, place and digit."""
+    drawn = lambda place, digit: hashlib.md5(f"{seed}:halton{base}:{place}:{digit}".encode()).hexdigest()
+    orders = []
+    for place in range(HALTON_DIGITS[base]):
+        ranked = sorted(range(base), key=lambda d: (drawn(place, d), d))
+        orders.append([ranked.index(d) for d in range(base)])
+    return orders
+
+
+def halton(i: Column, base: int, seed: int) -> Column:
+    """The i-th point of a Halton axis: the digits of i in the base, each permuted as its place says, mirrored at the point. Sums are of
+    whole numbers, so a point is exact."""
+    orders, n = digit_orders(base, seed), HALTON_DIGITS[base]
+    x = F.lit(0).cast("bigint")
+    for place, order in enumerate(orders):
+        digit = F.pmod(F.floor(i / F.lit(float(base**place))).cast("bigint"), F.lit(base)).cast("int")
+        x = x + F.element_at(F.array(*[F.lit(v * base ** (n - 1 - place)).cast("bigint") for v in order]), digit + 1)
+    return (x.cast("double") + 0.5) / F.lit(float(base**n))
 
 
 #: Direction numbers of the first three Sobol axes, 30 bits each (fixed values; the first is the van der Corput sequence).
@@ -92,16 +113,23 @@ def draw(*parts: Column) -> Column:
 
 
 def sobol(i: Column, axis: int, seed: int) -> Column:
-    """The i-th point (from 0) of a Sobol axis, all its digits shifted by exclusive or with a seeded number."""
-    x = F.floor(draw(F.lit(str(seed)), F.lit(f"sobol{axis}")) * F.lit(float(1 << SOBOL_BITS))).cast("bigint")
+    """The i-th point (from 0) of a Sobol axis, scrambled digit by digit: whether a binary digit is turned hangs on the seed and all digits
+    before it (a nested uniform scramble, so every dyadic box keeps its points, and the error of means falls faster than by a shift)."""
+    x = F.lit(0).cast("bigint")
     for j, v in enumerate(sobol_directions()[axis][:16]):
         x = x.bitwiseXOR(F.shiftright(i, j).bitwiseAND(1).cast("bigint") * F.lit(v))
-    return (x.cast("double") + 0.5) / F.lit(float(1 << SOBOL_BITS))
+
+    def turned(x: Column) -> Column:
+        before = lambda k: F.floor(x / F.pow(F.lit(2.0), F.lit(SOBOL_BITS) - k)).cast("bigint")
+        odd = lambda k: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:sobol{axis}:"), k.cast("string"), F.lit(":"), before(k).cast("string"))), 1, 1), 16, 10).cast("bigint") % 2
+        return F.aggregate(F.sequence(F.lit(0), F.lit(SOBOL_BITS - 1)), F.lit(0).cast("bigint"), lambda out, k: out * 2 + (before(k + 1) + odd(k)) % 2)
+
+    return (F.transform(F.array(x), turned)[0].cast("double") + 0.5) / F.lit(float(1 << SOBOL_BITS))
 
 
 def sampled_design(spaces: DataFrame, method: str = "sobol", n: int = 16, seed: int = 0) -> DataFrame:
     """n (65,536 at most) points of each space by a low-discrepancy or random method: sobol, halton, lhs (one point in each of n strata
-    of every axis) or random. All draws hang on the seed alone."""
+    of every axis) or random. Sobol and Halton points are scrambled. All draws hang on the seed alone."""
     s = P.space_columns()
     points = spaces.withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(n))))
     said = lambda *parts: draw(F.lit(str(seed)), *parts)
@@ -109,7 +137,7 @@ def sampled_design(spaces: DataFrame, method: str = "sobol", n: int = 16, seed:
     if method == "sobol":
         u = [sobol(F.col("at") - 1, axis, seed) for axis in range(3)]
     elif method == "halton":
-        u = [F.pmod(radical_inverse(F.col("at"), base) + said(F.lit(f"halton{base}")), F.lit(1.0)) for base in (2, 3, 5)]
+        u = [halton(F.col("at"), base, seed) for base in (2, 3, 5)]
     elif method == "lhs":
         stratum = lambda axis: F.row_number().over(W.partitionBy("encoder").orderBy(said(F.col("encoder"), F.col("at").cast("string"), F.lit(f"order{axis}")), "at")) - 1
         u = [(stratum(a) + each(a)) / F.lit(float(n)) for a in range(3)]

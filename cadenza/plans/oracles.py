@@ -277,17 +277,24 @@ _SOLVED = "SELECT segment_hash, aq_mode, aq_strength, target, crf_low, vmaf_low,
 _DRAW = "CAST('0x' || substr(md5({}), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
 
 
-def _radical(base: int) -> str:
-    return " + ".join(f"(nr // {base**j}) % {base} * {1.0 / base**(j + 1)!r}::DOUBLE" for j in range(5))
+def _halton(base: int) -> str:
+    """Digits of the number, each replaced by its place in the order of MD5s that belongs to its position, mirrored at the point."""
+    n = {2: 30, 3: 19, 5: 13}[base]
+    hashed = lambda d: f"md5('0:halton{base}:' || j || ':' || {d}) || {d}"
+    digit = f"CAST((nr // CAST(pow({base}, j) AS BIGINT)) % {base} AS BIGINT)"
+    rank = " + ".join(f"CASE WHEN {hashed(d)} < {hashed(digit)} THEN 1 ELSE 0 END" for d in range(base))
+    return f"(CAST(list_sum(list_transform(range(0, {n}), lambda j: ({rank}) * CAST(pow({base}, {n - 1} - j) AS BIGINT))) AS DOUBLE) + 0.5::DOUBLE) / {base**n}.0::DOUBLE"
 
 
 def _sobol(axis: int) -> str:
-    """Bits of the index pick direction numbers: those of the van der Corput sequence, and of the polynomials x + 1 and x^2 + x + 1."""
+    """Bits of the index pick direction numbers: those of the van der Corput sequence, and of the polynomials x + 1 and x^2 + x + 1; then
+    a digit is turned where the MD5 of the digits before it is odd in its first place."""
     m = [[1] * 5, [1, 3, 5, 15, 17], [1, 3, 3, 9, 29]][axis]  # initial numbers m_k of the axes (fixed values)
     bits = " ".join(f"WHEN {j} THEN {v << (29 - j)}" for j, v in enumerate(m))
     picked = f"list_transform(range(0, 5), lambda j: CASE WHEN ((nr - 1) >> j) & 1 = 1 THEN CASE j {bits} END ELSE 0 END)"
-    shift = f"CAST(floor({_DRAW.format(f"'0:sobol{axis}'")} * 1073741824.0::DOUBLE) AS BIGINT)"
-    return f"(list_reduce(list_prepend({shift}, {picked}), lambda a, b: xor(a, CAST(b AS BIGINT))) + 0.5::DOUBLE) / 1073741824.0::DOUBLE"
+    plain = f"list_reduce(list_prepend(CAST(0 AS BIGINT), {picked}), lambda a, b: xor(a, CAST(b AS BIGINT)))"
+    turn = f"CAST('0x' || substr(md5('0:sobol{axis}:' || k || ':' || (x >> CAST(30 - k AS INT))), 1, 1) AS BIGINT) & 1"
+    return f"list_transform([{plain}], lambda x: (CAST(list_sum(list_transform(range(0, 30), lambda k: xor((x >> CAST(29 - k AS INT)) & 1, {turn}) * CAST(pow(2, 29 - k) AS BIGINT))) AS DOUBLE) + 0.5::DOUBLE) / 1073741824.0::DOUBLE)[1]"
 
 
 def sampled(method: str, n: int = 16) -> str:
@@ -296,7 +303,7 @@ def sampled(method: str, n: int = 16) -> str:
     if method == "sobol":
         u = [_sobol(a) for a in range(3)]
     elif method == "halton":
-        u = [f"fmod({_radical(b)} + {_DRAW.format(f"'0:halton{b}'")}, 1.0::DOUBLE)" for b in (2, 3, 5)]
+        u = [_halton(b) for b in (2, 3, 5)]
     elif method == "lhs":
         u = [f"(row_number() OVER (PARTITION BY encoder ORDER BY {_DRAW.format(f"'0:' || encoder || ':' || nr || ':order{a}'")}, nr) - 1 + {each(a)}) / {n}.0::DOUBLE" for a in range(3)]
     else:

@@ -87,6 +87,27 @@ def test_gaussian_process_agrees_with_its_formula():
     assert np.allclose(spread**2, y.var() * (1 - np.einsum("ij,ik,kj->j", across, inverse, across)), atol=1e-8)
 
 
+def test_batches_of_processes_pick_what_each_alone_does():
+    rng = np.random.default_rng(2)
+    xs, ys, pools = [], [], []
+    for i in range(300):
+        n = 4 + i % 3
+        xs.append(rng.random((n, 3)))
+        ys.append(np.full(n, 90.0) if i % 50 == 7 else 95 - 30 * xs[-1][:, 0] + rng.normal(size=n))
+        pools.append(rng.random((10 + i % 7, 3)))
+    got = adaptive.batch_picks(xs, ys, pools, 85.0)
+    for x, y, pool, place in zip(xs, ys, pools, got, strict=True):
+        alone = adaptive.acquisition(x, y, pool, 85.0)
+        assert place < len(pool) and alone[place] == pytest.approx(alone.max(), abs=1e-9)
+
+
+def test_pools_hold_each_point_once_whatever_the_sampler(spark):
+    for sampler in ("halton", "sobol", "lhs"):
+        for r in adaptive.candidates(views.spaces(spark), 1, 24, sampler).collect():
+            keys = [p.key for p in r.pool]
+            assert len(keys) == len(set(keys)) and [p.seq for p in r.pool] == sorted(p.seq for p in r.pool)
+
+
 def test_bayes_proposes_the_highest_acquisition(spark, history):
     at = adaptive.placed(history, views.spaces(spark), 85.0)
     got = {r.segment_hash: r.point for r in adaptive.propose_bayes(at, views.spaces(spark), 85.0, 3).collect()}

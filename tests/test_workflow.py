@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
+import statistics
 
 import numpy as np
 import pytest
@@ -192,6 +194,44 @@ def test_sobol_points_fill_every_dyadic_box(spark):
             assert len({(int(r[a] * 4), int(r[b] * 4)) for r in rows}) == 16
 
 
+def _unscrambled(i: int, axis: int) -> int:
+    x = 0
+    for j, v in enumerate(design.sobol_directions()[axis]):
+        x ^= (i >> j & 1) * v
+    return x
+
+
+def _scrambled(i: int, axis: int, seed: int) -> float:
+    x, out = _unscrambled(i, axis), 0
+    for k in range(30):
+        odd = int(hashlib.md5(f"{seed}:sobol{axis}:{k}:{x >> (30 - k)}".encode()).hexdigest()[0], 16) & 1
+        out = 2 * out + ((x >> (29 - k) & 1) ^ odd)
+    return (out + 0.5) / 2**30
+
+
+def test_sobol_points_are_scrambled_digit_by_digit(spark):
+    for axis in range(3):
+        got = [r[0] for r in spark.range(40).orderBy("id").select(design.sobol(F.col("id"), axis, 4)).collect()]
+        assert got == [_scrambled(i, axis, 4) for i in range(40)]
+    # means of a smooth function: the scramble's error over seeds is well below that of a shift of all digits
+    error = lambda points: statistics.fmean(u * u for u in points) - 1 / 3
+    turned = [error([_scrambled(i, 1, seed) for i in range(64)]) for seed in range(20)]
+    plain = [_unscrambled(i, 1) for i in range(64)]
+    shifted = [error([((p ^ (hash_ % 2**30)) + 0.5) / 2**30 for p in plain]) for hash_ in (int(hashlib.md5(str(s).encode()).hexdigest(), 16) for s in range(20))]
+    root = lambda errors: math.sqrt(statistics.fmean(e * e for e in errors))
+    assert root(turned) < 0.5 * root(shifted)
+
+
+def test_halton_digits_are_permuted_and_fill_every_box(spark):
+    for base in (2, 3, 5):
+        orders = design.digit_orders(base, 9)
+        assert all(sorted(o) == list(range(base)) for o in orders) and len({tuple(o) for o in orders}) > 1
+        got = [r[0] for r in spark.range(1, base**3 + 1).orderBy("id").select(design.halton(F.col("id"), base, 9)).collect()]
+        assert sorted(int(u * base**3) for u in got) == list(range(base**3))
+        plain = lambda i: (sum(o[i // base**k % base] * base ** (len(orders) - 1 - k) for k, o in enumerate(orders)) + 0.5) / base ** len(orders)  # noqa: B023, E731
+        assert got == [plain(i) for i in range(1, base**3 + 1)]
+
+
 def test_checkpoint_files_are_read_by_lines_in_order(spark, tmp_path):
     good = '{"segment_hash":"s","encoder":"e","source":"%s","results":{"85":{"feasible":true}}}'
     (tmp_path / "part-1.json").write_text("\n".join([good % "one", "{broken", "", good % "two"]) + "\n")
