@@ -21,11 +21,11 @@ COLUMNS = (*META, *FEATURES, *LABELS)
 def results(rated: DataFrame, k: int = TOP_K, seq: tuple[str, ...] = SEQ) -> DataFrame:
     """A row per segment and target: the best trial (of highest quality where none is feasible), its k best feasible trials, counts.
 
-    One pass: the trials of a segment meet once, for the ranking, the counts and all that follows by segment.
+    One pass if rated is dealt out by segment: the ranking, the counts and all that follows go on where it lies.
     """
     part = W.partitionBy("segment_hash", "target")
     order = part.orderBy(F.desc("feasible"), F.desc(F.when(F.col("feasible"), F.col("score")).otherwise(F.col("vmaf"))), *seq)
-    scored = scoring.with_score(rated.repartition("segment_hash")).drop("compression", "quality")
+    scored = scoring.with_score(rated).drop("compression", "quality")
     ranked = scored.withColumns({"rank": F.row_number().over(order), "n_trials": F.count(F.lit(1)).over(part)}).where(F.col("rank") <= max(1, k))
     params = F.struct("crf", "aq_mode", "aq_strength")
     choice = F.struct("rank", params.alias("params"), "vmaf", "rate", scoring.compression_ratio(F.col("rate")).alias("ratio"), "score", "feasible")

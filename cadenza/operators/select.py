@@ -55,16 +55,21 @@ def crf_samples(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
     return rated.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
-def crf_bracket(rated: DataFrame, seq: tuple[str, ...] = SEQ) -> DataFrame:
-    """low: the highest crf that meets the target; high: the lowest above it that does not; each with its quality."""
+def crf_bracket(rated: DataFrame, seq: tuple[str, ...] = SEQ, n_last: int = 0) -> DataFrame:
+    """low: the highest crf that meets the target; high: the lowest above it that does not; each with its quality. n_last: history holds so many
+    of the points (crf, vmaf), those measured last, in their order."""
     group = ["segment_hash", "aq_mode", "aq_strength", "target"]
     meets = F.col("vmaf") >= F.col("target")
     samples = crf_samples(rated, seq).withColumn("low", F.max(F.when(meets, F.col("crf"))).over(W.partitionBy(*group)))
     above = ~meets & (F.col("low").isNull() | (F.col("crf") > F.col("low")))
-    at = lambda which: F.struct("crf", "vmaf") if which is None else F.when(which, F.struct("crf", "vmaf"))
-    return samples.groupBy(*group).agg(F.max(at(meets)).alias("lo"), F.min(at(above)).alias("hi")).select(
-        *group, F.col("lo.crf").alias("crf_low"), F.col("lo.vmaf").alias("vmaf_low"), F.col("hi.crf").alias("crf_high"), F.col("hi.vmaf").alias("vmaf_high")
-    )
+    at = lambda which: F.when(which, F.struct("crf", "vmaf"))
+    found = [F.max(at(meets)).alias("lo"), F.min(at(above)).alias("hi")]
+    ends = [F.col(f"{side}.{c}").alias(f"{c}_{end}") for side, end in (("lo", "low"), ("hi", "high")) for c in ("crf", "vmaf")]
+    if n_last:
+        samples = samples.withColumn("n", F.row_number().over(W.partitionBy(*group).orderBy(*[F.desc(c) for c in seq])))
+        last = F.when(F.col("n") <= n_last, F.struct((-F.col("n")).alias("n"), "crf", "vmaf"))
+        found, ends = [*found, F.array_sort(F.collect_list(last)).alias("history")], [*ends, "history"]
+    return samples.groupBy(*group).agg(*found).select(*group, *ends)
 
 
 def crf_guess(method: str, lo, vmaf_lo, hi, vmaf_hi, target, history=None):

@@ -46,8 +46,9 @@ def latest_records(lines: DataFrame, encoder: str, targets: list[float]) -> Data
     parsed = lines.where(F.trim("line") != "").withColumn("r", F.from_json("line", RECORD)).where("r.segment_hash IS NOT NULL")
     has = F.transform(F.map_keys("r.results"), lambda k: k.try_cast("double"))
     full = parsed.where((F.col("r.encoder") == encoder) & (F.size(F.array_except(F.array(*map(F.lit, targets)), has)) == 0))
-    last = W.partitionBy("r.segment_hash").orderBy(F.desc("pos"))
-    return full.withColumn("n", F.row_number().over(last)).where("n = 1").select("pos", "r.*")
+    last = W.partitionBy("segment_hash").orderBy(F.desc("pos"))
+    dealt = full.select("pos", "r.*").repartition("segment_hash")  # whole records are sorted where they meet only
+    return dealt.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
 def append_records(records: DataFrame, path: str) -> int:

@@ -40,27 +40,27 @@ def top_trials(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_or_closest(spark: SparkSession, sf: str) -> DataFrame:
-    return select.best_or_closest(views.rated(spark, sf)).select("segment_hash", "target", "feasible", "crf", "aq_mode", "aq_strength", "vmaf", F.round("score", 6).alias("score"))
+    return select.best_or_closest(views.rated(spark, sf, True)).select("segment_hash", "target", "feasible", "crf", "aq_mode", "aq_strength", "vmaf", F.round("score", 6).alias("score"))
 
 
 def best_aq(spark: SparkSession, sf: str) -> DataFrame:
-    return select.best_aq(views.rated(spark, sf)).select("segment_hash", "target", "aq_mode", "aq_strength", F.round("proxy", 9).alias("value"))
+    return select.best_aq(views.rated(spark, sf, True)).select("segment_hash", "target", "aq_mode", "aq_strength", F.round("proxy", 9).alias("value"))
 
 
 def rank_aq(spark: SparkSession, sf: str) -> DataFrame:
-    return select.rank_aq(views.rated(spark, sf)).select("segment_hash", "target", "aq_mode", "aq_strength", F.round("value", 9).alias("value"), C("rank").cast("int").alias("rank"))
+    return select.rank_aq(views.rated(spark, sf, True)).select("segment_hash", "target", "aq_mode", "aq_strength", F.round("value", 9).alias("value"), C("rank").cast("int").alias("rank"))
 
 
 def refine_aq(spark: SparkSession, sf: str) -> DataFrame:
-    return select.rank_aq(views.rated(spark, sf), 2).groupBy("target", "aq_mode", "aq_strength").agg(F.count(F.lit(1)).alias("n_segments"))
+    return select.rank_aq(views.rated(spark, sf, True), 2).groupBy("target", "aq_mode", "aq_strength").agg(F.count(F.lit(1)).alias("n_segments"))
 
 
 def crf_bracket(spark: SparkSession, sf: str) -> DataFrame:
-    return select.crf_bracket(views.rated(spark, sf))
+    return select.crf_bracket(views.rated(spark, sf, True))
 
 
 def crf_guess(spark: SparkSession, sf: str) -> DataFrame:
-    b = select.crf_bracket(views.rated(spark, sf))
+    b = select.crf_bracket(views.rated(spark, sf, True))
     golden = select.clamped_guess(b, "golden").select("segment_hash", "aq_mode", "aq_strength", "target", F.round("guess", 6).alias("golden"))
     return select.clamped_guess(b).select("segment_hash", "aq_mode", "aq_strength", "target", F.round("guess", 6).alias("secant")).join(golden, ["segment_hash", "aq_mode", "aq_strength", "target"])
 
@@ -68,7 +68,7 @@ def crf_guess(spark: SparkSession, sf: str) -> DataFrame:
 def iq_guess(spark: SparkSession, sf: str) -> DataFrame:
     """A crf from the last three trials of every segment."""
     order = W.partitionBy("segment_hash", "target").orderBy(*[F.desc(c) for c in SEQ])
-    r = views.rated(spark, sf).withColumn("n", F.row_number().over(order)).where("n <= 3")
+    r = views.rated(spark, sf, True).withColumn("n", F.row_number().over(order)).where("n <= 3")
     h = r.groupBy("segment_hash", "target").agg(F.array_sort(F.collect_list(F.struct((-C("n")).alias("n"), "crf", "vmaf"))).alias("h"))
     return h.select("segment_hash", "target", F.round(select.inverse_quadratic(C("h"), C("target")), 4).alias("guess"))
 
@@ -83,7 +83,7 @@ def explored_range(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def tpe_split(spark: SparkSession, sf: str) -> DataFrame:
-    return select.good_bad(views.rated(spark, sf)).select("segment_hash", "target", "n_good", *[F.round(c, 6).alias(c) for c in ("good_mean", "good_std", "bad_mean", "bad_std")])
+    return select.good_bad(views.rated(spark, sf, True)).select("segment_hash", "target", "n_good", *[F.round(c, 6).alias(c) for c in ("good_mean", "good_std", "bad_mean", "bad_std")])
 
 
 def _with_space(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,7 +118,7 @@ def aq_grid(spark: SparkSession, sf: str) -> DataFrame:
 def aq_neighbors(spark: SparkSession, sf: str) -> DataFrame:
     """For the best setting of every segment and target its neighbours on the encoder's grid."""
     near = design.aq_neighbours(design.aq_grid(views.spaces(spark).where("encoder = 'libsvtav1'"))).drop("encoder")
-    return select.best_aq(views.rated(spark, sf)).select("segment_hash", "target", "aq_mode", "aq_strength").join(F.broadcast(near), ["aq_mode", "aq_strength"])
+    return select.best_aq(views.rated(spark, sf, True)).select("segment_hash", "target", "aq_mode", "aq_strength").join(F.broadcast(near), ["aq_mode", "aq_strength"])
 
 
 def screen_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -318,7 +318,7 @@ def quality_logs(spark: SparkSession, sf: str) -> DataFrame:
 
 def result_summary(spark: SparkSession, sf: str) -> DataFrame:
     """A line of text for each segment's result at each target."""
-    b = select.best_or_closest(views.rated(spark, sf))
+    b = select.best_or_closest(views.rated(spark, sf, True))
     met = F.when(C("feasible"), "MET").otherwise("MISSED")
     line = F.concat(C("segment_hash"), F.lit(" target "), P.short(C("target")), F.lit(": "), store.params_key(C("crf"), C("aq_mode"), C("aq_strength")), F.format_string(" vmaf=%.2f out=%.4f MB [", "vmaf", C("out_bytes") / F.lit(1e6)), met, F.lit("]"))
     return b.select("segment_hash", "target", line.alias("line"))

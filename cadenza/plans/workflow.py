@@ -23,7 +23,7 @@ FITTED = training.Settings(trees=6, step=0.5, least_rows=8)  # what the queries
 
 
 def search_records(spark: SparkSession, sf: str) -> DataFrame:
-    return records.nested(records.results(views.rated(spark, sf)), views.features(spark, sf))
+    return records.nested(records.results(views.rated(spark, sf, True)), views.features(spark, sf))
 
 
 def dataset_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,6 +47,8 @@ def latest_records(spark: SparkSession, sf: str) -> DataFrame:
     r = search_records(spark, sf)
     lines = r.select(F.substring("segment_hash", 5, 20).cast("bigint").alias("k"), F.to_json(F.struct(*r.columns)).alias("value"))
     path = commitlog.scratch(spark, "checkpoint")
+    commitlog.append(lines.select("value"), f"{path}-made")  # worked out once, for three writers
+    lines = commitlog.lines(spark, f"{path}-made").select(F.get_json_object("line", "$.segment_hash").alias("h"), C("line").alias("value")).select(F.substring("h", 5, 20).cast("bigint").alias("k"), "value")
     commitlog.append(lines.select(F.when(C("k") % 5 == 0, F.substring("value", 1, 60)).otherwise(C("value")).alias("value")), path)
     again = lambda name: lines.where("k % 2 = 0").select(F.replace("value", F.lit('"source":"src_'), F.lit(f'"source":"{name}_')).alias("value"))
     commitlog.append(again("again"), path)
@@ -101,7 +103,7 @@ def metadata_ranges(spark: SparkSession, sf: str) -> DataFrame:
 
 def package_manifest(spark: SparkSession, sf: str) -> DataFrame:
     """A package document for the encoder, with the share of segments that each target's bundle serves."""
-    ok = select.best_or_closest(views.rated(spark, sf)).groupBy("encoder", "target").agg(F.round(F.avg(C("feasible").cast("double")), 4).alias("hit_rate"))
+    ok = select.best_or_closest(views.rated(spark, sf, True)).groupBy("encoder", "target").agg(F.round(F.avg(C("feasible").cast("double")), 4).alias("hit_rate"))
     return manifests.package_manifest(ok.withColumn("path", F.concat_ws("/", "encoder", F.concat(F.lit("target_"), P.short(C("target"))))))
 
 
@@ -212,7 +214,7 @@ def left_out(spark: SparkSession, sf: str) -> DataFrame:
     tenths, others = F.round(C("crf") * 10).cast("bigint"), F.count(F.lit(1)).over(of) - 1
     mean = F.when(others > 0, (F.sum(tenths).over(of) - tenths) / (10.0 * others)).otherwise(C("crf"))
     mode = (2 * (F.sum("aq_mode").over(of) - C("aq_mode")) > others).cast("int")
-    return select.best_or_closest(views.rated(spark, sf)).withColumns({"predicted": mean, "mode_predicted": mode})
+    return select.best_or_closest(views.rated(spark, sf, True)).withColumns({"predicted": mean, "mode_predicted": mode})
 
 
 def scene_features(spark: SparkSession, sf: str) -> DataFrame:
@@ -288,7 +290,7 @@ def search_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def solved(spark: SparkSession, sf: str, method: str) -> DataFrame:
-    b = select.crf_bracket(views.rated(spark, sf)).withColumn("encoder", F.lit("libsvtav1"))
+    b = select.crf_bracket(views.rated(spark, sf, True)).withColumn("encoder", F.lit("libsvtav1"))
     return design.solve_crf(b, searching.nearest_recorded(views.trials(spark, sf)), method).drop("encoder")
 
 
@@ -298,13 +300,8 @@ def crf_solve_brent(spark: SparkSession, sf: str) -> DataFrame:
 
 def brent_guess(spark: SparkSession, sf: str) -> DataFrame:
     """The next crf of every bracket by the last three points that were measured at its setting."""
-    group = ["segment_hash", "aq_mode", "aq_strength", "target"]
-    r = views.rated(spark, sf)
-    order = W.partitionBy(*group).orderBy(*[F.desc(c) for c in SEQ])
-    last = select.crf_samples(r).withColumn("n", F.row_number().over(order)).where("n <= 3")
-    history = last.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct((-C("n")).alias("n"), "crf", "vmaf"))).alias("history"))
-    b = select.crf_bracket(r).join(history, group)
-    return select.clamped_guess(b, "brent").select(*group, F.round("guess", 6).alias("guess"))
+    b = select.crf_bracket(views.rated(spark, sf, True), n_last=3)
+    return select.clamped_guess(b, "brent").select("segment_hash", "aq_mode", "aq_strength", "target", F.round("guess", 6).alias("guess"))
 
 
 ALL = (dataset_rows, training_rows, infeasible_share, latest_records, design_matrix, training_groups, completeness, train_models, metadata_ranges, package_manifest, run_summary, segment_manifest, complete_manifests, frame_counts, listed_formats, encode_argv, space_guesses, video_plan, fallback_pieces, record_lines, scene_features, picture_features, frame_pairs, trial_counts, even_trials, trial_store, stored_trials, search_results, crf_solve_brent, brent_guess)

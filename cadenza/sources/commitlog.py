@@ -95,9 +95,9 @@ def commit(spark: SparkSession, path: str, files: list[str], replaces: bool = Fa
 
 
 def written(lines: DataFrame, path: str) -> list[str]:
-    """Writes the column value of lines as text under a new name and returns the names of its files; without a commit nobody reads them."""
+    """Writes the column value of lines as text, compressed, under a new name and returns the names of its files; without a commit nobody reads them."""
     name = f"data/{uuid.uuid4().hex}"
-    lines.select("value").write.text(f"{path.rstrip('/')}/{name}")
+    lines.select("value").write.option("compression", "gzip").text(f"{path.rstrip('/')}/{name}")
     return [f"{name}/{n}" for n in Folder(lines.sparkSession, path).names(name) if n.startswith("part-")]
 
 

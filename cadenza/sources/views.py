@@ -60,9 +60,11 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every trial with its rate, against every target (three rows, so they are broadcast)."""
-    with_rate = trials(spark, sf_dir).withColumn("rate", F.when(F.col("ref_bytes") > 0, F.col("out_bytes") / F.col("ref_bytes")).otherwise(1.0))
+def rated(spark: SparkSession, sf_dir: str, by_segment: bool = False) -> DataFrame:
+    """Every trial with its rate, against every target (three rows, so they are broadcast). by_segment: for what goes on by segment; trials are
+    dealt out once, before they are multiplied by the targets, and nothing is sorted before it is dealt out."""
+    measured = trials(spark, sf_dir)
+    with_rate = (measured.repartition("segment_hash") if by_segment else measured).withColumn("rate", F.when(F.col("ref_bytes") > 0, F.col("out_bytes") / F.col("ref_bytes")).otherwise(1.0))
     return with_rate.crossJoin(F.broadcast(targets(spark)))
 
 
