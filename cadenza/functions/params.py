@@ -19,6 +19,15 @@ def rounded_strength(strength: Column) -> Column:
     return F.bround(strength, 2)
 
 
+def quickly(rounding, x: Column, digits: int) -> Column:
+    """rounding (round or bround) of a double to some digits. Both go by way of decimal text, which only matters near ties and for large
+    numbers: elsewhere the nearest whole number of units is the same, and its quotient the same double."""
+    y = x * F.lit(10.0**digits)
+    near = F.rint(y)
+    clear = (F.abs(F.abs(y - near) - 0.5) > 1e-6) & (F.abs(y) < 2e9)
+    return F.when(clear, near / F.lit(10.0**digits) + 0.0).otherwise(rounding(x, digits))
+
+
 def params_key(crf: Column, mode: Column, strength: Column) -> Column:
     return F.concat(F.lit("crf="), short(rounded_crf(crf)), F.lit(",aq_mode="), mode.cast("string"), F.lit(",aq_strength="), short(rounded_strength(strength)))
 
@@ -29,16 +38,17 @@ def trial_key(segment: Column, encoder: Column, params: Column, model: Column, s
 
 def nearest_mode(modes: Column, mode: Column) -> Column:
     """The mode nearest to mode; of two as near the first."""
-    return F.array_min(F.transform(modes, lambda m, i: F.struct(F.abs(m - mode).alias("d"), i.alias("i"), m.alias("m"))))["m"]
+    nearest = F.array_min(F.transform(modes, lambda m, i: F.struct(F.abs(m - mode).alias("d"), i.alias("i"), m.alias("m"))))["m"]
+    return F.when(F.array_contains(modes, mode), mode).otherwise(nearest)
 
 
 def clamp(crf: Column, mode: Column, strength: Column, space: dict[str, Column]) -> dict[str, Column]:
     """The parameters moved into the space and rounded."""
     inside = F.least(F.greatest(strength, space["strength_min"]), space["strength_max"])
     return {
-        "crf": rounded_crf(F.least(F.greatest(crf, space["crf_min"]), space["crf_max"])),
-        "aq_mode": nearest_mode(space["aq_modes"], F.bround(mode.cast("double"), 0).cast("int")),
-        "aq_strength": rounded_strength(F.when(space["integer_strength"], F.bround(inside, 0)).otherwise(inside)),
+        "crf": quickly(F.bround, F.least(F.greatest(crf, space["crf_min"]), space["crf_max"]), 1),
+        "aq_mode": nearest_mode(space["aq_modes"], F.rint(mode.cast("double")).cast("int")),
+        "aq_strength": quickly(F.bround, F.when(space["integer_strength"], F.rint(inside)).otherwise(inside), 2),
     }
 
 

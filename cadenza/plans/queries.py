@@ -100,7 +100,7 @@ def unit_cube(spark: SparkSession, sf: str) -> DataFrame:
     s = P.space_columns()
     c = _with_space(spark, sf).select("encoder", *s, *SEQ, *[v.alias(f"c_{k}") for k, v in P.clamp(C("crf"), C("aq_mode"), C("aq_strength"), s).items()])
     u = P.to_unit(C("c_crf"), C("c_aq_mode"), C("c_aq_strength"), s)
-    placed = c.select("*", *[F.round(v, 9).alias(k) for k, v in u.items()])
+    placed = c.select("*", *[P.quickly(F.round, v, 9).alias(k) for k, v in u.items()])
     back = P.from_unit(C("crf_u"), C("mode_u"), C("strength_u"), s)
     return placed.select("encoder", *SEQ, "crf_u", "mode_u", "strength_u", *[v.alias(k) for k, v in back.items()])
 
