@@ -20,7 +20,7 @@ from cadenza.functions import params as P
 from cadenza.functions import scoring
 from cadenza.operators import select
 from cadenza.plans import design
-from cadenza.plans.rounds import SEQ, Measure, measured, rate, rated, settled
+from cadenza.plans.rounds import SEQ, Measure, dealt, measured, rate, rated, settled
 
 AXES = ("crf_u", "mode_u", "strength_u")
 #: Share of the trials that count as good, and the least spread of good and bad ones.
@@ -180,7 +180,7 @@ def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, model: str
     cmaes) proposes. The sampler draws the first trials and the pools of candidates."""
     n = max(4, n)
     first = min(n, max(4, n_first or n // 2)) if model in PROPOSE else 4
-    start = segments.select("segment_hash", "encoder").join(F.broadcast(design.sampled_design(spaces, sampler, first, seed)), "encoder")
+    start = dealt(segments.select("segment_hash", "encoder")).join(F.broadcast(design.sampled_design(spaces, sampler, first, seed)), "encoder")
     trials = measured(measure, start.withColumn("stage", F.lit(0)))
     if model == "cmaes":
         return _evolve(trials, spaces, measure, target, n, seed)

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from cadenza.functions import params as P
 from cadenza.operators import records, select
 from cadenza.plans import adaptive, design
-from cadenza.plans.rounds import SEQ, TRIAL, Measure, measured, rated, settled
+from cadenza.plans.rounds import SEQ, TRIAL, Measure, dealt, measured, rated, settled
 
 
 def recorded(trials: DataFrame) -> Measure:
@@ -30,7 +30,7 @@ def nearest_recorded(trials: DataFrame) -> Measure:
     A setting's points are an array: crf has one digit after the point, so a space holds a few hundred of them at most."""
     setting = ["segment_hash", "encoder", "aq_mode", "aq_strength"]
     point = F.struct("crf", "vmaf", "out_bytes", "ref_bytes")
-    known = settled(select_last(trials).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points")))
+    known = settled(select_last(dealt(trials)).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points")))
 
     def measure(proposals: DataFrame) -> DataFrame:
         near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(p["crf"] - F.col("crf")).alias("apart"), p.alias("p"))))["p"]
@@ -67,7 +67,7 @@ def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, strategy:
         points = design.grid_design(spaces, n)
     else:
         points = design.sampled_design(spaces, strategy, n)
-    asked = segments.select("segment_hash", "encoder").join(F.broadcast(points), "encoder").withColumn("stage", F.lit(0))
+    asked = dealt(segments.select("segment_hash", "encoder")).join(F.broadcast(points), "encoder").withColumn("stage", F.lit(0))
     return measured(measure, asked)
 
 

@@ -27,3 +27,13 @@ def test_records_are_written_compressed_and_read_back(spark, tmp_path):
     files = [f for f in (tmp_path / "log" / "data").rglob("part-*")]
     assert files and all(f.suffix == ".gz" for f in files) and sum(f.stat().st_size for f in files) < 5000
     assert [r.line for r in commitlog.lines(spark, path).orderBy("pos").collect()] == [f"line {i} " * 50 for i in range(100)]
+
+
+def test_what_is_dealt_out_stays_where_it_lies(spark):
+    from cadenza.plans.rounds import dealt
+
+    rows = spark.createDataFrame([(f"s{i % 7}", i % 3, float(i)) for i in range(60)], "segment_hash string, aq_mode int, crf double")
+    known = dealt(rows).groupBy("segment_hash", "aq_mode").agg({"crf": "max"})
+    asked = dealt(rows)
+    text = plan(asked.hint("merge").join(known, ["segment_hash", "aq_mode"], "left"))
+    assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") > 0
