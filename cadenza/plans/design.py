@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from cadenza.functions import params as P
 from cadenza.operators import select
-from cadenza.plans.rounds import settled
+from cadenza.plans.rounds import kept, settled
 
 
 def aq_grid(spaces: DataFrame, steps: int = 5) -> DataFrame:
@@ -167,13 +167,14 @@ def narrow(brackets: DataFrame, measure=synthetic_surface, method: str = "secant
     ends_of = lambda end: F.struct(F.col(f"crf_{end}").alias("crf"), F.col(f"vmaf_{end}").alias("vmaf"))
     now = brackets.withColumn("history", F.array(ends_of("low"), ends_of("high"))) if method == "brent" else brackets
     names, wide = now.columns, F.coalesce(F.col("crf_high") - F.col("crf_low") > tolerance, F.lit(False))
-    now = settled(now)
+    hold = kept if "segment_hash" in names else settled
+    now = hold(now)
     closed, probes = [now.where(~wide).select(*brackets.columns)], []
     now = now.where(wide)
     for i in range(rounds):
         if i and now.isEmpty():
             break
-        probed = settled(measure(select.with_guess(now, method).withColumn("crf", P.rounded_crf(F.col("guess"))).drop("guess")))
+        probed = hold(measure(select.with_guess(now, method).withColumn("crf", P.rounded_crf(F.col("guess"))).drop("guess")))
         probes.append(probed)
         useful = F.coalesce(F.col("vmaf").isNotNull() & (F.col("crf") > F.col("crf_low")) & (F.col("crf") < F.col("crf_high")), F.lit(False))
         closed.append(probed.where(~useful).select(*brackets.columns))

@@ -15,7 +15,8 @@ from pyspark.sql import Window as W
 from cadenza.functions import params as P
 from cadenza.operators import records, select
 from cadenza.plans import adaptive, design
-from cadenza.plans.rounds import SEQ, TRIAL, Measure, dealt, measured, rated, settled
+from cadenza.plans.rounds import SEQ, TRIAL, Measure, dealt, grown, kept, measured, rated, spread
+from cadenza.sources.views import SEQ as RECORDED  # what orders recorded trials
 
 
 def recorded(trials: DataFrame) -> Measure:
@@ -30,7 +31,9 @@ def nearest_recorded(trials: DataFrame) -> Measure:
     A setting's points are an array: crf has one digit after the point, so a space holds a few hundred of them at most."""
     setting = ["segment_hash", "encoder", "aq_mode", "aq_strength"]
     point = F.struct("crf", "vmaf", "out_bytes", "ref_bytes")
-    known = settled(select_last(dealt(trials)).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points")))
+    spread(trials)
+    needed = trials.select("segment_hash", "encoder", "crf", "aq_mode", "aq_strength", "vmaf", "out_bytes", "ref_bytes", *RECORDED)
+    known = kept(select_last(dealt(needed)).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points")))
 
     def measure(proposals: DataFrame) -> DataFrame:
         near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(p["crf"] - F.col("crf")).alias("apart"), p.alias("p"))))["p"]
@@ -41,9 +44,7 @@ def nearest_recorded(trials: DataFrame) -> Measure:
 
 
 def select_last(trials: DataFrame) -> DataFrame:
-    from cadenza.sources.views import SEQ as order
-
-    last = W.partitionBy("segment_hash", "encoder", "crf", "aq_mode", "aq_strength").orderBy(*[F.desc(c) for c in order])
+    last = W.partitionBy("segment_hash", "encoder", "crf", "aq_mode", "aq_strength").orderBy(*[F.desc(c) for c in RECORDED])
     return trials.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 
@@ -82,14 +83,14 @@ def solve_settings(known: DataFrame, settings: DataFrame, spaces: DataFrame, tar
     settings = settings if "place" in settings.columns else settings.withColumn("place", F.row_number().over(W.partitionBy("segment_hash").orderBy("target", "aq_mode", "aq_strength")))
     ends = known.select("segment_hash", "encoder").distinct().join(F.broadcast(spaces.select("encoder", "crf_min", "crf_max")), "encoder")
     brackets = select.crf_bracket(rated(known, targets).join(settings.select(*group), group, "left_semi"), SEQ)
-    opened = settled(settings.select(*group, "place").join(brackets, group, "left").join(ends, "segment_hash"))
+    opened = kept(settings.select(*group, "place").join(brackets, group, "left").join(ends, "segment_hash"))
     names, probes = opened.columns, []
     low, high = F.col("crf_low").isNull(), F.col("crf_high").isNull()
     meets = F.col("vmaf") >= F.col("target")
-    first = settled(measure(opened.where(low).withColumn("crf", P.rounded_crf(F.col("crf_min")))))
+    first = kept(measure(opened.where(low).withColumn("crf", P.rounded_crf(F.col("crf_min")))))
     took = first.where(meets).withColumns({"crf_low": F.col("crf"), "vmaf_low": F.col("vmaf")}).select(*names)
     opened = opened.where(~low).unionByName(took)
-    last = settled(measure(opened.where(high).withColumn("crf", P.rounded_crf(F.col("crf_max")))))
+    last = kept(measure(opened.where(high).withColumn("crf", P.rounded_crf(F.col("crf_max")))))
     took = last.where(~meets).withColumns({"crf_high": F.col("crf"), "vmaf_high": F.col("vmaf")}).select(*names)
     probes = design.narrow(opened.where(~high).unionByName(took), measure, method)[1]
     each = [p.where("vmaf IS NOT NULL").withColumns({"stage": F.lit(1), "seq": F.col("place") * 10 + i}).select(*TRIAL) for i, p in enumerate([first, last, *probes])]
@@ -102,8 +103,8 @@ def solve_targets(explored: DataFrame, spaces: DataFrame, targets: DataFrame, me
     trials = explored
     for i, row in enumerate(targets.orderBy("target").collect(), start=1):  # a handful
         one = targets.where(F.col("target") == row["target"])
-        best = select.rank_aq(rated(trials, one), n_refine, SEQ).withColumnRenamed("rank", "place")
-        trials = trials.unionByName(solve_settings(trials, best, spaces, one, measure, method).withColumn("stage", F.lit(i)))
+        best = kept(select.rank_aq(rated(trials, one), n_refine, SEQ).withColumnRenamed("rank", "place"))
+        trials = grown(trials, solve_settings(trials, best, spaces, one, measure, method).withColumn("stage", F.lit(i)))
     return trials
 
 

@@ -37,3 +37,32 @@ def test_what_is_dealt_out_stays_where_it_lies(spark):
     asked = dealt(rows)
     text = plan(asked.hint("merge").join(known, ["segment_hash", "aq_mode"], "left"))
     assert text.count("Exchange hashpartitioning") == text.count("REPARTITION_BY_NUM") > 0
+
+
+def test_later_rounds_of_a_search_shuffle_nothing(spark, sf_dir):
+    from cadenza.operators import select
+    from cadenza.plans import search
+    from cadenza.plans.rounds import SEQ, grown, rated
+    from cadenza.sources import views
+
+    t, before = views.trials(spark, sf_dir), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    measure = search.nearest_recorded(t)
+    explored = search.explore(t.select("segment_hash", "encoder").distinct(), views.spaces(spark), measure, "screen", 8)
+    again = search.explore(t.select("segment_hash", "encoder").distinct(), views.spaces(spark), measure, "halton", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = explored.select("segment_hash", "encoder", "crf", "aq_mode", "aq_strength")
+        ranked = select.rank_aq(rated(grown(explored, again), views.targets(spark)), 2, SEQ)
+        for df in (measure(asked), ranked):
+            assert "Exchange hashpartitioning" not in plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_parts_grow_with_the_recorded_trials(spark):
+    from cadenza.plans import rounds
+
+    rounds.spread(spark.range(10 * rounds.PART_TRIALS + 1))
+    assert rounds.dealt(spark.createDataFrame([("a",)], "segment_hash string")).rdd.getNumPartitions() == 11
+    rounds.spread(spark.range(1))
+    assert rounds.parts(spark) == 4
