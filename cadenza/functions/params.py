@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def short(x: Column) -> Column:
     """A number without needless digits: 28.0 is 28."""
-    return F.regexp_replace(x.cast("string"), r"\.0$", "")
+    text = x.cast("string")
+    return F.when(text.endswith(".0"), F.substring(text, F.lit(1), F.length(text) - 2)).otherwise(text)
 
 
 def rounded_crf(crf: Column) -> Column:

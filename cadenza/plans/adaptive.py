@@ -20,7 +20,7 @@ from cadenza.functions import params as P
 from cadenza.functions import scoring
 from cadenza.operators import select
 from cadenza.plans import design
-from cadenza.plans.rounds import SEQ, Measure, dealt, measured, rate, rated, settled
+from cadenza.plans.rounds import SEQ, Measure, dealt, grown, kept, measured, rate, rated, settled
 
 AXES = ("crf_u", "mode_u", "strength_u")
 #: Share of the trials that count as good, and the least spread of good and bad ones.
@@ -59,15 +59,49 @@ def candidates(spaces: DataFrame, seed: int, n: int = 96, sampler: str = "halton
     return once.join(F.broadcast(spaces), "encoder").groupBy("encoder").agg(F.array_sort(F.collect_list(point)).alias("pool"))
 
 
+def pools(spaces: DataFrame, seed: int, sampler: str = "halton") -> dict[str, list]:
+    """Per encoder its candidates (a hundred or two), which every task needs whole: they go along with its function, not with each segment."""
+    return {r["encoder"]: r["pool"] for r in candidates(spaces, seed, sampler=sampler).collect()}
+
+
+def _cube(points: list) -> np.ndarray:
+    return np.array([[p[a] for a in AXES] for p in points]).reshape(-1, 3)
+
+
+def unseen(pool: list, seen: pd.Series) -> np.ndarray:
+    """For each segment (its keys seen) which of the pool's candidates are new to it."""
+    at = {p["key"]: i for i, p in enumerate(pool)}
+    out = np.ones((len(seen), len(pool)), bool)
+    for row, keys in zip(out, seen, strict=True):
+        row[[at[k] for k in keys if k in at]] = False
+    return out
+
+
+def chosen(history: DataFrame, pool: dict[str, list], pick: Column) -> DataFrame:
+    """history (a row per segment) with point, the candidate of its encoder that pick, a number from 0, tells; without those of no pick."""
+    kind = "encoder string, pool array<struct<seq int, crf_u double, mode_u double, strength_u double, crf double, aq_mode int, aq_strength double, key string>>"
+    table = history.sparkSession.createDataFrame([(e, [tuple(p) for p in points]) for e, points in pool.items()], kind)
+    picked = history.withColumn("__i", pick).where("__i IS NOT NULL").select("segment_hash", "encoder", "__i")
+    return picked.join(F.broadcast(table), "encoder").select("segment_hash", "encoder", F.element_at("pool", F.col("__i") + 1).alias("point"))  # a row per encoder
+
+
 def _offered(history: DataFrame, spaces: DataFrame, seed: int, sampler: str = "halton") -> DataFrame:
     """history (a row per segment, with the keys it has seen) with the candidates that are new to it."""
     pools = history.join(F.broadcast(settled(candidates(spaces, seed, sampler=sampler))), "encoder")  # a row per encoder
     return pools.withColumn("pool", F.filter("pool", lambda c: ~F.array_contains(F.col("seen"), c["key"]))).where(F.size("pool") > 0)
 
 
-def _log_density(c: Column, side: str) -> Column:
-    z = [(c[a] - F.col(f"{side}_mean_{a}")) / F.col(f"{side}_std_{a}") for a in AXES]
-    return -0.5 * sum(x * x + 2.0 * F.log(F.col(f"{side}_std_{a}")) for x, a in zip(z, AXES, strict=True))
+def log_ratios(cube: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """For each segment and candidate the log density among the good trials less that among the bad: good and bad hold, per axis, mean, spread and
+    twice the spread's logarithm (segments, 9)."""
+    sides = []
+    for side in (good, bad):
+        total = np.zeros((len(side), len(cube)))
+        for i in range(3):
+            z = (cube[None, :, i] - side[:, 3 * i, None]) / side[:, 3 * i + 1, None]
+            total += z * z + side[:, 3 * i + 2, None]
+        sides.append(-0.5 * total)
+    return sides[0] - sides[1]
 
 
 def propose_tpe(at: DataFrame, spaces: DataFrame, target: float, seed: int, sampler: str = "halton") -> DataFrame:
@@ -79,8 +113,25 @@ def propose_tpe(at: DataFrame, spaces: DataFrame, target: float, seed: int, samp
     bad = F.when(F.col("n") > n_good, ~good).otherwise(F.col("place") > F.col("n") - 2)
     stats = [f for side, name in ((good, "good"), (bad, "bad")) for a in AXES for f in (F.avg(F.when(side, F.col(a))).alias(f"{name}_mean_{a}"), F.greatest(F.stddev_pop(F.when(side, F.col(a))), F.lit(SPREAD)).alias(f"{name}_std_{a}"))]
     history = ranked.groupBy("segment_hash", "encoder").agg(F.collect_set("key").alias("seen"), *stats)
-    better = lambda c: F.struct((_log_density(c, "good") - _log_density(c, "bad")).alias("ratio"), (-c["seq"]).alias("first"), c.alias("point"))
-    return _offered(history, spaces, seed, sampler).select("segment_hash", "encoder", F.array_max(F.transform("pool", better))["point"].alias("point"))
+    pool = pools(spaces, seed, sampler)
+    cubes = {e: _cube(points) for e, points in pool.items()}
+
+    @F.pandas_udf("int")
+    def pick(encoder: pd.Series, seen: pd.Series, *sides: pd.Series) -> pd.Series:
+        numbers = np.stack([c.to_numpy(float) for c in sides], axis=1)
+        out = pd.array([None] * len(seen), dtype="Int32")
+        for e, points in pool.items():
+            mine = np.flatnonzero((encoder == e).to_numpy())
+            for s in range(0, len(mine), BATCH):
+                some = mine[s : s + BATCH]
+                new = unseen(points, seen.iloc[some])
+                ratio = np.where(new, log_ratios(cubes[e], numbers[some, :9], numbers[some, 9:]), -np.inf)
+                left = new.any(axis=1)
+                out[some[left]] = ratio[left].argmax(axis=1)  # of equals the first: the pool is in its order
+        return pd.Series(out)
+
+    sides = [f(F.col(f"{name}_{k}_{a}")) for name in ("good", "bad") for a in AXES for k, f in (("mean", lambda c: c), ("std", lambda c: c), ("std", lambda c: 2.0 * F.log(c)))]
+    return chosen(history, pool, pick("encoder", "seen", *sides))
 
 
 def matern(a: np.ndarray, b: np.ndarray, length: float) -> np.ndarray:
@@ -187,7 +238,7 @@ def explore(segments: DataFrame, spaces: DataFrame, measure: Measure, model: str
     for i in range(1, n - first + 1):
         proposed = PROPOSE[model](placed(trials, spaces, target), spaces, target, seed + i, sampler)
         asked = proposed.select("segment_hash", "encoder", *[F.col(f"point.{c}").alias(c) for c in ("crf", "aq_mode", "aq_strength")], F.lit(0).alias("stage"), F.lit(1000 + i).alias("seq"))
-        trials = trials.unionByName(measured(measure, asked))
+        trials = grown(trials, measure(asked))
     return trials
 
 
@@ -202,7 +253,7 @@ def _evolve(trials: DataFrame, spaces: DataFrame, measure: Measure, target: floa
     s = P.space_columns()
     means, spreads = ([f"{p}_{a}" for a in AXES] for p in ("mean", "spread"))
     best = lambda c: F.max_by(c, F.struct("fitness", (-F.col("stage")).alias("s"), (-F.col("seq")).alias("q")))
-    state = settled(placed(trials, spaces, target).groupBy("segment_hash", "encoder").agg(F.collect_set("key").alias("seen"), *[best(a).alias(m) for a, m in zip(AXES, means, strict=True)]).withColumns({c: F.lit(1.0) for c in spreads}))
+    state = kept(placed(trials, spaces, target).groupBy("segment_hash", "encoder").agg(F.collect_set("key").alias("seen"), *[best(a).alias(m) for a, m in zip(AXES, means, strict=True)]).withColumns({c: F.lit(1.0) for c in spreads}))
     sigma = 0.22
     for generation in range(1, math.ceil((n - 4) / OFFSPRING) + 1):
         tries = state.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(OFFSPRING * TRIES)))).join(F.broadcast(spaces), "encoder")
@@ -211,13 +262,13 @@ def _evolve(trials: DataFrame, spaces: DataFrame, measure: Measure, target: floa
         fresh = drawn.withColumn("same", F.row_number().over(W.partitionBy("segment_hash", "key").orderBy("i"))).where("same = 1")
         taken = fresh.withColumn("nth", F.row_number().over(W.partitionBy("segment_hash").orderBy("i"))).where(F.col("nth") <= F.least(F.lit(OFFSPRING), n - F.size("seen")))
         asked = taken.drop("same", "nth").withColumns({"stage": F.lit(0), "seq": 1000 * generation + F.col("i")})
-        born = settled(measure(asked).where("vmaf IS NOT NULL").withColumn("fitness", scoring.proxy(F.col("vmaf"), rate(), F.lit(float(target)))))
-        trials = trials.unionByName(born.select(*trials.columns))
+        born = kept(measure(asked).where("vmaf IS NOT NULL").withColumn("fitness", scoring.proxy(F.col("vmaf"), rate(), F.lit(float(target)))))
+        trials = grown(trials, born)
         ranked = born.withColumn("place", F.row_number().over(W.partitionBy("segment_hash").orderBy(F.desc("fitness"), "seq")))
         parent = F.when(F.col("place") <= PARENTS, math.log(PARENTS + 0.5) - F.log(F.col("place").cast("double")))
         moved = [(0.8 * F.sum(parent * F.col(a)) / F.sum(parent) + 0.2 * F.first(m)).alias(m) for a, m in zip(AXES, means, strict=True)]
         widened = [(0.8 * F.first(d) + 0.2 * F.greatest(F.stddev_pop(F.when(parent.isNotNull(), F.col(a))), F.lit(0.05))).alias(d) for a, d in zip(AXES, spreads, strict=True)]
-        state = settled(ranked.groupBy("segment_hash", "encoder").agg(F.array_union(F.first("seen"), F.collect_set("key")).alias("seen"), *moved, *widened))
+        state = kept(ranked.groupBy("segment_hash", "encoder").agg(F.array_union(F.first("seen"), F.collect_set("key")).alias("seen"), *moved, *widened))
         sigma = max(0.04, min(0.4, 0.95 * sigma))
     return trials
 
@@ -239,17 +290,17 @@ def walk_boundary(trials: DataFrame, spaces: DataFrame, targets: DataFrame, meas
     """Solves the crf at the best setting and at all its neighbours, moves to the best of what is known, until nothing moves."""
     visited, before = None, None
     for i in range(1, rounds + 1):
-        current = settled(select.best_aq(rated(trials, targets), SEQ).select(*_AT, "encoder", *_SETTING))
+        current = kept(select.best_aq(rated(trials, targets), SEQ).select(*_AT, "encoder", *_SETTING))
         moved = current if before is None else current.join(before, [*_AT, *_SETTING], "left_anti")
         hood = moved.unionByName(neighbours(moved, spaces).drop("way")).distinct()
         if visited is not None:
             hood = hood.join(visited, [*_AT, *_SETTING], "left_anti")
-        hood = settled(hood)
+        hood = kept(hood)
         if hood.isEmpty():
             break
         seen = hood.select(*_AT, *_SETTING)
         visited, before = seen if visited is None else visited.unionByName(seen), current
-        trials = trials.unionByName(settled(solve(trials, hood).withColumn("stage", F.lit(i))))
+        trials = grown(trials, solve(trials, hood).withColumn("stage", F.lit(i)))
     return trials
 
 
@@ -261,18 +312,18 @@ def walk_coordinate(trials: DataFrame, spaces: DataFrame, targets: DataFrame, me
     for i in range(1, rounds + 1):
         if visited is not None:
             current = current.join(visited, [*_AT, *_SETTING], "left_anti")
-        current = settled(current)
+        current = kept(current)
         if current.isEmpty():
             break
         seen = current.select(*_AT, *_SETTING)
         visited = seen if visited is None else visited.unionByName(seen)
-        trials = trials.unionByName(settled(solve(trials, current).withColumn("stage", F.lit(2 * i))))
+        trials = grown(trials, solve(trials, current).withColumn("stage", F.lit(2 * i)))
         here = select.scored(rated(trials, targets)).join(seen, [*_AT, *_SETTING], "left_semi")
         order = W.partitionBy(*_AT).orderBy(F.desc("proxy"), *SEQ)
-        held = settled(here.withColumn("n", F.row_number().over(order)).where("n = 1").select(*_AT, "crf", F.col("proxy").alias("held")))
+        held = kept(here.withColumn("n", F.row_number().over(order)).where("n = 1").select(*_AT, "crf", F.col("proxy").alias("held")))
         asked = neighbours(current, spaces).join(held, _AT).withColumns({"stage": F.lit(2 * i + 1), "seq": F.col("target").cast("int") * 10 + F.col("way")})
-        tried = settled(measure(asked).where("vmaf IS NOT NULL"))
-        trials = trials.unionByName(tried.select(*trials.columns))
+        tried = kept(measure(asked).where("vmaf IS NOT NULL"))
+        trials = grown(trials, tried)
         better = tried.withColumn("proxy", scoring.proxy(F.col("vmaf"), rate(), F.col("target"))).where("proxy > held")
         current = better.withColumn("n", F.row_number().over(W.partitionBy(*_AT).orderBy(F.desc("proxy"), "way"))).where("n = 1").select(*_AT, *_SETTING, "encoder")
     return trials

@@ -101,6 +101,15 @@ def test_batches_of_processes_pick_what_each_alone_does():
         assert place < len(pool) and alone[place] == pytest.approx(alone.max(), abs=1e-9)
 
 
+def test_log_ratios_of_many_segments_are_those_of_the_formula():
+    rng = np.random.default_rng(3)
+    cube, sides = rng.random((7, 3)), rng.random((2, 5, 9)) + 0.1
+    sides[:, :, 2::3] = 2 * np.log(sides[:, :, 1::3])
+    got = adaptive.log_ratios(cube, *sides)
+    density = lambda side, p: -0.5 * sum(((p[a] - side[3 * a]) / side[3 * a + 1]) ** 2 + 2 * math.log(side[3 * a + 1]) for a in range(3))
+    assert np.allclose(got, [[density(g, p) - density(b, p) for p in cube] for g, b in zip(*sides, strict=True)])
+
+
 def test_pools_hold_each_point_once_whatever_the_sampler(spark):
     for sampler in ("halton", "sobol", "lhs"):
         for r in adaptive.candidates(views.spaces(spark), 1, 24, sampler).collect():
