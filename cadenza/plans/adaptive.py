@@ -20,7 +20,7 @@ from cadenza.functions import params as P
 from cadenza.functions import scoring
 from cadenza.operators import select
 from cadenza.plans import design
-from cadenza.plans.rounds import SEQ, Measure, dealt, grown, kept, measured, rate, rated, settled
+from cadenza.plans.rounds import SEQ, Measure, dealt, grown, kept, measured, rate, rated
 
 AXES = ("crf_u", "mode_u", "strength_u")
 #: Share of the trials that count as good, and the least spread of good and bad ones.
@@ -85,12 +85,6 @@ def chosen(history: DataFrame, pool: dict[str, list], pick: Column) -> DataFrame
     return picked.join(F.broadcast(table), "encoder").select("segment_hash", "encoder", F.element_at("pool", F.col("__i") + 1).alias("point"))  # a row per encoder
 
 
-def _offered(history: DataFrame, spaces: DataFrame, seed: int, sampler: str = "halton") -> DataFrame:
-    """history (a row per segment, with the keys it has seen) with the candidates that are new to it."""
-    pools = history.join(F.broadcast(settled(candidates(spaces, seed, sampler=sampler))), "encoder")  # a row per encoder
-    return pools.withColumn("pool", F.filter("pool", lambda c: ~F.array_contains(F.col("seen"), c["key"]))).where(F.size("pool") > 0)
-
-
 def log_ratios(cube: np.ndarray, good: np.ndarray, bad: np.ndarray) -> np.ndarray:
     """For each segment and candidate the log density among the good trials less that among the bad: good and bad hold, per axis, mean, spread and
     twice the spread's logarithm (segments, 9)."""
@@ -209,18 +203,92 @@ def batch_picks(xs: list[np.ndarray], ys: list[np.ndarray], pools: list[np.ndarr
     return out
 
 
+def pool_picks(xs: list[np.ndarray], ys: list[np.ndarray], pool: np.ndarray, new: np.ndarray, target: float) -> np.ndarray:
+    """For each segment the place in the pool with the highest acquisition among its new candidates (of equals the first), -1 without any.
+
+    Segments that tried the same points share the factors of every scale and the points' spreads; each keeps the scale of its highest evidence."""
+    out = np.full(len(xs), -1, dtype=np.int32)
+    groups: dict[bytes, list[int]] = {}
+    for i, x in enumerate(xs):
+        groups.setdefault(x.tobytes(), []).append(i)
+    sizes: dict[int, list[list[int]]] = {}
+    for members in groups.values():
+        sizes.setdefault(len(xs[members[0]]), []).append(members)
+    for same in sizes.values():
+        for s in range(0, len(same), BATCH):
+            some = same[s : s + BATCH]
+            scales = Scales(np.stack([xs[m[0]] for m in some]), pool)
+            who = [(g, i) for g, members in enumerate(some) for i in members]
+            for a in range(0, len(who), BATCH):
+                of, rows = (np.array(c) for c in zip(*who[a : a + BATCH], strict=True))
+                values = np.where(new[rows], scales.acquisition(of, np.stack([ys[i] for i in rows]), target, new[rows]), -np.inf)
+                out[rows] = np.where(new[rows].any(axis=1), values.argmax(axis=1), -1)
+    return out
+
+
+class Scales:
+    """The processes of every length and noise over some sets of points x (sets, trials, 3), met by a pool of candidates (candidates, 3)."""
+
+    def __init__(self, x: np.ndarray, pool: np.ndarray) -> None:
+        apart = lambda a, b: np.sqrt(np.maximum(((a[:, :, None] - b[:, None]) ** 2).sum(axis=3), 0.0))
+        self.pool, self.own, self.across = pool, apart(x, x), apart(x, pool[None])
+        self.inverse, self.weight = [], []  # of the root, and the sum of the logarithms on its diagonal
+        for length in LENGTHS:
+            k = self.kernel(self.own, length)
+            for noise in NOISES:
+                root = np.linalg.cholesky(k + (noise + 1e-8) * np.eye(x.shape[1]))
+                self.inverse.append(np.linalg.inv(root))
+                self.weight.append(np.log(np.diagonal(root, axis1=1, axis2=2)).sum(axis=1))
+
+    @staticmethod
+    def kernel(d: np.ndarray, length: float) -> np.ndarray:
+        r = math.sqrt(5.0) * d / length
+        return (1 + r + r * r / 3) * np.exp(-r)
+
+    def acquisition(self, of: np.ndarray, y: np.ndarray, target: float, new: np.ndarray) -> np.ndarray:
+        """acquisition of the whole pool for segments of the sets of, with qualities y (segments, trials) and new candidates."""
+        middle, unit = y.mean(axis=1, keepdims=True), y.std(axis=1, keepdims=True)
+        unit = np.where(unit > 0, unit, 1.0)
+        z = ((y - middle) / unit)[:, :, None]
+        best, scale, half = np.full(len(y), -np.inf), np.zeros(len(y), int), np.empty_like(z)
+        for i, (inverse, weight) in enumerate(zip(self.inverse, self.weight, strict=True)):
+            h = inverse[of] @ z
+            evidence = -0.5 * (h**2).sum(axis=(1, 2)) - weight[of]
+            better = evidence > best
+            best[better], scale[better], half[better] = evidence[better], i, h[better]
+        pairs, place = np.unique(np.stack([of, scale], axis=1), axis=0, return_inverse=True)
+        shared = np.empty((len(pairs), self.own.shape[1], len(self.pool)))
+        for i in np.unique(pairs[:, 1]):
+            mine = pairs[:, 1] == i
+            sets = pairs[mine, 0]
+            shared[mine] = self.inverse[i][sets] @ self.kernel(self.across[sets], LENGTHS[i // len(NOISES)])
+        width = np.sqrt(np.maximum(1.0 - (shared**2).sum(axis=1), 1e-12))
+        place = place.ravel()
+        mean = middle + unit * (half.transpose(0, 2, 1) @ shared[place])[:, 0]
+        spread = np.maximum(unit * width[place], 1e-6)
+        widest = np.where(new, spread, 0.0).max(axis=1, keepdims=True)
+        chance = 0.5 * (1.0 + _erf((mean - target) / spread / math.sqrt(2.0)).astype(float))
+        return chance * self.pool[None, :, 0] + CURIOSITY * spread / (widest + 1e-6)
+
+
 def propose_bayes(at: DataFrame, spaces: DataFrame, target: float, seed: int, sampler: str = "halton") -> DataFrame:
     """The candidate with the highest acquisition by a Gaussian process over the segment's trials."""
+    pool = pools(spaces, seed, sampler)
+    cubes = {e: _cube(points) for e, points in pool.items()}
 
     @F.pandas_udf("int")
-    def pick(x: pd.Series, y: pd.Series, pool: pd.Series) -> pd.Series:
-        cube = lambda values: [np.reshape(v, (-1, 3)).astype(float) for v in values]
-        return pd.Series(batch_picks(cube(x), [np.asarray(v, dtype=float) for v in y], cube(pool), target))
+    def pick(encoder: pd.Series, seen: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
+        out = pd.array([None] * len(seen), dtype="Int32")
+        for e, points in pool.items():
+            mine = np.flatnonzero((encoder == e).to_numpy())
+            if len(mine):
+                got = pool_picks([np.asarray(x.iloc[i], float).reshape(-1, 3) for i in mine], [np.asarray(y.iloc[i], float) for i in mine], cubes[e], unseen(points, seen.iloc[mine]), target)
+                out[mine[got >= 0]] = got[got >= 0]
+        return pd.Series(out)
 
-    flat = lambda points: F.flatten(F.transform(points, lambda p: F.array(*[p[a] for a in AXES])))
+    flat = F.flatten(F.transform("points", lambda p: F.array(*[p[a] for a in AXES])))
     history = at.groupBy("segment_hash", "encoder").agg(F.collect_set("key").alias("seen"), F.array_sort(F.collect_list(F.struct(*SEQ, *AXES, "vmaf"))).alias("points"))
-    chosen = _offered(history, spaces, seed, sampler).withColumn("i", pick(flat("points"), F.transform("points", lambda p: p["vmaf"]), flat("pool")))
-    return chosen.select("segment_hash", "encoder", F.element_at("pool", F.col("i") + 1).alias("point"))
+    return chosen(history, pool, pick("encoder", "seen", flat, F.transform("points", lambda p: p["vmaf"])))
 
 
 PROPOSE = {"bayes": propose_bayes, "tpe": propose_tpe}

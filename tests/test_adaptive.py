@@ -110,6 +110,20 @@ def test_log_ratios_of_many_segments_are_those_of_the_formula():
     assert np.allclose(got, [[density(g, p) - density(b, p) for p in cube] for g, b in zip(*sides, strict=True)])
 
 
+def test_segments_that_share_points_pick_what_each_alone_does():
+    rng = np.random.default_rng(4)
+    sets, pool = [rng.random((4 + i % 3, 3)) for i in range(9)], rng.random((12, 3))
+    xs = [sets[i % 9] for i in range(300)]
+    ys = [np.full(len(x), 90.0) if i % 50 == 7 else 95 - 30 * x[:, 0] + rng.normal(size=len(x)) for i, x in enumerate(xs)]
+    new = rng.random((300, 12)) < 0.8
+    new[5] = False
+    got = adaptive.pool_picks(xs, ys, pool, new, 85.0)
+    assert got[5] == -1
+    for i in (i for i in range(300) if i != 5):
+        alone = adaptive.acquisition(xs[i], ys[i], pool[new[i]], 85.0)
+        assert new[i][got[i]] and alone[new[i][: got[i]].sum()] == pytest.approx(alone.max(), abs=1e-9)
+
+
 def test_pools_hold_each_point_once_whatever_the_sampler(spark):
     for sampler in ("halton", "sobol", "lhs"):
         for r in adaptive.candidates(views.spaces(spark), 1, 24, sampler).collect():
