@@ -30,7 +30,8 @@ def quickly(rounding, x: Column, digits: int) -> Column:
 
 
 def params_key(crf: Column, mode: Column, strength: Column) -> Column:
-    return F.concat(F.lit("crf="), short(rounded_crf(crf)), F.lit(",aq_mode="), mode.cast("string"), F.lit(",aq_strength="), short(rounded_strength(strength)))
+    crf, strength = quickly(F.bround, crf.cast("double"), 1), quickly(F.bround, strength.cast("double"), 2)
+    return F.concat(F.lit("crf="), short(crf), F.lit(",aq_mode="), mode.cast("string"), F.lit(",aq_strength="), short(strength))
 
 
 def trial_key(segment: Column, encoder: Column, params: Column, model: Column, subsample: Column) -> Column:

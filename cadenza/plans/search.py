@@ -6,6 +6,7 @@ aq_strength): recorded trials by an exact join, or a surface. Every round measur
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from cadenza.functions import params as P
 from cadenza.operators import records, select
 from cadenza.plans import adaptive, design
-from cadenza.plans.rounds import SEQ, TRIAL, Measure, dealt, grown, kept, measured, rated, spread
+from cadenza.plans.rounds import SEQ, TRIAL, Measure, dealt, grown, kept, mark, measured, rated, spread
 from cadenza.sources.views import SEQ as RECORDED  # what orders recorded trials
 
 
@@ -28,23 +29,24 @@ def recorded(trials: DataFrame) -> Measure:
 def nearest_recorded(trials: DataFrame) -> Measure:
     """What was measured of the segment at the same AQ setting and the nearest crf (of two as near the lower); nulls where nothing was.
 
-    A setting's points are an array: crf has one digit after the point, so a space holds a few hundred of them at most."""
-    setting = ["segment_hash", "encoder", "aq_mode", "aq_strength"]
+    A setting's points are an array, in any order: crf has one digit after the point, so a space holds a few hundred of them at most."""
+    setting = {"segment_hash": "string", "encoder": "string", "aq_mode": "int", "aq_strength": "double"}
     point = F.struct("crf", "vmaf", "out_bytes", "ref_bytes")
     spread(trials)
     needed = trials.select("segment_hash", "encoder", "crf", "aq_mode", "aq_strength", "vmaf", "out_bytes", "ref_bytes", *RECORDED)
-    known = kept(select_last(dealt(needed)).groupBy(*setting).agg(F.array_sort(F.collect_list(point)).alias("__points")))
+    last = select_last(dealt(needed).withColumn("__mark", mark(**setting)), ["__mark", *setting, "crf"])  # sorted so, and gathered as it lies
+    known = kept(last.groupBy("__mark", *setting).agg(F.collect_list(point).alias("__points")))
 
     def measure(proposals: DataFrame) -> DataFrame:
         near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(p["crf"] - F.col("crf")).alias("apart"), p.alias("p"))))["p"]
-        met = proposals.join(known, setting, "left").withColumn("__near", F.when(F.col("crf").isNotNull(), near))
+        met = proposals.withColumn("__mark", mark(**setting)).join(known, ["__mark", *setting], "left").withColumn("__near", F.when(F.col("crf").isNotNull(), near))
         return met.select(*proposals.columns, *[F.col(f"__near.{c}").alias(c) for c in ("vmaf", "out_bytes", "ref_bytes")])
 
     return measure
 
 
-def select_last(trials: DataFrame) -> DataFrame:
-    last = W.partitionBy("segment_hash", "encoder", "crf", "aq_mode", "aq_strength").orderBy(*[F.desc(c) for c in RECORDED])
+def select_last(trials: DataFrame, same: Sequence[str] = ("segment_hash", "encoder", "crf", "aq_mode", "aq_strength")) -> DataFrame:
+    last = W.partitionBy(*same).orderBy(*[F.desc(c) for c in RECORDED])
     return trials.withColumn("n", F.row_number().over(last)).where("n = 1").drop("n")
 
 

@@ -13,7 +13,7 @@ from cadenza.operators import features as feat
 from cadenza.operators import modeling, pictures, records, segments, select, store, training, trialstore
 from cadenza.plans import design
 from cadenza.plans import search as searching
-from cadenza.plans.rounds import dealt, rate, settled
+from cadenza.plans.rounds import dealt, kept, parts, rate, settled
 from cadenza.sources import commitlog, manifests, media, views
 from cadenza.sources.views import FEATURES, SEQ
 
@@ -271,11 +271,12 @@ def stored_trials(spark: SparkSession, sf: str) -> DataFrame:
     """Proposals of every segment (the settings of its trials, every third a little off, which rounding takes back for some) against a store of
     half of its trials: what is stored is taken, the rest measured (by the nearest recorded trial) and put; asked again, nothing is measured."""
     t = views.trials(spark, sf)
-    asked = t.select("segment_hash", "encoder", (C("crf") + F.when(C("l_orderkey") % 3 == 0, 0.05).otherwise(0.0)).alias("crf"), "aq_mode", "aq_strength").distinct()
-    stored = trialstore.TrialStore(spark, commitlog.scratch(spark, "trials"))
-    stored.put(t.where("l_suppkey % 2 = 0"), SEQ)
     measure = searching.nearest_recorded(t)
-    evaluated = lambda: stored.evaluated(asked, views.spaces(spark), measure, "vmaf_v0.6.1neg", 2)
+    stored = trialstore.TrialStore(spark, commitlog.scratch(spark, "trials"), parts(spark))  # as many as the trials need: all goes on by segment
+    stored.put(t.where("l_suppkey % 2 = 0"), SEQ)
+    asked = t.select("segment_hash", "encoder", (C("crf") + F.when(C("l_orderkey") % 3 == 0, 0.05).otherwise(0.0)).alias("crf"), "aq_mode", "aq_strength")
+    asked = kept(dealt(asked).distinct())
+    evaluated = lambda: stored.evaluated(asked, views.spaces(spark), measure, "vmaf_v0.6.1neg", 2, True)
     first = evaluated().groupBy("segment_hash").agg(F.count_if("stored").alias("n_stored"), F.count_if(~C("stored")).alias("n_measured"), F.round(F.sum("vmaf"), 4).alias("vmaf"))
     again = evaluated().groupBy("segment_hash").agg(F.count_if(~C("stored")).alias("n_again"), F.round(F.sum("vmaf"), 4).alias("vmaf_again"))
     return first.join(again, "segment_hash")

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from cadenza.operators import store, trialstore
+from cadenza.plans import rounds
 from cadenza.sources import commitlog, views
 
 SCHEMA = "segment_hash string, encoder string, source string, results map<string,struct<feasible:boolean>>"
@@ -137,3 +138,18 @@ def test_evaluated_measures_each_key_once(spark, tmp_path):
     assert run() == {0: (30.2, 1, 2.0, 91.0, True), 1: (55.0, 1, 2.0, 50.0, True), 2: (33.0, 1, 2.0, 67.0, False), 3: (33.0, 1, 2.0, 67.0, False), 4: (52.0, 0, 1.0, None, False)}
     assert run()[3] == (33.0, 1, 2.0, 67.0, True) and run()[4][3] is None  # what can't be measured is asked for again
     assert seen == [[(33.0, 1, 2.0), (52.0, 0, 1.0)], *2 * [[(52.0, 0, 1.0)]]]
+
+
+def test_what_lies_by_segment_is_not_dealt_out_again(spark, tmp_path):
+    stored = trialstore.TrialStore(spark, str(tmp_path / "store"), rounds.parts(spark))
+    stored.put(spark.createDataFrame([trial(f"s{i}", vmaf=float(i)) for i in range(20)], TRIAL))
+    asked = rounds.kept(rounds.dealt(spark.createDataFrame([trial(f"s{i}", crf=30.0 + i % 2) for i in range(40)], TRIAL).select("segment_hash", "encoder", "crf", "aq_mode", "aq_strength")))
+    measure = lambda p: p.withColumns({"vmaf": F.lit(50.0), "out_bytes": F.lit(1).cast("long"), "ref_bytes": F.lit(2).cast("long")})
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        per = stored.evaluated(asked, views.spaces(spark), measure, "m", 2, True).groupBy("segment_hash").agg(F.max("stored").alias("stored"), F.max("vmaf").alias("vmaf"))
+        assert {r.segment_hash: (r.stored, r.vmaf) for r in per.collect()} == {f"s{i}": (i < 20 and i % 2 == 0, float(i) if i < 20 and i % 2 == 0 else 50.0) for i in range(40)}
+        assert "Exchange hashpartitioning" not in per._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
