@@ -12,7 +12,7 @@ Steps, each written to the shared folder:
 2. Profiles: per document the digest of its set, its size, m, its prefix, and a parity bitmap.
    Equal sets become one class, stood for by its smallest id.
 3. Matching: prefix shingles that occur in one class only are dropped, and of shingles that occur in the same classes (told by their number, their least
-   id and the sum of their sets' digests) all but one. The others form small groups of narrow rows: a bitmap of 512 bytes at most, and a prefix of
+   id and sums of their ids' hashes) all but one. The others form small groups of narrow rows: a bitmap of 512 bytes at most, and a prefix of
    LONG_PREFIX shingles and a few, if any (longer ones ask for one match). Groups over GROUP_ROWS rows are dealt into blocks that are matched each for itself. A pair becomes a candidate only if its sizes, its
    parity bitmaps (an upper bound of the overlap) and its shared prefix shingles allow a link. A group sends on a spanning
    forest of its candidates, not all pairs.
@@ -43,6 +43,7 @@ import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from cadenza.llm.common import by_groups, in_arrow, small_side, staged, sub_batches
 from cadenza.llm.components import components
@@ -428,6 +429,15 @@ def profiles(docs: DataFrame, shared: Broadcast, k: int, percent: int, id_column
     return in_arrow(rows, profile, "doc_id long, n long, d1 long, d2 long, m int, prefix array<long>, bitmap binary")
 
 
+def shared_tokens(tokens: DataFrame) -> DataFrame:
+    """Of tokens (rep, token) those that several rows have, with what tells their members: how many there are, the least of them, and two sums of
+    hashes. The rows are shuffled once, as two numbers each, and what nothing shares goes before anything else is made of it."""
+    of = W.partitionBy("token")
+    h = F.xxhash64("rep")  # sums of 32 bits: 2^31 members do not overflow
+    told = {"members": F.count(F.lit(1)).over(of), "low": F.min("rep").over(of), "who": F.sum(F.shiftright(h, 32)).over(of), "too": F.sum(h.bitwiseAND(F.lit((1 << 32) - 1))).over(of)}
+    return tokens.withColumns(told).where("members > 1")
+
+
 def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row for each row of docs: doc_id, n_shingles and component_id, the smallest doc_id that links lead to."""
     counts = shingle_counts(docs, text_column, k)
@@ -436,12 +446,11 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     shared.destroy()
     classes = staged(made.where("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
     several = small_side(classes.where("copies > 1").select("d1", "d2", "rep"))
-    standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "d1", "n", "m", "prefix", "bitmap")
-    tokens = standing.select("rep", "d1", F.explode("prefix").alias("token"))
+    standing = made.where("n > 0 AND doc_id IS NOT NULL").join(several, ["d1", "d2"], "left").where("rep IS NULL OR rep = doc_id").select(F.col("doc_id").alias("rep"), "n", "m", "prefix", "bitmap")
+    shared_by = staged(shared_tokens(standing.select("rep", F.explode("prefix").alias("token"))), "shared-tokens")
     # shingles of the same members tell the same: one of them stands for all, so long near copies meet a few times and not at every shingle
-    members = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("low"), F.bit_xor("d1").alias("who")).where("members > 1")
-    groups = staged(members.groupBy("members", "low", "who").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
-    met = staged(tokens.drop("d1").join(groups.hint("merge"), "token"), "met-tokens")  # both sides grow with the corpus, so both are shuffled at every size
+    groups = staged(shared_by.groupBy("members", "low", "who", "too").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
+    met = staged(shared_by.select("rep", "token").join(groups.hint("merge"), "token"), "met-tokens")  # both sides grow with the corpus, so both are shuffled at every size
     asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
     wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "m", asked, "bitmap"), "met-profiles")
     match = lambda rows: by_groups(rows.join(wide, "rep"), ["token", "x", "y"], _match(percent), "a long, b long")

@@ -148,3 +148,14 @@ def test_long_near_copies_send_little(spark):
 
     sent, size = shuffled(20_000)
     assert sent < 5 * size
+
+
+def test_prefix_shingles_are_shuffled_once_and_told_by_their_members(spark):
+    rows = [(1, 10), (2, 10), (1, 11), (2, 11), (1, 12), (3, 12), (4, 13), (5, 14), (5, 14), (1, 15), (5, 15), (5, 15), (7, 15), (1, 16), (6, 16), (6, 16), (7, 16)]
+    found = jaccard_join.shared_tokens(spark.createDataFrame(rows, "rep long, token long").repartition(3))
+    got = {}
+    for r in found.collect():
+        got.setdefault((r.members, r.low, r.who, r.too), {}).setdefault(r.token, []).append(r.rep)
+    assert sorted(sorted(g) for g in got.values()) == [[10, 11], [12], [14], [15], [16]]  # 13 has one member; twice 5 is not twice 6
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(token") == 1
