@@ -451,8 +451,9 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_i
     # shingles of the same members tell the same: one of them stands for all, so long near copies meet a few times and not at every shingle
     groups = staged(shared_by.groupBy("members", "low", "who", "too").agg(F.min("token").alias("token")).select("token", "members"), "prefix-groups")
     met = staged(shared_by.select("rep", "token").join(groups.hint("merge"), "token"), "met-tokens")  # both sides grow with the corpus, so both are shuffled at every size
-    asked = F.when(F.col("m") > 1, F.col("prefix")).alias("prefix")
-    wide = staged(standing.join(met.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "m", asked, "bitmap"), "met-profiles")
+    # prefixes that no pair asks for go before the join, which may shuffle all profiles
+    asked = standing.select("rep", "n", "m", F.when(F.col("m") > 1, F.col("prefix")).alias("prefix"), "bitmap")
+    wide = staged(asked.join(met.select("rep").distinct(), "rep", "left_semi"), "met-profiles")
     match = lambda rows: by_groups(rows.join(wide, "rep"), ["token", "x", "y"], _match(percent), "a long, b long")
     clusters = _clusters(match(in_blocks(met, GROUP_ROWS).withColumn("label", F.col("rep"))), "candidates")
     sets = _Sets(docs, k, percent, id_column, text_column)

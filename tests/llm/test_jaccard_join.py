@@ -159,3 +159,24 @@ def test_prefix_shingles_are_shuffled_once_and_told_by_their_members(spark):
     assert sorted(sorted(g) for g in got.values()) == [[10, 11], [12], [14], [15], [16]]  # 13 has one member; twice 5 is not twice 6
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning(token") == 1
+
+
+def watched_tables(monkeypatch, *modules):
+    """The names and rows of all tables that the modules stage from now on."""
+    made = []
+    for module in modules:
+
+        def noted(df, name, put=module.staged):
+            made.append((name, df))
+            return put(df, name)
+
+        monkeypatch.setattr(module, "staged", noted)
+    return made
+
+
+def test_prefixes_that_nothing_asks_for_are_not_shuffled(spark, monkeypatch):
+    made = watched_tables(monkeypatch, jaccard_join)
+    jaccard_join.join(spark.createDataFrame(near_copies(12), "doc_id long, text string"), 3, 90)
+    plan = next(df for name, df in made if name == "met-profiles")._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" not in plan.split("Join LeftSemi")[0]
+    assert "CASE WHEN" in plan.split("Join LeftSemi")[1]
