@@ -22,6 +22,8 @@ from pyspark.sql import Window as W
 BROADCAST_BYTES = 16 << 20
 #: About how many bytes of rows Spark sends to a Python worker at once (in_arrow).
 ARROW_BYTES = 1 << 20
+#: Tasks of fewer bytes, in and out, do not hand memory back.
+LEAN_BYTES = 1 << 17
 
 _test_dirs: dict[str, str] = {}
 
@@ -127,10 +129,23 @@ def sub_batches(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 <
 
 
 def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """work, which hands its memory back to the system when a task ends: workers live on for later stages."""
+    """work, which hands its memory back to the system when a task ends: workers live on for later stages. A task of few bytes
+    leaves that to later ones, as the collection takes longer than its work."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from work(batches)
+        held = 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for batch in batches:
+                held += batch.nbytes
+                yield batch
+
+        for out in work(counted()):
+            held += out.nbytes
+            yield out
+        if held < LEAN_BYTES:
+            return
         gc.collect()
         pa.default_memory_pool().release_unused()
         if sys.platform == "linux":

@@ -532,15 +532,16 @@ class _Sets:
         named = lambda df: df.select(F.col("a").alias("rep"), F.col("b").alias("label"))
         labels = named(self.compared(sets, blocks(clusters), True))
         large = staged(clusters.where(F.col("members") > BLOCK_DOCS).select("rep", "cluster"), "large-clusters")
-        before, now, heads = large.count(), 0, None
+        before, now, heads, whole = large.count(), 0, None, False
         while before:
             per = large.join(labels, "rep", "left").select("cluster", F.coalesce("label", "rep").alias("label")).distinct()
             per = staged(per, "cluster-labels")
             heads = per.join(per.groupBy("cluster").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "cluster")
             heads = staged(heads.select(F.col("label").alias("rep"), "cluster", "members"), "cluster-heads")
             now = heads.count()
-            if now in (0, before):
+            if whole or now in (0, before):
                 break
+            whole = not heads.where(F.col("members") > BLOCK_DOCS).limit(1).count()  # all heads of a cluster meet: what is left then has no links
             new = named(self.compared(sets, blocks(heads), True))
             moved = labels.join(small_side(new.select(F.col("rep").alias("label"), F.col("label").alias("next"))), "label", "left")
             labels, before = staged(moved.select("rep", F.coalesce("next", "label").alias("label")).unionByName(new), "labels"), now

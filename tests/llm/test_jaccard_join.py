@@ -174,9 +174,62 @@ def watched_tables(monkeypatch, *modules):
     return made
 
 
+def test_few_edges_take_no_rounds_and_many_the_same_components(spark, monkeypatch):
+    rng = random.Random(3)
+    pairs = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(2000 + i, 2001 + i) for i in range(50)] + [(5, 5), (6, 5), (5, 6)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5).cache()
+    least = {x: x for p in pairs if p[0] != p[1] for x in p}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    made = watched_tables(monkeypatch, components)
+    assert {r.node: r.component for r in components.components(edges).collect()} == least
+    assert not [name for name, _ in made if name.endswith(("-large", "-small"))]
+    monkeypatch.setattr(components, "PART_EDGES", 40)
+    got = components.components(edges).collect()
+    assert {r.node: r.component for r in got} == least
+    assert len(got) == len(least)
+    assert [name for name, _ in made if name.endswith("-large")]
+
+
+def test_heads_that_all_met_are_not_compared_again(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 12)
+    rng, words = random.Random(12), [f"w{i}" for i in range(300)]
+    base, rows = [rng.choice(words) for _ in range(120)], []
+    for i in range(40):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 6, 7])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    made, turns = watched_tables(monkeypatch, jaccard_join), []
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == jaccard_components(rows, 3, 80)
+    for name, df in made:
+        if name == "cluster-heads":
+            turns.append(df.agg({"members": "max"}).first()[0])
+        elif name == "links" and turns and turns[-1]:
+            turns.append("links")
+    first = next(i for i, t in enumerate(turns) if t and t != "links" and t <= 12)
+    assert turns[first:].count("links") <= 2  # one turn of heads, and what is left across blocks
+
+
 def test_prefixes_that_nothing_asks_for_are_not_shuffled(spark, monkeypatch):
     made = watched_tables(monkeypatch, jaccard_join)
     jaccard_join.join(spark.createDataFrame(near_copies(12), "doc_id long, text string"), 3, 90)
     plan = next(df for name, df in made if name == "met-profiles")._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" not in plan.split("Join LeftSemi")[0]
     assert "CASE WHEN" in plan.split("Join LeftSemi")[1]
+
+
+def test_small_tasks_leave_collecting_to_later_ones(monkeypatch):
+    import pyarrow as pa
+
+    from cadenza.llm import common
+
+    runs = []
+    monkeypatch.setattr(common.gc, "collect", lambda: runs.append(1))
+    for n, times in ((10, 0), (200_000, 1)):
+        batch = pa.record_batch({"x": pa.array(range(n), pa.int64())})
+        assert list(common.lean(lambda batches: batches)(iter([batch]))) == [batch]
+        assert len(runs) == times
