@@ -253,7 +253,7 @@ def grouped_split(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_predict(spark: SparkSession, sf: str) -> DataFrame:
     """What the bundle of each target says for every segment."""
-    bundles = training.train_all(workflow.kept(training.needed(workflow.search_rows(spark, sf))), "libsvtav1", workflow.FITTED)
+    bundles = training.train_all(workflow.kept(training.needed(workflow.search_rows(spark, sf))), "libsvtav1")
     asked = workflow.kept(views.features(spark, sf)).crossJoin(F.broadcast(views.spaces(spark).where("encoder = 'libsvtav1'")))  # one row
     said = [training.predict(asked, b, P.space_columns()).select("segment_hash", F.lit(t).alias("target"), "crf", "aq_mode", "aq_strength") for t, b in bundles.items()]
     return reduce(DataFrame.unionAll, said)
