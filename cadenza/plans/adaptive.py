@@ -355,10 +355,12 @@ def neighbours(current: DataFrame, spaces: DataFrame, steps: int = 5) -> DataFra
 
 
 def walk_boundary(trials: DataFrame, spaces: DataFrame, targets: DataFrame, measure: Measure, solve: Solve, rounds: int = 4) -> DataFrame:
-    """Solves the crf at the best setting and at all its neighbours, moves to the best of what is known, until nothing moves."""
-    visited, before = None, None
+    """Solves the crf at the best setting and at all its neighbours, moves to the best of what is known, until nothing moves.
+
+    Where a round measured nothing of a segment nothing can move: later rounds rank the trials of the other segments only."""
+    visited, before, active = None, None, trials
     for i in range(1, rounds + 1):
-        current = kept(select.best_aq(rated(trials, targets), SEQ).select(*_AT, "encoder", *_SETTING))
+        current = kept(select.best_aq(rated(active, targets), SEQ).select(*_AT, "encoder", *_SETTING))
         moved = current if before is None else current.join(before, [*_AT, *_SETTING], "left_anti")
         hood = moved.unionByName(neighbours(moved, spaces).drop("way")).distinct()
         if visited is not None:
@@ -369,6 +371,7 @@ def walk_boundary(trials: DataFrame, spaces: DataFrame, targets: DataFrame, meas
         seen = hood.select(*_AT, *_SETTING)
         visited, before = seen if visited is None else visited.unionByName(seen), current
         trials = grown(trials, solve(trials, hood).withColumn("stage", F.lit(i)))
+        active = trials.join(hood.select("segment_hash").distinct(), "segment_hash", "left_semi")
     return trials
 
 

@@ -29,7 +29,8 @@ def recorded(trials: DataFrame) -> Measure:
 def nearest_recorded(trials: DataFrame) -> Measure:
     """What was measured of the segment at the same AQ setting and the nearest crf (of two as near the lower); nulls where nothing was.
 
-    A setting's points are an array, in any order: crf has one digit after the point, so a space holds a few hundred of them at most."""
+    A setting's points are an array, in any order: crf has one digit after the point, so a space holds a few hundred of them at most. Its attribute
+    attached gives settings their points, so that the rounds of a solve, which carry them along, meet the recorded trials once and not in every round."""
     setting = {"segment_hash": "string", "encoder": "string", "aq_mode": "int", "aq_strength": "double"}
     point = F.struct("crf", "vmaf", "out_bytes", "ref_bytes")
     spread(trials)
@@ -37,11 +38,15 @@ def nearest_recorded(trials: DataFrame) -> Measure:
     last = select_last(dealt(needed).withColumn("__mark", mark(**setting)), ["__mark", *setting, "crf"])  # sorted so, and gathered as it lies
     known = kept(last.groupBy("__mark", *setting).agg(F.collect_list(point).alias("__points")))
 
+    def attached(settings: DataFrame) -> DataFrame:
+        return settings.withColumn("__mark", mark(**setting)).join(known, ["__mark", *setting], "left").select(*settings.columns, "__points")
+
     def measure(proposals: DataFrame) -> DataFrame:
         near = F.array_min(F.transform("__points", lambda p: F.struct(F.abs(p["crf"] - F.col("crf")).alias("apart"), p.alias("p"))))["p"]
-        met = proposals.withColumn("__mark", mark(**setting)).join(known, ["__mark", *setting], "left").withColumn("__near", F.when(F.col("crf").isNotNull(), near))
+        met = (proposals if "__points" in proposals.columns else attached(proposals)).withColumn("__near", F.when(F.col("crf").isNotNull(), near))
         return met.select(*proposals.columns, *[F.col(f"__near.{c}").alias(c) for c in ("vmaf", "out_bytes", "ref_bytes")])
 
+    measure.attached = attached
     return measure
 
 
@@ -83,9 +88,12 @@ def solve_settings(known: DataFrame, settings: DataFrame, spaces: DataFrame, tar
     """
     group = ["segment_hash", "aq_mode", "aq_strength", "target"]
     settings = settings if "place" in settings.columns else settings.withColumn("place", F.row_number().over(W.partitionBy("segment_hash").orderBy("target", "aq_mode", "aq_strength")))
-    ends = known.select("segment_hash", "encoder").distinct().join(F.broadcast(spaces.select("encoder", "crf_min", "crf_max")), "encoder")
-    brackets = select.crf_bracket(rated(known, targets).join(settings.select(*group), group, "left_semi"), SEQ)
-    opened = kept(settings.select(*group, "place").join(brackets, group, "left").join(ends, "segment_hash"))
+    each = settings if "encoder" in settings.columns else settings.join(known.select("segment_hash", "encoder").distinct(), "segment_hash")
+    # trials meet the targets that are asked of their settings, and no others
+    brackets = select.crf_bracket(known.where("vmaf IS NOT NULL").join(settings.select(*group), group[:3]), SEQ)
+    ends = F.broadcast(spaces.select("encoder", "crf_min", "crf_max"))
+    opened = each.select(*group, "place", "encoder").join(brackets, group, "left").join(ends, "encoder")
+    opened = kept(measure.attached(opened) if hasattr(measure, "attached") else opened)
     names, probes = opened.columns, []
     low, high = F.col("crf_low").isNull(), F.col("crf_high").isNull()
     meets = F.col("vmaf") >= F.col("target")

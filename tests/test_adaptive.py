@@ -183,3 +183,19 @@ def test_walks_solve_around_their_start_and_never_end_worse(spark, segments, sur
 def test_segments_without_trials_give_nothing(spark, segments, surface):
     for model in adaptive.MODELS:
         assert adaptive.explore(segments.limit(0), views.spaces(spark), surface, model, 85.0, n=5).count() == 0
+
+
+def test_a_solve_meets_the_recorded_trials_once(spark, sf_dir):
+    recorded = views.trials(spark, sf_dir).where("l_partkey < 20")
+    inner, spaces, targets = search.nearest_recorded(recorded), views.spaces(spark), views.targets(spark).where("target = 89")
+    start = search.explore(recorded.select("segment_hash", "encoder").distinct(), spaces, inner, "screen", 8)
+    settings = select.rank_aq(rated(start, targets), 2, SEQ).withColumnRenamed("rank", "place")
+    carried = []
+
+    def measure(proposals):
+        carried.append("__points" in proposals.columns)
+        return inner(proposals)
+
+    measure.attached = inner.attached
+    rows = lambda m: sorted(tuple(r) for r in search.solve_settings(start, settings, spaces, targets, m).collect())
+    assert rows(measure) == rows(lambda p: inner(p)) and len(carried) > 2 and all(carried)
